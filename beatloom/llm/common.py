@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,59 @@ def hex_key(value: Column, digits: int, start: int = 1) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of rows that no model learns from: CRC-32 of the id's text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+class WordCache(dict):
+    """What a function gives for words, remembered in two generations, so that frequent words stay when it is full.
+
+    It holds 2 * size words at most between calls of trim().
+    """
+
+    def __init__(self, make: Callable[[str], object], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, word: str) -> object:
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
+class SpanHashes:
+    """64-bit hashes of spans of number sequences, by prefix sums of a polynomial modulo 2 ** 64."""
+
+    def __init__(self) -> None:
+        self.up = np.ones(1, dtype=np.uint64)
+        self.down = np.ones(1, dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        factor = 0x9E3779B97F4A7C15
+        size = max(4096, 1 << n.bit_length())
+        for name, f in (("up", factor), ("down", pow(factor, -1, 1 << 64))):
+            steps = np.full(size, f, dtype=np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.multiply.accumulate(steps))
+
+    def __call__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(values)
+        if n >= len(self.up):
+            self._grow(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * self.up[:n], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scrambled."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

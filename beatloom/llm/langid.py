@@ -29,11 +29,11 @@ from pyspark.sql.functions import pandas_udf
 
 from . import common
 
-BITS, ROUNDS, SMOOTHING = 15, 25, 0.1
+BITS, ROUNDS, LATER_ROUNDS, FAINT, SMOOTHING = 15, 12, 8, 0.01, 0.1
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
 #: Documents are inferred together up to so many trigrams' buckets.
-BATCH_BUCKETS = 200_000
+BATCH_BUCKETS = 60_000
 
 _LETTER = np.zeros(0x110000, dtype=bool)
 
@@ -104,39 +104,58 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, np.log(n / n.sum(axis=1, keepdims=True)) if len(languages) else n)
 
 
-def _em(p: np.ndarray, counts: np.ndarray, starts: np.ndarray, owner: np.ndarray, allowed: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents, languages) and log-likelihoods; p: (buckets, languages) likelihoods."""
-    pi = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(ROUNDS):
-        mixed = p * pi[owner]
-        weight = counts / np.maximum(mixed.sum(axis=1), 1e-300)
-        pi = np.add.reduceat(mixed * weight[:, None], starts, axis=0) / total[:, None]
-    mixed = np.maximum((p * pi[owner]).sum(axis=1), 1e-300)
-    return pi, np.add.reduceat(counts * np.log(mixed), starts)
+def _em(p: np.ndarray, counts: np.ndarray, starts: np.ndarray, owner: np.ndarray, pi: np.ndarray, total: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (languages, documents) after some rounds from pi, and log-likelihoods; p: (languages, buckets)."""
+    used = np.flatnonzero(pi.any(axis=1))
+    for _ in range(rounds):
+        mixed = np.zeros(len(counts))
+        for k in used:
+            mixed += p[k] * pi[k][owner]
+        weight = counts / np.maximum(mixed, 1e-300)
+        for k in used:
+            pi[k] *= np.add.reduceat(p[k] * weight, starts) / total
+    mixed = np.zeros(len(counts))
+    for k in used:
+        mixed += p[k] * pi[k][owner]
+    return pi, np.add.reduceat(counts * np.log(np.maximum(mixed, 1e-300)), starts)
 
 
 def infer(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen proportions (documents, languages), 0 for languages out of the set, and per-trigram log-likelihoods."""
-    n_lang = len(model.languages)
+    """Chosen proportions (documents, languages), 0 for languages out of the set, and per-trigram log-likelihoods.
+
+    Languages below FAINT leave the set together, otherwise the faintest alone; each smaller set starts from the
+    proportions of the one before.
+    """
     found = [np.unique(d, return_counts=True) for d in docs]
     sizes = np.array([len(f[0]) for f in found])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(docs)), sizes)
     at, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(float)
+    log_p = model.log_p[:, at]
+    top = log_p.max(axis=0)  # scaled likelihoods, so that none vanishes
+    p = np.exp(log_p - top)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = np.add.reduceat(counts, starts)
-    log_p = model.log_p[:, at].T
-    top = log_p.max(axis=1, keepdims=True)  # scaled likelihoods, so that none vanishes
-    p, base = np.exp(log_p - top), np.add.reduceat(counts * top[:, 0], starts)
-    allowed = np.ones((len(docs), n_lang))
-    best, best_pi, best_ll = np.full(len(docs), -np.inf), np.zeros((len(docs), n_lang)), np.zeros(len(docs))
-    for k in range(n_lang, 0, -1):
-        pi, ll = _em(p, counts, starts, owner, allowed, total)
-        penalised = ll - 0.5 * (k - 1) * np.log(np.maximum(total, 2))
-        better = penalised >= best
-        best = np.where(better, penalised, best)
-        best_pi[better], best_ll[better] = pi[better], ((ll + base) / total)[better]
-        weakest = np.where(allowed > 0, pi, np.inf).argmin(axis=1)
-        allowed[np.arange(len(docs)), weakest] = 0 if k > 1 else 1
+    base = np.add.reduceat(counts * top, starts)
+    n_lang, n_docs = len(model.languages), len(docs)
+    best, best_pi, best_ll = np.full(n_docs, -np.inf), np.zeros((n_docs, n_lang)), np.zeros(n_docs)
+    pi, live, rounds = np.full((n_lang, n_docs), 1.0 / n_lang), np.arange(n_docs), ROUNDS
+    while len(live):
+        n = sizes[live]
+        inside = np.isin(np.repeat(np.arange(n_docs), sizes), live) if len(live) < n_docs else slice(None)
+        first, owner = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(live)), n)
+        pi, ll = _em(p[:, inside], counts[inside], first, owner, pi, total[live], rounds)
+        k = (pi > 0).sum(axis=0)
+        penalised = ll - 0.5 * (k - 1) * np.log(np.maximum(total[live], 2))
+        better = penalised >= best[live]
+        won = live[better]
+        best[won], best_pi[won], best_ll[won] = penalised[better], pi[:, better].T, ((ll + base[live]) / total[live])[better]
+        more = k > 1
+        live, pi = live[more], pi[:, more].copy()
+        if len(live):
+            pi[pi < FAINT] = 0
+            same = (pi > 0).sum(axis=0) == k[more]
+            pi[np.where(pi > 0, pi, np.inf).argmin(axis=0)[same], np.flatnonzero(same)] = 0
+            pi /= pi.sum(axis=0)
+            rounds = LATER_ROUNDS
     return best_pi, best_ll
 
 

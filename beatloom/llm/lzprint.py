@@ -29,35 +29,55 @@ from . import common
 BINS = 128
 #: Rows of a range, and the largest number of ranges.
 RANGE_ROWS, MOST_RANGES = 1000, 20_000
-_MASK, _PRIME = (1 << 61) - 1, 0x9E3779B97F4A7C15
-
-
-def parse(text: str, phrases: set[int], state: int = 0) -> int:
-    """Adds the hashes of the text's phrases to the set; gives the hash of the phrase that is not ended."""
-    add = phrases.add
-    h = state
-    for c in map(ord, text):
-        h = (h * 1000003 + c + 1) & 0x1FFFFFFFFFFFFFFF
-        if h not in phrases:
-            add(h)
-            h = 0
-    return h
-
-
-def signature(phrases: set[int]) -> np.ndarray:
+_SPANS = common.SpanHashes()
+_BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+
+
+class Phrases:
+    """The dictionary of a parse: a phrase's number plus a code point gives the longer phrase's number."""
+
+    def __init__(self) -> None:
+        self.longer: dict[int, int] = {}
+        self.ends: list[int] = []
+        self.at, self.node = 0, 0
+
+    def copy(self) -> Phrases:
+        other = Phrases()
+        other.longer, other.ends, other.at, other.node = self.longer.copy(), self.ends.copy(), self.at, self.node
+        return other
+
+    def read(self, points: list[int]) -> Phrases:
+        """Parses on with the next code points."""
+        longer, node, end_of = self.longer, self.node, self.ends.append
+        get = longer.get
+        new = (len(longer) + 1) << 21
+        for i, c in enumerate(points, self.at + 1):
+            key = node + c
+            node = get(key)
+            if node is None:
+                longer[key] = new
+                new += 1 << 21
+                end_of(i)
+                node = 0
+        self.node = node
+        self.at += len(points)
+        return self
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def signature(points: np.ndarray, ends: list[int]) -> np.ndarray:
     """Per bin, 16 bits of the least hash of the phrases that fall into it, 0 if there are none."""
     out = np.zeros(BINS, dtype=np.uint16)
-    if phrases:
-        x = np.fromiter(phrases, dtype=np.uint64, count=len(phrases))
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+    if ends:
+        stop = np.array(ends)
+        x = _SPANS(common.mixed(points.astype(np.uint64)), np.concatenate([[0], stop[:-1]]), stop)
         x.sort()
-        bins = (x >> np.uint64(57)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bins, prepend=-1))
-        out[bins[first]] = ((x[first] & np.uint64(0xFFFF)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+        at = np.searchsorted(x, _BIN_STARTS)
+        at = at[(at < len(x)) & (np.append(at[1:], len(x)) > at)]
+        out[(x[at] >> np.uint64(57)).astype(np.int64)] = ((x[at] & np.uint64(0xFFFF)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
     return out
 
 
@@ -67,9 +87,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(text: str | None) -> str:
-    phrases: set[int] = set()
-    parse(text or "", phrases)
-    return signature(phrases).astype(">u2").tobytes().hex()
+    points = code_points(text or "")
+    return signature(points, Phrases().read(points.tolist()).ends).astype(">u2").tobytes().hex()
 
 
 def edited(text: str, following: str) -> tuple[str, str]:
@@ -148,20 +167,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text, at, extra in zip(batch["doc_id"], batch["text"], batch["range"], batch["extra"], strict=True):
-                keep = len(text) - len(text) // 2
-                phrases: set[int] = set()
-                state = parse(text[:keep], phrases)
+                points = code_points(text)
+                codes = points.tolist()
+                keep = len(codes) - len(codes) // 2
+                phrases = Phrases().read(codes[:keep])
                 half = None if extra else phrases.copy()
-                parse(text[keep:], phrases, state)
-                sig = signature(phrases)
-                if held is not None and held[5] == at:
-                    h_id, h_text, h_sig, h_half, h_state, _ = held
-                    stays, instead = edited(h_text, text)
-                    parse(instead, h_half, h_state)
-                    e_sig = signature(h_half)
-                    e_text = stays + instead
+                sig = signature(points, phrases.read(codes[keep:]).ends)
+                if held is not None and held[4] == at:
+                    h_id, h_text, h_sig, h_half, _ = held
+                    e_text = "".join(edited(h_text, text))
+                    e_points = code_points(e_text)
+                    e_sig = signature(e_points, h_half.read(e_points[h_half.at :].tolist()).ends)
                     out.append((h_id, len(h_text), hashlib.sha256(e_text.encode()).hexdigest(), h_sig.astype(">u2").tobytes().hex(), e_sig.astype(">u2").tobytes().hex(), likeness(h_sig, e_sig), likeness(h_sig, sig)))
-                held = None if extra else (doc_id, text, sig, half, state, at)
+                held = None if extra else (doc_id, text, sig, half, at)
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame

@@ -23,7 +23,6 @@ component and are kept; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,45 +38,37 @@ WORDS, REGISTERS, MANTISSA, BANDS, ROWS = 5, 256, 10, 96, 10
 PERCENT = 85
 #: A family's blocks: at most BLOCK_DOCS documents for small families, and about BLOCK_SHINGLES shingles.
 BLOCK_DOCS, MOST_SMALL_BLOCKS, BLOCK_SHINGLES = 128, 16, 400_000
-CACHE_WORDS = 300_000
 
-_WORD = re.compile(common.WORD_PATTERN)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_mix = common.mixed
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+# A number for each byte, the same for A-Z and a-z; and the bytes that part words.
+_BYTE = np.random.default_rng(5).integers(0, 1 << 64, size=256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; keeps a bounded cache of word hashes."""
+    """Sorted distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.spans = common.SpanHashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the words, from the bytes of the UTF-8 text."""
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        inside = np.zeros(len(data) + 2, dtype=np.int8)
+        inside[1:-1] = ~_BLANK[data]
+        edge = np.diff(inside)
+        return self.spans(_BYTE[data], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
 
-        words = _WORD.findall(text.translate(_LOWER)) if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        try:
-            h = np.array([cache[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = xxhash.xxh64_intdigest(w.encode())
-            h = np.array([cache[w] for w in words], dtype=np.uint64)
+    def __call__(self, text: str | None) -> np.ndarray:
+        h = self.words(text) if text else np.zeros(0, dtype=np.uint64)
+        if not len(h):
+            return h
         if len(h) < WORDS:
-            out = np.uint64([len(h)])
+            out = np.full(1, len(h), dtype=np.uint64)
             for x in h:
                 out = _mix(out * _PRIME + x)
             return out
@@ -89,38 +80,38 @@ class Shingler:
 
 
 # The order in which an unfilled register looks for a filled one.
+_REGISTER_STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _PROBES = np.random.default_rng(61).integers(0, REGISTERS, size=(REGISTERS, 64 * 8))
 _BAND_REGISTERS = np.stack([np.random.default_rng(1000 + b).permutation(REGISTERS)[:ROWS] for b in range(BANDS)])
 
 
 def compressed(values: np.ndarray) -> np.ndarray:
     """Leading zeros (6 bits) and the MANTISSA bits after the first one, of 56-bit values."""
-    v = values.astype(np.uint64)
-    top = np.zeros(len(v), dtype=np.int64)
-    rest = v.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        more = rest >= (np.uint64(1) << np.uint64(step))
-        top[more] += step
-        rest[more] >>= np.uint64(step)
-    zeros = np.where(v > 0, 55 - top, 56)
-    shift = top - MANTISSA
-    low = np.where(shift >= 0, v >> np.maximum(shift, 0).astype(np.uint64), v << np.maximum(-shift, 0).astype(np.uint64))
-    return ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (low & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
+    v = values >> np.uint64(4)  # 52 bits, exact as a float
+    part, exponent = np.frexp(v.astype(np.float64))
+    zeros = np.where(v > 0, 52 - exponent, 56)
+    low = (part * (2 << MANTISSA)).astype(np.int64) & ((1 << MANTISSA) - 1)
+    return ((zeros << MANTISSA) | low).astype(np.uint16)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Registers of a non-empty sorted set."""
-    bins = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    out, filled = np.zeros(REGISTERS, dtype=np.uint16), np.zeros(REGISTERS, dtype=bool)
-    out[bins[first]] = compressed(hashes[first] & np.uint64((1 << 56) - 1))
-    filled[bins[first]] = True
+    at = np.searchsorted(hashes, _REGISTER_STARTS)
+    filled = np.append(at[1:], len(hashes)) > at
+    out, first = np.zeros(REGISTERS, dtype=np.uint16), at[filled]
+    out[filled] = compressed(hashes[first] & np.uint64((1 << 56) - 1))
     missing = np.flatnonzero(~filled)
     if len(missing):
-        probes = _PROBES[missing]
-        hit = filled[probes]
-        at = hit.argmax(axis=1)
-        source = np.where(hit.any(axis=1), probes[np.arange(len(missing)), at], bins[first[0]])
+        source = np.full(len(missing), int(filled.argmax()))
+        left = np.arange(len(missing))
+        for lo, hi in ((0, 16), (16, 64), (64, _PROBES.shape[1])):
+            probes = _PROBES[missing[left], lo:hi]
+            hit = filled[probes]
+            found = hit.any(axis=1)
+            source[left[found]] = probes[found, hit[found].argmax(axis=1)]
+            left = left[~found]
+            if not len(left):
+                break
         # a copied value is marked by its register, so that it equals only copies of the same one
         out[missing] = out[source] ^ (source * 40503 & 0xFFFF).astype(np.uint16)
     return out

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,21 +25,13 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
-#: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 200_000
+#: Words in a generation of a worker's cache.
+CACHE_WORDS = 300_000
 TRIALS = 400
 
-# Letters that lower-casing and composition leave one to one, so cutting words here or in the tokenizer is the same.
-_LETTERS = "a-zß-öø-įı-ňŊ-ž"
-_PLAIN = re.compile(rf"[\x00-\x1b\x20-\x7eÀ-ÖØ-Þ{_LETTERS}]*\Z")
-_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-
-
-
-def _plain(text: str) -> bool:
-    """The text can be cut into words here; others, and those that may hold a special token, are encoded whole."""
-    return "<|" not in text and _PLAIN.match(text) is not None
-
+# White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
+# Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
+_WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -52,33 +43,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = common.WordCache(self._one, CACHE_WORDS)
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        """Puts new words into the cache, many at one call of the tokenizer."""
+        own, old = self.words, self.words.old
+        new = [w for w in words if w not in own and w not in old]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, dtype=np.int64)
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            for w, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.words[w] = tuple(ids[a:b].tolist())
+            ids = np.array(got.ids, dtype=self.width)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            ends = np.searchsorted(np.array([o[0] for o in got.offsets], dtype=np.int64), starts).tolist()
+            for w, a, b in zip(part, ends, ends[1:], strict=False):
+                own[w] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array of ids a text, in order."""
-        for text in texts:
-            if not _plain(text):
+        self.words.trim()
+        cut = [None if _WHOLE.search(t) else t.split() for t in texts]
+        self._learn(set().union(*[w for w in cut if w]))
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                continue
-            words = _CUT.findall(text.lower())
-            try:
-                ids = list(chain.from_iterable(map(self.words.__getitem__, words)))
-            except KeyError:
-                if len(self.words) > CACHE_WORDS:
-                    self.words.clear()
-                self._learn(set(words))
-                ids = list(chain.from_iterable(map(self.words.__getitem__, words)))
-            yield np.array(ids, dtype="<u4")
+            else:
+                yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=self.width).astype("<u4")
 
 
 def _chunks(values: list, size: int = 64) -> Iterator[list]:
@@ -94,10 +87,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for batch in batches:
             rows = []
             for part in _chunks(list(zip(batch["doc_id"], batch["text"], strict=True))):
-                missing = {w for _, t in part if t is not None and _plain(t) for w in _CUT.findall(t.lower())}
-                if len(encoder.words) > CACHE_WORDS:
-                    encoder.words.clear()
-                encoder._learn(missing)
                 texts = ["" if t is None else t for _, t in part]
                 for (doc_id, _), ids in zip(part, encoder.encode(texts), strict=True):
                     ids = np.append(ids, np.array([end_id], dtype="<u4"))
