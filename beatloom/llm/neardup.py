@@ -164,15 +164,35 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of the least id of each key, and edges from the other ids of a key to it."""
+def _forest(n: int, pairs: np.ndarray) -> list[int]:
+    """Indexes of the pairs that join what was not joined before."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (i, j) in enumerate(pairs.tolist()):
+        i, j = find(i), find(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            out.append(k)
+    return out
+
+
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the least id of each key, and edges (ids in rows of two) of a forest that joins the ids of each key."""
     order = np.lexsort((ids, keys))
     k = keys[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    a, b = ids[order], ids[order[start]]
-    differ = a != b
-    return order[new], a[differ], b[differ]
+    edges = np.stack([ids[order], ids[order[start]]], axis=1)
+    edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+    nodes, ends = np.unique(edges, return_inverse=True)
+    return order[new], edges[_forest(len(nodes), ends.reshape(-1, 2))]
 
 
 def family_edges(reps: DataFrame) -> DataFrame:
@@ -188,9 +208,8 @@ def family_edges(reps: DataFrame) -> DataFrame:
                 registers = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
                 keys = band_keys(registers).reshape(-1)
                 ids = np.repeat(part["doc_id"].to_numpy(dtype=np.int64), BANDS)
-                first, a, b = _stars(keys, ids)
+                first, edges = _stars(keys, ids)
                 yield pd.DataFrame({"key": keys[first].view(np.int64), "a": ids[first], "b": pd.array([None] * len(first), dtype="Int64")})
-                edges = np.unique(np.stack([a, b], axis=1), axis=0)
                 yield pd.DataFrame({"key": np.zeros(len(edges), dtype=np.int64), "a": edges[:, 0], "b": pd.array(edges[:, 1], dtype="Int64")})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,8 +220,7 @@ def family_edges(reps: DataFrame) -> DataFrame:
             keys.append(x["key"].to_numpy(dtype=np.int64)[~edge])
             ids.append(x["a"].to_numpy(dtype=np.int64)[~edge])
         if keys:
-            _, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
-            edges = np.unique(np.stack([a, b], axis=1), axis=0)
+            _, edges = _stars(np.concatenate(keys), np.concatenate(ids))
             for i in range(0, len(edges), 100_000):
                 yield pd.DataFrame(edges[i : i + 100_000], columns=["a", "b"])
 
@@ -211,25 +229,6 @@ def family_edges(reps: DataFrame) -> DataFrame:
     return common.stored(rows.mapInPandas(joined, "a long, b long").distinct(), "family-edges")
 
 
-def _forest(n: int, pairs: np.ndarray) -> list[int]:
-    """Indexes of the pairs that join what was not joined before."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k, (i, j) in enumerate(pairs.tolist()):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            out.append(k)
-    return out
-
-
 def verified(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index pairs of a spanning forest of the links: between the sides if there are two, else among all."""
     registers = np.stack([sketch(s) for s in sets])
