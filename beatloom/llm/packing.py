@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,12 @@ class Encoder:
                 yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=self.width).astype("<u4")
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that its cache serves all the tasks of the process."""
+    return Encoder(path)
+
+
 def _chunks(values: list, size: int = 64) -> Iterator[list]:
     for i in range(0, len(values), size):
         yield values[i : i + size]
@@ -83,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """The pieces of every document: its ids and the end id, cut every `capacity` ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, seen = Encoder(tokenizer_path), {}
+        encoder, seen = encoder_of(tokenizer_path), {}
         for batch in batches:
             rows = []
             for part in _chunks(list(zip(batch["doc_id"], batch["text"], strict=True))):
