@@ -27,12 +27,15 @@ from . import common
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
 #: Words in a generation of a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 TRIALS = 400
 
 # White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+# Letters whose lower case depends on nothing around them, and the ASCII marks after them: the tokenizer parts the two.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_BETWEEN = "|"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -45,23 +48,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = common.WordCache(self._one, CACHE_WORDS)
+        # the id of the mark between words; without a single one of its own, words are encoded one by one
+        between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Puts new words into the cache, many at one call of the tokenizer."""
+        """Puts new words into the cache. A plain word is its letters in lower case and the marks after them."""
         own, old = self.words, self.words.old
-        new = [w for w in words if w not in own and w not in old]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        plain, parts = [], set()
+        for w in {w for w in words if w not in own}.difference(old):
+            m = _PLAIN.fullmatch(w)
+            if m:
+                letters, marks = m.groups()
+                letters = letters.lower()
+                parts.add(letters)
+                if marks:
+                    parts.add(marks)
+                    plain.append((w, letters, marks))
+                elif w != letters:
+                    plain.append((w, letters, marks))
+            else:
+                parts.add(w)
+        self._encode_parts([w for w in parts.difference(old) if w not in own])
+        for w, letters, marks in plain:
+            own[w] = own[letters] + own[marks] if marks else own[letters]
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encodes many words at one call, parted by a mark that none of them holds and that has an id of its own."""
+        if self.between is None:
+            return
+        held = [w for w in parts if _BETWEEN not in w]
+        for i in range(0, len(held), 256):
+            part = held[i : i + 256]
+            got = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)[0]
             ids = np.array(got.ids, dtype=self.width)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ends = np.searchsorted(np.array([o[0] for o in got.offsets], dtype=np.int64), starts).tolist()
-            for w, a, b in zip(part, ends, ends[1:], strict=False):
-                own[w] = ids[a:b].tobytes()
+            cuts = (np.flatnonzero(ids == self.between) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(part, [data[a:b] for a, b in zip([0, *[c + ids.itemsize for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array of ids a text, in order."""
