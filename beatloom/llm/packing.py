@@ -32,7 +32,7 @@ TRIALS = 400
 
 # White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
-_WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Letters whose lower case depends on nothing around them, and the ASCII marks after them: the tokenizer parts the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _BETWEEN = "|"
@@ -93,7 +93,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array of ids a text, in order."""
         self.words.trim()
-        cut = [None if _WHOLE.search(t) else t.split() for t in texts]
+        cut = [None if any(x in t for x in _WHOLE) else t.split() for t in texts]
         self._learn(set().union(*[w for w in cut if w]))
         for text, words in zip(texts, cut, strict=True):
             if words is None:
@@ -108,7 +108,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _chunks(values: list, size: int = 64) -> Iterator[list]:
+def _chunks(values: list, size: int = 256) -> Iterator[list]:
     for i in range(0, len(values), size):
         yield values[i : i + size]
 
