@@ -183,8 +183,26 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
     return out
 
 
+def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The least number that pairs join each number below n to."""
+    root = np.arange(n)
+    a, b = pairs[:, 0], pairs[:, 1]
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the least id of each key, and edges (ids in rows of two) of a forest that joins the ids of each key."""
+    """Indexes of the least id of each key, and edges (ids in rows of two) from each id to the least id that keys join it to.
+
+    Tasks that see parts of one family name the same few least ids, so their edges are mostly equal.
+    """
     order = np.lexsort((ids, keys))
     k = keys[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -192,7 +210,8 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.stack([ids[order], ids[order[start]]], axis=1)
     edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
     nodes, ends = np.unique(edges, return_inverse=True)
-    return order[new], edges[_forest(len(nodes), ends.reshape(-1, 2))]
+    least = nodes[_roots(len(nodes), ends.reshape(-1, 2))]
+    return order[new], np.stack([nodes, least], axis=1)[nodes != least]
 
 
 def family_edges(reps: DataFrame) -> DataFrame:
