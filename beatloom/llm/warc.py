@@ -289,7 +289,7 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what the WARC archives say, read back."""
     arcs = common.stored(write_arc(common.table(spark, sf_dir, "pages")), "arc")
     warcs = common.stored(convert(arcs), "warc")
-    return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """
