@@ -3,13 +3,14 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def canonical(rows):
     def one(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "~"
         if isinstance(v, float):
             return f"{v:.4f}".replace("-0.0000", "0.0000")
@@ -25,7 +26,7 @@ def compare(spark, name, sf):
     for t in TABLES:
         if os.path.exists(f"{sf}/{t}.parquet"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = con.execute(e.oracle_sql()[name]).fetch_df() if hasattr(con.execute("select 1"), "fetch_df") else con.sql(e.oracle_sql()[name]).df()
+    want = con.sql(e.oracle_sql()[name]).df()
     got = e.queries()[name](spark, sf).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
