@@ -1,7 +1,8 @@
 """Connected components of an edge table, as Spark jobs.
 
 Labels spread along edges to the least id, and each round also follows labels of labels, so the rounds grow with
-the logarithm of a component's diameter. Each round is written to the shared folder. A node with very many edges
+the logarithm of a component's diameter. Edges are contracted first: a node that several tasks joined to different least
+ids keeps one edge, and those ids are joined to each other, so that equal edges fall together. Each round is written to the shared folder. A node with very many edges
 is an ordinary skewed join between two stored tables, which Spark splits; messages are reduced before they are
 shuffled. Nothing but the count of changed labels reaches the driver.
 """
@@ -16,9 +17,18 @@ from . import common
 MOST_ROUNDS = 60
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """a, b: edges with the same components, where a node's lesser neighbours hang on the least of them."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    between = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return least.select("a", F.col("least").alias("b")).unionAll(between).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of every id in the edges a, b. edges is a stored table."""
-    both = common.stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
+    edges = common.stored(contracted(edges), "cc-contracted")
+    both = common.stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
     labels = common.stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels")
     for _ in range(MOST_ROUNDS):
         sent = both.join(labels.select(F.col("id").alias("a"), "label"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.llm import neardup
+from beatloom.llm import common, neardup
+from beatloom.llm.components import components, contracted
 from tests.conftest import SF
 
 
@@ -83,6 +84,17 @@ def test_roots(n):
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("n", [1, 30, 400])
+def test_components(spark, n):
+    rng = np.random.default_rng(n)
+    pairs = np.concatenate([rng.integers(0, n, size=(n // 2 + 1, 2)), [[0, 0]], np.array([[0, i] for i in range(n - n // 4, n)], dtype=int).reshape(-1, 2)])
+    df = common.stored(spark.createDataFrame(pairs.tolist(), "a long, b long").withColumn("extra", F.lit(1)), "edges")
+    root = neardup._roots(n, pairs)
+    touched = {int(x) for a, b in pairs if a != b for x in (a, b)}
+    assert {r.id: r.component for r in components(df).collect()} == {i: int(root[i]) for i in touched}
+    assert contracted(df).count() <= df.where("a <> b").count()
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 64, size=4000, dtype=np.uint64))
