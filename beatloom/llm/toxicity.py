@@ -6,11 +6,12 @@ counts (in how many different contexts of either class an ending occurs), so a r
 in both. A word's evidence is the difference of its log-likelihoods; what both back off to cancels out of it, so
 the model a scorer needs is one table of n-grams and one of contexts.
 
-Counts cover all labelled rows but the held-out quarter and a calibration part. A class keeps the n-grams that make at least
-SHARE of its count (and occur twice), so the tables have at most 2 / SHARE rows whatever the input, and are
-broadcast; what is rarer is left to the shared backoff. A document's features are its length-normalised log-likelihood
-difference and its strongest words'; a logistic curve, fitted on the calibration part (at most CALIBRATION_ROWS rows, a
-documented bound), makes a score of them.
+Counts cover all labelled rows but the held-out quarter and a calibration part. Every n-gram and context of them is kept, in
+stored tables that grow with the input and are never broadcast. To score, the distinct pieces of the documents are joined
+with these tables and summed to one evidence value a piece. The most used pieces, at most KNOWN, are sent to the tasks,
+which only saves work: runs with other pieces are joined with the stored values, and every run gets its whole evidence.
+A document's features are its length-normalised log-likelihood difference and its strongest words'; a logistic curve,
+fitted on the calibration part (at most CALIBRATION_ROWS rows, a documented bound), makes a score of them.
 
 Labels, language, source and id are never inputs of a score.
 
@@ -31,13 +32,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from . import common
 
-ORDER, DISCOUNT, SHARE, THRESHOLD = 6, 0.75, 1e-6, 0.3
+ORDER, DISCOUNT, THRESHOLD = 6, 0.75, 0.3
 CALIBRATION_PART, CALIBRATION_ROWS = 4, 50_000
-CACHE_WORDS, COUNTED_WORDS, LONGEST = 300_000, 500_000, 40
+CACHE_WORDS, COUNTED_WORDS, COUNTED_CHARS, LONGEST, KNOWN = 300_000, 500_000, 32_000_000, 40, 100_000
 STRONG = 3.0
 FEATURES = ("mean", "first", "second", "third", "strong", "share")
 
@@ -46,10 +46,10 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    """grams and contexts: text to log ratio; weights: of the logistic curve, the constant last."""
+    """grams (gram, r) and contexts (ctx, r): stored log ratios, None without labels of both classes; weights: of the logistic curve, the constant last."""
 
-    grams: dict[str, float]
-    contexts: dict[str, float]
+    grams: DataFrame | None = None
+    contexts: DataFrame | None = None
     weights: tuple[float, ...] = ()
 
 
@@ -57,6 +57,11 @@ def _words(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
+def pieces(run: str) -> list[str]:
+    """Marked words of what stands between two blanks, by which n-grams are counted and evidence is summed."""
+    return [f"^{w[:LONGEST]}$" for w in _words(run)]
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic, part of the rows that a model may learn from; part CALIBRATION_PART - 1 is for calibration.
 
@@ -69,47 +74,61 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return d.withColumn("part", F.floor(crc / 4) % CALIBRATION_PART).join(y.hint("merge"), "doc_id").select("doc_id", "text", "toxic", "part")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, c0, c1: uses in ordinary and toxic texts; counted inside tasks before the shuffle."""
+def piece_counts(rows: DataFrame) -> DataFrame:
+    """piece, c0, c1: uses in ordinary and toxic texts; counted inside tasks before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = (Counter(), Counter())
+        counts, chars = (Counter(), Counter()), 0
 
         def out() -> Iterator[pd.DataFrame]:
-            words = list(counts[0].keys() | counts[1].keys())
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                yield pd.DataFrame({"word": part, "c0": [counts[0][w] for w in part], "c1": [counts[1][w] for w in part]})
-            for c in counts:
+            found = (Counter(), Counter())
+            for c, f in zip(counts, found, strict=True):
+                for r, n in c.items():
+                    for piece in pieces(r):
+                        f[piece] += n
                 c.clear()
+            names = list(found[0].keys() | found[1].keys())
+            for i in range(0, len(names), 20_000):
+                part = names[i : i + 20_000]
+                yield pd.DataFrame({"piece": part, "c0": [found[0][w] for w in part], "c1": [found[1][w] for w in part]})
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                counts[int(toxic > 0)].update(w[:LONGEST] for w in _words(text))
-                if len(counts[0]) + len(counts[1]) > COUNTED_WORDS:
+                if not text:
+                    continue
+                counts[int(toxic > 0)].update(text.split())
+                chars += len(text)
+                if len(counts[0]) + len(counts[1]) > COUNTED_WORDS or chars > COUNTED_CHARS:
                     yield from out()
+                    chars = 0
         yield from out()
 
-    parts = rows.select("text", "toxic").mapInPandas(run, "word string, c0 long, c1 long")
-    return parts.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    parts = rows.select("text", "toxic").mapInPandas(run, "piece string, c0 long, c1 long")
+    return parts.groupBy("piece").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def gram_counts(words: DataFrame) -> DataFrame:
-    """gram, ctx, c0, c1: at each place of ^word$ the last ORDER characters at most, and the same without the last."""
-    marked = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), "c0", "c1")
-    at = marked.select("w", "c0", "c1", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end"))
+def _grams(counted: DataFrame, *columns: str) -> DataFrame:
+    """gram and columns: at each place of a piece the last ORDER characters at most."""
+    at = counted.select("piece", *columns, F.explode(F.sequence(F.lit(2), F.length("piece"))).alias("end"))
     start = F.greatest(F.lit(1), F.col("end") - (ORDER - 1))
-    grams = at.select(F.substr("w", start, F.col("end") - start + 1).alias("gram"), "c0", "c1")
-    grams = grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return at.select(F.substr("piece", start, F.col("end") - start + 1).alias("gram"), "piece", *columns)
+
+
+def _with_ctx(grams: DataFrame) -> DataFrame:
     return grams.withColumn("ctx", F.substr("gram", F.lit(1), F.length("gram") - 1))
 
 
+def gram_counts(counted: DataFrame) -> DataFrame:
+    """gram, ctx, c0, c1: the n-grams of pieces, and the same without the last character."""
+    return _with_ctx(_grams(counted, "c0", "c1").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+
+
 def train(rows: DataFrame) -> Model:
     """The models' tables from text and toxic."""
-    grams = common.stored(gram_counts(word_counts(rows)), "toxic-grams")
+    grams = common.stored(gram_counts(piece_counts(rows)), "toxic-grams")
     total = grams.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
     if not total["c0"] or not total["c1"]:
-        return Model({}, {})
+        return Model()
     ctx = grams.groupBy("ctx").agg(*[f(c).alias(f"{n}{k}") for k in (0, 1) for n, f, c in (("t", F.sum, f"c{k}"), ("d", F.count_if, F.col(f"c{k}") > 0))])
     # shared backoff: distinct left extensions of each ending, over both classes, with a floor for all characters
     ending = F.substr("gram", F.lit(2), F.length("gram"))
@@ -120,11 +139,7 @@ def train(rows: DataFrame) -> Model:
     p_shared = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("k") / letters) / F.col("m")
     shared = shared.join(sums, "ectx").select("end", p_shared.alias("p"))
 
-    def least(k: int) -> float:
-        return max(2.0, SHARE * total[f"c{k}"])
-
-    kept = grams.where((F.col("c0") >= least(0)) | (F.col("c1") >= least(1)))
-    kept = kept.join(ctx, "ctx").withColumn("end", ending).join(shared, "end")
+    kept = grams.join(ctx, "ctx").withColumn("end", ending).join(shared, "end")
 
     def p(k: int) -> Column:
         own = (F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"d{k}") * F.col("p")) / F.col(f"t{k}")
@@ -133,55 +148,114 @@ def train(rows: DataFrame) -> Model:
     def backoff(k: int) -> Column:
         return F.when(F.col(f"t{k}") > 0, DISCOUNT * F.col(f"d{k}") / F.col(f"t{k}")).otherwise(1.0)
 
-    g = kept.select("gram", F.ln(p(1) / p(0)).alias("r")).toPandas()
-    c = ctx.where((F.col("t0") >= least(0)) | (F.col("t1") >= least(1)))
-    c = c.select("ctx", F.ln(backoff(1) / backoff(0)).alias("r")).toPandas()
-    return Model(dict(zip(g["gram"], g["r"].astype(float), strict=True)), dict(zip(c["ctx"], c["r"].astype(float), strict=True)))
+    g = common.stored(kept.select("gram", F.ln(p(1) / p(0)).alias("r")), "toxic-gram-ratios")
+    c = common.stored(ctx.select("ctx", F.ln(backoff(1) / backoff(0)).alias("r")), "toxic-context-ratios")
+    common.drop_stored(grams)
+    return Model(g, c)
 
 
-class Scorer:
-    """Features of texts; keeps a bounded cache of words' evidence."""
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """piece, n, r: stored uses and evidence of every piece of the texts; a new n-gram has the evidence of its context."""
+    counted = piece_counts(rows.select("text", F.lit(0).alias("toxic"))).select("piece", F.col("c0").alias("n"))
+    at = _with_ctx(_grams(counted, "n"))
+    at = at.join(model.grams, "gram", "left").join(model.contexts.withColumnRenamed("r", "back"), "ctx", "left")
+    return common.stored(at.groupBy("piece").agg(F.max("n").alias("n"), F.sum(F.coalesce("r", "back", F.lit(0.0))).alias("r")), "toxic-evidence")
 
-    def __init__(self, model: Model):
-        self.model, self.cache = model, common.WordCache(self.run, CACHE_WORDS)
 
-    def word(self, w: str) -> float:
-        grams, contexts = self.model.grams, self.model.contexts
-        w = "^" + w[:LONGEST] + "$"
-        total = 0.0
-        for end in range(2, len(w) + 1):
-            gram = w[max(0, end - ORDER) : end]
-            r = grams.get(gram)
-            total += contexts.get(gram[:-1], 0.0) if r is None else r
-        return total
+def most_used(values: DataFrame, most: int) -> dict[str, float]:
+    """The evidence of the most used pieces, at most so many; all pieces of one rank are among them or none is."""
+    rank = F.floor(F.log2("n") * 16)
+    taken, least = 0, None
+    for row in values.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["rank"]
+    if least is None:
+        return {}
+    found = values.where(rank >= least).select("piece", "r").toPandas()
+    return dict(zip(found["piece"], found["r"].astype(float), strict=True))
+
+
+class RunCache(common.WordCache):
+    """Keeps no run of more than LONGEST characters, so its keys are bounded."""
+
+    def __missing__(self, run: str) -> float:
+        return super().__missing__(run) if len(run) <= LONGEST else self.make(run)
 
-    def run(self, run: str) -> float:
-        """Evidence of what stands between two blanks: of all its words."""
-        return sum(map(self.word, _words(run)))
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+class Scorer:
+    """Evidence of texts from that of the known pieces; keeps a bounded cache of runs' evidence."""
+
+    def __init__(self, known: dict[str, float]):
+        self.known, self.cache = known, RunCache(self.run, CACHE_WORDS)
+
+    def run(self, run: str) -> float:
+        """Evidence of what stands between two blanks: of all its words; not a number if a piece is not known."""
+        try:
+            return sum(map(self.known.__getitem__, pieces(run)), 0.0)
+        except KeyError:
+            return np.nan
+
+    def rows(self, key: str, text: str | None) -> Iterator[tuple]:
+        """A row of PARTS for the text, and one for each unknown piece of each of its distinct runs."""
         runs = text.split() if text else []
-        if not runs:
-            return (0.0,) * len(FEATURES)
         self.cache.trim()
         a = np.fromiter(map(self.cache.__getitem__, runs), dtype=np.float64, count=len(runs))
-        top = np.sort(np.partition(a, max(0, len(a) - 3))[-3:])[::-1]
-        top = np.pad(top, (0, 3 - len(top)))
-        strong = int((a > STRONG).sum())
-        return (float(a.sum() / len(text)), *np.clip(top, -10.0, 10.0).tolist(), float(np.log1p(strong)), strong / len(a))
+        new = np.isnan(a)
+        other = Counter(runs[i] for i in np.flatnonzero(new)) if new.any() else {}
+        a = a[~new]
+        top = np.sort(np.partition(a, max(0, len(a) - 3))[-3:])[::-1].tolist() if len(a) else []
+        yield (key, 0, len(runs), float(a.sum()), None, len(text or ""), int((a > STRONG).sum()), *top, *[None] * (3 - len(top)))
+        for i, (r, n) in enumerate(other.items(), 1):
+            found = Counter(pieces(r))
+            base = sum(self.known[p] * m for p, m in found.items() if p in self.known)
+            for p, m in found.items():
+                if p not in self.known:
+                    yield (key, i, n, base, p, m, 0, None, None, None)
+
+
+#: run 0: a text, its number of runs, the sum over the known ones, its length, how many of them are strong, the strongest three.
+#: run 1 and more: a run with unknown pieces: its uses, the sum over its known pieces, an unknown piece, and how often that occurs.
+PARTS = "key string, run int, n long, value double, piece string, m long, strong long, top1 double, top2 double, top3 double"
 
 
-def features(text: Column, model: Model, spark: SparkSession) -> Column:
-    """A struct of FEATURES of a text column; the model's tables are bounded and broadcast."""
-    shared = spark.sparkContext.broadcast(model)
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    @pandas_udf(", ".join(f"{n} double" for n in FEATURES))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def text_features(rows: DataFrame, model: Model, known: int = KNOWN) -> DataFrame:
+    """key and FEATURES of every distinct text."""
+    values = evidence(rows, model)
+    shared = rows.sparkSession.sparkContext.broadcast(most_used(values, known))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
+        columns = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([scorer.features(t) for t in batch], columns=FEATURES)
-
-    return run(text)
+            yield pd.DataFrame([r for k, t in zip(batch["key"], batch["text"], strict=True) for r in scorer.rows(k, t)], columns=columns)
+
+    parts = common.stored(rows.select(text_key(F.col("text")).alias("key"), "text").mapInPandas(run, PARTS), "toxic-parts")
+    texts = parts.where("run = 0").dropDuplicates(["key"])
+    other = parts.where("run > 0").select("key", "run", "n", "value", "piece", "m").distinct().join(values.select("piece", "r"), "piece", "left")
+    other = other.groupBy("key", "run").agg(F.max("n").alias("n"), (F.max("value") + F.sum(F.col("m") * F.coalesce("r", F.lit(0.0)))).alias("e"))
+    three = lambda a: F.slice(F.sort_array(F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x)), False), 1, 3)
+    other = other.groupBy("key").agg(
+        F.sum(F.col("n") * F.col("e")).alias("more"), F.sum(F.when(F.col("e") > STRONG, F.col("n")).otherwise(0)).alias("more_strong"),
+        three(F.flatten(F.collect_list(F.array_repeat("e", F.least(F.col("n"), F.lit(3)).cast("int"))))).alias("more_top"))
+    out = texts.join(other, "key", "left")
+    top = three(F.concat(F.array("top1", "top2", "top3"), F.coalesce("more_top", F.array().cast("array<double>"))))
+    out = out.select("key", "n", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("total"), F.col("m").alias("chars"), (F.col("strong") + F.coalesce("more_strong", F.lit(0))).alias("uses"), top.alias("top"))
+    nth = lambda k: F.greatest(F.least(F.coalesce(F.try_element_at("top", F.lit(k)), F.lit(0.0)), F.lit(10.0)), F.lit(-10.0))
+    some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
+    f = (F.col("total") / F.col("chars"), nth(1), nth(2), nth(3), F.log1p("uses"), F.col("uses") / F.col("n"))
+    return out.select("key", *[some(x).alias(name) for name, x in zip(FEATURES, f, strict=True)])
+
+
+def with_features(rows: DataFrame, model: Model, known: int = KNOWN) -> DataFrame:
+    """Adds a struct __features of each text's FEATURES."""
+    found = text_features(rows, model, known).select(F.col("key").alias("__key"), F.struct(*FEATURES).alias("__features"))
+    return rows.withColumn("__own_key", text_key(F.col("text"))).join(found, F.col("__own_key") == F.col("__key"), "left").drop("__own_key", "__key")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -206,26 +280,28 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = CALIBRATION_ROWS) -> Mo
     own = F.col("part") == CALIBRATION_PART - 1
     rows = labelled(docs, labels)
     model = train(rows.where(~own))
-    if not model.grams:
+    if model.grams is None:
         return model
-    known = rows.where(own).limit(limit).select("toxic", features(F.col("text"), model, spark).alias("f")).select("toxic", "f.*").toPandas()
-    y = (known["toxic"].to_numpy() > 0).astype(float)
+
+    def known(part: DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        part = common.stored(part.select("text", "toxic").limit(limit), "toxic-calibration")
+        found = with_features(part, model).select("toxic", "__features.*").toPandas()
+        return found, (found["toxic"].to_numpy() > 0).astype(float)
+
+    found, y = known(rows.where(own))
     if len(set(y)) < 2:  # too few rows to set one part aside
-        known = rows.limit(limit).select("toxic", features(F.col("text"), model, spark).alias("f")).select("toxic", "f.*").toPandas()
-        y = (known["toxic"].to_numpy() > 0).astype(float)
-    return Model(model.grams, model.contexts, tuple(_logistic(known[list(FEATURES)].to_numpy(), y).tolist()))
+        found, y = known(rows)
+    return Model(model.grams, model.contexts, tuple(_logistic(found[list(FEATURES)].to_numpy(), y).tolist()))
 
 
-def with_scores(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, score_col: str = "score", known: int = KNOWN) -> DataFrame:
     """Adds the score of each text."""
     if not model.weights:
         return docs.withColumn(score_col, F.lit(0.0))
-    f = "__features"
-    rows = docs.withColumn(f, features(F.col("text"), model, docs.sparkSession))
     z = F.lit(model.weights[-1])
     for name, w in zip(FEATURES, model.weights, strict=False):
-        z = z + w * F.col(f"{f}.{name}")
-    return rows.withColumn(score_col, 1 / (1 + F.exp(-z))).drop(f)
+        z = z + w * F.col(f"__features.{name}")
+    return with_features(docs, model, known).withColumn(score_col, 1 / (1 + F.exp(-z))).drop("__features")
 
 
 def score_table(docs: DataFrame, model: Model) -> DataFrame:
