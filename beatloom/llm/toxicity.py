@@ -15,8 +15,8 @@ fitted on the calibration part (at most CALIBRATION_ROWS rows, a documented boun
 
 Labels, language, source and id are never inputs of a score.
 
-Cases: null and wordless texts have no evidence and get the score of a text without any; whole texts are scored; repeated rows
-get equal scores; labels that are null are ignored; without labels of both classes every score is 0; a document with
+Cases: null and wordless texts have no evidence and get the score of a text without any; whole texts and whole words, of any length, are
+learned and scored; repeated rows get equal scores; labels that are null are ignored; without labels of both classes every score is 0; a document with
 several labels counts once for each; empty tables give an empty result; extra columns are ignored by score_table() and kept
 by with_scores(), which adds columns of its own names only.
 """
@@ -58,8 +58,18 @@ def _words(text: str | None) -> list[str]:
 
 
 def pieces(run: str) -> list[str]:
-    """Marked words of what stands between two blanks, by which n-grams are counted and evidence is summed."""
-    return [f"^{w[:LONGEST]}$" for w in _words(run)]
+    """Marked words of what stands between two blanks, by which n-grams are counted and evidence is summed.
+
+    A marked word of more than LONGEST characters is split; the parts overlap by ORDER - 1, so each n-gram is in one of them.
+    """
+    out = []
+    for w in _words(run):
+        w = f"^{w}$"
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[i : i + LONGEST] for i in range(0, len(w) - ORDER + 1, LONGEST - ORDER + 1)]
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,8 +118,9 @@ def piece_counts(rows: DataFrame) -> DataFrame:
 
 
 def _grams(counted: DataFrame, *columns: str) -> DataFrame:
-    """gram and columns: at each place of a piece the last ORDER characters at most."""
-    at = counted.select("piece", *columns, F.explode(F.sequence(F.lit(2), F.length("piece"))).alias("end"))
+    """gram, piece and columns: at each place of a piece the last ORDER characters at most; only a word's start has shorter ones."""
+    first = F.when(F.col("piece").startswith("^"), 2).otherwise(ORDER)
+    at = counted.select("piece", *columns, F.explode(F.sequence(first, F.length("piece"))).alias("end"))
     start = F.greatest(F.lit(1), F.col("end") - (ORDER - 1))
     return at.select(F.substr("piece", start, F.col("end") - start + 1).alias("gram"), "piece", *columns)
 

@@ -80,3 +80,14 @@ def test_every_gram_counts(spark, known):
     rows = [(r.text[:3000], r.toxic) for r in rows.select("text", "toxic").limit(60).collect()] + [("seen grumblewort", 1), ("one quietword", 0)]
     texts = [rows[0][0], rows[0][0], rows[5][0], None, "", " ", "12 34", "a grumblewort", "quietword quietword QUIETWORD, quietword", "don't-stop|grumblewort's 日本語。x"]
     same(spark, rows, texts, known)
+
+
+@pytest.mark.parametrize("known", [0, toxicity.KNOWN])
+def test_long_words(spark, known):
+    a, b = "日本語文章" * 30, "".join(chr(0x4E00 + i * 7) for i in range(200))
+    rows = [(a + "悪口雑言", 1), (a + "良い天気", 0), (b, 1), ("x" * 41 + "badend", 1), ("plain words", 0)]
+    texts = [b[:150] + "悪口雑言", a, a + "悪口雑言", a + "良い天気", *["abcdefghij" * 9 + "x" * k + "badend" for k in range(45)], *[b[:k] for k in range(34, 84)]]
+    same(spark, rows, texts, known)
+    for n in range(1, 200):
+        windows = Counter(g for p in toxicity.pieces(b[:n]) for e in range(2 if p[0] == "^" else ORDER, len(p) + 1) for g in [p[max(0, e - ORDER) : e]])
+        assert windows == Counter(ngrams(b[:n])) and max(map(len, toxicity.pieces(b[:n]))) <= toxicity.LONGEST
