@@ -80,4 +80,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as WebP and read back."""
-    return digests(to_media(common.table(spark, sf_dir, "documents")))
+    return digests(to_media(common.table(spark, sf_dir, "documents"), effort=1))

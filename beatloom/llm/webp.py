@@ -5,8 +5,8 @@ the predictor, cross-colour, subtract-green and palette transforms. Pixels are (
 uint8 in the order red, green, blue, alpha. Where all codes of an image have eight bits, pixels are unpacked in bulk.
 
 The encoder writes a payload as 8-bit samples, four to a pixel, 16 pixels to a row. `effort` 0 gives every byte an
-eight-bit code, as fast as both directions can be; `effort` 1 counts bytes, writes back-references and optimal code
-lengths.
+eight-bit code, as fast as both directions can be; `effort` 1 subtracts green, counts samples, and writes a colour cache,
+back-references and optimal code lengths.
 
 Payloads over MOST_ROWS rows become several files in a row; each file's header tells its length.
 """
@@ -30,6 +30,8 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 SIGNATURE, CACHE_MULTIPLIER = 0x2F, 0x1E35A7BD
+#: Of the colour cache that encode_fitted writes.
+CACHE_BITS = 6
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
 
@@ -343,10 +345,11 @@ class BitWriter:
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        while self.n >= 8:
-            self.parts.append(self.value & 255)
-            self.value >>= 8
-            self.n -= 8
+        if self.n >= 8:
+            k = self.n & ~7
+            self.parts += (self.value & ((1 << k) - 1)).to_bytes(k >> 3, "little")
+            self.value >>= k
+            self.n -= k
 
 
 def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
@@ -494,10 +497,13 @@ def encode_flat(px: np.ndarray) -> bytes:
 
 
 def encode_fitted(px: np.ndarray) -> bytes:
-    """With back-references to equal pixel runs and codes fitted to the samples' counts."""
+    """With green subtracted, a colour cache, back-references to equal pixel runs and codes fitted to the samples' counts."""
     height, width, _ = px.shape
     flat = px.reshape(-1, 4).astype(np.int64)
-    argb = (flat[:, 3] << 24 | flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]).tolist()
+    flat[:, [0, 2]] = (flat[:, [0, 2]] - flat[:, 1:2]) & 255
+    packed = flat[:, 3] << 24 | flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]
+    places = ((packed.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).tolist()
+    argb, pixels, cache = packed.tolist(), flat.tolist(), [0] * (1 << CACHE_BITS)
     ops, seen, at, n = [], {}, 0, len(argb)
     while at < n:
         key = tuple(argb[at : at + 4])
@@ -508,24 +514,29 @@ def encode_fitted(px: np.ndarray) -> bytes:
         if length >= 4:
             ops.append((length, at - found))
         else:
-            ops.append(at)
+            ops.append(~places[at] if cache[places[at]] == argb[at] else at)
             length = 1
+        for k in range(at, at + length):
+            cache[places[k]] = argb[k]
         for k in range(at, min(at + length, n - 3)):
             seen[tuple(argb[k : k + 4])] = k
         at += length
-    counts = [[0] * 280, [0] * 256, [0] * 256, [0] * 256, [0] * 40]
+    counts = [[0] * (280 + (1 << CACHE_BITS)), [0] * 256, [0] * 256, [0] * 256, [0] * 40]
     for op in ops:
         if isinstance(op, tuple):
             counts[GREEN][256 + _symbol(op[0])[0]] += 1
             counts[DISTANCE][_symbol(op[1] + 120)[0]] += 1
+        elif op < 0:
+            counts[GREEN][280 + ~op] += 1
         else:
-            r, g, b, a = flat[op].tolist()
+            r, g, b, a = pixels[op]
             for k, v in ((GREEN, g), (RED, r), (BLUE, b), (ALPHA, a)):
                 counts[k][v] += 1
     lengths = [code_lengths(c) for c in counts]
-    lengths[DISTANCE] = lengths[DISTANCE] if any(lengths[DISTANCE]) else [1] + [0] * 39
+    lengths = [k if any(k) else [1, *k[1:]] for k in lengths]
     w = _head(width, height)
-    w.put(0, 3)
+    for value, k in ((1, 1), (2, 2), (0, 1), (1, 1), (CACHE_BITS, 4), (0, 1)):  # green subtracted, no more transforms, colour cache, no meta prefix
+        w.put(value, k)
     for k in lengths:
         write_code(w, k)
     codes = [codes_of(k) for k in lengths]
@@ -535,8 +546,10 @@ def encode_fitted(px: np.ndarray) -> bytes:
                 s, extra, k = _symbol(value)
                 w.put(*code[base + s])
                 w.put(extra, k)
+        elif op < 0:
+            w.put(*codes[GREEN][280 + ~op])
         else:
-            r, g, b, a = flat[op].tolist()
+            r, g, b, a = pixels[op]
             for k, v in ((GREEN, g), (RED, r), (BLUE, b), (ALPHA, a)):
                 w.put(*codes[k][v])
     w.put(0, (8 - w.n) % 8)
