@@ -6,10 +6,10 @@ registers copy filled ones, chosen by a fixed rule, so short documents band as w
 
 1. Documents with equal sets are one representative, the least id (aggregated before the shuffle, so a text copied a
    million times is one row a task).
-2. BANDS bands of ROWS registers each make keys. Representatives that share a key are joined to one of them, first inside
+2. BANDS bands (LOW_BANDS for a threshold below PERCENT) of ROWS registers each make keys. Representatives that share a key are joined to one of them, first inside
    each Arrow batch and then inside each shuffled partition, so a key shared by very many costs a row a batch. The
    components of these edges are the families: two documents that should be linked are in one family but for a chance
-   below one in a hundred thousand at the threshold itself.
+   below one in a hundred thousand at the threshold itself, from 80 percent on (3e-6 there, if registers were independent).
 3. Families are checked in full, by blocks: a family of k blocks gives k (k + 1) / 2 tasks of two blocks each, so none
    gathers a large family. In a task, the collision-corrected Jaccard estimate of the sketches picks pairs, wide of the
    threshold by five standard errors, and the full sets decide. A task gives a spanning forest of its links, at
@@ -34,8 +34,8 @@ from . import common
 from .components import components
 
 WORDS, REGISTERS, MANTISSA, BANDS, ROWS = 5, 256, 10, 96, 10
-#: Links: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Links: 100 * intersection >= PERCENT * union, unless a caller names another threshold; below it there are LOW_BANDS bands.
+PERCENT, LOW_BANDS = 85, 112
 #: A family's blocks: at most BLOCK_DOCS documents for small families, and about BLOCK_SHINGLES shingles.
 BLOCK_DOCS, MOST_SMALL_BLOCKS, BLOCK_SHINGLES = 128, 16, 400_000
 
@@ -82,7 +82,7 @@ class Shingler:
 # The order in which an unfilled register looks for a filled one.
 _REGISTER_STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _PROBES = np.random.default_rng(61).integers(0, REGISTERS, size=(REGISTERS, 64 * 8))
-_BAND_REGISTERS = np.stack([np.random.default_rng(1000 + b).permutation(REGISTERS)[:ROWS] for b in range(BANDS)])
+_BAND_REGISTERS = np.stack([np.random.default_rng(1000 + b).permutation(REGISTERS)[:ROWS] for b in range(LOW_BANDS)])
 
 
 def compressed(values: np.ndarray) -> np.ndarray:
@@ -117,11 +117,15 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys of (documents, REGISTERS) registers."""
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(registers), BANDS)).copy()
+def bands_for(percent: int) -> int:
+    return BANDS if percent >= PERCENT else LOW_BANDS
+
+
+def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(documents, bands) keys of (documents, REGISTERS) registers."""
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(registers), bands)).copy()
     for k in range(ROWS):
-        keys = _mix(keys * _PRIME + registers[:, _BAND_REGISTERS[:, k]].astype(np.uint64))
+        keys = _mix(keys * _PRIME + registers[:, _BAND_REGISTERS[:bands, k]].astype(np.uint64))
     return keys
 
 
@@ -214,7 +218,7 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.stack([nodes, least], axis=1)[nodes != least]
 
 
-def family_edges(reps: DataFrame) -> DataFrame:
+def family_edges(reps: DataFrame, bands: int = BANDS) -> DataFrame:
     """a, b: stored edges that join representatives sharing a band key.
 
     A row is a place in a band (key, a) or an edge (a, b) found inside a batch; both are dealt out in one shuffle.
@@ -225,8 +229,8 @@ def family_edges(reps: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 8192):
                 part = batch.iloc[i : i + 8192]
                 registers = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
-                keys = band_keys(registers).reshape(-1)
-                ids = np.repeat(part["doc_id"].to_numpy(dtype=np.int64), BANDS)
+                keys = band_keys(registers, bands).reshape(-1)
+                ids = np.repeat(part["doc_id"].to_numpy(dtype=np.int64), bands)
                 first, edges = _stars(keys, ids)
                 yield pd.DataFrame({"key": keys[first].view(np.int64), "a": ids[first], "b": pd.array([None] * len(first), dtype="Int64")})
                 yield pd.DataFrame({"key": np.zeros(len(edges), dtype=np.int64), "a": edges[:, 0], "b": pd.array(edges[:, 1], dtype="Int64")})
@@ -285,7 +289,7 @@ def verified(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT)
     return pairs[_forest(len(sets), pairs)]
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: a spanning forest of every family's links. members: doc_id, family, blocks (their number in the family)."""
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,19 +316,19 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
         ids = group["doc_id"].to_numpy()
-        found = verified(sets, sides)
+        found = verified(sets, sides, percent)
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     return rows.groupBy("family", "i", "j").applyInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; links are of percent and more."""
     s = common.stored(sketches(docs), "sketches")
     with_set = s.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     reps = common.stored(with_set.groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
     own = with_set.select("doc_id", "sig", "n_shingles", "registers").join(reps.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["doc_id", "sig"])
-    edges = family_edges(own)
+    edges = family_edges(own, bands_for(percent))
     family = components(edges)
     sizes = with_set.join(family, with_set["doc_id"] == family["id"]).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     n, weight = F.col("n"), F.col("weight")
@@ -332,7 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.greatest(by_count, F.ceil(weight / BLOCK_SHINGLES)).cast("int")
     sizes = common.stored(sizes.select("component", blocks.alias("blocks")), "family-blocks")
     members = common.stored(family.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "blocks"), "members")
-    found = common.stored(links(docs, members), "links")
+    found = common.stored(links(docs, members, percent), "links")
     comps = components(found)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "components")
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))

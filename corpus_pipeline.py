@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from beatloom.llm import common, langid, mixing, neardup, packing, toxicity
 
+#: op6's contract names 85; the corpus drops copies from 80 on.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -31,8 +34,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates, of NEAR_PERCENT percent equal shingles and more."""
+    kept = neardup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
