@@ -64,6 +64,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_LETTER = np.zeros(0x110000, dtype=bool)
+
+
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    if not _LETTER[ord("a")]:
+        _LETTER[:] = [chr(c).isalpha() for c in range(0x110000)]
+    return _LETTER
+
+
 class WordCache(dict):
     """What a function gives for words, remembered in two generations, so that frequent words stay when it is full.
 

@@ -35,22 +35,12 @@ UNKNOWN = "und"
 #: Documents are inferred together up to so many trigrams' buckets.
 BATCH_BUCKETS = 60_000
 
-_LETTER = np.zeros(0x110000, dtype=bool)
-
-
-def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    if not _LETTER[ord("a")]:
-        _LETTER[:] = [chr(c).isalpha() for c in range(0x110000)]
-    return _LETTER
-
-
 def buckets(text: str | None) -> np.ndarray:
     """The hashed trigrams of a text's words, with a blank before and after each word; empty without letters."""
     if not text:
         return np.zeros(0, dtype=np.int64)
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le"), dtype=np.uint32)
-    letter = _letters()[c]
+    letter = common.letters()[c]
     if not letter.any():
         return np.zeros(0, dtype=np.int64)
     c = np.where(letter, c, np.uint32(32))
