@@ -1,9 +1,9 @@
 """Media columns: texts as lossless WebP images, decoded to pixel arrays and features.
 
-Work is by row in Arrow batches; there is no shuffle. Equal texts give equal values.
+Work is done in Arrow batches, by a few rows together; there is no shuffle. Equal texts give equal values.
 
 Cases: a null text is an empty payload, padded to one row of zeros like an empty one; texts of any length are stored
-whole, over 1 MiB in several images; repeated rows give repeated results; an empty table gives an empty result; extra
+whole, over 8 KiB in several images; repeated rows give repeated results; an empty table gives an empty result; extra
 columns are ignored. A file that is cut short or is no lossless WebP raises ValueError.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,33 +25,54 @@ PIXELS = "doc_id long, height int, width int, pixels binary"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _by_row(df: DataFrame, schema: str, one: object) -> DataFrame:
+#: UTF-8 bytes of texts, or of media, that are held in a task at once; a longer value is held alone.
+HELD_BYTES = 4 << 20
+
+
+def _by_rows(df: DataFrame, schema: str, size: Callable[[object], int], some: Callable[[list], Iterator[tuple]]) -> DataFrame:
+    """Rows of the schema from a few rows at a time."""
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def frame(held: list) -> pd.DataFrame:
+        out = pd.DataFrame(list(some(held)), columns=names)
+        out["doc_id"] = out["doc_id"].astype("Int64")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 256):  # results of few rows at a time are held
-                rows = [r for row in batch.iloc[i : i + 256].itertuples(index=False) for r in one(row)]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+            held, n = [], 0
+            for row in batch.itertuples(index=False):
+                held.append(row)
+                n += size(row)
+                if n >= HELD_BYTES:
+                    yield frame(held)
+                    held, n = [], 0
+            if held:
+                yield frame(held)
 
     return df.mapInPandas(run, schema)
 
 
-def to_media(docs: DataFrame, effort: int = 0) -> DataFrame:
+def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's bytes as WebP."""
 
-    def one(row: object) -> Iterator[tuple]:
-        data = (row.text or "").encode()
-        yield row.doc_id, len(data), webp.store(webp.padded(data), effort)
+    def some(rows: list) -> Iterator[tuple]:
+        data = [(row.text or "").encode() for row in rows]
+        for row, d, stored in zip(rows, data, webp.store_many([webp.padded(d) for d in data]), strict=True):
+            yield row.doc_id, len(d), stored
 
-    return _by_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MEDIA, one)
+    return _by_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MEDIA, lambda row: len(row.text or ""), some)
 
 
 def to_pixels(media: DataFrame) -> DataFrame:
     """A pixel array, as bytes in the order red, green, blue, alpha, for every image of every media value."""
-    return _by_row(media.select("doc_id", "media"), PIXELS, lambda row: ((row.doc_id, *x.shape[:2], x.tobytes()) for x in webp.images(bytes(row.media))))
+
+    def some(rows: list) -> Iterator[tuple]:
+        for row, found in zip(rows, webp.images_many([bytes(row.media) for row in rows]), strict=True):
+            for x in found:
+                yield row.doc_id, *x.shape[:2], x.tobytes()
+
+    return _by_rows(media.select("doc_id", "media"), PIXELS, lambda row: len(row.media), some)
 
 
 def feature_of(px: np.ndarray) -> str:
@@ -66,18 +87,19 @@ def feature_of(px: np.ndarray) -> str:
 def digests(media: DataFrame) -> DataFrame:
     """What the stored bytes hold, from the decoded pixels."""
 
-    def one(row: object) -> Iterator[tuple]:
-        stored = bytes(row.media)
-        px = np.concatenate(webp.images(stored))
-        payload = px.tobytes()
-        yield (
-            row.doc_id, row.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-            len(stored), hashlib.sha256(stored).hexdigest(), feature_of(px),
-        )
+    def some(rows: list) -> Iterator[tuple]:
+        stored = [bytes(row.media) for row in rows]
+        for row, media_bytes, found in zip(rows, stored, webp.images_many(stored), strict=True):
+            px = np.concatenate(found)
+            payload = px.tobytes()
+            yield (
+                row.doc_id, row.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+                len(media_bytes), hashlib.sha256(media_bytes).hexdigest(), feature_of(px),
+            )
 
-    return _by_row(media.select("doc_id", "n_bytes", "media"), DIGEST, one)
+    return _by_rows(media.select("doc_id", "n_bytes", "media"), DIGEST, lambda row: len(row.media), some)
 
 
 def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as WebP and read back."""
-    return digests(to_media(common.table(spark, sf_dir, "documents"), effort=1))
+    return digests(to_media(common.table(spark, sf_dir, "documents")))

@@ -2,11 +2,11 @@
 
 The decoder reads prefix codes (simple and normal), meta prefix images, back-references, the colour cache, and undoes
 the predictor, cross-colour, subtract-green and palette transforms. Pixels are (height, width, 4) arrays of
-uint8 in the order red, green, blue, alpha. Where all codes of an image have eight bits, pixels are unpacked in bulk.
+uint8 in the order red, green, blue, alpha. Images of at most STEP_PIXELS pixels are decoded together, a pixel of each at a
+step, so that a step is a few array operations for all of them; larger ones and small groups are decoded pixel by pixel.
 
-The encoder writes a payload as 8-bit samples, four to a pixel, 16 pixels to a row. `effort` 0 gives every byte an
-eight-bit code, as fast as both directions can be; `effort` 1 subtracts green, counts samples, and writes a colour cache,
-back-references and optimal code lengths.
+The encoder writes a payload as 8-bit samples, four to a pixel, 16 pixels to a row. An image with few colours gets a palette,
+any other has green subtracted; both get a colour cache, back-references and code lengths fitted to the samples' counts.
 
 Payloads over MOST_ROWS rows become several files in a row; each file's header tells its length.
 """
@@ -15,10 +15,15 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 
-ROW_BYTES, MOST_ROWS = 64, 16384
+ROW_BYTES, MOST_ROWS = 64, 128
+#: Images that are decoded together: of at most so many pixels each, at least so many images, about so many pixels in all.
+STEP_PIXELS, STEP_IMAGES, GROUP_PIXELS = 16_384, 8, 1 << 20
 #: Fixed values of the format.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -30,10 +35,22 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 SIGNATURE, CACHE_MULTIPLIER = 0x2F, 0x1E35A7BD
-#: Of the colour cache that encode_fitted writes.
-CACHE_BITS = 6
+MOST_COLOURS = 256
+#: What the encoder writes: bits of the colour cache, the longest code, the shortest back-reference.
+CACHE_BITS, LONGEST_CODE, LEAST_MATCH = 6, 12, 3
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
+
+
+def _reversed_bits(n: int) -> np.ndarray:
+    """The numbers below 2 ** n with their n bits in reverse."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+_REVERSED = [_reversed_bits(n) for n in range(17)]
+_REVERSED_LISTS = [x.tolist() for x in _REVERSED]
 
 
 class BitReader:
@@ -49,53 +66,38 @@ class BitReader:
         self.at += n
         return (int.from_bytes(self.data[start : start + 8], "little") >> shift) & ((1 << n) - 1)
 
-    def peek(self, n: int) -> int:
-        start = self.at >> 3
-        return (int.from_bytes(self.data[start : start + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
-
 
 class PrefixCode:
-    """A canonical code as a lookup table by the next `width` bits: symbol and length."""
+    """A canonical code as a lookup table by the next `width` bits: 16 times the symbol plus its length."""
 
     def __init__(self, lengths: list[int] | np.ndarray):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
-        self.single = int(used[0]) if len(used) == 1 else (0 if len(used) == 0 else None)
-        self.flat8 = len(used) == 256 and used[-1] == 255 and bool((lengths[:256] == 8).all())
-        self.width = 0
-        self._lengths, self._table = lengths, None
-        if self.single is None:
-            self.width = int(lengths.max())
-            if sum(1 << (self.width - int(n)) for n in lengths[used]) != 1 << self.width:
+        if len(used) < 2:
+            self.width, self.table = 0, np.array([16 * int(used[0]) if len(used) else 0])
+        else:
+            own = lengths[used]
+            self.width = int(own.max())
+            order = np.argsort(own, kind="stable")
+            table = np.repeat(16 * used[order] + own[order], 1 << (self.width - own[order]))
+            if len(table) != 1 << self.width:
                 raise ValueError("WebP: a prefix code is not complete")
-
-    @property
-    def table(self) -> list[tuple[int, int]]:
-        if self._table is None:
-            size, code = 1 << self.width, 0
-            table: list = [None] * size
-            for n in range(1, self.width + 1):
-                for s in np.flatnonzero(self._lengths == n).tolist():
-                    first = int(f"{code:0{n}b}"[::-1], 2)
-                    for k in range(first, size, 1 << n):
-                        table[k] = (s, n)
-                    code += 1
-                code <<= 1
-            self._table = table
-        return self._table
+            self.table = table[_REVERSED[self.width]]
+        self.mask, self._list = (1 << self.width) - 1, None
 
     def read(self, r: BitReader) -> int:
-        if self.single is not None:
-            return self.single
-        s, n = self.table[r.peek(self.width)]
-        r.at += n
-        return s
+        if self._list is None:
+            self._list = self.table.tolist()
+        start = r.at >> 3
+        e = self._list[(int.from_bytes(r.data[start : start + 4], "little") >> (r.at & 7)) & self.mask]
+        r.at += e & 15
+        return e >> 4
 
 
 def read_code(r: BitReader, size: int) -> PrefixCode:
-    lengths = [0] * size
     if r.bits(1):  # one or two symbols
         two = r.bits(1)
+        lengths = [0] * max(size, 256)
         lengths[r.bits(8 if r.bits(1) else 1)] = 1
         if two:
             lengths[r.bits(8)] = 1
@@ -107,43 +109,31 @@ def read_code(r: BitReader, size: int) -> PrefixCode:
     left = size
     if r.bits(1):
         left = 2 + r.bits(2 + 2 * r.bits(3))
-    at, last = 0, 8
-    while at < size and left > 0:
+    lengths, last = [], 8
+    table, mask, data, at, held, n = code.table.tolist(), code.mask, r.data, r.at, 0, 0
+    while len(lengths) < size and left > 0:
         left -= 1
-        s = code.read(r)
+        if n < 14:  # a symbol and its extra bits
+            held, n = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 64 - (at & 7)
+        e = table[held & mask]
+        s, k = e >> 4, e & 15
+        held >>= k
         if s < 16:
-            lengths[at] = s
-            at += 1
+            lengths.append(s)
             last = s or last
         else:
-            value, times = (last, 3 + r.bits(2)) if s == 16 else (0, 3 + r.bits(3)) if s == 17 else (0, 11 + r.bits(7))
-            lengths[at : at + times] = [value] * times
-            at += times
-    if len(lengths) != size:
+            base, more = ((3, 2), (3, 3), (11, 7))[s - 16]
+            lengths += [last if s == 16 else 0] * (base + (held & ((1 << more) - 1)))
+            held >>= more
+            k += more
+        at += k
+        n -= k
+    r.at = at
+    if len(lengths) > size:
         raise ValueError("WebP: code lengths run over")
     return PrefixCode(lengths)
 
 
-_KNOWN: dict[tuple, dict[int, tuple[list[PrefixCode], int]]] = {}
-_WINDOW = 1024
-
-
-def _known_codes(r: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
-    """The codes of a group; those whose bits were read before, by any image, are taken from a bounded store."""
-    start = r.at >> 3
-    window = (int.from_bytes(r.data[start : start + _WINDOW // 8 + 1], "little") >> (r.at & 7)) & ((1 << _WINDOW) - 1)
-    for n, (codes, bits) in _KNOWN.get(sizes, {}).items():
-        if window & ((1 << bits) - 1) == n:
-            r.at += bits
-            return codes
-    before = r.at
-    codes = [read_code(r, n) for n in sizes]
-    bits = r.at - before
-    if bits <= _WINDOW and len(own := _KNOWN.setdefault(sizes, {})) < 4:
-        own[window & ((1 << bits) - 1)] = (codes, bits)
-    return codes
-
-
 def _number(symbol: int, r: BitReader) -> int:
     """A length or distance from its prefix symbol and extra bits."""
     if symbol < 4:
@@ -152,24 +142,57 @@ def _number(symbol: int, r: BitReader) -> int:
     return ((2 + (symbol & 1)) << extra) + r.bits(extra) + 1
 
 
-def _samples(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
-    """ARGB values of an entropy-coded image, as uint32."""
+_NUMBER_BASE = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+_NUMBER_EXTRA = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)])
+
+
+def _near(width: int) -> np.ndarray:
+    """The pixel distances of the short distance codes in an image of this width; code 0 is none."""
+    return np.array([1, *[max(1, x + y * width) for x, y in NEAR]])
+
+
+@dataclass
+class Entropy:
+    """An entropy-coded image: all but its pixels, and where their bits start."""
+
+    width: int
+    height: int
+    cache_bits: int
+    codes: list[list[PrefixCode]]
+    meta: np.ndarray | None
+    meta_bits: int
+
+    @property
+    def n(self) -> int:
+        return self.width * self.height
+
+
+def _entropy(r: BitReader, width: int, height: int, top: bool) -> Entropy:
     cache_bits = r.bits(4) if r.bits(1) else 0
     groups, meta, meta_bits = 1, None, 0
     if top and r.bits(1):
         meta_bits = r.bits(3) + 2
         w = (width + (1 << meta_bits) - 1) >> meta_bits
-        meta = (_samples(r, w, (height + (1 << meta_bits) - 1) >> meta_bits, False) >> 8) & 0xFFFF
-        groups, meta = int(meta.max()) + 1, meta.reshape(-1, w)
+        meta = ((_samples(r, w, (height + (1 << meta_bits) - 1) >> meta_bits) >> 8) & 0xFFFF).astype(np.int64).reshape(-1, w)
+        groups = int(meta.max()) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [_known_codes(r, sizes)] if groups == 1 else [[read_code(r, n) for n in sizes] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and all(c.flat8 for c in codes[0][:4]):
-        return _bulk(r, n)
+    return Entropy(width, height, cache_bits, [[read_code(r, n) for n in sizes] for _ in range(groups)], meta, meta_bits)
+
+
+def _samples(r: BitReader, width: int, height: int) -> np.ndarray:
+    """ARGB values, as uint32, of an image that is part of a header."""
+    return _one(r, _entropy(r, width, height, False))
+
+
+def _one(r: BitReader, e: Entropy) -> np.ndarray:
+    """The pixels of one image, in order."""
+    n, width, cache_bits, near = e.n, e.width, e.cache_bits, _near(e.width).tolist()
     out = np.zeros(n, dtype=np.uint32)
-    cache, shift, at = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    cache, shift, at, end = [0] * (1 << cache_bits), 32 - cache_bits, 0, 8 * len(r.data)
     while at < n:
-        c = codes[0] if meta is None else codes[int(meta[(at // width) >> meta_bits, (at % width) >> meta_bits])]
+        if r.at > end:
+            raise ValueError("WebP: the pixels end early")
+        c = e.codes[0] if e.meta is None else e.codes[int(e.meta[(at // width) >> e.meta_bits, (at % width) >> e.meta_bits])]
         s = c[GREEN].read(r)
         if s < 256:
             red, blue, alpha = c[RED].read(r), c[BLUE].read(r), c[ALPHA].read(r)
@@ -181,11 +204,7 @@ def _samples(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
         elif s < 280:
             length = _number(s - 256, r)
             d = _number(c[DISTANCE].read(r), r)
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = d - 120 if d > 120 else near[d]
             if d > at or length > n - at:
                 raise ValueError("WebP: a back-reference leaves the image")
             while length > 0:
@@ -202,17 +221,107 @@ def _samples(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
     return out
 
 
-def _bulk(r: BitReader, n: int) -> np.ndarray:
-    """Pixels whose four codes all have eight bits each."""
-    start, shift = r.at >> 3, r.at & 7
-    raw = np.frombuffer(r.data, dtype=np.uint8, count=min(4 * n + 1, len(r.data) - start), offset=start)
-    if len(raw) < 4 * n + (shift > 0):
+def _together(readers: list[BitReader], images: list[Entropy]) -> list[np.ndarray]:
+    """The pixels of many images, one of each at a step. Images that are not over yet come first in all arrays."""
+    order = np.argsort([-e.n for e in images], kind="stable")
+    images, readers = [images[k] for k in order], [readers[k] for k in order]
+    n = np.array([e.n for e in images])
+    steps = int(n[0])
+    parts, starts, at = [], [], 0
+    for r in readers:
+        starts.append(8 * at)
+        parts.append(r.data)
+        at += len(r.data)
+    start = np.array(starts)
+    end = start + np.array([8 * len(r.data) for r in readers])
+    data = b"".join([*parts, b"\0" * (8 * steps + 64)])  # no code takes more than 64 bits a pixel
+    view = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    pos = start + np.array([r.at for r in readers])
+    # one table of all codes; base and mask of each code of each group
+    codes = [c for e in images for g in e.codes for c in g]
+    table = np.concatenate([c.table for c in codes])
+    base = np.concatenate([[0], np.cumsum([len(c.table) for c in codes])[:-1]]).reshape(-1, 5).T.copy()
+    mask = np.array([c.mask for c in codes], dtype=np.uint64).reshape(-1, 5).T.copy()
+    group = np.concatenate([[0], np.cumsum([len(e.codes) for e in images])[:-1]])
+    with_meta = [k for k, e in enumerate(images) if e.meta is not None]
+    bases, masks = base[:, group], mask[:, group]
+    near = {w: _near(w) for w in {e.width for e in images}}
+    near = np.stack([near[e.width] for e in images])
+    shift = np.array([32 - e.cache_bits for e in images], dtype=np.uint64)
+    place = np.concatenate([[0], np.cumsum([1 << e.cache_bits for e in images])[:-1]])
+    cache = np.zeros(sum(1 << e.cache_bits for e in images), dtype=np.uint32)
+    left, away = np.zeros(len(n), dtype=np.int64), np.ones(len(n), dtype=np.int64)
+    out = np.zeros((steps, len(n)), dtype=np.uint32)
+    live = np.searchsorted(-n, -np.arange(steps), side="left")
+    seven, low = np.int64(7), np.uint64(0xFFFFFFFF)
+
+    def window(bits: np.ndarray) -> np.ndarray:
+        return view[bits >> 3] >> (bits & seven).astype(np.uint64)
+
+    def read(code: int, which: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return table.take(bases[code].take(which) + (w & masks[code].take(which)).astype(np.int64))
+
+    for t, k in enumerate(live.tolist()):
+        for i in with_meta:
+            if i < k:
+                e = images[i]
+                g = group[i] + e.meta[(t // e.width) >> e.meta_bits, (t % e.width) >> e.meta_bits]
+                bases[:, i], masks[:, i] = base[:, g], mask[:, g]
+        row = out[t, :k]
+        new = np.flatnonzero(left[:k] == 0)
+        if len(new):
+            p = pos.take(new)
+            w = window(p)
+            e = read(GREEN, new, w)
+            s, used = e >> 4, e & 15
+            lit = np.flatnonzero(s < 256)
+            if len(lit):
+                which, w, bits = new.take(lit), w.take(lit), used.take(lit)
+                w >>= bits.astype(np.uint64)
+                red = read(RED, which, w)
+                bits += red & 15
+                w = window(p.take(lit) + bits)
+                blue = read(BLUE, which, w)
+                w >>= (blue & 15).astype(np.uint64)
+                alpha = read(ALPHA, which, w)
+                row[which] = (alpha >> 4) << 24 | (red >> 4) << 16 | s.take(lit) << 8 | blue >> 4
+                used[lit] = bits + (blue & 15) + (alpha & 15)
+            if len(lit) < len(new):
+                kept = np.flatnonzero(s >= 280)
+                which = new.take(kept)
+                row[which] = cache.take(place.take(which) + s.take(kept) - 280)
+                back = np.flatnonzero((s >= 256) & (s < 280))
+                if len(back):
+                    which, b = new.take(back), p.take(back) + used.take(back)
+                    values = []
+                    for symbol in (s.take(back) - 256, None):
+                        if symbol is None:
+                            e = read(DISTANCE, which, window(b))
+                            symbol = e >> 4
+                            b += e & 15
+                        extra = _NUMBER_EXTRA[symbol]
+                        values.append(_NUMBER_BASE[symbol] + (window(b) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64))
+                        b += extra
+                    length, d = values
+                    d = np.where(d > 120, d - 120, near[which, np.minimum(d, 120)])
+                    if (d > t).any() or (length > n[which] - t).any():
+                        raise ValueError("WebP: a back-reference leaves the image")
+                    left[which], away[which] = length, d
+                    used[back] = b - p.take(back)
+            pos[new] = p + used
+        copied = np.flatnonzero(left[:k])
+        if len(copied):
+            row[copied] = out[t - away.take(copied), copied]
+            left[copied] -= 1
+        cache[place[:k] + (((row.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & low) >> shift[:k]).astype(np.int64)] = row
+    if (pos > end).any():
         raise ValueError("WebP: the pixels end early")
-    r.at += 32 * n
-    if shift:
-        raw = (raw[: 4 * n] >> np.uint8(shift)) | (raw[1 : 4 * n + 1] << np.uint8(8 - shift))
-    b = _REVERSED[raw[: 4 * n]].reshape(n, 4).astype(np.uint32)
-    return b[:, 3] << 24 | b[:, 1] << 16 | b[:, 0] << 8 | b[:, 2]
+    for r, p, s in zip(readers, pos.tolist(), start.tolist(), strict=True):
+        r.at = p - s
+    found: list = [None] * len(n)
+    for k, at in enumerate(order.tolist()):
+        found[at] = out[: images[k].n, k].copy()
+    return found
 
 
 def _channels(argb: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -280,9 +389,20 @@ def undo_palette(px: np.ndarray, palette: np.ndarray, bits: int, width: int) ->
     return full[index]
 
 
-def decode_vp8l(data: bytes) -> np.ndarray:
-    """Pixels of a VP8L bit stream."""
-    r = BitReader(data + b"\0" * 8)
+@dataclass
+class Stream:
+    """A VP8L stream up to its pixels: the reader, the size, the transforms in order and the coded image."""
+
+    reader: BitReader
+    width: int
+    height: int
+    steps: list[tuple]
+    image: Entropy
+
+
+def opened(data: bytes) -> Stream:
+    """A VP8L bit stream, read as far as its pixels."""
+    r = BitReader(data)
     if r.bits(8) != SIGNATURE:
         raise ValueError("WebP: no lossless signature")
     width, height, _alpha, version = r.bits(14) + 1, r.bits(14) + 1, r.bits(1), r.bits(3)
@@ -294,22 +414,31 @@ def decode_vp8l(data: bytes) -> np.ndarray:
         if kind in (0, 1):
             bits = r.bits(3) + 2
             bw, bh = (w + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits
-            steps.append((kind, bits, _channels(_samples(r, bw, bh, False), bh, bw), w))
+            steps.append((kind, bits, _channels(_samples(r, bw, bh), bh, bw), w))
         elif kind == 2:
             steps.append((kind, 0, None, w))
         else:
             n = r.bits(8) + 1
-            palette = np.cumsum(_channels(_samples(r, n, 1, False), 1, n)[0], axis=0) & 255
+            palette = np.cumsum(_channels(_samples(r, n, 1), 1, n)[0], axis=0) & 255
             bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, bits, palette, w))
             w = (w + (1 << bits) - 1) >> bits
-    argb = _samples(r, w, height, True)
-    if r.at > 8 * len(data):
+        if r.at > 8 * len(data):
+            raise ValueError("WebP: the data end early")
+    return Stream(r, width, height, steps, _entropy(r, w, height, True))
+
+
+def _undone(s: Stream, argb: np.ndarray) -> np.ndarray:
+    """Pixels from the decoded values, the transforms undone."""
+    if s.reader.at > 8 * len(s.reader.data):
         raise ValueError("WebP: the data end early")
-    if not steps:
-        return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
-    px = _channels(argb, height, w)
-    for kind, bits, extra, wide in reversed(steps):
+    px = argb.astype("<u4").view(np.uint8).reshape(s.height, s.image.width, 4)[..., [3, 2, 1, 0]]
+    if [x[0] for x in s.steps] == [2]:  # the common case, in bytes
+        px[..., 1] += px[..., 2]
+        px[..., 3] += px[..., 2]
+        return px[..., [1, 2, 3, 0]]
+    px = px.astype(np.int64)
+    for kind, bits, extra, wide in reversed(s.steps):
         if kind == 0:
             px = undo_predictor(px, extra[..., 2] & 15, bits)
         elif kind == 1:
@@ -322,8 +451,8 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     return px[..., [1, 2, 3, 0]].astype(np.uint8)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of a WebP file with a VP8L chunk; other chunks are skipped."""
+def _lossless(data: bytes) -> bytes:
+    """The VP8L stream of a WebP file; other chunks are skipped."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("WebP: no RIFF header")
     at, end = 12, 8 + struct.unpack("<I", data[4:8])[0]
@@ -332,69 +461,113 @@ def decode(data: bytes) -> np.ndarray:
         if name == b"VP8L":
             if at + 8 + n > len(data):
                 raise ValueError("WebP: the file ends early")
-            return decode_vp8l(data[at + 8 : at + 8 + n])
+            return data[at + 8 : at + 8 + n]
         at += 8 + n + (n & 1)
     raise ValueError("WebP: no lossless image")
 
 
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Pixels of WebP files. The streams of a group are held together, about GROUP_PIXELS pixels."""
+    out: list[np.ndarray] = []
+    held: list[Stream] = []
+
+    def pixels() -> list[np.ndarray]:
+        small = [k for k, s in enumerate(held) if s.image.n <= STEP_PIXELS]
+        found: list = [None] * len(held)
+        if len(small) >= STEP_IMAGES:
+            for k, v in zip(small, _together([held[k].reader for k in small], [held[k].image for k in small]), strict=True):
+                found[k] = v
+        return [_undone(s, _one(s.reader, s.image) if v is None else v) for s, v in zip(held, found, strict=True)]
+
+    size = 0
+    for data in files:
+        held.append(opened(_lossless(data)))
+        size += held[-1].image.n
+        if size >= GROUP_PIXELS:
+            out += pixels()
+            held, size = [], 0
+    return out + pixels()
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of a WebP file."""
+    return decode_many([data])[0]
+
+
 # ---- encoder ----
 class BitWriter:
     def __init__(self) -> None:
-        self.value, self.n, self.parts = 0, 0, bytearray()
+        self.value, self.n = 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        if self.n >= 8:
-            k = self.n & ~7
-            self.parts += (self.value & ((1 << k) - 1)).to_bytes(k >> 3, "little")
-            self.value >>= k
-            self.n -= k
+
+    def bytes(self) -> bytes:
+        """All bits, with zeros up to a whole byte."""
+        return self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
 def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
     """Lengths of an optimal prefix code; if one passes the limit, counts are flattened until none does."""
     used = [s for s, c in enumerate(counts) if c]
     lengths = [0] * len(counts)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         for s in used:
             lengths[s] = 1
         return lengths
     least = 1
     while True:
-        heap = [(max(counts[s], least), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
+        heap = sorted((max(counts[s], least), k) for k, s in enumerate(used))
+        above, new = [0] * (2 * n - 1), n
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= limit:
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            heapq.heapreplace(heap, (a + b, new))
+            above[i] = above[j] = new
+            new += 1
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= limit:
             break
         least *= 2
-    for s, n in depth.items():
-        lengths[s] = n
+    for k, s in enumerate(used):
+        lengths[s] = depth[k]
     return lengths
 
 
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits, least significant first, and their number of each symbol (columns) of canonical codes (rows)."""
+    out, n_bits = np.zeros(lengths.shape, dtype=np.uint64), lengths.astype(np.int64)
+    code = np.zeros(len(lengths), dtype=np.int64)
+    for n in range(1, int(lengths.max(initial=0)) + 1):
+        own = lengths == n
+        rows, symbols = np.nonzero(own)
+        rank = np.cumsum(own, axis=1)[rows, symbols] - 1
+        out[rows, symbols] = _REVERSED[n][(code[rows] + rank) & ((1 << n) - 1)]
+        code = (code + own.sum(axis=1)) << 1
+    n_bits[(lengths > 0).sum(axis=1) == 1] = 0  # a code of one symbol takes no bits
+    return out, n_bits
+
+
 def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Bits, least significant first, and length of each symbol of a canonical code."""
-    used = [s for s, n in enumerate(lengths) if n]
+    """Bits, least significant first, and length of each symbol of one canonical code."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
     if len(used) == 1:
-        return {used[0]: (0, 0)}
-    code, out = 0, {}
-    for n in range(1, max(lengths, default=0) + 1):
-        for s in used:
-            if lengths[s] == n:
-                out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-                code += 1
-        code <<= 1
+        return {used[0][1]: (0, 0)}
+    code = last = 0
+    out = {}
+    for n, s in used:
+        code <<= n - last
+        out[s] = (_REVERSED_LISTS[n][code], n)
+        code, last = code + 1, n
     return out
 
 
 def write_code(w: BitWriter, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
+    used = [s for s, n in enumerate(lengths) if n] if len(lengths) - lengths.count(0) <= 2 else lengths
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
         w.put(1, 1)
@@ -404,18 +577,14 @@ def write_code(w: BitWriter, lengths: list[int]) -> None:
         if len(used) == 2:
             w.put(used[1], 8)
         return
-    runs, at, last = [], 0, 8
-    while at < len(lengths):
-        n, end = lengths[at], at
-        while end < len(lengths) and lengths[end] == n:
-            end += 1
-        left = end - at
+    runs, last = [], 8
+    for n, same in groupby(lengths):
+        left = len(list(same))
         if n == 0:
             while left >= 3:
                 k = min(left, 138)
                 runs.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
                 left -= k
-            runs += [(0, 0, 0)] * left
         else:
             if n != last:
                 runs.append((n, 0, 0))
@@ -425,32 +594,33 @@ def write_code(w: BitWriter, lengths: list[int]) -> None:
                 k = min(left, 6)
                 runs.append((16, k - 3, 2))
                 left -= k
+        if left:
             runs += [(n, 0, 0)] * left
-        at = end
     counts = [0] * 19
     for s, _, _ in runs:
         counts[s] += 1
     own = code_lengths(counts, 7)
-    w.put(0, 1)
     n = max([4, *(k + 1 for k, s in enumerate(CODE_ORDER) if own[s])])
-    w.put(n - 4, 4)
+    value, at = n - 4 << 1, 5
     for s in CODE_ORDER[:n]:
-        w.put(own[s], 3)
-    w.put(0, 1)
+        value |= own[s] << at
+        at += 3
+    at += 1
     bits = codes_of(own)
     for s, extra, k in runs:
-        w.put(*bits[s])
-        w.put(extra, k)
+        code, m = bits[s]
+        value |= (code | extra << m) << at
+        at += m + k
+    w.put(value, at)
 
 
-def _symbol(value: int) -> tuple[int, int, int]:
-    """Prefix symbol, extra bits and their number of a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    top = v.bit_length() - 1
-    second = (v >> (top - 1)) & 1
-    return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra bits and their numbers of lengths or distances."""
+    v = np.maximum(values - 1, 1)
+    top = np.frexp(v.astype(np.float64))[1] - 1
+    far = values > 4
+    more = np.where(far, top - 1, 0)
+    return np.where(far, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1), values - 1), np.where(far, v & ((1 << more) - 1), 0), more
 
 
 def _head(width: int, height: int) -> BitWriter:
@@ -465,114 +635,217 @@ def _riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def _flat_codes() -> tuple[int, int]:
-    """The bits, from after the image header to the pixels, of an image all of whose samples have eight-bit codes."""
-    w = BitWriter()
-    for _ in range(3):  # no transform, no colour cache, no meta prefix
-        w.put(0, 1)
-    for n in (280, 256, 256, 256):
-        write_code(w, [8] * 256 + [0] * (n - 256))
+def put_literals(w: BitWriter, argb: list[int]) -> None:
+    """A small image of literals, as headers hold them: no colour cache, fitted codes."""
+    w.put(0, 1)
+    samples = [[v >> s & 255 for s in (8, 16, 0, 24)] for v in argb]
+    codes = []
+    for k, size in enumerate((280, 256, 256, 256)):
+        counts = [0] * size
+        for x in samples:
+            counts[x[k]] += 1
+        lengths = code_lengths(counts)
+        write_code(w, lengths)
+        codes.append(codes_of(lengths))
     write_code(w, [1] + [0] * 39)
-    n = 8 * len(w.parts) + w.n
-    return int.from_bytes(bytes(w.parts), "little") | w.value << (8 * len(w.parts)), n
-
-
-_FLAT = _flat_codes()
-
-
-def encode_flat(px: np.ndarray) -> bytes:
-    height, width, _ = px.shape
-    head = _head(width, height)
-    bits, n = _FLAT
-    head.put(bits, n)
-    shift, first = head.n, head.value
-    data = _REVERSED[px[..., [1, 0, 2, 3]].reshape(-1)]
-    if shift:
-        wide = np.zeros(len(data) + 1, dtype=np.uint8)
-        wide[:-1] = data << np.uint8(shift)
-        wide[1:] |= data >> np.uint8(8 - shift)
-        wide[0] |= first
-        data = wide
-    return _riff(bytes(head.parts) + data.tobytes())
-
-
-def encode_fitted(px: np.ndarray) -> bytes:
-    """With green subtracted, a colour cache, back-references to equal pixel runs and codes fitted to the samples' counts."""
-    height, width, _ = px.shape
-    flat = px.reshape(-1, 4).astype(np.int64)
-    flat[:, [0, 2]] = (flat[:, [0, 2]] - flat[:, 1:2]) & 255
-    packed = flat[:, 3] << 24 | flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]
-    places = ((packed.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).tolist()
-    argb, pixels, cache = packed.tolist(), flat.tolist(), [0] * (1 << CACHE_BITS)
-    ops, seen, at, n = [], {}, 0, len(argb)
-    while at < n:
-        key = tuple(argb[at : at + 4])
-        found, length = seen.get(key), 0
-        if found is not None and len(key) == 4:
-            while at + length < n and length < 4096 and argb[found + length] == argb[at + length]:
-                length += 1
-        if length >= 4:
-            ops.append((length, at - found))
-        else:
-            ops.append(~places[at] if cache[places[at]] == argb[at] else at)
-            length = 1
-        for k in range(at, at + length):
-            cache[places[k]] = argb[k]
-        for k in range(at, min(at + length, n - 3)):
-            seen[tuple(argb[k : k + 4])] = k
-        at += length
-    counts = [[0] * (280 + (1 << CACHE_BITS)), [0] * 256, [0] * 256, [0] * 256, [0] * 40]
-    for op in ops:
-        if isinstance(op, tuple):
-            counts[GREEN][256 + _symbol(op[0])[0]] += 1
-            counts[DISTANCE][_symbol(op[1] + 120)[0]] += 1
-        elif op < 0:
-            counts[GREEN][280 + ~op] += 1
-        else:
-            r, g, b, a = pixels[op]
-            for k, v in ((GREEN, g), (RED, r), (BLUE, b), (ALPHA, a)):
-                counts[k][v] += 1
-    lengths = [code_lengths(c) for c in counts]
-    lengths = [k if any(k) else [1, *k[1:]] for k in lengths]
-    w = _head(width, height)
-    for value, k in ((1, 1), (2, 2), (0, 1), (1, 1), (CACHE_BITS, 4), (0, 1)):  # green subtracted, no more transforms, colour cache, no meta prefix
-        w.put(value, k)
-    for k in lengths:
-        write_code(w, k)
-    codes = [codes_of(k) for k in lengths]
-    for op in ops:
-        if isinstance(op, tuple):
-            for value, code, base in ((op[0], codes[GREEN], 256), (op[1] + 120, codes[DISTANCE], 0)):
-                s, extra, k = _symbol(value)
-                w.put(*code[base + s])
-                w.put(extra, k)
-        elif op < 0:
-            w.put(*codes[GREEN][280 + ~op])
+    for x in samples:
+        for code, v in zip(codes, x, strict=True):
+            w.put(*code[v])
+
+
+def _palettes(argb: np.ndarray, owner: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> tuple[list[BitWriter], np.ndarray, np.ndarray, np.ndarray]:
+    """Headers with their transforms, the values to be coded, the image each is of, and the widths of the coded images.
+
+    An image with at most MOST_COLOURS colours, and a quarter as many as pixels at most, gets a palette.
+    """
+    keys, kind = np.unique(owner << 32 | argb, return_inverse=True)
+    colours = np.bincount(keys >> 32, minlength=len(sizes))
+    small = colours <= np.minimum(MOST_COLOURS, sizes // 4)
+    first = np.concatenate([[0], np.cumsum(colours)[:-1]])
+    green = (argb >> 8) & 255
+    values = argb & 0xFF00FF00 | ((argb & 0x00FF00FF) + 0x01000100 - (green << 16 | green)) & 0x00FF00FF
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    heads, wide = [], widths.copy()
+    parts, at = [], 0  # runs of values between images with a palette
+    for i in range(len(sizes)):
+        w = _head(int(widths[i]), int(sizes[i] // widths[i]))
+        w.put(1, 1)
+        if small[i]:
+            own = keys[first[i] : first[i] + colours[i]] & 0xFFFFFFFF
+            bits = 3 if len(own) <= 2 else 2 if len(own) <= 4 else 1 if len(own) <= 16 else 0
+            w.put(3, 2)
+            w.put(len(own) - 1, 8)
+            px = np.diff(own.astype("<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), dtype=np.uint8))
+            put_literals(w, np.ascontiguousarray(px).view("<u4").ravel().tolist())
+            index = (kind[start[i] : start[i + 1]] - first[i]).reshape(-1, widths[i])
+            per = 1 << bits
+            index = np.pad(index, ((0, 0), (0, -int(widths[i]) % per))).reshape(len(index), -1, per)
+            packed = (index << (np.arange(per) * (8 // per))).sum(axis=2)
+            wide[i] = packed.shape[1]
+            parts += [values[at : start[i]], 0xFF000000 | packed.ravel() << 8]
+            at = start[i + 1]
         else:
-            r, g, b, a = pixels[op]
-            for k, v in ((GREEN, g), (RED, r), (BLUE, b), (ALPHA, a)):
-                w.put(*codes[k][v])
-    w.put(0, (8 - w.n) % 8)
-    return _riff(bytes(w.parts))
-
-
+            w.put(2, 2)
+        w.put(0, 1)
+        heads.append(w)
+    parts.append(values[at:])
+    counts = sizes // widths * wide
+    return heads, np.concatenate(parts), np.repeat(np.arange(len(sizes)), counts), wide
+
+
+def _matches(v: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of runs of pixels that occurred before in their image; they do not overlap."""
+    none = np.zeros(0, dtype=np.int64)
+    last = LEAST_MATCH - 1
+    at = np.flatnonzero(owner[last:] == owner[:-last]) if len(v) > last else none
+    h = owner[at].astype(np.uint64)
+    for j in range(LEAST_MATCH):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(32)) ^ v[at + j].astype(np.uint64)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    here, before = at[order[same + 1]], at[order[same]]
+    equal = owner[here] == owner[before]
+    for j in range(LEAST_MATCH):
+        equal &= v[here + j] == v[before + j]
+    away = np.zeros(len(v), dtype=np.int64)
+    away[here[equal]] = here[equal] - before[equal]
+    here = np.flatnonzero(away)
+    if not len(here):
+        return none, none, none
+    d = away[here]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(d) != 0)]))
+    first, d = here[new], d[new]
+    stop = here[np.append(new[1:], len(here)) - 1] + LEAST_MATCH
+    first = np.maximum(first, np.concatenate([[0], np.maximum.accumulate(stop)[:-1]]))
+    keep = stop - first >= LEAST_MATCH
+    return first[keep], (stop - first)[keep], d[keep]
+
+
+def _cached(v: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which pixels are in their place of the colour cache when they come."""
+    order = np.argsort(owner << CACHE_BITS | place, kind="stable")
+    before = np.zeros(len(v), dtype=np.int64)
+    same = (owner[order[1:]] == owner[order[:-1]]) & (place[order[1:]] == place[order[:-1]])
+    before[order[1:]] = np.where(same, v[order[:-1]], 0)
+    return before == v
+
+
+def encode_many(images: list[np.ndarray]) -> list[bytes]:
+    """WebP files of pixel arrays, each of (height, width, 4) and of 4096 pixels a row and 16384 pixels at most."""
+    sizes, widths = np.array([x.shape[0] * x.shape[1] for x in images]), np.array([x.shape[1] for x in images])
+    raw = np.concatenate([x.reshape(-1, 4) for x in images]).astype(np.int64)
+    argb = raw[:, 3] << 24 | raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
+    heads, v, owner, wide = _palettes(argb, np.repeat(np.arange(len(sizes)), sizes), sizes, widths)
+    n = len(images)
+    place = ((v.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+    place = place.astype(np.int64)
+    first, length, away = _matches(v, owner)
+    inside = np.zeros(len(v) + 1, dtype=np.int64)
+    inside[first] += 1
+    np.subtract.at(inside, first + length, 1)
+    op = np.cumsum(inside[:-1]) == 0
+    op[first] = True
+    # every operation: a back-reference, a cached pixel or a literal
+    at = np.flatnonzero(op)
+    own, match = owner[at], np.zeros(len(v), dtype=bool)
+    match[first] = True
+    match = match[at]
+    hit = _cached(v, owner, place)[at] & ~match
+    lit = ~match & ~hit
+    near = {w: {d: k for k, d in reversed(list(enumerate(_near(w).tolist()))) if k} for w in set(wide.tolist())}
+    codes = [near[w].get(d, d + 120) for w, d in zip(wide[owner[first]].tolist(), away.tolist(), strict=True)]
+    l_symbol, l_extra, l_bits = _symbols(length)
+    d_symbol, d_extra, d_bits = _symbols(np.array(codes, dtype=np.int64))
+    green = (v[at] >> 8) & 255
+    green[hit] = 280 + place[at][hit]
+    green[match] = 256 + l_symbol
+    symbols = {GREEN: (own, green, 280 + (1 << CACHE_BITS))} | {k: (own[lit], (v[at][lit] >> s) & 255, 256) for k, s in ((RED, 16), (BLUE, 0), (ALPHA, 24))}
+    symbols[DISTANCE] = (own[match], d_symbol, 40)
+    bits, n_bits = {}, {}
+    for w in heads:
+        w.put(1, 1), w.put(CACHE_BITS, 4), w.put(0, 1)  # a colour cache, no meta prefix
+    for k, (of, s, size) in symbols.items():
+        counts = np.bincount(of * size + s, minlength=n * size).reshape(n, size)
+        lengths = [code_lengths(c, LONGEST_CODE) for c in counts.tolist()]
+        for w, x in zip(heads, lengths, strict=True):
+            if not any(x):
+                x[0] = 1
+            write_code(w, x)
+        b, m = canonical(np.array(lengths))
+        bits[k], n_bits[k] = b[of, s], m[of, s]
+    value, used = bits[GREEN], n_bits[GREEN]
+    for which, more in ((match, [(l_extra, l_bits), (bits[DISTANCE], n_bits[DISTANCE]), (d_extra, d_bits)]), (lit, [(bits[k], n_bits[k]) for k in (RED, BLUE, ALPHA)])):
+        x, m = value[which], used[which]
+        for b, k in more:
+            x |= b.astype(np.uint64) << m.astype(np.uint64)
+            m = m + k
+        value[which], used[which] = x, m
+    return _packed(heads, own, value, used)
+
+
+def _packed(heads: list[BitWriter], own: np.ndarray, value: np.ndarray, used: np.ndarray) -> list[bytes]:
+    """Files of headers and the bits of the operations after them; an operation has less than 64 bits."""
+    n_head = np.array([w.n for w in heads])
+    n_body = np.bincount(own, weights=used, minlength=len(heads)).astype(np.int64)
+    n_bytes = (n_head + n_body + 7) >> 3
+    start = np.concatenate([[0], np.cumsum(n_bytes)])
+    upto = np.cumsum(used) - used
+    bit = upto - np.concatenate([[0], np.cumsum(n_body)[:-1]])[own] + 8 * start[own] + n_head[own]
+    words = np.zeros((int(start[-1]) >> 3) + 2, dtype=np.uint64)
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
+    words[word[new]] = np.bitwise_or.reduceat(value << shift, new)
+    over = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    words[word[new] + 1] |= np.bitwise_or.reduceat(over, new)
+    data = words.view(np.uint8)
+    for w, a in zip(heads, start.tolist(), strict=False):
+        own_bytes = np.frombuffer(w.bytes(), dtype=np.uint8)
+        data[a : a + len(own_bytes)] |= own_bytes
+    return [_riff(data[a:b].tobytes()) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+# ---- payloads ----
 def padded(data: bytes) -> bytes:
     """The bytes with zeros up to a positive multiple of a row."""
     return data + b"\0" * (max(1, -(-len(data) // ROW_BYTES)) * ROW_BYTES - len(data))
 
 
-def store(payload: bytes, effort: int = 0) -> bytes:
-    """WebP files, one after another, of a payload of whole rows."""
-    encode = encode_fitted if effort else encode_flat
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW_BYTES // 4, 4)
-    return b"".join(encode(rows[i : i + MOST_ROWS]) for i in range(0, len(rows), MOST_ROWS))
+def _grouped(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items of about `most` together."""
+    start = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i == len(sizes) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
 
 
-def images(media: bytes) -> list[np.ndarray]:
-    """Pixel arrays of the files of a media value."""
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """For each payload of whole rows its WebP files, one after another."""
+    rows = [np.frombuffer(p, dtype=np.uint8).reshape(-1, ROW_BYTES // 4, 4) for p in payloads]
+    images = [(k, x[i : i + MOST_ROWS]) for k, x in enumerate(rows) for i in range(0, len(x), MOST_ROWS)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in _grouped([x.size // 4 for _, x in images], GROUP_PIXELS):
+        for (k, _), file in zip(images[a:b], encode_many([x for _, x in images[a:b]]), strict=True):
+            out[k].append(file)
+    return [b"".join(x) for x in out]
+
+
+def files_of(media: bytes) -> list[bytes]:
+    """The files of a media value."""
     out, at = [], 0
     while at < len(media):
+        if len(media) - at < 12:
+            raise ValueError("WebP: the file ends early")
         n = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        out.append(decode(media[at : at + n]))
+        out.append(media[at : at + n])
         at += n
     return out
+
+
+def images_many(media: list[bytes]) -> list[list[np.ndarray]]:
+    """For each media value the pixel arrays of its files."""
+    files = [files_of(m) for m in media]
+    found = iter(decode_many([f for x in files for f in x]))
+    return [[next(found) for _ in x] for x in files]

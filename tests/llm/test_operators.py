@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.llm import entry, langid, lzprint, media, packing, sharding, toxicity, warc, webp
+from beatloom.llm import entry, langid, lzprint, packing, sharding, warc
 from tests.conftest import SF
 from tests.oracle import compare
 
@@ -88,21 +88,6 @@ def test_fingerprints(odd):
         assert (got[i].n_chars, got[i].fingerprint, got[i].edited_fingerprint) == (len(text or ""), lzprint.fingerprint(text), lzprint.fingerprint(edited))
 
 
-@pytest.mark.parametrize("effort", [0, 1])
-def test_webp_round_trip(odd, effort):
-    stored = media.to_media(odd, effort)
-    got = {r.doc_id: bytes(r.pixels) for r in media.to_pixels(stored).collect()}
-    for i, t in ODD:
-        assert got[i] == webp.padded((t or "").encode())
-
-
-def test_toxicity_held_out(spark, docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    out = toxicity.score_table(docs, toxicity.fit(docs, labels))
-    assert out.count() == docs.count() and out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
-    assert toxicity.score_table(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
-
-
 def test_language_held_out(docs, odd):
     model = langid.fit(docs)
     out = langid.with_languages(docs, model).where("lang IS NOT NULL AND language.lang <> 'und'")
