@@ -7,7 +7,7 @@ where the running sum passes the rest, sum only that bucket by the next three di
 target keeps a subset of what a larger one keeps, so budgets nest.
 
 Sources are a dimension: one row each, aggregated before any shuffle, so a source with a third of all rows is
-no hot spot. Joins with the per-source table are left to Spark, which broadcasts it only below its size limit.
+no hot spot. Their targets depend on all of them in order, so the table of sources, and only that, passes one task. Joins with the per-source table are left to Spark, which broadcasts it only below its size limit.
 
 Cases: null text has size 0; a null source is a source of its own, ordered last; a null id hashes as a fixed text;
 repeated rows share their key and are kept or left together; sources without words take 0; an empty table gives an
@@ -29,10 +29,13 @@ WEIGHTS = (1, 2, 3)
 DIGITS, LEVELS = 3, 3
 
 
+def _digits() -> list[Column]:
+    return [common.hex_key(F.col("doc_id"), DIGITS, 1 + DIGITS * i).cast("int").alias(f"k{i + 1}") for i in range(LEVELS)]
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the key's digits k1, k2, k3 of every document."""
-    keys = [common.hex_key(F.col("doc_id"), DIGITS, 1 + DIGITS * i).cast("int").alias(f"k{i + 1}") for i in range(LEVELS)]
-    return docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), *keys)
+    return docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), *_digits())
 
 
 def source_targets(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -93,14 +96,36 @@ def thresholds(words: DataFrame, targets: DataFrame) -> DataFrame:
     return common.stored(state.withColumn("last", F.coalesce(F.col("n") - F.col("rest") < F.col("rest"), F.lit(False))).drop("n"), "mix-limits")
 
 
-def mix(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
-    """Adds source_size, target and copies, the times that the mix takes each document."""
-    limits = thresholds(words, source_targets(words, weights, most)).withColumnRenamed("source", "s")
-    keys, ends = [f"k{i}" for i in range(1, LEVELS + 1)], [f"b{i}" for i in range(1, LEVELS + 1)]
+KEYS, ENDS = [f"k{i}" for i in range(1, LEVELS + 1)], [f"b{i}" for i in range(1, LEVELS + 1)]
+
+
+def _copies(key: str, limit: str, most: int) -> Column:
+    """How often a document is taken, from a struct of its key's digits and one of its source's limits."""
+    keys, ends = [f"{key}.{k}" for k in KEYS], [f"{limit}.{b}" for b in ENDS]
     at = reduce(lambda a, b: a & b, [F.col(k) == F.col(b) for k, b in zip(keys, ends, strict=True)])
-    extra = F.when(F.col("b1").isNull(), False).otherwise(F.coalesce(_before(keys, ends) | (at & F.col("last")), F.lit(False)))
-    out = words.join(limits, F.col("source").eqNullSafe(F.col("s")))
-    return out.withColumn("copies", F.least(F.col("repeats") + extra.cast("long"), F.lit(most).cast("long"))).drop("s", *ends, "last", "repeats", "rest")
+    extra = F.when(F.col(ends[0]).isNull(), False).otherwise(F.coalesce(_before(keys, ends) | (at & F.col(f"{limit}.last")), F.lit(False)))
+    return F.least(F.col(f"{limit}.repeats") + extra.cast("long"), F.lit(most).cast("long"))
+
+
+def mix(words: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """Adds source_size, target and copies, the times that the mix takes each document, to a stored table of sized()."""
+    limits = thresholds(words, source_targets(words, weights, most))
+    limits = limits.select(F.col("source").alias("__source"), "source_size", "target", F.struct("repeats", *ENDS, "last").alias("__limit"))
+    out = words.withColumn("__key", F.struct(*KEYS)).join(limits, F.col("source").eqNullSafe(F.col("__source")))
+    return out.withColumn("copies", _copies("__key", "__limit", most)).drop("__source", "__limit", "__key")
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """The documents, all columns as they are, as often as the mix takes them.
+
+    Every row is looked up by its own source and key, never joined with others by its id, so rows without an id or with equal
+    ids stay apart; texts are not shuffled unless the table of sources is too large to be sent to the tasks.
+    """
+    words = common.stored(sized(docs), "mix-words")
+    limits = thresholds(words, source_targets(words, weights, most)).select(F.col("source").alias("__source"), F.struct("repeats", *ENDS, "last").alias("__limit"))
+    out = docs.withColumn("__key", F.struct(*_digits())).join(limits, docs["source"].eqNullSafe(F.col("__source")))
+    out = out.withColumn("__copies", _copies("__key", "__limit", most)).where("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

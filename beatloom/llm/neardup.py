@@ -345,6 +345,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns as they are, that are the least of their component; rows without an id stay.
+
+    Rows that repeat an id are one document: of those that differ in other columns the one with the least hash stays.
+    """
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__kept"))
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("__row"))
+    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
