@@ -2,8 +2,10 @@
 
 Each stage takes all that the one before kept and returns the columns of documents, the last the packed pieces.
 
-Cases: nulls, empty texts, ties and repeated rows are as each operator says; a stage that gets no rows gives none. Rows with
-a null text are `und` and go in the first stage.
+Cases: empty texts, ties and very long texts are as each operator says; a stage that gets no rows gives none. Rows with
+a null text are `und` and go in the first stage. Rows with a null id are scored, mixed and packed like any other, each on its own,
+and are no near-duplicates of anything. Rows that repeat an id are one document from the third stage on. Null languages and
+labels teach nothing; a null source is a source of its own. Columns beyond those of documents pass every stage but the last.
 """
 
 from __future__ import annotations
@@ -35,17 +37,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, of NEAR_PERCENT percent equal shingles and more."""
-    kept = neardup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return neardup.kept_documents(docs, NEAR_PERCENT)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    words = common.stored(mixing.sized(docs), "mix-words")
-    taken = mixing.mix(words).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    return mixing.taken(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pack", packing_stage),
 ]
 
-#: Models and sketches have no SQL; the stages are tested against brute force.
+#: Models and sketches have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
