@@ -13,11 +13,9 @@ Payloads over MOST_ROWS rows become several files in a row; each file's header t
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 
@@ -94,6 +92,18 @@ class PrefixCode:
         return e >> 4
 
 
+def _small_table(lengths: list[int]) -> list[int]:
+    """PrefixCode's table for few symbols."""
+    codes = codes_of(lengths)
+    width = max((n for _, n in codes.values()), default=0)
+    table = [0] * (1 << width)
+    for s, (bits, n) in codes.items():
+        table[bits :: 1 << n] = [16 * s + n] * (1 << (width - n))
+    if len(codes) > 1 and sum(1 << (width - n) for _, n in codes.values()) != 1 << width:
+        raise ValueError("WebP: a prefix code is not complete")
+    return table
+
+
 def read_code(r: BitReader, size: int) -> PrefixCode:
     if r.bits(1):  # one or two symbols
         two = r.bits(1)
@@ -105,12 +115,12 @@ def read_code(r: BitReader, size: int) -> PrefixCode:
     first = [0] * 19
     for k in range(4 + r.bits(4)):
         first[CODE_ORDER[k]] = r.bits(3)
-    code = PrefixCode(first)
+    table = _small_table(first)
     left = size
     if r.bits(1):
         left = 2 + r.bits(2 + 2 * r.bits(3))
     lengths, last = [], 8
-    table, mask, data, at, held, n = code.table.tolist(), code.mask, r.data, r.at, 0, 0
+    mask, data, at, held, n = len(table) - 1, r.data, r.at, 0, 0
     while len(lengths) < size and left > 0:
         left -= 1
         if n < 14:  # a symbol and its extra bits
@@ -519,25 +529,76 @@ def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
         return lengths
     least = 1
     while True:
-        heap = sorted((max(counts[s], least), k) for k, s in enumerate(used))
-        above, new = [0] * (2 * n - 1), n
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            heapq.heapreplace(heap, (a + b, new))
-            above[i] = above[j] = new
-            new += 1
+        leaves = sorted((max(counts[s], least), s) for s in used)
+        weights, inner = [x for x, _ in leaves], []
+        above, i, j = [0] * (2 * n - 1), 0, 0
+        for new in range(n, 2 * n - 1):  # joins the two lightest; joined ones come in order of weight
+            total = 0
+            for _ in (0, 1):
+                if i < n and (j == len(inner) or weights[i] <= inner[j]):
+                    total += weights[i]
+                    above[i] = new
+                    i += 1
+                else:
+                    total += inner[j]
+                    above[n + j] = new
+                    j += 1
+            inner.append(total)
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
         if max(depth[:n]) <= limit:
             break
         least *= 2
-    for k, s in enumerate(used):
+    for k, (_, s) in enumerate(leaves):
         lengths[s] = depth[k]
     return lengths
 
 
+def many_code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
+    """code_lengths() of every row, a join of each at a step; rows that pass the limit are done alone."""
+    lengths = np.zeros(counts.shape, dtype=np.int64)
+    k = (counts > 0).sum(axis=1)
+    lengths[k == 1] = counts[k == 1] > 0
+    rows = np.flatnonzero(k > 1)
+    if not len(rows):
+        return lengths
+    rows = rows[np.argsort(-k[rows], kind="stable")]  # those with most symbols, and so most joins, come first
+    k, most = k[rows], int(k[rows[0]])
+    none = np.int64(1) << 60
+    weight = np.where(counts[rows] > 0, counts[rows], none)
+    order = np.argsort(weight, axis=1, kind="stable")[:, :most]
+    weight = np.hstack([np.take_along_axis(weight, order, axis=1), np.full((len(rows), 1), none)]).ravel()
+    inner, wide, deep = np.full(len(rows) * most, none), most + 1, most
+    leaf_above, inner_above = np.zeros(len(weight), dtype=np.int64), np.zeros(len(inner), dtype=np.int64)
+    live = np.searchsorted(-k, -np.arange(most), side="left")  # rows with more than so many symbols
+    i, j = np.arange(len(rows)) * wide, np.arange(len(rows)) * deep
+    for step in range(most - 1):
+        n = int(live[step + 1])
+        total = 0
+        for _ in (0, 1):
+            a, b = weight.take(i[:n]), inner.take(j[:n])
+            leaf = a <= b
+            total = total + np.where(leaf, a, b)
+            leaf_above[i[:n][leaf]] = step
+            inner_above[j[:n][~leaf]] = step
+            i[:n] += leaf
+            j[:n] += ~leaf
+        inner[np.arange(n) * deep + step] = total
+    depth, first = np.zeros(len(inner), dtype=np.int64), np.arange(len(rows)) * deep
+    for step in range(most - 3, -1, -1):
+        at = first[: int(live[step + 2])] + step  # joins that are not a row's last
+        depth[at] = depth[first[: len(at)] + inner_above[at]] + 1
+    above = leaf_above.reshape(len(rows), wide)[:, :most]
+    found = np.where(np.arange(most) < k[:, None], np.take_along_axis(depth.reshape(len(rows), deep), above, axis=1) + 1, 0)
+    own = np.zeros((len(rows), counts.shape[1]), dtype=np.int64)
+    np.put_along_axis(own, order, found, axis=1)
+    lengths[rows] = own
+    for r in np.flatnonzero(lengths.max(axis=1) > limit).tolist():
+        lengths[r] = code_lengths(counts[r].tolist(), limit)
+    return lengths
+
+
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits, least significant first, and their number of each symbol (columns) of canonical codes (rows)."""
     out, n_bits = np.zeros(lengths.shape, dtype=np.uint64), lengths.astype(np.int64)
@@ -555,8 +616,10 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Bits, least significant first, and length of each symbol of one canonical code."""
     used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
+    if len(used) < 2:
+        return {s: (0, 0) for _, s in used}
+    if sum(2.0**-n for n, _ in used) > 1:
+        raise ValueError("WebP: a prefix code is not complete")
     code = last = 0
     out = {}
     for n, s in used:
@@ -566,52 +629,57 @@ def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+#: Bits that belong to images: the image of each value, the value, and how many bits it has.
+Section = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _code_sections(lengths: np.ndarray) -> list[Section]:
+    """The bits that tell the decoder each row's code: first how lengths are coded, or one or two symbols, then the lengths."""
+    some = lengths > 0
+    count, low, high = some.sum(axis=1), some.argmax(axis=1), lengths.shape[1] - 1 - some[:, ::-1].argmax(axis=1)
+    simple = (count <= 2) & (high < 256)
+    value = (5 | (np.maximum(count, 1) - 1) << 1 | low << 3 | np.where(count == 2, high, 0) << 11).astype(np.uint64)
+    used = np.where(count == 2, 19, 11)
+    rows = np.flatnonzero(~simple)
+    if not len(rows):
+        return [(np.arange(len(lengths)), value, used)]
+    size = lengths.shape[1]
+    flat = lengths[rows].ravel()
+    at = np.arange(0, len(flat), size)
+    new = np.concatenate([[True], np.diff(flat) != 0])
+    new[at] = True
+    start = np.flatnonzero(new)
+    v, n, row = flat[start], np.diff(np.append(start, len(flat))), start // size
+    # the last length but 0 before each run, 8 at first
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(v > 0, np.arange(len(v)), -1))[:-1]])
+    last = np.where((before >= 0) & (row[before] == row), v[before], 8)
+    zero = v == 0
+    lead = ~zero & (v != last)
+    most = np.where(zero, 138, 6)
+    rest = (n - lead) % most
+    part = rest >= 3
+    times = np.stack([lead, (n - lead) // most, part, np.where(part, 0, rest)], axis=1).ravel()
+    some_zeros = np.where(rest <= 10, 17, 18)
+    pick = lambda a, b, c, d: np.repeat(np.stack(np.broadcast_arrays(a, b, c, d), axis=1).ravel(), times)
+    symbol = pick(v, np.where(zero, 18, 16), np.where(zero, some_zeros, 16), v)
+    extra = pick(0, np.where(zero, 127, 3), np.where(zero & (rest > 10), rest - 11, rest - 3), 0)
+    more = pick(0, np.where(zero, 7, 2), np.where(zero, np.where(rest <= 10, 3, 7), 2), 0)
+    owner = np.repeat(np.repeat(row, 4), times)
+    counts = np.bincount(owner * 19 + symbol, minlength=19 * len(rows)).reshape(-1, 19)
+    own = many_code_lengths(counts, 7)
+    bits, n_bits = canonical(own)
+    ordered = own[:, CODE_ORDER]
+    kept = np.maximum(4, 19 - (ordered[:, ::-1] > 0).argmax(axis=1))
+    value[rows] = ((kept - 4) << 1 | (ordered << (5 + 3 * np.arange(19))).sum(axis=1)).astype(np.uint64)
+    used[rows] = 5 + 3 * kept + 1
+    first = n_bits[owner, symbol]
+    return [(np.arange(len(lengths)), value, used), (rows[owner], bits[owner, symbol] | extra.astype(np.uint64) << first.astype(np.uint64), first + more)]
+
+
 def write_code(w: BitWriter, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n] if len(lengths) - lengths.count(0) <= 2 else lengths
-    if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        w.put(1, 1)
-        w.put(used[0], 8)
-        if len(used) == 2:
-            w.put(used[1], 8)
-        return
-    runs, last = [], 8
-    for n, same in groupby(lengths):
-        left = len(list(same))
-        if n == 0:
-            while left >= 3:
-                k = min(left, 138)
-                runs.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
-                left -= k
-        else:
-            if n != last:
-                runs.append((n, 0, 0))
-                left -= 1
-                last = n
-            while left >= 3:
-                k = min(left, 6)
-                runs.append((16, k - 3, 2))
-                left -= k
-        if left:
-            runs += [(n, 0, 0)] * left
-    counts = [0] * 19
-    for s, _, _ in runs:
-        counts[s] += 1
-    own = code_lengths(counts, 7)
-    n = max([4, *(k + 1 for k, s in enumerate(CODE_ORDER) if own[s])])
-    value, at = n - 4 << 1, 5
-    for s in CODE_ORDER[:n]:
-        value |= own[s] << at
-        at += 3
-    at += 1
-    bits = codes_of(own)
-    for s, extra, k in runs:
-        code, m = bits[s]
-        value |= (code | extra << m) << at
-        at += m + k
-    w.put(value, at)
+    for _, value, used in _code_sections(np.array([lengths])):
+        for v, n in zip(value.tolist(), used.tolist(), strict=True):
+            w.put(v, n)
 
 
 def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -762,17 +830,14 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
     green[match] = 256 + l_symbol
     symbols = {GREEN: (own, green, 280 + (1 << CACHE_BITS))} | {k: (own[lit], (v[at][lit] >> s) & 255, 256) for k, s in ((RED, 16), (BLUE, 0), (ALPHA, 24))}
     symbols[DISTANCE] = (own[match], d_symbol, 40)
-    bits, n_bits = {}, {}
+    bits, n_bits, sections = {}, {}, []
     for w in heads:
         w.put(1, 1), w.put(CACHE_BITS, 4), w.put(0, 1)  # a colour cache, no meta prefix
     for k, (of, s, size) in symbols.items():
         counts = np.bincount(of * size + s, minlength=n * size).reshape(n, size)
-        lengths = [code_lengths(c, LONGEST_CODE) for c in counts.tolist()]
-        for w, x in zip(heads, lengths, strict=True):
-            if not any(x):
-                x[0] = 1
-            write_code(w, x)
-        b, m = canonical(np.array(lengths))
+        lengths = many_code_lengths(counts, LONGEST_CODE)
+        sections += _code_sections(lengths)
+        b, m = canonical(lengths)
         bits[k], n_bits[k] = b[of, s], m[of, s]
     value, used = bits[GREEN], n_bits[GREEN]
     for which, more in ((match, [(l_extra, l_bits), (bits[DISTANCE], n_bits[DISTANCE]), (d_extra, d_bits)]), (lit, [(bits[k], n_bits[k]) for k in (RED, BLUE, ALPHA)])):
@@ -781,23 +846,25 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
             x |= b.astype(np.uint64) << m.astype(np.uint64)
             m = m + k
         value[which], used[which] = x, m
-    return _packed(heads, own, value, used)
+    return _packed(heads, [*sections, (own, value, used)])
 
 
-def _packed(heads: list[BitWriter], own: np.ndarray, value: np.ndarray, used: np.ndarray) -> list[bytes]:
-    """Files of headers and the bits of the operations after them; an operation has less than 64 bits."""
+def _packed(heads: list[BitWriter], sections: list[Section]) -> list[bytes]:
+    """Files of headers and, after them, each image's bits of every section; a value has less than 64 bits."""
+    n = len(heads)
     n_head = np.array([w.n for w in heads])
-    n_body = np.bincount(own, weights=used, minlength=len(heads)).astype(np.int64)
-    n_bytes = (n_head + n_body + 7) >> 3
-    start = np.concatenate([[0], np.cumsum(n_bytes)])
-    upto = np.cumsum(used) - used
-    bit = upto - np.concatenate([[0], np.cumsum(n_body)[:-1]])[own] + 8 * start[own] + n_head[own]
+    n_bits = [np.bincount(own, weights=used, minlength=n).astype(np.int64) for own, _, used in sections]
+    start = np.concatenate([[0], np.cumsum((n_head + sum(n_bits) + 7) >> 3)])
     words = np.zeros((int(start[-1]) >> 3) + 2, dtype=np.uint64)
-    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-    new = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
-    words[word[new]] = np.bitwise_or.reduceat(value << shift, new)
-    over = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    words[word[new] + 1] |= np.bitwise_or.reduceat(over, new)
+    at = 8 * start[:-1] + n_head
+    for (own, value, used), m in zip(sections, n_bits, strict=True):
+        bit = np.cumsum(used) - used - (np.cumsum(m) - m)[own] + at[own]
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        new = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
+        words[word[new]] |= np.bitwise_or.reduceat(value << shift, new)
+        over = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        words[word[new] + 1] |= np.bitwise_or.reduceat(over, new)
+        at += m
     data = words.view(np.uint8)
     for w, a in zip(heads, start.tolist(), strict=False):
         own_bytes = np.frombuffer(w.bytes(), dtype=np.uint8)

@@ -192,6 +192,11 @@ def test_code_lengths_are_limited_and_optimal():
     for limit in (7, 12, 15):
         n = webp.code_lengths(counts, limit)
         assert max(n) <= limit and sum(2.0**-k for k in n) == 1.0
+    rows = np.array([RNG.integers(0, n, size=40) * (RNG.random(40) < p) for n in (1, 2, 9, 10_000) for p in (0, 0.03, 0.1, 0.5, 1)] + [counts + [0] * 10])
+    for row, many in zip(rows.tolist(), webp.many_code_lengths(rows, 7).tolist(), strict=True):
+        alone = webp.code_lengths(row, 7)
+        assert sum(c * n for c, n in zip(row, many, strict=True)) == sum(c * n for c, n in zip(row, alone, strict=True)) and max(many) <= 7
+        assert [n > 0 for n in many] == [c > 0 for c in row]
     assert sum(c * k for c, k in zip([5, 9, 12, 13, 16, 45], webp.code_lengths([5, 9, 12, 13, 16, 45]), strict=True)) == 224
 
 
