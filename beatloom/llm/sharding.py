@@ -1,20 +1,22 @@
 """Sharding by fixed virtual slots.
 
 Each record is hashed to one of a few thousand slots; bytes and rows are summed per slot; a versioned
-table maps slots to shards. Rebalancing edits that table, so a new shard count or new data moves a few
-slots and no record is hashed anew.
+table maps slots to shards. The first version deals the slots out in turn, before any size is known. Rebalancing edits that
+table by what the slots hold: a new shard count or new data moves a few slots, and no record is hashed anew.
 
 Skew: records are hashed by their own id, so copies of one text or a hot source spread over the slots. The
-only thing collected is the slot histogram, whose rows are bounded by the slot count.
+only things collected are the slot histogram and the map, whose rows are bounded by the slot count. Places in a shard are numbered
+inside parts of a slot of about PART_ROWS rows, dealt by each row's place in the input, so no task sorts a slot, however full.
 
-Cases: a null id is hashed as a fixed text together with the text's checksum; a null text has size 1;
+Cases: records with a null id are hashed by their place in the input, so they spread; a null text has size 1;
 repeated rows (same id) share a slot and get different places; an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_right, insort
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 N_SLOTS = 4096
+#: Rows of a slot that are numbered together.
+PART_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -39,58 +43,76 @@ class SlotMap:
         return [(s, k, self.version) for s, k in enumerate(self.shard_of)]
 
 
-def balanced(sizes: list[int], n_shards: int) -> SlotMap:
-    """First map: slots from the largest down, each to the shard with the fewest bytes so far."""
-    heap, shard_of = [(0, 0, k) for k in range(n_shards)], [0] * len(sizes)
-    for slot in sorted(range(len(sizes)), key=lambda s: (-sizes[s], s)):
-        total, count, shard = heapq.heappop(heap)
-        shard_of[slot] = shard
-        heapq.heappush(heap, (total + sizes[slot], count + 1, shard))
-    return SlotMap(1, n_shards, tuple(shard_of))
+def dealt(n_slots: int, n_shards: int) -> SlotMap:
+    """The first version: slots in turn."""
+    return SlotMap(1, n_shards, tuple(s % n_shards for s in range(n_slots)))
 
 
-def rebalanced(old: SlotMap, sizes: list[int], n_shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
-    """The next version: moves slots from shards above the mean to shards below it until all are within tolerance.
+def rebalanced(old: SlotMap, sizes: list[int], n_shards: int | None = None, tolerance: float = 0.0005) -> SlotMap:
+    """The next version: moves slots from the fullest shard to the emptiest until both are within tolerance of the mean, or no move helps.
 
-    Slots of removed shards move first. Only the moved slots change; they are listed in `moved`.
+    Slots of removed shards move first. A move takes the slot that comes nearest to half the gap between the two, or, where all are
+    too large, exchanges two that differ by about as much; so few move, and each step narrows the gap. Only the moved slots change; they are listed in `moved`.
     """
     n = n_shards or old.n_shards
-    shard_of, load = list(old.shard_of), [0] * n
-    homeless = [s for s, k in enumerate(shard_of) if k >= n]
-    for s, k in enumerate(shard_of):
-        if k < n:
-            load[k] += sizes[s]
-    moved = []
+    shard_of, load, own = list(old.shard_of), [0] * n, [[] for _ in range(n)]
+    moved: dict[int, None] = {}
 
     def put(slot: int, shard: int) -> None:
         shard_of[slot] = shard
         load[shard] += sizes[slot]
-        moved.append(slot)
+        if sizes[slot]:
+            insort(own[shard], (sizes[slot], slot))
 
+    homeless = [s for s, k in enumerate(shard_of) if k >= n]
+    for s, k in enumerate(shard_of):
+        if k < n:
+            put(s, k)
     for s in sorted(homeless, key=lambda s: (-sizes[s], s)):
         put(s, min(range(n), key=lambda k: (load[k], k)))
+        moved[s] = None
     mean = sum(sizes) / n
-    own = [sorted((s for s in range(len(sizes)) if shard_of[s] == k), key=lambda s: (sizes[s], s)) for k in range(n)]
-    for k in sorted(range(n), key=lambda k: -load[k]):
-        for s in reversed(own[k]):
-            low = min(range(n), key=lambda j: (load[j], j))
-            if load[k] <= mean * (1 + tolerance):
-                break
-            if sizes[s] and sizes[s] <= load[k] - mean and load[low] + sizes[s] <= mean * (1 + tolerance):
-                load[k] -= sizes[s]
-                put(s, low)
-    return SlotMap(old.version + 1, n, tuple(shard_of), tuple(moved))
+    while True:
+        high, low = max(range(n), key=lambda k: (load[k], -k)), min(range(n), key=lambda k: (load[k], k))
+        gap = load[high] - load[low]
+        if load[high] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance):
+            break
+        # a slot of the fullest that goes, and one of the emptiest, or none, that comes back for it
+        best = min(((x, y) for x, y in _steps(own[high], own[low], gap) if 0 < x[0] - y[0] < gap), key=lambda s: (s[1][1] >= 0, abs(gap - 2 * (s[0][0] - s[1][0])), s), default=None)
+        if best is None:
+            break
+        for (size, slot), here, there in ((best[0], high, low), (best[1], low, high)):
+            if slot >= 0:
+                own[here].remove((size, slot))
+                load[here] -= size
+                put(slot, there)
+                moved[slot] = None
+    return SlotMap(old.version + 1, n, tuple(shard_of), tuple(s for s in moved if shard_of[s] != old.shard_of[s]))
+
+
+def _steps(high: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """Pairs of (size, slot) that a step may exchange: single slots near half the gap, and each slot with those near it less half the gap."""
+    nothing = (0, -1)
+    at = bisect_right(high, (gap / 2, 0))
+    single = [x for x in high[max(0, at - 1) : at + 1] if x[0] < gap]
+    yield from ((x, nothing) for x in single)
+    if not single:
+        for x in high:
+            at = bisect_right(low, (x[0] - gap / 2, 0))
+            yield from ((x, y) for y in low[max(0, at - 1) : at + 1])
 
 
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of every record."""
+    """id, size (UTF-8 bytes plus 1), text_crc32, virtual_slot and place (in the input; to be stored before it is used) of every record."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.crc32(data).cast("string")))
+    place = F.monotonically_increasing_id()
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), place.cast("string")))
     return docs.select(
         F.col(id_col),
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        place.alias("place"),
     )
 
 
@@ -116,28 +138,40 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return rows.where(F.col("version") == version)
 
 
-def assign(slotted: DataFrame, slot_map: DataFrame, counts: list[int], id_col: str = "doc_id") -> DataFrame:
-    """Adds shard, version and slot: the record's place in its shard, gapless from 0.
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A stored version, to be edited; a row a slot reaches the driver."""
+    rows = sorted(load_map(spark, path, version).collect(), key=lambda r: r["virtual_slot"])
+    return SlotMap(rows[0]["version"], max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows))
+
+
+def assign(slotted: DataFrame, slot_map: DataFrame, rows: int, part_rows: int = PART_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """Adds shard, version and slot: the record's place in its shard, gapless from 0. slotted is stored and has so many rows.
 
-    Places are numbered inside each virtual slot, a small group, and shifted by the rows of the shard's earlier
-    slots, so no task ever sorts a whole shard. The map has a fixed number of rows, so it is broadcast.
+    A part's places are shifted by the rows of the shard's earlier parts, a table of a row a part.
     """
-    spark = slotted.sparkSession
-    base = spark.createDataFrame(list(enumerate(counts)), "virtual_slot int, n long").join(slot_map, "virtual_slot")
-    before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
-    base = base.select("virtual_slot", "shard", "version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col(id_col), "text_crc32", "size"))
-    placed = slotted.withColumn("place", place)
-    return placed.join(F.broadcast(base), "virtual_slot").withColumn("slot", (F.col("base") + F.col("place") - 1).cast("long")).drop("base", "place")
+    parts = max(1, rows // (N_SLOTS * part_rows))
+    at = slotted.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)))
+    before = W.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(W.unboundedPreceding, -1)
+    base = at.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(slot_map, "virtual_slot")
+    base = base.select("virtual_slot", "part", "shard", "version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    number = F.row_number().over(W.partitionBy("virtual_slot", "part").orderBy(F.col(id_col), "text_crc32", "size", "place"))
+    placed = at.withColumn("number", number).join(base, ["virtual_slot", "part"])
+    return placed.withColumn("slot", (F.col("base") + F.col("number") - 1).cast("long")).drop("base", "number", "part", "place")
+
+
+def shard_documents(docs: DataFrame, n_shards: int, path: str) -> DataFrame:
+    """Every record's shard by the latest version of the map at path, after one that fits the sizes is added to it."""
+    spark = docs.sparkSession
+    slotted = common.stored(with_slots(docs), "slotted")
+    sizes, counts = slot_histogram(slotted)
+    store_map(spark, dealt(N_SLOTS, n_shards), path)
+    store_map(spark, rebalanced(read_map(spark, path), sizes), path)
+    return assign(slotted, load_map(spark, path), sum(counts))
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 7, law `bytes`: the first map is balanced by bytes, stored and read back."""
-    slotted = common.stored(with_slots(common.table(spark, sf_dir, "documents")), "slotted")
-    sizes, counts = slot_histogram(slotted)
-    path = common.new_path(spark, "slotmap")
-    store_map(spark, balanced(sizes, 8), path)
-    out = assign(slotted, load_map(spark, path), counts)
+    """All documents into shards 0 to 7, law `bytes`: the first map, rebalanced by the bytes of its slots, read back in its second version."""
+    out = shard_documents(common.table(spark, sf_dir, "documents"), 8, common.new_path(spark, "slotmap"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
