@@ -6,11 +6,13 @@ assistant's turns. Conversations are handled in blocks of BLOCK_TURNS turns, one
 any length never gathers in one task; nearly all have one block. The common prefix of the blocks is the least first
 difference over all of a pair's blocks.
 
-pair_conversations() pairs conversations with the same first turn, each with the next by id. A very common first
-turn is split: groups are cut by conv_id modulo count / GROUP, so none exceeds a few dozen members.
+pair_conversations() pairs conversations with the same first turn, each with the next by id, however many there are. Ids are cut into
+ranges of about RANGE_ROWS conversations; neighbours are found inside a range of an opening, and the last of a range is linked to
+the first of the opening's next range by a small table of a row a range. So an opening that a third of all conversations share is
+spread over many tasks, and the pairs are the same as if it were not.
 
 Cases: a null role or text is an empty string; exactly repeated rows count once; several different rows with one turn
-number form one unit, in order of role and text; rows with a null conv_id or turn are not part of a conversation and
+number form one unit, in order of role and text, and are held together in one row; rows with a null conv_id or turn are not part of a conversation and
 are left out; a conversation without a partner gets a null rejected_id, its turns are the prompt and its completions
 are empty; empty tables give an empty result; extra columns are ignored.
 """
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_TURNS, GROUP = 256, 64
+BLOCK_TURNS = 256
+#: Conversations in a range of ids, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 100_000, 1024
 TRAINED_ROLE = "assistant"
 
 
@@ -34,16 +38,30 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).distinct()
 
 
-def pair_conversations(turns: DataFrame, group: int = GROUP) -> DataFrame:
-    """chosen_id, rejected_id: conversations that open alike, each with the next of its group; null for none."""
+def id_ranges(ids: DataFrame, rows: int, most: int = MOST_RANGES) -> list[int]:
+    """Rising bounds of ranges of conv_id with about so many rows each; their number, not the input's, reaches the driver."""
+    k = min(most, ids.count() // rows)
+    if k < 2:
+        return []
+    found = ids.agg(F.percentile_approx("conv_id", [i / k for i in range(1, k)], 10 * most).alias("cuts")).first()["cuts"]
+    return sorted(set(found or []))
+
+
+def pair_conversations(turns: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """chosen_id, rejected_id: conversations that open alike, each with the next by id; null for one that is alone."""
     first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("f"))
     first = first.select("conv_id", F.sha2(F.concat_ws("\x1f", F.col("f.role"), F.col("f.text")), 256).alias("opening"))
     first = common.stored(first, "openings")
-    counts = common.stored(first.groupBy("opening").count().where("count > 1"), "opening-counts")
-    cut = first.join(counts, "opening", "left").withColumn("cut", F.pmod(F.col("conv_id"), F.ceil(F.coalesce(F.col("count"), F.lit(1)) / group)))
-    w = W.partitionBy("opening", "cut").orderBy("conv_id")
-    linked = cut.select("conv_id", F.lead("conv_id").over(w).alias("next"), F.lag("conv_id").over(w).alias("prev"))
-    return linked.where(F.col("next").isNotNull() | F.col("prev").isNull()).select(F.col("conv_id").alias("chosen_id"), F.col("next").alias("rejected_id"))
+    cuts = id_ranges(first, rows)
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("conv_id"))) if cuts else F.lit(0)
+    first = first.withColumn("range", at)
+    inside = first.select(F.col("conv_id").alias("chosen_id"), F.lead("conv_id").over(W.partitionBy("opening", "range").orderBy("conv_id")).alias("rejected_id"))
+    ends = first.groupBy("opening", "range").agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high"))
+    w = W.partitionBy("opening").orderBy("range")
+    ends = ends.select("low", "high", F.lead("low").over(w).alias("next"), F.lag("high").over(w).alias("prev"))
+    alone = F.col("prev").isNull() & (F.col("low") == F.col("high"))
+    across = ends.where(F.col("next").isNotNull() | alone).select(F.col("high").alias("chosen_id"), F.col("next").alias("rejected_id"))
+    return inside.where("rejected_id IS NOT NULL").unionAll(across)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -109,8 +127,7 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 f AS (SELECT conv_id, arg_min(role || chr(31) || text, turn) AS opening FROM t GROUP BY conv_id),
-n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY opening) / 64.0) AS BIGINT) AS cuts FROM f),
-l AS (SELECT conv_id, lead(conv_id) OVER w AS nx, lag(conv_id) OVER w AS pv FROM n WINDOW w AS (PARTITION BY opening, conv_id % cuts ORDER BY conv_id)),
+l AS (SELECT conv_id, lead(conv_id) OVER w AS nx, lag(conv_id) OVER w AS pv FROM f WINDOW w AS (PARTITION BY opening ORDER BY conv_id)),
 p AS (SELECT conv_id AS chosen_id, nx AS rejected_id FROM l WHERE nx IS NOT NULL OR pv IS NULL),
 s AS (SELECT chosen_id, rejected_id, 0 AS side, chosen_id AS conv_id FROM p UNION ALL SELECT chosen_id, rejected_id, 1, rejected_id FROM p WHERE rejected_id IS NOT NULL),
 r AS (SELECT s.*, turn, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line FROM s JOIN t USING (conv_id)),
