@@ -5,23 +5,25 @@ phrase hashes is condensed to a one-permutation minimum-hash signature of BINS b
 fingerprints is the share of equal bins among those that either has filled, an estimate of the phrase sets' Jaccard
 similarity, which grows as one text helps to compress the other.
 
-Neighbours by id are found without a global sort in one task: ids are cut into ranges at quantiles (a bounded number
-of them), each range is sorted in its own partition, and the first row of each range is also sent, marked, to the end of
-the range before it. Texts are shuffled once and streamed; a task holds two texts.
+Neighbours by id are found without a global sort in one task: ids are cut into ranges at quantiles, a bounded number of them. An
+id that fills several ranges (null counts as one) is cut further by its texts' checksums. Each range is sorted in one partition
+of as many as there are ranges, and the first row of each range is also sent, marked, to the end of the range before it. Texts
+are shuffled once and streamed; a task holds two texts. Counts and quantiles read ids alone, unless an id fills several ranges.
 
 Cases: null text is empty; an empty text has an empty fingerprint (all bins unfilled), and two empty fingerprints have
-likeness 1; ids that tie or repeat are ordered by the text's checksum; null ids come last; a single document is its own
+likeness 1; ids that tie or repeat are ordered by the text's checksum, falling; null ids come last; a single document is its own
 neighbour; an empty table gives an empty result; extra columns are ignored. Whole texts are parsed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -100,67 +102,68 @@ def edited(text: str, following: str) -> tuple[str, str]:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def ranges(ids: DataFrame, rows: int = RANGE_ROWS, most: int = MOST_RANGES) -> list[int]:
-    """Descending lower bounds of the ranges of doc_id; at most `most`."""
-    n = ids.count()
-    k = min(most, n // rows)
+#: What a null id is sorted as, below all others.
+LEAST = -(1 << 63)
+
+
+def ranges(ids: DataFrame, rows: int, most: int) -> list[tuple[int, int]]:
+    """Rising lower bounds (id, checksum) of all ranges but the lowest; `most` ranges at most, about `rows` rows each."""
+    k = min(most, ids.count() // rows)
     if k < 2:
         return []
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 10 * k))).first()[0] or []
-    return sorted(set(cuts), reverse=True)
+    quantiles = F.percentile_approx(F.coalesce("doc_id", F.lit(LEAST)), [i / k for i in range(1, k)], max(10_000, 10 * k))
+    times = Counter(ids.agg(quantiles.alias("q")).first()["q"] or [])
+    return sorted((v, (j << 32) // n) for v, n in times.items() for j in range(n))
+
+
+def _rank(bounds: list[int], kind: str, key: Column) -> Column:
+    """How many of the rising bounds are at most the key, by binary search in a constant array."""
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast(f"array<{kind}>")
+
+    def step(at: Column, _: Column) -> Column:
+        low, high = at["low"], at["high"]
+        mid = F.floor((low + high) / 2).cast("int")
+        below = (low < high) & (F.get(array, mid) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(low).alias("low"), F.when((low < high) & ~below, mid).otherwise(high).alias("high"))
 
+    zero = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), zero, step)["low"]
 
-def with_following(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, range and `extra`, partitioned and sorted so that each row's successor by falling id is the next row.
+
+def with_following(docs: DataFrame) -> DataFrame:
+    """doc_id, text, range and extra, partitioned and sorted so that each row's successor by falling id is the next row.
 
     Rows with `extra` are copies of the first row of the next range, which end each range.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = ranges(d.select("doc_id"))
-    n = max(1, len(cuts) + 1)
-    # range 0 has the largest ids; nulls are in the last
-    at = F.lit(0) if not cuts else F.coalesce(F.lit(len(cuts)) - F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))), F.lit(len(cuts)))
-    if len(cuts) > 64:
-        bounds = spark.createDataFrame([(cuts[::-1],)], "cuts array<long>")
-        d = d.join(F.broadcast(bounds))
-        at = F.coalesce(F.lit(len(cuts)) - _count_le(F.col("cuts"), F.col("doc_id"), len(cuts)), F.lit(len(cuts)))
-    d = d.withColumn("range", at.cast("int")).select("doc_id", "text", "range")
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.crc32(F.col("text").cast("binary")))
+    bounds = ranges(d.select("doc_id"), RANGE_ROWS, MOST_RANGES)
+    heavy = len({v for v, _ in bounds}) < len(bounds)
+    key, check = F.coalesce("doc_id", F.lit(LEAST)), F.crc32(F.col("text").cast("binary"))
+    kind = "decimal(38,0)" if heavy else "bigint"
+    if heavy:  # the checksum is part of the key only where an id fills more than one range
+        key = (key.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + check.cast("decimal(11,0)")).cast(kind)
+    values = [(v << 32) + c if heavy else v for v, c in bounds]
+    # range 0 has the largest ids
+    at = (F.lit(len(values)) - _rank(values, kind, key)).cast("int") if values else F.lit(0)
+    d = d.withColumn("key", key).withColumn("range", at)
+    tops = sorted((r["range"], str(r["top"])) for r in d.groupBy("range").agg(F.max("key").alias("top")).collect())  # a row a range
+    if not tops:
+        return d.withColumn("extra", F.lit(0)).drop("key")
     # the first row of each range goes to the end of the one before; the first of all to the end of the last
-    firsts = d.groupBy("range").agg(F.max(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).alias("top"))
-    firsts = firsts.orderBy("range").collect()  # a row a range, two numbers each
-    if not firsts:
-        return d.withColumn("extra", F.lit(0)), 1
-    goes = [(firsts[(i + 1) % len(firsts)]["top"], firsts[(i + 1) % len(firsts)]["range"], r["range"]) for i, r in enumerate(firsts)]
-    goes = spark.createDataFrame(goes, "top long, from_range int, to_range int")
-    heads = d.join(F.broadcast(goes), (d["range"] == goes["from_range"]) & (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("top")))
-    heads = heads.groupBy("to_range").agg(F.max_by(F.struct("doc_id", "text"), order).alias("h"))
+    goes = [(*tops[(i + 1) % len(tops)], own) for i, (own, _) in enumerate(tops)]
+    goes = spark.createDataFrame(goes, "range int, top string, to_range int").withColumn("top", F.col("top").cast(kind))
+    heads = d.join(F.broadcast(goes), (d["range"] == goes["range"]) & (F.col("key") == F.col("top")))
+    heads = heads.groupBy("to_range").agg(F.max_by(F.struct("doc_id", "text"), check).alias("h"))
     heads = heads.select("h.doc_id", "h.text", F.col("to_range").alias("range"), F.lit(1).alias("extra"))
-    rows = d.withColumn("extra", F.lit(0)).unionByName(heads)
-    rows = rows.repartition(max(1, min(n, 4000)), "range")
-    return rows.sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), F.crc32(F.col("text").cast("binary")).desc()), n
-
-
-def _count_le(cuts, value, n: int):
-    """How many of n rising cuts are at most the value, by binary search."""
-    from pyspark.sql import Column
-
-    def step(lo_hi: Column, _: Column) -> Column:
-        lo, hi = lo_hi["lo"], lo_hi["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        open_ = lo < hi
-        le = F.get(cuts, mid) <= value
-        return F.struct(F.when(open_ & le, mid + 1).otherwise(lo).alias("lo"), F.when(open_ & ~le, mid).otherwise(hi).alias("hi"))
-
-    zero = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(n.bit_length() + 1))
-    return F.when(value.isNotNull(), F.aggregate(steps, zero, step)["lo"])
+    rows = d.drop("key").withColumn("extra", F.lit(0)).unionByName(heads)
+    rows = rows.repartition(len(tops), "range")
+    return rows.sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), check.desc())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likenesses."""
-    rows, _ = with_following(docs)
+    rows = with_following(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row that waits for its successor
