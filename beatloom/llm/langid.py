@@ -1,15 +1,15 @@
 """Language identification by multilingual mixture inference.
 
 Each learned language has a distribution over character trigrams of words, hashed to BUCKETS. A document's trigrams
-are taken as drawn from a mixture of languages; expectation-maximisation estimates the proportions. The set of
-languages is chosen by penalised likelihood: from all languages down, the one with the least proportion is dropped and the
-rest estimated again, and the set with the best log-likelihood less half a log of the length for each language is kept.
+are taken as drawn from a mixture of languages; expectation-maximisation estimates the proportions, until none moves by more than
+SETTLED in a round. The set of languages is chosen by penalised likelihood: from all languages down, the one with the least
+proportion is dropped and the rest estimated again, and the set with the best log-likelihood less half a log of the length for each
+language is kept. Languages that explain less than TRACE trigrams of the document together leave in one step.
 
-The predicted language is the one with the largest proportion, the score its proportion times the share of the text's
-words' trigrams that the language could have written.
+The predicted language is the one with the largest proportion in the chosen set, and that proportion is the score.
 
 Counts cover all rows that may be learned from, summed inside tasks first; the model has BUCKETS numbers for each
-language, a bound, and is broadcast. Documents are inferred in vectorised batches of rows; nothing is shuffled.
+language and is broadcast; languages are a dimension, of MOST_LANGUAGES at most, which is checked. Documents are inferred in vectorised batches of rows; nothing is shuffled.
 
 Cases: null texts and texts without a letter are `und` with score 0; whole texts are read; repeated rows get equal results;
 with no language to learn from, every text is `und`; empty tables give an empty result; extra columns are kept by
@@ -29,9 +29,12 @@ from pyspark.sql.functions import pandas_udf
 
 from . import common
 
-BITS, ROUNDS, LATER_ROUNDS, FAINT, SMOOTHING = 15, 12, 8, 0.01, 0.1
+BITS, SMOOTHING = 15, 0.1
+#: Of the estimation: the most rounds, the move that ends it, the trigrams below which languages leave together.
+ROUNDS, SETTLED, TRACE = 200, 1e-3, 0.5
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
+MOST_LANGUAGES = 1000
 #: Documents are inferred together up to so many trigrams' buckets.
 BATCH_BUCKETS = 60_000
 
@@ -86,6 +89,8 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
     counts = trigram_counts(rows).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages are more than a model may have")
     n = np.full((len(languages), BUCKETS), SMOOTHING)
     for k, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
@@ -94,27 +99,40 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, np.log(n / n.sum(axis=1, keepdims=True)) if len(languages) else n)
 
 
-def _em(p: np.ndarray, counts: np.ndarray, starts: np.ndarray, owner: np.ndarray, pi: np.ndarray, total: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (languages, documents) after some rounds from pi, and log-likelihoods; p: (languages, buckets)."""
-    used = np.flatnonzero(pi.any(axis=1))
-    for _ in range(rounds):
-        mixed = np.zeros(len(counts))
-        for k in used:
-            mixed += p[k] * pi[k][owner]
-        weight = counts / np.maximum(mixed, 1e-300)
-        for k in used:
-            pi[k] *= np.add.reduceat(p[k] * weight, starts) / total
-    mixed = np.zeros(len(counts))
-    for k in used:
-        mixed += p[k] * pi[k][owner]
-    return pi, np.add.reduceat(counts * np.log(np.maximum(mixed, 1e-300)), starts)
+def _em(p: np.ndarray, counts: np.ndarray, sizes: np.ndarray, pi: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (languages, documents) from pi on, and log-likelihoods; p: (languages, buckets), documents' buckets in a row.
+
+    Documents whose proportions have settled are set aside every few rounds.
+    """
+
+    def mixed(p: np.ndarray, pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return np.maximum(sum(p[k] * pi[k][owner] for k in np.flatnonzero(pi.any(axis=1))), 1e-300)
+
+    out, live = pi.copy(), np.arange(len(sizes))
+    q, c, n, t = p, counts, sizes, total
+    for r in range(1, ROUNDS + 1):
+        first = np.cumsum(n) - n
+        weight = c / mixed(q, pi, n)
+        new = np.zeros_like(pi)
+        for k in np.flatnonzero(pi.any(axis=1)):
+            new[k] = pi[k] * np.add.reduceat(q[k] * weight, first) / t
+        if r % 4 == 0 or r == ROUNDS:
+            out[:, live] = new
+            more = np.abs(new - pi).max(axis=0) > SETTLED
+            if not more.any():
+                break
+            if not more.all():
+                inside = np.repeat(more, n)
+                q, c, n, t, live, new = q[:, inside], c[inside], n[more], t[more], live[more], new[:, more]
+        pi = new
+    return out, np.add.reduceat(counts * np.log(mixed(p, out, sizes)), np.cumsum(sizes) - sizes)
 
 
 def infer(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Chosen proportions (documents, languages), 0 for languages out of the set, and per-trigram log-likelihoods.
 
-    Languages below FAINT leave the set together, otherwise the faintest alone; each smaller set starts from the
-    proportions of the one before.
+    Each smaller set starts from the proportions of the one before.
     """
     found = [np.unique(d, return_counts=True) for d in docs]
     sizes = np.array([len(f[0]) for f in found])
@@ -122,30 +140,29 @@ def infer(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]
     log_p = model.log_p[:, at]
     top = log_p.max(axis=0)  # scaled likelihoods, so that none vanishes
     p = np.exp(log_p - top)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    total = np.add.reduceat(counts, starts)
-    base = np.add.reduceat(counts * top, starts)
+    starts = np.cumsum(sizes) - sizes
+    total, base = np.add.reduceat(counts, starts), np.add.reduceat(counts * top, starts)
     n_lang, n_docs = len(model.languages), len(docs)
     best, best_pi, best_ll = np.full(n_docs, -np.inf), np.zeros((n_docs, n_lang)), np.zeros(n_docs)
-    pi, live, rounds = np.full((n_lang, n_docs), 1.0 / n_lang), np.arange(n_docs), ROUNDS
+    pi, live = np.full((n_lang, n_docs), 1.0 / n_lang), np.arange(n_docs)
     while len(live):
-        n = sizes[live]
-        inside = np.isin(np.repeat(np.arange(n_docs), sizes), live) if len(live) < n_docs else slice(None)
-        first, owner = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(live)), n)
-        pi, ll = _em(p[:, inside], counts[inside], first, owner, pi, total[live], rounds)
-        k = (pi > 0).sum(axis=0)
-        penalised = ll - 0.5 * (k - 1) * np.log(np.maximum(total[live], 2))
+        inside = np.repeat(np.isin(np.arange(n_docs), live), sizes) if len(live) < n_docs else slice(None)
+        before = (pi > 0).sum(axis=0)
+        pi, ll = _em(p[:, inside], counts[inside], sizes[live], pi, total[live])
+        penalised = ll - 0.5 * (before - 1) * np.log(np.maximum(total[live], 2))
         better = penalised >= best[live]
         won = live[better]
         best[won], best_pi[won], best_ll[won] = penalised[better], pi[:, better].T, ((ll + base[live]) / total[live])[better]
-        more = k > 1
-        live, pi = live[more], pi[:, more].copy()
+        more = before > 1
+        live, pi, before = live[more], pi[:, more], before[more]
         if len(live):
-            pi[pi < FAINT] = 0
-            same = (pi > 0).sum(axis=0) == k[more]
-            pi[np.where(pi > 0, pi, np.inf).argmin(axis=0)[same], np.flatnonzero(same)] = 0
+            least = np.where(pi > 0, pi, np.inf).argmin(axis=0)
+            faint = pi * total[live] < TRACE
+            faint[pi.argmax(axis=0), np.arange(len(live))] = False
+            pi = np.where(faint, 0.0, pi)
+            alone = (pi > 0).sum(axis=0) == before
+            pi[least[alone], np.flatnonzero(alone)] = 0
             pi /= pi.sum(axis=0)
-            rounds = LATER_ROUNDS
     return best_pi, best_ll
 
 
