@@ -3,12 +3,14 @@
 Texts become ids once, in Arrow batches; only per-piece lengths and checksums go on. Pieces are dealt to
 groups of a fixed size by a hash; each group is packed best-fit from the longest down, then a local search
 exchanges one for one or two for one, or moves pieces, between bins that are not full, always raising the sum
-of squared fills, until the emptiest bins are empty. Each group leaves at most a bin or two more than it needs of
-several thousand, so the loss does not grow with the input, and no task holds more than a group.
+of squared fills, until the emptiest bins are empty: it goes on until the group has as few bins as its ids need or no step
+helps any bin. Then the pieces of each group's emptiest bin are packed once more, in groups of their own, so what groups leave
+part-filled is one bin for some thousand pieces of such bins. No task holds more than a group.
 
 Cases: null text is an empty text and gives the single end id; texts over the limit are cut; ties and repeated
-rows are packed like any others (repeated rows of a task are dealt to different groups); an empty table gives an
-empty result; extra columns are ignored. Whole texts are always encoded.
+rows are packed like any others (rows are dealt by their place in the input, so they spread over the groups); an empty table gives an
+empty result; extra columns are ignored. Whole texts are always encoded, by parts only with a tokenizer that gives a test text
+the same ids by parts as in one.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from . import common
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
 #: Words in a generation of a worker's cache.
 CACHE_WORDS = 500_000
-TRIALS = 400
 
 # White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
@@ -36,8 +37,10 @@ _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Letters whose lower case depends on nothing around them, and the ASCII marks after them: the tokenizer parts the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _BETWEEN = "|"
+# What a tokenizer must give the same ids by parts as in one.
+_TEST = "The QUICK brown Fox, jumps!  Über naïve (test) don't; ΑΣ ΟΔΟΣ 日本語。x,y a-b\tc\nd 12.5 e"
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
 
 class Encoder:
@@ -52,6 +55,8 @@ class Encoder:
         between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.parted = True
+        self.parted = next(self.encode([_TEST])).tolist() == self.tokenizer.encode(_TEST, add_special_tokens=False).ids
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.width).tobytes()
@@ -93,7 +98,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array of ids a text, in order."""
         self.words.trim()
-        cut = [None if any(x in t for x in _WHOLE) else t.split() for t in texts]
+        cut = [None if not self.parted or any(x in t for x in _WHOLE) else t.split() for t in texts]
         self._learn(set().union(*[w for w in cut if w]))
         for text, words in zip(texts, cut, strict=True):
             if words is None:
@@ -117,24 +122,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """The pieces of every document: its ids and the end id, cut every `capacity` ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, seen = encoder_of(tokenizer_path), {}
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             rows = []
-            for part in _chunks(list(zip(batch["doc_id"], batch["text"], strict=True))):
-                texts = ["" if t is None else t for _, t in part]
-                for (doc_id, _), ids in zip(part, encoder.encode(texts), strict=True):
+            for part in _chunks(list(zip(batch["doc_id"], batch["text"], batch["place"], strict=True))):
+                texts = ["" if t is None else t for _, t, _ in part]
+                for (doc_id, _, place), ids in zip(part, encoder.encode(texts), strict=True):
                     ids = np.append(ids, np.array([end_id], dtype="<u4"))
-                    again = seen.get(doc_id, 0)
-                    if len(seen) < 1_000_000 or again:
-                        seen[doc_id] = again + 1
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
-                        rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), again))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                        rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), place))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place")).mapInPandas(run, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -161,12 +163,12 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int = CAPACITY, trials: int = TRIALS) -> list[list[int]]:
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int = CAPACITY) -> list[list[int]]:
     """Empties the emptiest bins, as far as exchanges that raise the sum of squared fills can.
 
     A step takes the emptiest bin left and the step that gains most among: moving one of its pieces to a bin with room,
-    exchanging one or two of its pieces for a shorter one of a fuller bin. A bin that no step helps is left as it
-    is. It stops when no fewer bins are possible or after `trials` bins.
+    exchanging one or two of its pieces, of all pairs, for a shorter one of a fuller bin. A bin that no step helps is left as it
+    is. It stops when no fewer bins are possible or all bins that are not full have been tried.
     """
     need = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
@@ -179,7 +181,7 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int = CAPA
     at = {int(i): k for k, i in enumerate(piece)}
     full = np.array(fill)
     alive, stuck = set(under), set()
-    for b in sorted(under, key=lambda b: fill[b])[:trials]:
+    for b in sorted(under, key=lambda b: fill[b]):
         if sum(1 for x in bins if x) <= need:
             break
         while bins[b] and b not in stuck:
@@ -197,8 +199,12 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int = CAPA
                     best = max(best, (2 * n * int(full[t] - full[b] + n), ((i,), None, t)), key=lambda x: x[0])
             ok_home = home != b
             room = capacity - full[home]
-            small = own[:12]
-            for give in [(i,) for i in own] + [(i, j) for x, i in enumerate(small) for j in small[x + 1 :]]:  # exchange
+            gives = {lengths[i]: (i,) for i in own}  # one piece of each length, one pair of each sum
+            once = [i for x, i in enumerate(own) if x < 2 or lengths[i] != lengths[own[x - 2]]]
+            for x, i in enumerate(once):
+                for j in once[x + 1 :]:
+                    gives.setdefault(lengths[i] + lengths[j], (i, j))
+            for give in gives.values():  # exchange
                 n = sum(lengths[i] for i in give)
                 up = n - size
                 gain = np.where(ok_home & (up > 0) & (up <= room), 2 * up * (full[home] - full[b] + up), 0)
@@ -224,26 +230,41 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int = CAPA
     return [b for b in bins if b]
 
 
-def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset. pieces is a stored table, so that each rerun of a task sees the same rows."""
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, place long, sequence_id long, offset long, emptiest boolean"
+
+
+def _packed_groups(pieces: DataFrame, n_pieces: int, capacity: int, group: int, first_id: int) -> DataFrame:
+    """PACKED of pieces in groups; sequence ids count up from first_id in each group's own range."""
     n_groups = max(1, -(-n_pieces // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(n_groups)).cast("long"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("place", "piece"), F.lit(n_groups)).cast("long"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "salt"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "place"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
         bins = local_search(lengths, best_fit(lengths, capacity), capacity)
-        sequence, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+        sequence, offset, fill = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64), []
         for k, b in enumerate(bins):
             at = 0
             for i in sorted(b):
                 sequence[i], offset[i] = k, at
                 at += lengths[i]
-        rows["sequence_id"] = sequence + (int(rows["grp"].iloc[0]) << 32)
+            fill.append(at)
+        rows["emptiest"] = sequence == int(np.argmin(fill))
+        rows["sequence_id"] = sequence + first_id + (int(rows["grp"].iloc[0]) << 32)
         rows["offset"] = offset
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return rows[[c.split()[0] for c in PACKED.split(", ")]]
 
-    return dealt.groupBy("grp").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInPandas(run, PACKED)
+
+
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """Adds sequence_id and offset. pieces is a stored table, so that each rerun of a task sees the same rows."""
+    out = _packed_groups(pieces, n_pieces, capacity, group, 0)
+    if n_pieces > group:  # the emptiest bin of each group, packed again
+        out = common.stored(out, "packed")
+        loose = out.where("emptiest").drop("sequence_id", "offset", "emptiest")
+        out = out.where("NOT emptiest").unionByName(_packed_groups(loose, loose.count(), capacity, group, 1 << 31))
+    return out.drop("place", "emptiest")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

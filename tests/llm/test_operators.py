@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.llm import entry, langid, lzprint, packing, sharding, warc
+from beatloom.llm import entry, packing, warc
 from tests.conftest import SF
 from tests.oracle import compare
 
@@ -29,22 +29,6 @@ def test_against_sql(spark, name):
     compare(spark, name, SF)
 
 
-def test_sharding(spark, docs):
-    out = sharding.op1_virtual_slots(spark, SF).toPandas()
-    assert len(out) == docs.count()
-    size = out.groupby("shard")["size"].sum()
-    assert len(size) == 8 and size.max() < 1.3 * size.min()
-    for _, g in out.groupby("shard"):
-        assert sorted(g["slot"]) == list(range(len(g)))
-
-
-def test_sharding_moves_few():
-    sizes = [7 + i % 11 for i in range(4096)]
-    old = sharding.balanced(sizes, 8)
-    new = sharding.rebalanced(old, sizes, 9)
-    assert all(a == b or b == 8 for a, b in zip(old.shard_of, new.shard_of, strict=True)) and new.version == 2
-
-
 def test_packing(odd):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -77,21 +61,3 @@ def test_arc_round_trip(spark):
     assert out == {1: (n, "revisit", 2), 2: (n, "response", None), 3: (0, "response", None), 4: (1, "response", None), 5: (1, "response", None)}
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.arc_head("x", 1) + b"http://a 0.0.0.0 20000101000000 text/html 99\nshort"))
-
-
-def test_fingerprints(odd):
-    rows = [(i, t) for i, t in ODD if i not in (None, 3)] + [(3, ODD[2][1])]
-    got = {r.doc_id: r for r in lzprint.fingerprints(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
-    rows.sort(key=lambda r: -r[0])
-    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
-        edited = "".join(lzprint.edited(text or "", after or ""))
-        assert (got[i].n_chars, got[i].fingerprint, got[i].edited_fingerprint) == (len(text or ""), lzprint.fingerprint(text), lzprint.fingerprint(edited))
-
-
-def test_language_held_out(docs, odd):
-    model = langid.fit(docs)
-    out = langid.with_languages(docs, model).where("lang IS NOT NULL AND language.lang <> 'und'")
-    hits = out.select(F.avg((F.col("lang") == F.col("language.lang")).cast("double"))).first()[0]
-    assert hits > 0.9
-    und = {r.doc_id for r in langid.with_languages(odd, model).where("language.lang = 'und'").collect()}
-    assert {1, 2} <= und
