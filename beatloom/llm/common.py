@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, whose tasks are this process, may lack it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="beatloom-"))
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -339,6 +339,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = common.stored(links(docs, members, percent), "links")
     comps = components(found)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "components")
+    for done in (reps, edges, family, sizes, members, found, comps):
+        common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     out = keyed.join(by_set, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -229,6 +229,8 @@ def train(rows: DataFrame) -> Model:
 
     g = common.stored(kept.select("gram", F.ln(p(1)).alias("l1"), F.ln(p(0)).alias("l0")).select("gram", (F.col("l1") - F.col("l0")).alias("r")), "toxic-gram-ratios")
     c = common.stored(ctx.select("ctx", F.ln(backoff(1) / backoff(0)).alias("r")), "toxic-context-ratios")
+    common.drop_stored(grams)
+    common.drop_stored(ctx)
     return Model(g, c, total["n"] + c.count())
 
 
