@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from ..params import BANDS, PPG_FEATURES
+from ..params import BANDS, FRONTAL, POSTERIOR
 
 
 @lru_cache(maxsize=64)
@@ -158,31 +158,10 @@ def beat_tensor(channels: list[np.ndarray | None], ecg: np.ndarray, fs: float, b
     return (out[..., ::step] if out.shape[-1] > step else out), len(used), rr
 
 
-def ppg_features(ppg: np.ndarray, fs: float) -> dict[str, float]:
-    """Twelve features of interval and pulse shape; zeros for fewer than 3 peaks."""
-    zero = dict.fromkeys(PPG_FEATURES, 0.0)
+def pulse_peaks(ppg: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """G15, first part: the filtered signal and its peaks."""
     x = filtfilt(*butter(3, 0.5, 8.0, fs), ppg)[0]
-    peaks = find_peaks(x, 0.4 * fs, 0.3 * x.std())
-    if len(peaks) < 3:
-        return zero
-    ibi = np.diff(peaks) / fs
-    t = np.arange(len(ibi))
-    slope, base = np.polyfit(t, ibi, 1)
-    rest, total = ((ibi - slope * t - base) ** 2).sum(), ((ibi - ibi.mean()) ** 2).sum()
-    pulses = [x[a:b] for a, b in zip(peaks[:-1], peaks[1:], strict=True) if b - a >= 5]
-    amp = [p.max() - p.min() for p in pulses]
-    rise = [int(np.argmax(p)) / fs for p in pulses]
-    width = []
-    for p in pulses:
-        above = np.flatnonzero(p >= p.min() + (p.max() - p.min()) / 2)
-        width.append((above[-1] - above[0]) / fs if len(above) else 0.0)
-    area = [float(((p[:-1] + p[1:]) / 2).sum() / fs) for p in pulses]
-    stat = lambda v, f: float(f(v)) if len(v) else 0.0
-    values = (
-        ibi.mean(), ibi.max() - ibi.min(), slope, 1 - rest / (total + 1e-8), ibi.std() / (ibi.mean() + 1e-8), stat(np.diff(ibi), np.mean),
-        stat(amp, np.mean), stat(amp, np.var), stat(rise, np.mean), stat(width, np.mean), stat(area, np.mean), stat(area, np.var),
-    )
-    return dict(zip(PPG_FEATURES, map(float, values), strict=True))
+    return x, find_peaks(x, 0.4 * fs, 0.3 * x.std())
 
 
 def resample(x: np.ndarray, n: int) -> np.ndarray:
@@ -190,8 +169,11 @@ def resample(x: np.ndarray, n: int) -> np.ndarray:
     m = x.shape[-1]
     spectrum = np.fft.rfft(x)
     out = np.zeros((*x.shape[:-1], n // 2 + 1), dtype=complex)
-    k = min(m, n) // 2 + 1
+    least = min(m, n)
+    k = least // 2 + 1
     out[..., :k] = spectrum[..., :k]
+    if least % 2 == 0 and m != n:  # the middle bin stands for two: half of it when there is room for both, both when there is not
+        out[..., k - 1] *= 0.5 if n > m else 2.0
     return np.fft.irfft(out, n) * (n / m)
 
 
@@ -231,8 +213,6 @@ def remove_artifacts(eeg: np.ndarray, names: list[str], ecg: np.ndarray | None,
 
     Skipped, with the reason, below 20 s or without an ECG.
     """
-    posterior = ("O1", "O2", "Oz", "P7", "P8", "P3", "P4", "Pz", "PO3", "PO4")
-    frontal = ("Fz", "FCz", "Cz", "F3", "F4", "FC3", "FC4", "AFz", "AF3", "AF4")
     info = {"ica_n_excluded": 0, "ica_skipped": True, "ica_skip_reason": None, "ica_posterior_check_failed": False}
     if ecg is None or eeg.shape[1] < 20 * fs:
         return eeg, info | {"ica_skip_reason": "no_ecg" if ecg is None else "too_short"}
@@ -245,7 +225,7 @@ def remove_artifacts(eeg: np.ndarray, names: list[str], ecg: np.ndarray | None,
     for k in [k for k, s in enumerate(sources) if abs(float(unit(s) @ unit(ecg)) / len(ecg)) > 0.4]:
         w = np.abs(mixing[:, k])
         part = lambda group, w=w: float(np.mean([w[i] for i, n in enumerate(names) if n in group] or [0.0]))
-        if part(posterior) > 1.5 * part(frontal):
+        if part(POSTERIOR) > 1.5 * part(FRONTAL):
             drop.add(k)
         else:
             info["ica_posterior_check_failed"] = True

@@ -37,6 +37,21 @@ def to_fetch(remote: DataFrame, local: DataFrame) -> DataFrame:
     return remote.where("length > 0").join(local, ["path", "length"], "left_anti")
 
 
+def fetch_counts(remote: DataFrame, local: DataFrame, failed: DataFrame) -> DataFrame:
+    """Files fetched, skipped (here already, or empty) and failed (path), and whether none failed."""
+    here = local.select("path", "length", F.lit(True).alias("here"))
+    r = remote.join(here, ["path", "length"], "left").join(failed.select("path", F.lit(True).alias("bad")), "path", "left")
+    skip = F.col("here").isNotNull() | (F.col("length") == 0)
+    bad = ~skip & F.col("bad").isNotNull()
+    out = r.agg(F.count_if(~skip & ~bad).alias("downloaded"), F.count_if(skip).alias("skipped"), F.count_if(bad).alias("failed"))
+    return out.withColumn("success", F.col("failed") == 0)
+
+
+def validation_summary(validity: DataFrame) -> DataFrame:
+    """A row a verdict with its number of subjects and the first and last of them."""
+    return validity.groupBy("verdict").agg(F.count("*").alias("n"), F.min("subject").alias("first"), F.max("subject").alias("last"))
+
+
 def check_written(written: DataFrame, expected_rows: int, size: int) -> None:
     """K6: raises unless the table read back has the rows and every tensor the size."""
     r = written.agg(F.count("*").alias("n"), F.count_if(F.size("hest_norm") != size).alias("bad")).first()

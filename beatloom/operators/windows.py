@@ -15,8 +15,8 @@ def diff(df: DataFrame, keys: list[str], order: str, value: str, out: str = "rr"
 def clean_beats(df: DataFrame, keys: list[str], order: str, value: str, tolerance: float = 0.3) -> DataFrame:
     """Drops the later beat of an interval that is off the median of all; rr is then taken over what is left."""
     d = diff(df, keys, order, value)
-    w = W.partitionBy(*keys)
-    d = d.withColumns({"__m": F.median("rr").over(w), "__n": F.count("*").over(w)})
+    mid = d.groupBy(*keys).agg(F.median("rr").alias("__m"), F.count("*").alias("__n"))
+    d = d.join(mid, keys)
     keep = (F.col("__n") < 3) | F.col("rr").isNull() | (F.abs(F.col("rr") - F.col("__m")) < tolerance * F.col("__m"))
     return diff(d.where(keep).drop("__m", "__n", "rr"), keys, order, value)
 

@@ -33,6 +33,8 @@ PPG_FEATURES = (
     "ibi_mean", "ibi_range", "ibi_slope", "ibi_r2", "ibi_samp_en", "ibi_d1_mean",
     "ppg_amp_mean", "ppg_amp_var", "ppg_rise_mean", "ppg_width_mean", "ppg_area_mean", "ppg_area_var",
 )
+POSTERIOR = ("O1", "O2", "Oz", "P7", "P8", "P3", "P4", "Pz", "PO3", "PO4")
+FRONTAL = ("Fz", "FCz", "Cz", "F3", "F4", "FC3", "FC4", "AFz", "AF3", "AF4")
 MIN_FILE_BYTES = 1_048_576
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import arrays, kernels
-from ..params import PPG_FEATURES, Params
+from ..params import Params
+from . import pulse
 
 REP = "subject string, kind string, epoch_idx int, condition string, label_int int, fs double, n_beats int, hest array<double>, rr array<double>, error string"
 
@@ -45,16 +46,44 @@ def r_peaks(ecg: pd.Series, fs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in PPG_FEATURES]))
-def ppg_features(ppg: pd.Series, fs: pd.Series) -> pd.DataFrame:
-    """G15; zeros where there is no signal or it is too short."""
+PEAKS = T.StructType([T.StructField("filtered", T.ArrayType(T.DoubleType())), T.StructField("peaks", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
+
+
+@pandas_udf(PEAKS)
+def pulse_peaks(ppg: pd.Series, fs: pd.Series) -> pd.DataFrame:
+    """Filtered signal and peaks of each PPG epoch; one that is too short to filter has the error instead (Q10)."""
     rows = []
     for v, f in zip(ppg, fs, strict=True):
         try:
-            rows.append(kernels.ppg_features(np.asarray(v, dtype=float), float(f)))
-        except (ValueError, TypeError):
-            rows.append(dict.fromkeys(PPG_FEATURES, 0.0))
-    return pd.DataFrame(rows, columns=PPG_FEATURES)
+            rows.append((*kernels.pulse_peaks(np.asarray(v, dtype=float), float(f)), None))
+        except (ValueError, TypeError) as e:
+            rows.append((None, None, str(e)[:200]))
+    return pd.DataFrame(rows, columns=["filtered", "peaks", "error"])
+
+
+def ppg_features(epochs: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """Keys, PPG_FEATURES and error of PPG epochs (keys, ppg), each an array of bounded length.
+
+    Only the filter and the choice of peaks are a function of the array; the features are windows and groups over its samples. Zeros
+    where there are fewer than 3 peaks; nulls, and the error, where the epoch is too short to filter.
+    """
+    found = epochs.select(*keys, pulse_peaks(F.col("ppg"), F.lit(float(fs))).alias("p")).select(*keys, "p.*")
+    samples = found.select(*keys, F.posexplode("filtered").alias("pos", "value"))
+    peaks = found.select(*keys, F.explode("peaks").alias("pos"))
+    return found.select(*keys, "error").join(pulse.features(samples, peaks, keys, fs), keys, "left")
+
+
+def resampled(signals: DataFrame, fs: float) -> DataFrame:
+    """Channels at another rate by the Fourier method, to round(n * fs / own rate) samples; those at the rate stay as they are."""
+
+    @pandas_udf("array<double>")
+    def run(x: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else kernels.resample(np.asarray(v, dtype=float), round(len(v) * fs / f)) for v, f in zip(x, own, strict=True)])
+
+    same = signals.where(F.col("fs") == fs)
+    other = signals.where(F.col("fs") != fs).withColumn("samples", run("samples", "fs")).withColumn("fs", F.lit(float(fs)))
+    out = same.unionByName(other)
+    return out.withColumn("n_samples", F.size("samples").cast("long")) if "n_samples" in signals.columns else out
 
 
 def representations(epochs: DataFrame, epoch_eeg: DataFrame, channel_map: DataFrame, p: Params) -> DataFrame:

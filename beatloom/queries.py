@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import arrays
-from .functions.labels import channel_type, classify, discover, map_labels
+from .functions.labels import channel_type, classify, discover, map_labels, normal
 from .operators import channels, epochs, qc, registry, windows
-from .params import Params
-from .plans import hest
+from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
+from .plans import hest, metadata, preprocess, pulse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 LABEL_MAP = (("view", "baseline"), ("click", "sim"), ("signup", "retention_slow"), ("purchase", "retention_fastdelay"))
-LABELS = ("Rest", " baseline_2s", "eyes_closed", "encoding_set_simultaneous", "all_at_once", "retention_slow", "retention_fast", "retention_fastdelay", "fd_block", "fast_delay", "slow_fast", "digit", "rest_r", "unrest")
+LABELS = ("Rest", " baseline_2s", "eyes_closed", "encoding_set_simultaneous", "all_at_once", "retention_slow", "retention_fast", "retention_fastdelay", "fd_block", "fast_delay", "slow_fast", "digit", "rest_r", "unrest", "SIM ")
+CHANNELS = ("Fz", "ECG", "BIO1", "FC1", "Pulse", "Cz", "ekg2", "cp1", "bio3", "Pz", "af3", "heart_photo")
 _MAP_SQL = "(VALUES ('view','baseline'),('click','sim'),('signup','retention_slow'),('purchase','retention_fastdelay')) m(l, c)"
 _REST = " OR ".join(f"{{x}} = '{k}' OR starts_with({{x}}, '{k}_') OR suffix({{x}}, '_{k}')" for k in ("rest", "baseline", "resting", "fixation", "eyes_closed", "eyes_opened"))
 
@@ -56,10 +57,45 @@ _S = """s AS (SELECT user_id, event_type AS label, value, row_number() OVER (PAR
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS secs FROM events)"""
 
 
-def signal_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """user_id, samples: a row a recording."""
-    s = samples(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("a"))
-    return s.select("user_id", F.transform("a", lambda v: v["value"]).alias("samples"))
+CHUNK, EPOCH = 16, 1500
+
+
+def epoch_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, epoch_idx, samples: each recording in consecutive epochs of EPOCH samples, the last one shorter."""
+    s = samples(spark, d).withColumn("epoch_idx", F.floor(F.col("pos") / EPOCH).cast("int"))
+    a = s.groupBy("user_id", "epoch_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("a"))
+    return a.select("user_id", "epoch_idx", F.transform("a", lambda v: v["value"]).alias("samples"))
+
+
+def subject(c: str) -> Column:
+    return F.concat(F.lit("sub-"), F.lpad(F.col(c).cast("string"), 6, "0"))
+
+
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan of recordings gives, a row a customer: folders, headers that are missing or bad, four channels, a rate, orders as annotations."""
+    n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    c = t(spark, d, "customer").join(n, F.col("c_custkey") == F.col("k"), "left").withColumn("subject", subject("c_custkey"))
+    k, names = F.col("c_custkey"), F.array(*map(F.lit, CHANNELS))
+    path = lambda end: F.concat(F.lit("/data/"), "subject", F.lit("/eeg/"), "subject", F.lit(end))
+    good = (F.col("c_acctbal") >= -900) & (k % 17 != 0) & (k % 23 != 0)
+    return c.select(
+        "subject", (F.col("c_acctbal") >= -900).alias("has_eeg_dir"), F.when(k % 17 != 0, path(".vhdr")).alias("header_path"), F.when(F.col("n") > 0, path("_events.tsv")).alias("events_path"),
+        F.when(k % 23 == 0, "ValueError: bad header").alias("read_error"),
+        F.when(good, F.array(*[F.get(names, ((k * m + a) % 12).cast("int")) for m, a in ((1, 0), (5, 2), (7, 4), (11, 7))])).alias("channels"),
+        F.when(good, F.element_at(F.array(F.lit(250.0), F.lit(500.0), F.lit(1000.0)), (k % 3 + 1).cast("int"))).alias("sfreq"),
+        F.when(good, 60 + F.abs("c_acctbal") / 10).alias("duration_s"), F.when(good, F.coalesce("n", F.lit(0))).alias("n_annotations"))
+
+
+_SUBJECT = "'sub-' || lpad(CAST({} AS VARCHAR), 6, '0')"
+_KIND = "CASE WHEN regexp_matches(lower(channel), 'ecg|ekg|cardiac|heart|bio1') THEN 'ecg' WHEN regexp_matches(lower(channel), 'ppg|pleth|pulse|photo|bio2|bio3') THEN 'ppg' ELSE 'eeg' END"
+_REG = f"""oc AS (SELECT o_custkey AS ok, count(*) AS n FROM orders GROUP BY 1),
+rec AS (SELECT {_SUBJECT.format("c_custkey")} AS subject, c_custkey AS k, coalesce(n, 0) AS n, 60 + abs(c_acctbal) / 10 AS duration_s, CAST([250, 500, 1000][c_custkey % 3 + 1] AS DOUBLE) AS sfreq,
+  CASE WHEN c_acctbal < -900 THEN 'no_eeg_dir' WHEN c_custkey % 17 = 0 THEN 'no_header' WHEN c_custkey % 23 = 0 THEN 'read_error: ValueError: bad header' END AS bad FROM customer LEFT JOIN oc ON c_custkey = ok),
+ch AS (SELECT subject, i, [{', '.join(f"'{c}'" for c in CHANNELS)}][(k * m + a) % 12 + 1] AS channel FROM rec, (VALUES (0, 1, 0), (1, 5, 2), (2, 7, 4), (3, 11, 7)) v(i, m, a) WHERE bad IS NULL),
+kd AS (SELECT *, {_KIND} AS kind FROM ch),
+kn AS (SELECT subject, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}, string_agg(channel, ',' ORDER BY i) FILTER (WHERE kind = '{x}') AS {x}" for x in ("eeg", "ecg", "ppg"))} FROM kd GROUP BY 1),
+reg AS (SELECT rec.*, n_eeg, n_ecg, n_ppg, eeg, ecg, ppg, CASE WHEN bad IS NOT NULL THEN 'skip' WHEN n_ecg < 1 OR n_ppg < 1 THEN 'warn' ELSE 'ok' END AS status,
+  coalesce(bad, concat_ws(',', CASE WHEN n = 0 THEN 'no_events_tsv' END, CASE WHEN n_ecg < 1 THEN 'no_ecg' WHEN n_ppg < 1 THEN 'no_ppg' END)) AS flags FROM rec LEFT JOIN kn USING (subject))"""
 
 
 def r6(c):
@@ -79,12 +115,22 @@ def label_map_join(spark: SparkSession, d: str) -> DataFrame:
     return map_labels(t(spark, d, "events").select("event_id", F.col("event_type").alias("label")), spark.createDataFrame(LABEL_MAP, "label string, condition string")).select("event_id", "mapped")
 
 
-@query("SELECT l AS label, c AS found FROM (VALUES " + ",".join(f"('{a}',{b})" for a, b in (
-    ("Rest", "'rest'"), (" baseline_2s", "'rest'"), ("eyes_closed", "'rest'"), ("encoding_set_simultaneous", "'simultaneous'"), ("all_at_once", "'simultaneous'"), ("retention_slow", "'slow'"), ("retention_fast", "'fast'"),
-    ("retention_fastdelay", "'fast'"), ("fd_block", "'fast_delay'"), ("fast_delay", "'fast'"), ("slow_fast", "'slow'"), ("digit", "NULL"), ("rest_r", "'rest'"), ("unrest", "NULL"))) + ") v(l, c)")
+_GROUPS = (("simultaneous", ("sim", "all_at_once")), ("slow", ("slow",)), ("fast", ("fast",)), ("fast_delay", ("fd", "delay_fast")))
+
+
+@query(f"WITH l AS (SELECT DISTINCT lower(trim(CAST([{', '.join(f"'{x}'" for x in LABELS)}][(event_id * 7 + user_id) % {len(LABELS)} + 1] AS VARCHAR))) AS label FROM events) SELECT label, CASE WHEN {_REST.format(x='label')} THEN 'rest' " + " ".join(f"WHEN {' OR '.join(f"contains(label, '{k}')" for k in keys)} THEN '{n}'" for n, keys in _GROUPS) + " END AS found FROM l")
 def label_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Literal labels."""
-    return spark.createDataFrame([(x,) for x in LABELS], "label string").select("label", discover(F.col("label")).alias("found"))
+    """A label for each event, by its ids."""
+    e = t(spark, d, "events").select(F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("event_id") * 7 + F.col("user_id")) % len(LABELS) + 1).cast("int")).alias("label"))
+    return e.select(normal(F.col("label")).alias("label")).distinct().select("label", discover(F.col("label")).alias("found"))
+
+
+@query(f"WITH {_REG}, e AS (SELECT {_SUBJECT.format('user_id')} AS subject, lower(event_type) AS label FROM events), f AS (SELECT DISTINCT subject FROM e JOIN reg USING (subject) WHERE status <> 'skip' ORDER BY subject LIMIT 5), l AS (SELECT DISTINCT label || CASE WHEN label = 'click' THEN '_slow' WHEN label = 'view' THEN '_rest' WHEN label = 'error' THEN '_fast_delay' ELSE '' END AS label FROM e JOIN f USING (subject)) SELECT label, CASE WHEN label = 'view_rest' THEN 'rest' WHEN label = 'click_slow' THEN 'slow' ELSE 'fast' END AS condition FROM l WHERE contains(label, '_')")
+def first_subjects_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The first five subjects' labels."""
+    end = F.when(F.col("event_type") == "click", "_slow").when(F.col("event_type") == "view", "_rest").when(F.col("event_type") == "error", "_fast_delay").otherwise("")
+    e = t(spark, d, "events").select(subject("user_id").alias("subject"), F.concat(F.upper("event_type"), end, F.lit(" ")).alias("label"))
+    return preprocess.discovered_labels(e, registry.registry(headers(spark, d)))
 
 
 @query(f"WITH {_S} SELECT user_id, pos, CAST(trunc(CASE WHEN secs < 1e4 THEN secs * 250 ELSE secs END) AS BIGINT) AS auto_samp, CAST(trunc(secs * 250) AS BIGINT) AS sec_samp FROM s")
@@ -99,23 +145,72 @@ def mode_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return registry.mode_first_seen(samples(spark, d), ["user_id"], "label", "pos")
 
 
-@query("WITH o AS (SELECT o_custkey, count(*) AS n, bool_or(o_orderstatus = 'F') AS f FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'skip' WHEN n IS NULL OR NOT f THEN 'warn' ELSE 'ok' END AS status FROM customer LEFT JOIN o ON c_custkey = o_custkey")
-def status_case(spark: SparkSession, d: str) -> DataFrame:
-    """precedence of skip over warn over ok."""
-    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("f"))
-    c = t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return c.select("c_custkey", F.when(F.col("c_acctbal") < 0, "skip").when(F.col("n").isNull() | ~F.col("f"), "warn").otherwise("ok").alias("status"))
+def registry_of(spark: SparkSession, d: str) -> DataFrame:
+    return registry.registry(headers(spark, d))
+
+
+@query(f"WITH {_REG} SELECT subject, status, flags, coalesce(eeg, '') AS eeg, coalesce(ecg, '') AS ecg, coalesce(ppg, '') AS ppg, CAST(CASE WHEN bad IS NULL THEN 4 ELSE 0 END AS INT) AS n_channels, CASE WHEN bad IS NULL THEN n ELSE 0 END AS n_annotations FROM reg")
+def registry_table(spark: SparkSession, d: str) -> DataFrame:
+    """F1, F2, F16, G20, A23, Q18."""
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c.removesuffix("_channels"))
+    return registry_of(spark, d).select("subject", "status", text("flags"), *[text(f"{k}_channels") for k in ("eeg", "ecg", "ppg")], F.coalesce("n_channels", F.lit(0)).alias("n_channels"), F.coalesce("n_annotations", F.lit(0)).alias("n_annotations"))
+
+
+@query(f"WITH {_REG} SELECT subject, status <> 'skip' AS valid, coalesce(status <> 'skip' AND n_ecg > 0, false) AS has_ecg, coalesce(status <> 'skip' AND n_ppg > 0, false) AS has_ppg, coalesce(status <> 'skip' AND n_ecg > 0 AND n_ppg > 0, false) AS full, flags <> '' AS flagged FROM reg")
+def subject_sets(spark: SparkSession, d: str) -> DataFrame:
+    """F3, J8, T4, T7."""
+    s = registry.subject_sets(registry_of(spark, d))
+    return s.select("subject", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("valid", "has_ecg", "has_ppg", "full", "flagged")])
+
 
+@query(f"WITH {_REG} SELECT channel AS value, count(*) AS n FROM ch GROUP BY 1")
+def channel_name_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A1."""
+    return registry.frequency(registry_of(spark, d), "channels")
 
-@query("SELECT channel, CASE WHEN regexp_matches(lower(channel), 'ecg|ekg|cardiac|heart|bio1') THEN 'ecg' WHEN regexp_matches(lower(channel), 'ppg|pleth|pulse|photo|bio2|bio3') THEN 'ppg' ELSE 'eeg' END AS kind FROM (VALUES ('ECG'),('ekg1'),('BIO10'),('bio2'),('Pulse'),('fz'),('heart_photo')) v(channel)")
+
+@query(f"WITH {_REG}, f AS (SELECT sfreq, count(*) AS n, min(subject) AS seen FROM reg WHERE bad IS NULL GROUP BY 1) SELECT sfreq AS mode, n FROM f ORDER BY n DESC, seen LIMIT 1")
+def cohort_rate(spark: SparkSession, d: str) -> DataFrame:
+    """A2, O3: the most frequent rate, of ties the one of the first subject."""
+    return registry.mode_first_seen(registry_of(spark, d).withColumn("all", F.lit(1)), ["all"], "sfreq", "subject").select("mode", "n")
+
+
+@query(f"""WITH {_REG}, v AS (SELECT count(*) FILTER (WHERE n_eeg > 0 AND n_ecg = 0 AND n_ppg = 0) AS eeg_only, count(*) FILTER (WHERE n_ecg > 0 AND n_eeg = 0 AND n_ppg = 0) AS ecg_only,
+  count(*) FILTER (WHERE n_ppg > 0 AND n_eeg = 0 AND n_ecg = 0) AS ppg_only, count(*) FILTER (WHERE n_ecg > 0) AS has_ecg, count(*) FILTER (WHERE n_ppg > 0) AS has_ppg, count(*) FILTER (WHERE n_ecg > 0 AND n_ppg > 0) AS full_ FROM reg)
+SELECT 'status' AS panel, status AS item, CAST(count(*) AS DOUBLE) AS value FROM reg GROUP BY status
+UNION ALL SELECT 'modality', k, CAST(CASE k WHEN 'eeg_only' THEN eeg_only WHEN 'ecg_only' THEN ecg_only WHEN 'ppg_only' THEN ppg_only WHEN 'has_ecg' THEN has_ecg WHEN 'has_ppg' THEN has_ppg ELSE full_ END AS DOUBLE) FROM v, (VALUES ('eeg_only'), ('ecg_only'), ('ppg_only'), ('has_ecg'), ('has_ppg'), ('full')) x(k)
+UNION ALL SELECT 'sfreq', CAST(sfreq AS VARCHAR), count(*) FROM reg WHERE bad IS NULL GROUP BY sfreq
+UNION ALL SELECT 'channels', kind, count(*) FROM kd GROUP BY kind
+UNION ALL SELECT 'duration', subject, round(duration_s / 60, 6) FROM reg WHERE bad IS NULL
+UNION ALL SELECT 'mean_duration', 'all', round(avg(duration_s / 60), 6) FROM reg WHERE bad IS NULL
+UNION ALL SELECT 'annotations', subject, n FROM reg WHERE bad IS NULL""")
+def metadata_panels(spark: SparkSession, d: str) -> DataFrame:
+    """K9, 2.6, A19, A20, A23."""
+    return metadata.panels(registry_of(spark, d)).withColumn("value", r6(F.col("value")))
+
+
+@query(f"WITH {_REG} SELECT upper(kind) || ':' || channel AS name, count(*) AS n FROM kd WHERE kind <> 'eeg' GROUP BY 1")
+def aux_name_variants(spark: SparkSession, d: str) -> DataFrame:
+    """T5, 2.6."""
+    return metadata.aux_variants(registry_of(spark, d))
+
+
+@query(f"WITH {_REG} SELECT subject, coalesce(split_part(ecg, ',', 1), 'ECG') AS ecg_channel, coalesce(split_part(ppg, ',', 1), 'PPG') AS ppg_channel FROM reg")
+def aux_channel_choice(spark: SparkSession, d: str) -> DataFrame:
+    """F18."""
+    return metadata.aux_channels(registry_of(spark, d))
+
+
+@query(f"WITH {_REG} SELECT subject, CAST(i AS INT) AS ch_pos, channel, kind FROM kd")
 def channel_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """F1."""
-    return spark.createDataFrame([(x,) for x in ("ECG", "ekg1", "BIO10", "bio2", "Pulse", "fz", "heart_photo")], "channel string").select("channel", channel_type(F.col("channel")).alias("kind"))
+    """F1, F17."""
+    c = headers(spark, d).select("subject", F.posexplode("channels").alias("ch_pos", "channel"))
+    return c.withColumn("kind", channel_type(F.col("channel")))
 
 
 @query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') SELECT 'only_a' AS part, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'both', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def modality_sets(spark: SparkSession, d: str) -> DataFrame:
-    """J8, T1, T4, T7."""
+    """J8, T1, T4, T7 as set operations."""
     e = t(spark, d, "events")
     a, b = (e.where(F.col("event_type") == k).select("user_id").distinct() for k in ("purchase", "error"))
     parts = {"only_a": a.join(b, "user_id", "left_anti"), "both": a.intersect(b), "either": a.union(b).distinct()}
@@ -132,14 +227,74 @@ def interval_epochs(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("user_id", "pos").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query(f"WITH {_S}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1) SELECT a.user_id, a.pos, round(sum(b.value), 4) AS total, count(*) AS n FROM s a JOIN n USING (user_id) JOIN s b ON a.user_id = b.user_id AND b.pos >= a.pos - 2 AND b.pos < a.pos + 6 WHERE a.label IN ('click', 'view') AND a.pos - 2 >= 0 AND a.pos + 6 <= n.n GROUP BY 1, 2")
+_CODE = "CASE name WHEN 'simultaneous' THEN 0 WHEN 'slow' THEN 1 WHEN 'fast' THEN 2 WHEN 'fast_delay' THEN 3 ELSE -1 END"
+_EPOCHS = f"""{_REG}, {_S}, nn AS (SELECT user_id, count(*) AS n_samples, bool_or(pos % 61 = 60) AS broken FROM s GROUP BY 1),
+m AS (SELECT s.*, n_samples, {_SUBJECT.format("s.user_id")} AS subject, coalesce(c, label) AS lab FROM s JOIN nn USING (user_id) LEFT JOIN {_MAP_SQL} ON label = l WHERE NOT broken),
+k AS (SELECT *, {_class_sql("lab")} AS name FROM m), w AS (SELECT *, name = 'rest' AS is_rest, {_CODE} AS code, pos - 2 AS start, pos + 6 AS stop FROM k),
+ep AS (SELECT w.*, row_number() OVER (PARTITION BY w.subject, is_rest ORDER BY start, name) - 1 AS epoch_idx FROM w JOIN reg ON w.subject = reg.subject AND status <> 'skip' WHERE start >= 0 AND stop <= n_samples AND (is_rest OR code >= 0))"""
+
+
+def event_rows(spark: SparkSession, d: str) -> DataFrame:
+    """subject, onset, label, as an event file has them: columns by other names, places as text, one in 61 of them missing."""
+    s = samples(spark, d)
+    onset = F.when(F.col("pos") % 61 == 60, "n/a").otherwise(F.col("pos").cast("string"))
+    raw = s.select(subject("user_id").alias("subject"), onset.alias(" Onset "), F.col("label").alias("Trial_Type"), F.col("value").cast("string").alias("value"))
+    return epochs.standard_events(raw, ["subject"])
+
+
+def epoch_table(spark: SparkSession, d: str) -> DataFrame:
+    rec = samples(spark, d).groupBy(subject("user_id").alias("subject")).agg(F.lit(1.0).alias("fs"), F.count("*").alias("n_samples"))
+    rec = rec.join(registry_of(spark, d).where("status <> 'skip'").select("subject"), "subject")
+    label_map = spark.createDataFrame(LABEL_MAP, "label string, condition string")
+    return preprocess.epoch_rows(event_rows(spark, d), rec, label_map, Params(fs=1.0, tmin=-2.0, tmax=6.0))
+
+
+def recording_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels of each recording in chunks: its values, and their negatives."""
+    s = samples(spark, d).select(subject("user_id").alias("subject"), "pos", "value")
+    both = s.select("subject", "pos", F.explode(F.create_map(F.lit("ECG"), F.col("value"), F.lit("Fz"), -F.col("value"))).alias("channel", "value"))
+    return preprocess.chunks_of(both, CHUNK)
+
+
+@query(f"WITH {_EPOCHS} SELECT subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, name AS condition, CAST(CASE WHEN NOT is_rest THEN code ELSE -1 END AS INT) AS label_int, CAST(pos AS BIGINT) AS onset_samp, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM ep")
+def epoch_rows(spark: SparkSession, d: str) -> DataFrame:
+    """F4-F13, J1, J2, W7, Q9 (a subject with a missing onset has no epochs)."""
+    return epoch_table(spark, d).fillna(-1, ["label_int"])
+
+
+@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, c.channel, count(*) AS n, round(sum(b.value * sign), 3) AS total, round(min(b.value * sign), 3) AS low FROM ep JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop, (VALUES ('ECG', 1), ('Fz', -1)) c(channel, sign) GROUP BY 1, 2, 3, 4")
 def epoch_slices(spark: SparkSession, d: str) -> DataFrame:
-    """J4 by slice, F10-F12: windows of samples around task and rest events."""
-    sig = signal_arrays(spark, d).withColumn("channel", F.lit("x"))
-    e = samples(spark, d).where("label IN ('click', 'view')").select("user_id", "pos", (F.col("pos") - 2).alias("start"), (F.col("pos") + 6).alias("stop"))
-    e = e.join(sig.select("user_id", F.size("samples").alias("n")), "user_id").where("start >= 0 AND stop <= n").drop("n")
-    c = e.join(sig, "user_id").withColumn("samples", F.slice("samples", (F.col("start") + 1).cast("int"), F.lit(8)))
-    return c.select("user_id", "pos", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.size("samples").cast("long").alias("n"))
+    """J4 over chunks, F12, F19, Q26: each epoch's samples of each channel."""
+    x = preprocess.epoch_signals(epoch_table(spark, d), recording_chunks(spark, d), CHUNK)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    return x.select("subject", "kind", "epoch_idx", "channel", F.size("samples").cast("long").alias("n"), F.round(total, 3).alias("total"), F.round(F.array_min("samples").cast("double"), 3).alias("low"))
+
+
+@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, round(CASE WHEN coalesce(split_part(reg.ecg, ',', 1), 'ECG') = 'ECG' THEN sum(b.value) ELSE 0 END, 3) AS ecg_total, 0.0::DOUBLE AS ppg_total, count(*) AS n FROM ep JOIN reg ON ep.subject = reg.subject JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop GROUP BY 1, 2, 3, reg.ecg")
+def epoch_aux_signals(spark: SparkSession, d: str) -> DataFrame:
+    """ECG and PPG of each epoch, zeros where the recording lacks the channel that the registry names."""
+    rows = epoch_table(spark, d)
+    x = preprocess.with_aux(rows, preprocess.epoch_signals(rows, recording_chunks(spark, d), CHUNK), metadata.aux_channels(registry_of(spark, d)))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 3)
+    return x.select("subject", "kind", "epoch_idx", total("ecg").alias("ecg_total"), total("ppg").alias("ppg_total"), F.size("ppg").cast("long").alias("n"))
+
+
+_QC = f"""{_EPOCHS}, e2 AS (SELECT subject, count(*) FILTER (WHERE NOT is_rest) AS nt, count(*) FILTER (WHERE is_rest) AS nr FROM ep GROUP BY 1),
+e3 AS (SELECT subject, string_agg(name || '=' || n, ',' ORDER BY name) AS conditions FROM (SELECT subject, name, count(*) AS n FROM ep WHERE NOT is_rest GROUP BY 1, 2) GROUP BY 1),
+qc AS (SELECT reg.subject, CASE WHEN coalesce(nt, 0) = 0 THEN 'skip' ELSE 'success' END AS status, CASE WHEN coalesce(nt, 0) = 0 THEN 'no task epochs' END AS skip_reason, coalesce(nt, 0) AS n_task, coalesce(nr, 0) AS n_rest, conditions FROM reg LEFT JOIN e2 USING (subject) LEFT JOIN e3 USING (subject) WHERE reg.status <> 'skip')"""
+
+
+@query(f"WITH {_QC} SELECT * FROM qc")
+def preprocessing_qc(spark: SparkSession, d: str) -> DataFrame:
+    """A3, A5, K7, K10."""
+    q = preprocess.preprocessing_qc(registry_of(spark, d), epoch_table(spark, d))
+    return q.withColumn("conditions", F.array_join(F.transform(F.map_entries("conditions"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
+@query(f"WITH {_QC} SELECT count(*) FILTER (WHERE status = 'success') AS n_ok, count(*) FILTER (WHERE status <> 'success') AS n_skip, CAST(sum(n_task) AS BIGINT) AS n_task, CAST(sum(n_rest) AS BIGINT) AS n_rest, count(*) FILTER (WHERE status = 'success' AND n_rest > 0) AS with_rest, count(*) FILTER (WHERE status = 'success' AND n_rest = 0) AS without_rest, CAST(0 AS BIGINT) AS n_placeholder FROM qc")
+def qc_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A5, A21, K10."""
+    return qc.totals(preprocess.preprocessing_qc(registry_of(spark, d), epoch_table(spark, d)))
 
 
 @query(f"WITH {_S} SELECT user_id, pos, round(secs - lag(secs) OVER (PARTITION BY user_id ORDER BY pos), 6) AS rr FROM s")
@@ -169,12 +324,56 @@ def local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return windows.local_maxima(samples(spark, d), ["user_id"], "pos", "value").select("user_id", "pos")
 
 
-@query(f"WITH {_S}, {_MAXIMA}, g AS (SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS stop FROM p), k AS (SELECT * FROM g WHERE stop - pos >= 3), v AS (SELECT k.user_id, k.pos, k.stop, s.pos AS i, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS two FROM k JOIN s ON k.user_id = s.user_id AND s.pos >= k.pos AND s.pos < k.stop) SELECT user_id, pos, stop, round(sum(two) / 2, 4) AS area FROM v GROUP BY 1, 2, 3")
+@query(f"WITH {_S}, {_MAXIMA}, g AS (SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS stop FROM p), k AS (SELECT * FROM g WHERE stop - pos >= 3), v AS (SELECT k.user_id, k.pos, k.stop, s.pos AS i, s.value, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS pair FROM k JOIN s ON s.user_id = k.user_id AND s.pos >= k.pos AND s.pos < k.stop), z AS (SELECT *, min(value) OVER q AS lo, max(value) OVER q AS hi FROM v WINDOW q AS (PARTITION BY user_id, pos)) SELECT user_id, pos, stop, round(max(hi) - max(lo), 4) AS amp, round((arg_min(i, (-value, i)) - pos) / 20.0, 4) AS rise, round((max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0, 4) AS width, round(sum(pair) / 40.0, 6) AS area FROM z GROUP BY user_id, pos, stop")
 def pulse_segments(spark: SparkSession, d: str) -> DataFrame:
-    """W4, A16."""
-    seg = windows.segments(windows.local_maxima(samples(spark, d), ["user_id"], "pos", "value").select("user_id", "pos"), ["user_id"], "pos", 3)
-    x = seg.join(signal_arrays(spark, d), "user_id").withColumn("seg", F.slice("samples", (F.col("pos") + 1).cast("int"), (F.col("stop") - F.col("pos")).cast("int")))
-    return x.select("user_id", "pos", "stop", F.round(arrays.trapezoid(F.col("seg")), 4).alias("area"))
+    """The shape of each pulse between peaks, at 20 Hz."""
+    s = samples(spark, d)
+    x = pulse.pulses(s, windows.local_maxima(s, ["user_id"], "pos", "value"), ["user_id"], 20.0, 3)
+    return x.select("user_id", "pos", "stop", *[F.round(c, 6 if c == "area" else 4).alias(c) for c in ("amp", "rise", "width", "area")])
+
+
+@query(f"""WITH {_S}, {_MAXIMA}, i0 AS (SELECT user_id, pos, row_number() OVER w - 2 AS t, (pos - lag(pos) OVER w) / 20.0 AS ibi, lead(pos) OVER w AS stop FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+i1 AS (SELECT *, ibi - lag(ibi) OVER (PARTITION BY user_id ORDER BY pos) AS d1 FROM i0),
+i2 AS (SELECT user_id, avg(ibi) AS m, max(ibi) - min(ibi) AS r, regr_slope(ibi, t) AS sl, regr_syy(ibi, t) AS yy, regr_sxy(ibi, t) AS xy, stddev_pop(ibi) AS sd, avg(d1) AS d1, count(*) AS n FROM i1 GROUP BY 1 HAVING count(*) >= 3),
+v AS (SELECT k.user_id, k.pos, s.pos AS i, s.value, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS pair FROM i0 k JOIN s ON s.user_id = k.user_id AND s.pos >= k.pos AND s.pos < k.stop WHERE k.stop - k.pos >= 5),
+z AS (SELECT *, min(value) OVER q AS lo, max(value) OVER q AS hi FROM v WINDOW q AS (PARTITION BY user_id, pos)),
+u AS (SELECT user_id, pos, max(hi) - max(lo) AS amp, (arg_min(i, (-value, i)) - pos) / 20.0 AS rise, (max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0 AS width, sum(pair) / 40.0 AS area FROM z GROUP BY 1, 2),
+g AS (SELECT user_id, avg(amp) AS am, var_pop(amp) AS av, avg(rise) AS rm, avg(width) AS wm, avg(area) AS arm, var_pop(area) AS arv FROM u GROUP BY 1)
+SELECT a.user_id, round(coalesce(m, 0) + 1e-9, 4) AS ibi_mean, round(coalesce(r, 0) + 1e-9, 4) AS ibi_range, round(coalesce(sl, 0) + 1e-9, 4) AS ibi_slope, round(coalesce(1 - greatest(yy - sl * xy, 0) / (yy + 1e-8), 0) + 1e-9, 4) AS ibi_r2, round(coalesce(sd / (m + 1e-8), 0) + 1e-9, 4) AS ibi_samp_en, round(coalesce(d1, 0) + 1e-9, 4) AS ibi_d1_mean,
+  round(coalesce(am, 0) + 1e-9, 4) AS ppg_amp_mean, round(coalesce(av, 0) + 1e-9, 3) AS ppg_amp_var, round(coalesce(rm, 0) + 1e-9, 4) AS ppg_rise_mean, round(coalesce(wm, 0) + 1e-9, 4) AS ppg_width_mean, round(coalesce(arm, 0) + 1e-9, 4) AS ppg_area_mean, round(coalesce(arv, 0) + 1e-9, 4) AS ppg_area_var
+FROM (SELECT DISTINCT user_id FROM s) a LEFT JOIN i2 USING (user_id) LEFT JOIN g USING (user_id)""")
+def pulse_features(spark: SparkSession, d: str) -> DataFrame:
+    """G15 after the choice of peaks, A12-A16: each recording at 20 Hz, its local maxima as peaks."""
+    s = samples(spark, d)
+    x = pulse.features(s, windows.local_maxima(s, ["user_id"], "pos", "value"), ["user_id"], 20.0)
+    return x.select("user_id", *[F.round(F.col(c) + 1e-9, 3 if c == "ppg_amp_var" else 4).alias(c) for c in PPG_FEATURES])
+
+
+@query(f"WITH {_S}, {_MAXIMA} SELECT p.user_id, p.pos AS peak, arg_min(s.pos, (-s.value, s.pos)) AS refined FROM p JOIN s ON s.user_id = p.user_id AND s.pos >= p.pos - 4 AND s.pos < p.pos + 4 GROUP BY 1, 2")
+def refined_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """W5, G7 last part: the highest sample near each peak."""
+    s = samples(spark, d)
+    peaks = windows.local_maxima(s, ["user_id"], "pos", "value").select("user_id", F.col("pos").alias("peak"))
+    return windows.refine(peaks, s.select("user_id", "pos", "value"), ["user_id"], 4)
+
+
+@query("WITH c AS (SELECT l_orderkey AS subject, l_linenumber AS channel, l_partkey % 3 AS pos, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT subject, pos, avg(value) AS m FROM c GROUP BY 1, 2) SELECT subject, channel, CAST(pos AS BIGINT) AS pos, round(value - m, 6) AS value FROM c JOIN m USING (subject, pos)")
+def average_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as channels, three places."""
+    c = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("subject"), F.col("l_linenumber").alias("channel"), (F.col("l_partkey") % 3).alias("pos")).agg(F.sum("l_quantity").alias("value"))
+    return preprocess.average_reference(c).select("subject", "channel", "pos", r6(F.col("value")).alias("value"))
+
+
+_SITES = ("O1", "Pz", "Fz", "Cz", "T7", "P3", "F4")
+
+
+@query(f"WITH w AS (SELECT l_suppkey AS subject, l_linenumber AS component, [{', '.join(f"'{x}'" for x in _SITES)}][l_partkey % 7 + 1] AS channel, l_quantity - 25 AS weight FROM lineitem), g AS (SELECT subject, component, coalesce(avg(abs(weight)) FILTER (WHERE channel IN ('O1', 'Pz', 'P3')), 0) AS p, coalesce(avg(abs(weight)) FILTER (WHERE channel IN ('Fz', 'Cz', 'F4')), 0) AS f FROM w GROUP BY 1, 2) SELECT subject, component, round(p, 6) AS posterior, round(f, 6) AS frontal, p > 1.5 * f AS keep FROM g")
+def component_topography(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as weights of components."""
+    site = F.element_at(F.array(*map(F.lit, _SITES)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    w = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("component"), site.alias("channel"), (F.col("l_quantity") - 25).alias("weight"))
+    x = preprocess.topography(w, POSTERIOR, FRONTAL)
+    return x.select("subject", "component", r6(F.col("posterior")).alias("posterior"), r6(F.col("frontal")).alias("frontal"), "keep")
 
 
 @query(f"WITH {_S}, g AS (SELECT user_id, regr_slope(value, pos) AS sl, regr_intercept(value, pos) AS ic, regr_syy(value, pos) AS yy, regr_sxy(value, pos) AS xy, avg(value) AS m, max(value) - min(value) AS r, stddev_pop(value) AS sd, var_pop(value) AS v FROM s GROUP BY 1) SELECT user_id, round(sl, 6) AS slope, round(ic, 6) AS intercept, round(1 - greatest(yy - sl * xy, 0) / (yy + 1e-8), 6) AS r2, round(m, 6) AS mean, round(r, 6) AS range, round(v, 4) AS var, round(sd / (m + 1e-8), 6) AS cv FROM g")
@@ -219,22 +418,38 @@ def decimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_S}, n AS (SELECT DISTINCT user_id FROM s), g AS (SELECT user_id, unnest(range(60)) AS pos FROM n) SELECT user_id, CAST(pos AS INT) AS pos, round(coalesce(value, 0), 6) AS v FROM g LEFT JOIN s USING (user_id, pos)")
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
-    """W9."""
-    x = signal_arrays(spark, d).select("user_id", F.posexplode(arrays.pad(F.col("samples"), 60)).alias("pos", "v"))
+    """The first 60 values, which are all that the operator keeps, are picked before they are collected."""
+    s = samples(spark, d).where("pos < 60").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("a"))
+    x = s.select("user_id", F.posexplode(arrays.pad(F.transform("a", lambda v: v["value"]), 60)).alias("pos", "v"))
     return x.select("user_id", "pos", r6(F.col("v")).alias("v"))
 
 
-@query("SELECT * FROM (VALUES ('s1','Fz','fz','case_insensitive'),('s1','FCz','FC1','neighbor(FC1)'),('s1','Cz','Cz','exact'),('s1','F3','ZERO_PLACEHOLDER','placeholder'),('s1','F4','af4','neighbor_case(af4)'),('s1','FC3','FC1','neighbor(FC1)'),('s1','FC4','ZERO_PLACEHOLDER','placeholder'),('s1','Pz','ZERO_PLACEHOLDER','placeholder'),('s1','CPz','Cz','neighbor(Cz)')) v(subject, target, mapped_to, method)")
+@query(f"WITH {_EMB} SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 6) AS mean FROM e GROUP BY 1, 2")
+def tensor_group_mean(spark: SparkSession, d: str) -> DataFrame:
+    """A8."""
+    m = arrays.array_mean(t(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x")), ["label"], "x")
+    return m.select("label", F.posexplode("mean").alias("pos", "mean")).withColumn("mean", r6(F.col("mean")))
+
+
+_MONTAGE = ('fz', 'FC1', 'Cz', 'af4', 'O1', 'F1', 'cpz', 'PO3', 'C3', 'P2', 'FCZ', 'c4', 'AFz')
+_PRIO = ", ".join(f"('{t}', '{w}', {r})" for t, near in NEIGHBOURS.items() for r, w in enumerate((t, *near)))
+
+
+@query(f"""WITH c AS (SELECT s_suppkey AS subject, i AS ch_pos, [{', '.join(f"'{x}'" for x in _MONTAGE)}][(s_suppkey * m + i * 3) % 13 + 1] AS channel FROM supplier, (VALUES (0, 1), (1, 1), (2, 2), (3, 2), (4, 3)) v(i, m)),
+pr AS (SELECT * FROM (VALUES {_PRIO}) p(target, wanted, rk)), cand AS (SELECT subject, target, rk, channel <> wanted AS other, ch_pos, channel, row_number() OVER (PARTITION BY subject, target ORDER BY rk, channel <> wanted, ch_pos) AS k FROM c JOIN pr ON lower(channel) = lower(wanted)),
+t AS (SELECT DISTINCT subject, target FROM c, pr)
+SELECT t.subject, t.target, coalesce(channel, 'ZERO_PLACEHOLDER') AS mapped_to, CASE WHEN channel IS NULL THEN 'placeholder' WHEN rk > 0 AND other THEN 'neighbor_case(' || channel || ')' WHEN rk > 0 THEN 'neighbor(' || channel || ')' WHEN other THEN 'case_insensitive' ELSE 'exact' END AS method, CAST(coalesce(ch_pos, -1) AS INT) AS ch_pos FROM t LEFT JOIN cand ON t.subject = cand.subject AND t.target = cand.target AND k = 1""")
 def channel_priority(spark: SparkSession, d: str) -> DataFrame:
-    """J7, G16."""
-    c = spark.createDataFrame([("s1", n, i) for i, n in enumerate(("fz", "FC1", "Cz", "af4", "O1"))], "subject string, channel string, ch_pos int")
-    return channels.channel_map(c, channels.priorities(spark), ["subject"]).select("subject", "target", "mapped_to", "method")
+    """Each supplier's five channels, by its key."""
+    n, k = F.array(*map(F.lit, _MONTAGE)), F.col("s_suppkey")
+    c = t(spark, d, "supplier").select(k.alias("subject"), F.posexplode(F.array(*[F.get(n, ((k * m + i * 3) % 13).cast("int")) for i, m in enumerate((1, 1, 2, 2, 3))])).alias("ch_pos", "channel"))
+    return channels.channel_map(c, channels.priorities(spark), ["subject"]).select("subject", "target", "mapped_to", "method", "ch_pos")
 
 
-@query("SELECT event_type AS condition, count(*) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS subjects, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query(f"WITH {_EPOCHS} SELECT name AS condition, count(*) AS n, count(DISTINCT subject) AS subjects FROM ep WHERE NOT is_rest GROUP BY 1")
 def condition_totals(spark: SparkSession, d: str) -> DataFrame:
-    """A4, A5, A19."""
-    return t(spark, d, "events").groupBy(F.col("event_type").alias("condition")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("subjects"), r6(F.avg("value")).alias("mean"))
+    """A4, Q20: task epochs by condition over all subjects."""
+    return epoch_table(spark, d).where("kind = 'task'").groupBy("condition").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
 
 @query("WITH c AS (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, string_agg(k || '=' || n, ',' ORDER BY k) AS conditions FROM c GROUP BY 1")
@@ -250,34 +465,65 @@ def topk_subjects(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(5)
 
 
-_FILES = (("a/sub-1/eeg/x_task-rest_events.tsv", 5), ("a/sub-1/eeg/x_task-verbalwm_events.tsv", 6), ("a/sub-2/eeg/x_task-verbalwm_events.tsv", 7), ("a/sub-3/eeg/x_task-rest_events.tsv", 0))
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """subject, path, length of files as a scan lists them, one a page: its id gives the folder and the kind, its html the length."""
+    k = F.col("page_id")
+    kinds = F.array(*map(F.lit, _KINDS))
+    name = F.concat(F.lit("/data/"), "subject", F.lit("/eeg/x"), k.cast("string"), F.get(kinds, ((k * 7 + F.floor(k / 5)) % len(_KINDS)).cast("int")))
+    p = t(spark, d, "pages").withColumn("__s", F.floor(k / 5)).withColumn("subject", subject("__s"))
+    return p.select("subject", name.alias("path"), (F.octet_length(F.coalesce("html", F.lit(""))) * (k % 4) * 300).cast("long").alias("length"))
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_FILES, "path string, length long").withColumn("subject", F.regexp_extract("path", r"/(sub-[^/]+)/", 1))
+_KINDS = ("_task-rest_events.tsv", "_task-verbalwm_events.tsv", ".vhdr", ".eeg", ".vmrk", "_beh.tsv", "_events.tsv")
+_FILES = f"""fl AS (SELECT {_SUBJECT.format("page_id // 5")} AS subject, '/data/' || {_SUBJECT.format("page_id // 5")} || '/eeg/x' || page_id || [{", ".join(f"'{x}'" for x in _KINDS)}][(page_id * 7 + page_id // 5) % {len(_KINDS)} + 1] AS path, CAST(octet_length(encode(coalesce(html, ''))) * (page_id % 4) * 300 AS BIGINT) AS length FROM pages)"""
 
 
-@query("SELECT * FROM (VALUES ('sub-1','a/sub-1/eeg/x_task-verbalwm_events.tsv','a/sub-1/eeg/x_task-rest_events.tsv'),('sub-2','a/sub-2/eeg/x_task-verbalwm_events.tsv','a/sub-2/eeg/x_task-verbalwm_events.tsv'),('sub-3','a/sub-3/eeg/x_task-rest_events.tsv','a/sub-3/eeg/x_task-rest_events.tsv')) v(subject, task_file, rest_file)")
+@query(f"WITH {_FILES}, e AS (SELECT *, lower(split_part(path, '/', 5)) AS name FROM fl WHERE path LIKE '%\\_events.tsv' ESCAPE '\\'), g AS (SELECT subject, max(path) FILTER (WHERE contains(name, 'verbalwm')) AS t, max(path) FILTER (WHERE contains(name, 'rest') AND NOT contains(name, 'verbalwm')) AS r, min(path) AS a FROM e GROUP BY 1) SELECT subject, coalesce(t, a) AS task_file, coalesce(r, a) AS rest_file FROM g")
 def event_file_resolution(spark: SparkSession, d: str) -> DataFrame:
     """J3, G18."""
-    return epochs.event_files(_files(spark))
+    return epochs.event_files(files(spark, d))
 
 
-@query("SELECT 'a/sub-2/eeg/x_task-verbalwm_events.tsv' AS path, CAST(7 AS BIGINT) AS length")
+@query(f"WITH {_FILES} SELECT path, length FROM fl WHERE length > 0 AND (length // 300) % 3 <> 0")
 def file_resume_diff(spark: SparkSession, d: str) -> DataFrame:
-    """One file is here, one is cut short, one is empty."""
-    here = spark.createDataFrame([(_FILES[0][0], 5), (_FILES[1][0], 6), (_FILES[2][0], 3)], "path string, length long")
-    return qc.to_fetch(_files(spark).select("path", "length"), here)
+    """Files are here at their full length, cut short or not at all, by their length."""
+    f = files(spark, d).select("path", "length")
+    third = F.floor(F.col("length") / 300) % 3
+    here = f.where(third == 0).unionAll(f.where(third == 1).withColumn("length", F.col("length") - 1))
+    return qc.to_fetch(f, here)
 
 
-@query("SELECT * FROM (VALUES ('s1', '', 0, 'valid'), ('s2', '.vmrk', 1, 'missing'), ('s3', '', 1, 'small')) v(subject, missing, n_small, verdict)")
+@query(f"WITH {_FILES}, x AS (SELECT length = 0 OR (length // 300) % 3 = 0 AS skip, contains(path, '.eeg') AS bad FROM fl) SELECT count(*) FILTER (WHERE NOT skip AND NOT bad) AS downloaded, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT skip AND bad) AS failed, count(*) FILTER (WHERE NOT skip AND bad) = 0 AS success FROM x")
+def fetch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Signals fail."""
+    f = files(spark, d).select("path", "length")
+    return qc.fetch_counts(f, f.where(F.floor(F.col("length") / 300) % 3 == 0), f.where(F.contains("path", F.lit(".eeg"))))
+
+
+_VALID = """v AS (SELECT subject, concat_ws(',', CASE WHEN count(*) FILTER (WHERE suffix(path, '.vhdr')) = 0 THEN '.vhdr' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.eeg')) = 0 THEN '.eeg' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.vmrk')) = 0 THEN '.vmrk' END) AS missing, CAST(count(*) FILTER (WHERE suffix(path, '.eeg') AND length < 1048576) AS INT) AS n_small FROM fl GROUP BY 1),
+w AS (SELECT *, CASE WHEN missing <> '' THEN 'missing' WHEN n_small > 0 THEN 'small' ELSE 'valid' END AS verdict FROM v)"""
+
+
+@query(f"WITH {_FILES}, {_VALID} SELECT * FROM w")
 def file_validity(spark: SparkSession, d: str) -> DataFrame:
-    """F14, G21, A25."""
-    rows = [(s, f"{s}/x{e}", n) for s, n, es in (("s1", 1_048_576, (".vhdr", ".eeg", ".vmrk")), ("s2", 9, (".vhdr", ".eeg")), ("s3", 1_048_575, (".vhdr", ".eeg", ".vmrk"))) for e in es]
-    v = qc.validate_files(spark.createDataFrame(rows, "subject string, path string, length long"))
+    """F14, G21."""
+    v = qc.validate_files(files(spark, d))
     return v.select("subject", F.array_join("missing", ",").alias("missing"), F.col("n_small").cast("int").alias("n_small"), "verdict")
 
 
+@query(f"WITH {_FILES}, {_VALID} SELECT verdict, count(*) AS n, min(subject) AS first, max(subject) AS last FROM w GROUP BY 1")
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A25."""
+    return qc.validation_summary(qc.validate_files(files(spark, d)))
+
+
+@query(f"WITH {_REG}, {_FILES}, {_VALID}, g AS (SELECT subject FROM reg WHERE status <> 'skip' AND subject IN (SELECT subject FROM w WHERE verdict = 'valid' OR n_small >= 0) ORDER BY 1 LIMIT 1) SELECT subject, sfreq, string_agg(channel, ',' ORDER BY i) AS channels FROM g JOIN reg USING (subject) JOIN ch USING (subject) GROUP BY 1, 2")
+def header_sanity_check(spark: SparkSession, d: str) -> DataFrame:
+    """Files of any verdict are taken for valid here, as pages make few full sets."""
+    v = qc.validate_files(files(spark, d)).withColumn("verdict", F.lit("valid"))
+    return metadata.sanity_check(registry_of(spark, d), v).withColumn("channels", F.array_join("channels", ","))
+
+
 @query("WITH a AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase' AND value > 50), b AS (SELECT user_id, event_id FROM events WHERE event_type = 'view') SELECT * FROM a UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM a)")
 def rest_fallback(spark: SparkSession, d: str) -> DataFrame:
     """J9."""
@@ -299,26 +545,25 @@ def epoch_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bandpass_filter(spark: SparkSession, d: str) -> DataFrame:
-    """G1: each recording at 20 Hz, 0.5-8 Hz."""
-    return signal_arrays(spark, d).select("user_id", hest.bandpass(0.5, 8.0)(F.col("samples"), F.lit(20.0)).alias("filtered"))
+    """G1: each epoch of a recording at 20 Hz, 0.5-8 Hz."""
+    return epoch_arrays(spark, d).select("user_id", "epoch_idx", hest.bandpass(0.5, 8.0)(F.col("samples"), F.lit(20.0)).alias("filtered"))
 
 
 @query()
 def ppg_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """Each recording at 20 Hz."""
-    return signal_arrays(spark, d).select("user_id", hest.ppg_features(F.col("samples"), F.lit(20.0)).alias("f")).select("user_id", "f.*")
+    """Each epoch of a recording at 20 Hz."""
+    return hest.ppg_features(epoch_arrays(spark, d).withColumnRenamed("samples", "ppg"), ["user_id", "epoch_idx"], 20.0)
 
 
 @query()
 def beat_tensors(spark: SparkSession, d: str) -> DataFrame:
-    """G7, G12, G13, G14 on synthetic epochs, one a user: pulses every 0.8 s and the user's values as noise, at 250 Hz."""
-    p, fs = Params(fs=250.0), 250.0
-    users = signal_arrays(spark, d).withColumn("kind", F.when(F.col("user_id") % 4 == 0, "rest").otherwise("task"))
-    i = F.sequence(F.lit(0), F.lit(1499))
-    base = users.select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("subject"), "kind", F.col("user_id").cast("int").alias("epoch_idx"), F.lit("fast").alias("condition"), F.lit(2).alias("label_int"), F.lit(fs).alias("fs"), "samples")
-    noise = lambda k: F.try_element_at(F.col("samples"), (k % F.size("samples") + 1).cast("int")) / 1000.0
-    ecg = F.transform(i, lambda k: F.exp(-F.pow((k % 200 - 100) / 4.0, 2)) + noise(k))
-    ep = base.withColumn("ecg", ecg.cast("array<float>"))
-    eeg = base.select("subject", "kind", "epoch_idx", F.lit("Cz").alias("channel"), F.transform(i, lambda k: F.sin(k / 10.0) + noise(k * 7)).cast("array<float>").alias("samples"))
-    cmap = channels.channel_map(ep.select("subject", F.lit("Cz").alias("channel"), F.lit(0).alias("ch_pos")).distinct(), channels.priorities(spark), ["subject"])
-    return hest.normalized(hest.representations(ep.drop("samples"), eeg, cmap, p), p)
+    """G7, G12, G13, G14 on all epochs of all recordings: pulses every 0.8 s and the user's values as noise, at 250 Hz; last epochs are padded."""
+    p, fs, one = Params(fs=250.0), 250.0, ["subject", "kind", "epoch_idx"]
+    e = epoch_arrays(spark, d).withColumn("x", arrays.pad(F.col("samples"), EPOCH))
+    e = e.select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subject"), F.when(F.col("epoch_idx") % 2 == 1, "rest").when(F.col("user_id") % 4 == 0, "rest").otherwise("task").alias("kind"),
+        "epoch_idx", F.lit("fast").alias("condition"), F.lit(2).alias("label_int"), F.lit(fs).alias("fs"), "x")
+    ecg = F.transform("x", lambda v, k: F.exp(-F.pow((k % 200 - 100) / 4.0, 2)) + v / 1000.0)
+    eeg = e.select(*one, F.lit("Cz").alias("channel"), F.transform("x", lambda v, k: F.sin(k / 10.0) + v / 1000.0).cast("array<float>").alias("samples"))
+    cmap = channels.channel_map(e.select("subject", F.lit("Cz").alias("channel"), F.lit(0).alias("ch_pos")).distinct(), channels.priorities(spark), ["subject"])
+    return hest.normalized(hest.representations(e.withColumn("ecg", ecg.cast("array<float>")).drop("x"), eeg, cmap, p), p)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = "subject string, header_path string, data_file string, channels array<string>, resolutions array<double>, sfreq double, binary_format string, orientation string, read_error string"
+HEADER = "subject string, header_path string, data_file string, marker_file string, channels array<string>, resolutions array<double>, sfreq double, binary_format string, orientation string, read_error string"
+SAMPLE_BYTES = {"INT_16": 2, "INT_32": 4, "IEEE_FLOAT_32": 4}
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -46,7 +47,10 @@ def parse_header(text: str) -> dict:
 
 
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """One row a .vhdr file; no samples are touched. A file that cannot be parsed gives a row with read_error."""
+    """One row a .vhdr file, with n_samples and duration_s from the data file's length and n_annotations from the markers.
+
+    No samples are touched. A file that cannot be parsed gives a row with read_error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -55,14 +59,21 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
                 try:
                     h = parse_header(bytes(content).decode("utf-8", "replace"))
                     fs = 1e6 / float(h["samplinginterval"])
-                    rows.append((subject, path, h["datafile"], h["channels"], h["resolutions"], fs, h.get("binary_format", "INT_16"), h.get("dataorientation", "MULTIPLEXED"), None))
+                    rows.append((subject, path, h["datafile"], h.get("markerfile"), h["channels"], h["resolutions"], fs, h.get("binary_format", "INT_16"), h.get("dataorientation", "MULTIPLEXED"), None))
                 except (KeyError, ValueError) as e:
-                    rows.append((subject, path, None, [], [], None, None, None, f"{type(e).__name__}: {e}"[:200]))
+                    rows.append((subject, path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.vhdr").load(root)
     f = f.select("path", "content", F.regexp_extract("path", r"/(sub-[^/]+)/", 1).alias("subject"))
-    return f.mapInPandas(run, HEADER)
+    h = f.mapInPandas(run, HEADER).withColumn("dir", F.regexp_replace("header_path", "[^/]+$", ""))
+    data = listing(spark, root, "*.eeg").select(F.col("path").alias("data_path"), F.col("length").alias("data_bytes"))
+    marks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.vmrk").load(root)
+    marks = marks.select(F.col("path").alias("marker_path"), F.regexp_count(F.decode("content", "UTF-8"), F.lit(r"(?m)^Mk[0-9]+=")).cast("long").alias("n_annotations"))
+    h = h.join(data, F.concat("dir", "data_file") == F.col("data_path"), "left").join(marks, F.concat("dir", "marker_file") == F.col("marker_path"), "left")
+    size = F.create_map(*[F.lit(x) for kv in SAMPLE_BYTES.items() for x in kv])[F.col("binary_format")] * F.size("channels")
+    n = F.when(size > 0, F.floor(F.col("data_bytes") / size))
+    return h.withColumns({"n_samples": n, "duration_s": n / F.col("sfreq")}).drop("dir", "data_path", "data_bytes", "marker_path")
 
 
 def signals(spark: SparkSession, root: str) -> DataFrame:
@@ -85,6 +96,28 @@ def signals(spark: SparkSession, root: str) -> DataFrame:
     return j.select("subject", "channels", "resolutions", "sfreq", "binary_format", "orientation", "content").mapInPandas(run, "subject string, channel string, ch_pos int, fs double, n_samples long, samples array<double>")
 
 
+def signal_chunks(spark: SparkSession, root: str, chunk: int) -> DataFrame:
+    """S5 in chunks of a fixed number of samples: subject, channel, chunk_idx, samples, so that no later row grows with a recording."""
+    s = signals(spark, root).withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_samples") - 1) / chunk))))
+    return s.select("subject", "channel", "ch_pos", "fs", "n_samples", "chunk_idx", F.slice("samples", (F.col("chunk_idx") * chunk + 1).cast("int"), F.lit(chunk)).alias("samples"))
+
+
+def event_tables(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """S6 for many files (subject, path): subject, row_idx, fields (a map of lower-cased, trimmed names to texts); files differ in columns.
+
+    A file is read whole by one task; event files are small. Unreadable bytes become replacement characters.
+    """
+    lines = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_events.tsv")
+    paths = [r["folder"] for r in files.select(F.regexp_extract("path", "^(.*)/sub-[^/]+/", 1).alias("folder")).distinct().collect()]  # the roots
+    if not paths:
+        return spark.createDataFrame([], "subject string, row_idx int, fields map<string,string>")
+    text = lines.load(paths).join(files.select("subject", "path"), "path").select("subject", F.split(F.decode("content", "UTF-8"), "\r?\n").alias("lines"))
+    names = F.transform(F.split(F.col("lines")[0], "\t"), lambda x: F.lower(F.trim(x)))
+    rows = text.select("subject", names.alias("names"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_idx", "line")).where("line <> ''")
+    values = F.transform(F.split("line", "\t"), lambda v: F.when(v != "n/a", v))
+    return rows.select("subject", "row_idx", F.map_from_arrays("names", F.slice(F.concat(values, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))).alias("fields"))
+
+
 def label_map(spark: SparkSession, path: str) -> DataFrame:
     """S3: a JSON object of label to condition, as rows."""
     text = spark.read.text(path, wholetext=True)
@@ -102,14 +135,53 @@ def write_stage(df: DataFrame, path: str, codec: str = "gzip") -> None:
     df.write.mode("overwrite").option("compression", codec).partitionBy("subject").parquet(path)
 
 
-def write_label_map(spark: SparkSession, rows: DataFrame, path: str) -> bool:
-    """K3: writes the map only if it has a row; tells whether."""
+def write_label_map(rows: DataFrame, path: str) -> bool:
+    """K3: appends the next version of the map, only if it has a row; tells whether."""
     if rows.isEmpty():
         return False
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    rows.withColumn("version", F.lit(latest_version(rows.sparkSession, path) + 1)).coalesce(1).write.mode("append").parquet(path)
     return True
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    return (spark.read.parquet(path).agg(F.max("version")).first()[0] or 0) if _exists(spark, path) else 0
+
+
+def label_map_or(spark: SparkSession, path: str, discover: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """S3, Q24: the latest stored map; discovered and stored if there is none, or if a refresh is asked for."""
+    if refresh or not latest_version(spark, path):
+        write_label_map(discover(), path)
+    version = latest_version(spark, path)
+    if not version:
+        return spark.createDataFrame([], "label string, condition string")
+    return spark.read.parquet(path).where(F.col("version") == version).select("label", "condition")
+
+
+def write_qc(qc: DataFrame, path: str) -> None:
+    """K7: a quality table as JSON lines; dates and the like as text."""
+    qc.write.mode("overwrite").json(path)
+
+
+def stage_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """A stage's epochs in order of subject and number."""
+    return spark.read.parquet(path).orderBy("subject", "epoch_idx")
+
+
+def processed_subjects(qc: DataFrame) -> DataFrame:
+    """The subjects that a stage wrote, in order."""
+    return qc.where("status = 'success'").select("subject").orderBy("subject")
+
+
+def first_epoch(stage: DataFrame, qc: DataFrame) -> DataFrame:
+    """The first epoch of the first subject that a stage wrote."""
+    return stage.join(qc.where("status = 'success'").select("subject"), "subject", "left_semi").orderBy("subject", "epoch_idx").limit(1)
+
+
 def update_params(spark: SparkSession, path: str, stage: DataFrame, values: dict) -> None:
     """K1, K8: writes the parameters' row only if the stage gave rows, else raises."""
     if stage.isEmpty():
