@@ -67,6 +67,7 @@ class Model:
 def trigram_counts(rows: DataFrame) -> DataFrame:
     """lang, bucket, n over text and lang; summed inside tasks before the shuffle."""
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -174,6 +175,7 @@ def language(text: Column, model: Model, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf(LANGUAGE)
+    @common.in_task
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:

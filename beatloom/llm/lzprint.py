@@ -165,6 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likenesses."""
     rows = with_following(docs)
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row that waits for its successor
         for batch in batches:

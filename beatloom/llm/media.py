@@ -38,6 +38,7 @@ def _by_rows(df: DataFrame, schema: str, size: Callable[[object], int], some: Ca
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held, n = [], 0

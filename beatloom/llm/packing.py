@@ -29,7 +29,7 @@ from . import common
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
 #: Words in a generation of a worker's cache.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 # White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
@@ -121,6 +121,7 @@ def _chunks(values: list, size: int = 256) -> Iterator[list]:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: its ids and the end id, cut every `capacity` ids."""
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(tokenizer_path)
         for batch in batches:

@@ -28,10 +28,11 @@ by with_scores(), which adds columns of its own names only.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -52,11 +53,13 @@ _SPANS = common.SpanHashes()
 
 @dataclass(frozen=True)
 class Model:
-    """grams (gram, r) and contexts (ctx, r): stored log ratios, None without labels of both classes; weights: of the logistic curve, the constant last."""
+    """grams (gram, r) and contexts (ctx, r): stored log ratios, None without labels of both classes; their rows; both as sent to the tasks, if
+    they are few; weights: of the logistic curve, the constant last."""
 
     grams: DataFrame | None = None
     contexts: DataFrame | None = None
     rows: int = 0
+    tables: Broadcast | None = None
     weights: tuple[float, ...] = ()
 
 
@@ -162,6 +165,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def gram_counts(rows: DataFrame) -> DataFrame:
     """gram, c0, c1: uses in ordinary and toxic texts, from text and toxic; added up inside tasks before the shuffle."""
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             toxic = batch["toxic"].to_numpy() > 0
@@ -180,34 +184,39 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def _tail(c: str, n: int) -> Column:
-    return F.substring(F.col(c), -n, n)
+def _without_first(c: str) -> Column:
+    return F.substr(F.col(c), F.lit(2), F.length(c))
 
 
-def _head(c: str, n: int | Column) -> Column:
-    return F.substr(F.col(c), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+def _without_last(c: str) -> Column:
+    return F.substr(F.col(c), F.lit(1), F.length(c) - 1)
 
 
 def shared_backoff(grams: DataFrame) -> DataFrame:
     """end, p: the shared model's chance of the last character of every ending of at most ORDER - 1 characters after the others.
 
-    An ending's count is the number of different characters that occur before it.
+    An ending's count is the number of different characters that occur before it. With c the others, m the counts of all endings
+    after c, and k their number, p(end) = (count - D) / m + (D * k / m) * p(end without its first character), down to
+    single characters, whose p is their share of all counts. So an ending is joined with all its own endings once, and its p is
+    summed up from the shortest.
     """
-    own = grams.select(F.col("gram").alias("s"), F.length("gram").alias("n"))
-    longer, orders = own.where(F.col("n") == ORDER).select("s"), []
-    for k in range(ORDER - 1, 0, -1):
-        orders.append(common.stored(longer.groupBy(_tail("s", k).alias("end")).agg(F.count("*").alias("n")), f"toxic-order{k}"))
-        longer = orders[-1].select(F.col("end").alias("s")).unionAll(own.where(F.col("n") == k).select("s"))
-    total = orders[-1].agg(F.sum("n")).first()[0]
-    below = orders[-1].select("end", (F.col("n") / total).alias("p"))
-    found = below
-    for k, order in zip(range(2, ORDER), reversed(orders[:-1]), strict=True):
-        order = order.withColumn("ctx", _head("end", k - 1)).withColumn("tail", _tail("end", k - 1))
-        sums = order.groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("kinds"))
-        order = order.join(sums, "ctx").join(below.select(F.col("end").alias("tail"), "p"), "tail")
-        below = common.stored(order.select("end", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("m")).alias("p")), f"toxic-shared{k}")
-        found = found.unionAll(below)
-    return found
+    ends = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.substr(F.col("gram"), i, F.length("gram")))
+    tails = grams.select(F.explode(ends).alias("tail")).distinct().where(F.length("tail") > 1)
+    counts = tails.groupBy(_without_first("tail").alias("end")).agg(F.count("*").alias("n")).withColumn("ctx", _without_last("end"))
+    sums = counts.groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("k"))
+    single = F.length("end") == 1
+    parts = counts.join(sums, "ctx").select(
+        "end", F.when(single, F.col("n") / F.col("m")).otherwise((F.col("n") - DISCOUNT) / F.col("m")).alias("own"), F.when(single, 0.0).otherwise(DISCOUNT * F.col("k") / F.col("m")).alias("rest"))
+    parts = common.stored(parts, "toxic-endings")
+    part = F.explode(F.transform(F.sequence(F.lit(1), F.length("end")), lambda i: F.substr(F.col("end"), i, F.length("end"))))
+    chains = parts.select("end", part.alias("part")).join(parts.select(F.col("end").alias("part"), "own", "rest"), "part")
+    chains = chains.groupBy("end").agg(F.sort_array(F.collect_list(F.struct(F.length("part").alias("size"), "own", "rest"))).alias("chain"))  # ORDER - 1 at most
+    return chains.select("end", F.aggregate("chain", F.lit(0.0), lambda p, x: x["own"] + x["rest"] * p).alias("p"))
+
+
+def sent(grams: DataFrame, contexts: DataFrame) -> Broadcast:
+    """Sorted hashes and evidence of both tables, 16 bytes a row."""
+    return grams.sparkSession.sparkContext.broadcast((_sorted_hashes(grams, "gram"), _sorted_hashes(contexts, "ctx")))
 
 
 def train(rows: DataFrame) -> Model:
@@ -216,9 +225,9 @@ def train(rows: DataFrame) -> Model:
     total = grams.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count("*").alias("n")).first()
     if not total["c0"] or not total["c1"]:
         return Model()
-    keyed = grams.withColumn("ctx", _head("gram", F.length("gram") - 1))
+    keyed = grams.withColumn("ctx", _without_last("gram"))
     ctx = common.stored(keyed.groupBy("ctx").agg(*[f(c).alias(f"{n}{k}") for k in (0, 1) for n, f, c in (("t", F.sum, f"c{k}"), ("d", F.count_if, F.col(f"c{k}") > 0))]), "toxic-contexts")
-    kept = keyed.join(ctx, "ctx").withColumn("end", F.substr("gram", F.lit(2), F.length("gram"))).join(shared_backoff(grams), "end")
+    kept = keyed.join(ctx, "ctx").withColumn("end", _without_first("gram")).join(shared_backoff(grams), "end")
 
     def p(k: int) -> Column:
         own = (F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"d{k}") * F.col("p")) / F.col(f"t{k}")
@@ -231,7 +240,8 @@ def train(rows: DataFrame) -> Model:
     c = common.stored(ctx.select("ctx", F.ln(backoff(1) / backoff(0)).alias("r")), "toxic-context-ratios")
     common.drop_stored(grams)
     common.drop_stored(ctx)
-    return Model(g, c, total["n"] + c.count())
+    rows = total["n"] + c.count()
+    return Model(g, c, rows, sent(g, c) if rows <= SENT_ROWS else None)
 
 
 # ---- evidence, the model's tables at hand ----
@@ -261,6 +271,7 @@ class Table:
 
 
 def _sorted_hashes(table: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"h": hashes(b[name].tolist()).view(np.int64), "r": b["r"]})
@@ -303,7 +314,7 @@ def evidence(used: DataFrame, model: Model) -> DataFrame:
     first = F.when(F.col("piece").startswith("^"), 2).otherwise(ORDER)
     at = counted.select("piece", F.explode(F.sequence(first, F.length("piece"))).alias("end"))
     start = F.greatest(F.lit(1), F.col("end") - (ORDER - 1))
-    at = at.select("piece", F.substr("piece", start, F.col("end") - start + 1).alias("gram")).withColumn("ctx", _head("gram", F.length("gram") - 1))
+    at = at.select("piece", F.substr("piece", start, F.col("end") - start + 1).alias("gram")).withColumn("ctx", _without_last("gram"))
     at = at.join(model.grams, "gram", "left").join(model.contexts.withColumnRenamed("r", "back"), "ctx", "left")
     return at.groupBy("piece").agg(F.sum(F.coalesce("r", "back", F.lit(0.0))).alias("r"))
 
@@ -315,6 +326,7 @@ def text_key(text: Column) -> Column:
 def pieces_used(texts: DataFrame) -> DataFrame:
     """key, piece, n: how often each text, of key and text, has each of its pieces."""
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = batch["key"].to_numpy(dtype=object)
@@ -347,9 +359,10 @@ def joined_features(texts: DataFrame, model: Model) -> DataFrame:
 def with_features(rows: DataFrame, model: Model, sent_rows: int = SENT_ROWS) -> DataFrame:
     """Adds a struct __features of each text's FEATURES."""
     if model.rows <= sent_rows:
-        shared = rows.sparkSession.sparkContext.broadcast((_sorted_hashes(model.grams, "gram"), _sorted_hashes(model.contexts, "ctx")))
+        shared = model.tables or sent(model.grams, model.contexts)
 
         @pandas_udf(", ".join(f"{name} double" for name in FEATURES))
+        @common.in_task
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             table = Table(*shared.value)
             for batch in batches:
@@ -401,7 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = CALIBRATION_ROWS) -> Mo
     found, y = known(rows.where(own))
     if len(set(y)) < 2:
         found, y = known(rows)
-    return Model(model.grams, model.contexts, model.rows, tuple(_logistic(found[list(FEATURES)].to_numpy(), y).tolist()))
+    return replace(model, weights=tuple(_logistic(found[list(FEATURES)].to_numpy(), y).tolist()))
 
 
 def with_scores(docs: DataFrame, model: Model, score_col: str = "score", sent_rows: int = SENT_ROWS) -> DataFrame:
