@@ -10,11 +10,14 @@ registers copy filled ones, chosen by a fixed rule, so short documents band as w
    each Arrow batch and then inside each shuffled partition, so a key shared by very many costs a row a batch. The
    components of these edges are the families: two documents that should be linked are in one family but for a chance
    below one in a hundred thousand at the threshold itself, from 80 percent on (3e-6 there, if registers were independent).
-3. Families are checked in full, by blocks: a family of k blocks gives k (k + 1) / 2 tasks of two blocks each, so none
-   gathers a large family. In a task, the collision-corrected Jaccard estimate of the sketches picks pairs, wide of the
-   threshold by five standard errors, and the full sets decide. A task gives a spanning forest of its links, at
-   most a row a document, never the pairs.
-4. The components of those links are the result.
+   Each representative also names the one of its batch, and of its partition, with which it shares most bands: its leader.
+3. Links to leaders are checked on full sets, streamed by leader, a set of each side at a time. Their components are the parts of a family.
+   Most families are one part then, and done, at the cost of one look at each document.
+4. In the others, what is not in the largest part is checked against the whole family, but for pairs within a part, by blocks: a
+   group of such documents with a group of the family's, so no task gathers a large family. In a task, the collision-corrected
+   Jaccard estimate of the sketches picks pairs, wide of the threshold by five standard errors, and the full sets decide. A
+   task gives a spanning forest of its links, at most a row a document, never the pairs.
+5. The components of all those links are the result.
 
 Cases: null and wordless texts have an empty set and no link; texts of fewer than five words are one shingle; rows that repeat
 an id, which must repeat its text, have one component and are all kept if it is theirs; rows with a null id are linked to nothing, have a null
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -149,6 +152,7 @@ SKETCH = "doc_id long, n_shingles long, sig binary, registers binary"
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sig (digest of the set) and registers of every document; the last two null for empty sets."""
 
+    @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -202,8 +206,9 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the least id of each key, and edges (ids in rows of two) from each id to the least id that keys join it to.
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of the least id of each key; edges (ids in rows of two) from each id to the least id that keys join it to; and
+    from each id to its leader: of the least ids of its keys the one with most of them.
 
     Tasks that see parts of one family name the same few least ids, so their edges are mostly equal.
     """
@@ -211,63 +216,122 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = keys[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    edges = np.stack([ids[order], ids[order[start]]], axis=1)
-    edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
-    nodes, ends = np.unique(edges, return_inverse=True)
-    least = nodes[_roots(len(nodes), ends.reshape(-1, 2))]
-    return order[new], np.stack([nodes, least], axis=1)[nodes != least]
+    pairs = np.stack([ids[order], ids[order[start]]], axis=1)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    code, times = np.unique(ends[:, 0] * len(nodes) + ends[:, 1], return_counts=True)
+    ends = np.stack([code // max(1, len(nodes)), code % max(1, len(nodes))], axis=1)
+    least = nodes[_roots(len(nodes), ends)]
+    best = ends[np.lexsort((ends[:, 1], -times, ends[:, 0]))]
+    best = best[np.concatenate([[True], np.diff(best[:, 0]) != 0])] if len(best) else best
+    return order[new], np.stack([nodes, least], axis=1)[nodes != least], nodes[best].reshape(-1, 2)
+
+
+def _together(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of batches, so many at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            held.append(batch.iloc[i : i + rows])
+            n += len(held[-1])
+            if n >= rows:
+                yield pd.concat(held)
+                held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+#: What a row of family_edges() is while it is made: a place in a band, an edge of a family, or a document and its leader.
+PLACE, EDGE, LEADER = range(3)
 
 
 def family_edges(reps: DataFrame, bands: int = BANDS) -> DataFrame:
-    """a, b: stored edges that join representatives sharing a band key.
+    """a, b, kind: stored edges that join representatives sharing a band key (EDGE), and leaders b of representatives a (LEADER).
 
-    A row is a place in a band (key, a) or an edge (a, b) found inside a batch; both are dealt out in one shuffle.
+    Places in bands (key, a), and what was found inside a batch, are dealt out in one shuffle.
     """
 
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 8192):
-                part = batch.iloc[i : i + 8192]
-                registers = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
-                keys = band_keys(registers, bands).reshape(-1)
-                ids = np.repeat(part["doc_id"].to_numpy(dtype=np.int64), bands)
-                first, edges = _stars(keys, ids)
-                yield pd.DataFrame({"key": keys[first].view(np.int64), "a": ids[first], "b": pd.array([None] * len(first), dtype="Int64")})
-                yield pd.DataFrame({"key": np.zeros(len(edges), dtype=np.int64), "a": edges[:, 0], "b": pd.array(edges[:, 1], dtype="Int64")})
+    def rows(kind: int, pairs: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "kind": np.full(len(pairs), kind, dtype=np.int32)})
 
+    @common.in_task
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _together(batches, 8192):
+            registers = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
+            keys = band_keys(registers, bands).reshape(-1)
+            ids = np.repeat(part["doc_id"].to_numpy(dtype=np.int64), bands)
+            first, edges, leaders = _stars(keys, ids)
+            yield pd.DataFrame({"key": keys[first].view(np.int64), "a": ids[first], "b": ids[first], "kind": np.full(len(first), PLACE, dtype=np.int32)})
+            yield rows(EDGE, edges)
+            yield rows(LEADER, leaders)
+
+    @common.in_task
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, ids = [], []
         for x in batches:
-            edge = x["b"].notna().to_numpy()
-            yield x.loc[edge, ["a", "b"]].astype("int64")
-            keys.append(x["key"].to_numpy(dtype=np.int64)[~edge])
-            ids.append(x["a"].to_numpy(dtype=np.int64)[~edge])
+            place = x["kind"].to_numpy() == PLACE
+            yield x.loc[~place, ["a", "b", "kind"]]
+            keys.append(x["key"].to_numpy()[place])
+            ids.append(x["a"].to_numpy()[place])
         if keys:
-            _, edges = _stars(np.concatenate(keys), np.concatenate(ids))
-            for i in range(0, len(edges), 100_000):
-                yield pd.DataFrame(edges[i : i + 100_000], columns=["a", "b"])
+            _, edges, leaders = _stars(np.concatenate(keys), np.concatenate(ids))
+            for kind, found in ((EDGE, edges), (LEADER, leaders)):
+                for i in range(0, len(found), 100_000):
+                    yield rows(kind, found[i : i + 100_000])[["a", "b", "kind"]]
+
+    found = reps.select("doc_id", "registers").mapInPandas(banded, "key long, a long, b long, kind int")
+    dealt = found.repartition(F.when(F.col("kind") == PLACE, F.col("key")).otherwise(F.xxhash64("a", "b", "kind")))
+    return common.stored(dealt.mapInPandas(joined, "a long, b long, kind int").distinct(), "family-edges")
+
 
-    found = reps.select("doc_id", "registers").mapInPandas(banded, "key long, a long, b long")
-    rows = found.repartition(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("a", "b")))
-    return common.stored(rows.mapInPandas(joined, "a long, b long").distinct(), "family-edges")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def verified(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Index pairs of a spanning forest of the links: between the sides if there are two, else among all."""
+def leader_links(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: those pairs of a document and its leader that are links.
+
+    The rows of a leader come one after another, its own text first; a task holds the leader's set and one more.
+    """
+    own = _texts(docs).join(leaders.select(F.col("a").alias("doc_id"), "b"), "doc_id").withColumn("first", F.lit(0))
+    first = _texts(docs).join(leaders.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text", F.col("doc_id").alias("b"), F.lit(1).alias("first"))
+    rows = own.unionByName(first).repartition("b").sortWithinPartitions("b", F.desc("first"))
+
+    @common.in_task
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, leader, held = Shingler(), None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            out = []
+            for doc_id, text, b, is_leader in zip(batch["doc_id"].tolist(), batch["text"], batch["b"].tolist(), batch["first"].tolist(), strict=True):
+                if is_leader:
+                    if leader != b:
+                        leader, held = b, shingles(text)
+                elif leader == b:
+                    h = shingles(text)
+                    if not len(h) or not len(held):  # a repeated id with another text
+                        continue
+                    at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                    both = int((held[at] == h).sum())
+                    if 100 * both >= percent * (len(h) + len(held) - both):
+                        out.append((doc_id, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def verified(sets: list[np.ndarray], sides: np.ndarray, parts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Index pairs of a spanning forest of the links between side 0 and side 1, but for pairs within a part."""
     registers = np.stack([sketch(s) for s in sets])
     left = np.flatnonzero(sides == 0)
     right = np.flatnonzero(sides == 1)
-    alone = not len(right)
-    right = left if alone else right
     sizes = np.array([len(s) for s in sets])
     # short sets fill few registers, so their estimates spread more
     filled = REGISTERS * (1 - np.exp(-np.minimum(sizes[left][:, None], sizes[right][None, :]) / REGISTERS))
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / filled) ** 0.5
     near = estimate(registers[left], registers[right]) >= least
     ratio = np.minimum(sizes[left][:, None], sizes[right][None, :]) * 100 >= percent * np.maximum(sizes[left][:, None], sizes[right][None, :])
-    candidate = near & ratio
-    if alone:
-        candidate &= np.triu(np.ones_like(candidate), 1)
+    candidate = near & ratio & (parts[left][:, None] != parts[right][None, :])
     out = []
     if candidate.any():
         used = np.flatnonzero(candidate.any(axis=0))
@@ -290,38 +354,58 @@ def verified(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT)
 
 
 def links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: a spanning forest of every family's links. members: doc_id, family, blocks (their number in the family)."""
+    """a, b: a spanning forest, in each block, of the links that join parts of a family.
+
+    members: doc_id, family, part, other (it is not of the largest part), left_blocks and right_blocks (of the other and of all).
+    """
 
+    @common.in_task
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.iloc[i : i + 512].reset_index(drop=True)
                 part["shingles"] = [shingles(t).tobytes() for t in part.pop("text")]
-                yield part
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
-    rows = rows.mapInPandas(with_sets, "doc_id long, family long, blocks int, shingles binary")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a block meets each block of its family once: (i, j) with i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("doc_id", "family", "block", "shingles", other)
-    rows = rows.select("doc_id", "family", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+                yield part[part["shingles"].map(len) > 0]
+
+    columns = "doc_id long, family long, part long, other boolean, left_blocks int, right_blocks int, shingles binary"
+    rows = _texts(docs).join(members, "doc_id").select("doc_id", "family", "part", "other", "left_blocks", "right_blocks", "text").mapInPandas(with_sets, columns)
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # an other document meets each block of all, any document each block of others
+    places = F.transform(each("left_blocks"), lambda i: F.struct(i.alias("i"), block("right_blocks").alias("j"), F.lit(1).alias("side")))
+    left = F.transform(each("right_blocks"), lambda j: F.struct(block("left_blocks").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    places = F.when(F.col("other"), F.concat(places, left)).otherwise(places)
+    rows = rows.select("doc_id", "family", "part", "shingles", F.explode(places).alias("at")).select("doc_id", "family", "part", "shingles", "at.*")
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-        two = group["i"].iloc[0] != group["j"].iloc[0]
-        sides = group["side"].to_numpy() if two else np.zeros(len(group), dtype=int)
-        if len(group) < 2 or (two and len(set(sides)) < 2):
+        group = group.drop_duplicates(["doc_id", "side"]).sort_values(["side", "doc_id"]).reset_index(drop=True)
+        sides, parts, ids = group["side"].to_numpy(), group["part"].to_numpy(), group["doc_id"].to_numpy()
+        if len(set(sides)) < 2 or len(set(parts)) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
-        ids = group["doc_id"].to_numpy()
-        found = verified(sets, sides, percent)
+        found = verified([np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]], sides, parts, percent)
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     return rows.groupBy("family", "i", "j").applyInPandas(check, "a long, b long")
 
 
+def _blocks(n: str, weight: str) -> Column:
+    by_count = F.greatest(F.least(F.ceil(F.col(n) / BLOCK_DOCS), F.lit(MOST_SMALL_BLOCKS)), F.ceil(F.col(n) / (16 * BLOCK_DOCS)))
+    return F.greatest(by_count, F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def open_members(family: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What links() takes, of the families of more than one part. family: id, component; parts: the same, of links; sizes: doc_id, n_shingles."""
+    m = family.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    m = m.join(parts.select(F.col("id").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")).join(sizes, "doc_id")
+    m = common.stored(m, "family-members")
+    by_part = m.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    whole = by_part.groupBy("family").agg(F.max(F.struct("n", "part", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+    whole = whole.select("family", F.col("top.part").alias("largest"), "n", "weight", (F.col("n") - F.col("top.n")).alias("n_other"), (F.col("weight") - F.col("top.weight")).alias("weight_other"))
+    whole = common.stored(whole.select("family", "largest", _blocks("n_other", "weight_other").alias("left_blocks"), _blocks("n", "weight").alias("right_blocks")), "open-families")
+    return m.join(whole, "family").select("doc_id", "family", "part", (F.col("part") != F.col("largest")).alias("other"), "left_blocks", "right_blocks")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links are of percent and more."""
     s = common.stored(sketches(docs), "sketches")
@@ -329,17 +413,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = common.stored(with_set.groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
     own = with_set.select("doc_id", "sig", "n_shingles", "registers").join(reps.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["doc_id", "sig"])
     edges = family_edges(own, bands_for(percent))
-    family = components(edges)
-    sizes = with_set.join(family, with_set["doc_id"] == family["id"]).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    n, weight = F.col("n"), F.col("weight")
-    by_count = F.greatest(F.least(F.ceil(n / BLOCK_DOCS), F.lit(MOST_SMALL_BLOCKS)), F.ceil(n / (16 * BLOCK_DOCS)))
-    blocks = F.greatest(by_count, F.ceil(weight / BLOCK_SHINGLES)).cast("int")
-    sizes = common.stored(sizes.select("component", blocks.alias("blocks")), "family-blocks")
-    members = common.stored(family.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "blocks"), "members")
-    found = common.stored(links(docs, members, percent), "links")
+    family = components(edges.where(F.col("kind") == EDGE).select("a", "b"))
+    known = common.stored(leader_links(docs, edges.where(F.col("kind") == LEADER), percent), "leader-links")
+    parts = components(known)
+    members = common.stored(open_members(family, parts, own.select("doc_id", "n_shingles")), "open-members")
+    found = common.stored(known.unionAll(links(docs, members, percent)), "links")
     comps = components(found)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "components")
-    for done in (reps, edges, family, sizes, members, found, comps):
+    for done in (reps, edges, family, known, parts, members, found, comps):
         common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     out = keyed.join(by_set, "sig", "left")

@@ -71,6 +71,46 @@ def test_large_family_is_whole(spark):
     assert {c for _, c, _ in out.values()} == {0}
 
 
+def varied(n, families, rng):
+    """Texts of families in which each is an edit of another, so that some chains of links are long."""
+    rows = []
+    for f in range(families):
+        texts = [[f"f{f}w{k}" for k in range(60)]]
+        while len(texts) < n:
+            w = texts[rng.integers(0, len(texts))].copy()
+            for _ in range(rng.integers(1, 3)):
+                w[rng.integers(0, 60)] = f"e{rng.integers(0, 1 << 30)}"
+            texts.append(w)
+        rows += [" ".join(t) for t in texts]
+    order = rng.permutation(len(rows))
+    return [(int(i), rows[k]) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize(("docs", "small"), [(128, 16), (4, 2), (1, 1)])
+def test_chains_of_links(spark, monkeypatch, docs, small):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(neardup, "MOST_SMALL_BLOCKS", small)
+    rows = varied(40, 6, np.random.default_rng(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert result(df) == want and len({c for _, c, _ in want.values()}) > 12
+
+
+def test_repeated_ids_with_other_texts(spark):
+    w = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, w), (1, None), (2, w + " x"), (2, ""), (3, w), (3, "quite another text of some words here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and all(r.component_id is not None for r in got)
+
+
+def test_leaders_share_most_keys():
+    keys = np.array([1, 1, 2, 2, 3, 3, 4, 4, 5])
+    ids = np.array([9, 4, 9, 7, 9, 7, 4, 2, 8])
+    first, edges, leaders = neardup._stars(keys, ids)
+    assert sorted(ids[first].tolist()) == [2, 4, 7, 7, 8] and edges.tolist() == [[4, 2], [7, 2], [9, 2]] and leaders.tolist() == [[4, 2], [9, 7]]
+    assert [len(x) for x in neardup._stars(np.array([1, 2]), np.array([5, 6]))] == [2, 0, 0]
+
+
 @pytest.mark.parametrize("n", [1, 7, 40])
 def test_roots(n):
     rng = np.random.default_rng(n)
