@@ -9,7 +9,8 @@ only things collected are the slot histogram and the map, whose rows are bounded
 inside parts of a slot of about PART_ROWS rows, dealt by each row's place in the input, so no task sorts a slot, however full.
 
 Cases: records with a null id are hashed by their place in the input, so they spread; a null text has size 1;
-repeated rows (same id) share a slot and get different places; an empty table gives an empty result; extra
+repeated rows (same id) share a slot and get different places, but a slot of many rows with more than a SPLIT-th of a shard's
+bytes, as an id that very many rows have makes it, is split into several by the rows' places in the input; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from . import common
 N_SLOTS = 4096
 #: Rows of a slot that are numbered together.
 PART_ROWS = 250_000
+#: A slot may hold this part of a shard's mean bytes.
+SPLIT = 16
 
 
 @dataclass(frozen=True)
@@ -124,6 +127,26 @@ def slot_histogram(slotted: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int
     return sizes, counts
 
 
+def splits(sizes: list[int], counts: list[int], n_shards: int) -> dict[int, tuple[int, int]]:
+    """The slots that are too full: the first of the slots that each becomes, after all others, and their number."""
+    out, first, most = {}, len(sizes), sum(sizes) / (SPLIT * n_shards)
+    for slot, (size, n) in enumerate(zip(sizes, counts, strict=True)):
+        if n > 1 and size > most:
+            k = min(n, -int(-size // most))
+            out[slot] = (first, k)
+            first += k
+    return out
+
+
+def with_splits(slotted: DataFrame, found: dict[int, tuple[int, int]]) -> DataFrame:
+    """Rows of the slots that are too full in the slots that these become; at most SPLIT a shard are."""
+    if not found:
+        return slotted
+    maps = [F.create_map(*[F.lit(x) for slot, pair in found.items() for x in (slot, pair[k])]) for k in (0, 1)]
+    first, k = (m[F.col("virtual_slot")] for m in maps)
+    return slotted.withColumn("virtual_slot", F.coalesce(first + F.pmod(F.xxhash64("place"), k), F.col("virtual_slot")).cast("int"))
+
+
 def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     """Append a version to the map's table, partitioned by version."""
     rows = spark.createDataFrame(slot_map.rows(), "virtual_slot int, shard int, version int")
@@ -164,7 +187,10 @@ def shard_documents(docs: DataFrame, n_shards: int, path: str) -> DataFrame:
     spark = docs.sparkSession
     slotted = common.stored(with_slots(docs), "slotted")
     sizes, counts = slot_histogram(slotted)
-    store_map(spark, dealt(N_SLOTS, n_shards), path)
+    if found := splits(sizes, counts, n_shards):
+        slotted = with_splits(slotted, found)
+        sizes, counts = slot_histogram(slotted, N_SLOTS + sum(k for _, k in found.values()))
+    store_map(spark, dealt(len(sizes), n_shards), path)
     store_map(spark, rebalanced(read_map(spark, path), sizes), path)
     return assign(slotted, load_map(spark, path), sum(counts))
 

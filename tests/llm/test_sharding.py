@@ -51,6 +51,14 @@ def test_odd_rows(spark):
     assert sharding.shard_documents(df.limit(0), 8, common.new_path(spark, "map")).count() == 0
 
 
+def test_hot_id_is_split(spark):
+    rows = [(7, f"copy {i} of a hot id") for i in range(3000)] + [(i, f"document {i} " * 3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(sharding.shard_documents(df, 8, common.new_path(spark, "map")).collect(), rows, 1.01)
+    assert sharding.splits([5, 5, 900, 5], [1, 1, 1, 1], 1) == {} and sharding.splits([10] * 20, [10] * 20, 1) == {}
+    assert sharding.splits([0, 640, 0], [0, 100, 0], 2) == {1: (3, 32)}
+
+
 def test_versions(spark):
     rng = np.random.default_rng(1)
     sizes = (rng.pareto(1.5, size=sharding.N_SLOTS) * 1000).astype(int).tolist()
