@@ -17,13 +17,16 @@ digests; a very common payload is an ordinary skewed join, which Spark splits.
 Cases: a null html is an empty payload; a null url becomes about:blank, and blanks and controls in urls are
 percent-encoded; repeated rows with equal key and payload are responses and revisits like any others (of equal keys
 the one with the largest record number is the response); a null page_id counts as the smallest; an empty table gives an
-empty result; extra columns are ignored. A truncated or malformed record raises ValueError with its place.
+empty result; extra columns are ignored. A truncated or malformed record raises ValueError with its place, or ends its archive
+if read_arc() is not strict.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -60,31 +63,41 @@ def arc_record(version: int, url: str, block: bytes, ip: str = "0.0.0.0", date:
     return f"{url} {ip} {date} {mime} {middle}{len(block)}\n".encode() + block + b"\n"
 
 
+# Lines are read from both ends, so that a blank in the URL or the type does no harm.
+_LINES = {
+    1: re.compile(r"(.*) (\S+) (\d{4,17}) (.*) (\d+)"),
+    2: re.compile(r"(.*) (\S+) (\d{4,17}) (.*) (\d+|-) (\S+) (\S+) (\d+) (\S+) (\d+)"),
+}
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file: the fields of their lines, and block, the declared bytes."""
-    at, names = 0, None
+    """Records of an ARC file, compressed or not: the fields of their lines, and block, the declared bytes."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at, version = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"ARC: no end of line after byte {at}")
-        fields = data[at:end].decode("utf-8", "replace").split(" ")
-        if names is None:
-            if not fields[0].startswith("filedesc://"):
-                raise ValueError("ARC: the file does not begin with filedesc://")
-            names = ARC_NAMES[1] if len(fields) == 5 else ARC_NAMES[2]
-        if len(fields) != len(names) or not fields[-1].isdigit():
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        head = line.startswith("filedesc://")
+        if version is None and not head:
+            raise ValueError("ARC: the file does not begin with filedesc://")
+        tried = (2, 1) if head else (version,)
+        version, found = next(((v, m) for v in tried if (m := _LINES[v].fullmatch(line))), (version, None))
+        if found is None:
             raise ValueError(f"ARC: malformed record line at byte {at}")
-        record = dict(zip(names, fields, strict=True))
+        record = dict(zip(ARC_NAMES[version], found.groups(), strict=True))
         start, length = end + 1, int(record["length"])
         if start + length > len(data):
             raise ValueError(f"ARC: the record at byte {at} declares more bytes than there are")
         record["block"] = data[start : start + length]
-        if fields[0].startswith("filedesc://"):
-            names = ARC_NAMES[int(record["block"][:1] or b"1")]
+        if head:
+            version = 2 if record["block"][:1] == b"2" else 1
         else:
             yield record
         at = start + length
-        while data[at : at + 1] == b"\n":
+        while data[at : at + 1] in (b"\n", b"\r"):
             at += 1
 
 
@@ -174,26 +187,59 @@ def write_arc(pages: DataFrame) -> DataFrame:
 RECORDS = "rec string, key long, url string, date string, mime string, ip string, status int, head binary, payload binary, payload_sha1 string, payload_bytes long"
 
 
-def read_arc(archives: DataFrame) -> DataFrame:
-    """One row a record of ARC archives; rec names it: archive and number."""
+def _records(name: str, content: bytes, strict: bool) -> Iterator[tuple]:
+    records = enumerate(parse_arc(content))
+    while True:
+        try:
+            k, r = next(records)
+        except StopIteration:
+            return
+        except (ValueError, OSError, EOFError):
+            if strict:
+                raise
+            return
+        head, payload = split_http(r["block"])
+        key = next((int(x[10:]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:") and x[10:].strip()), None)
+        status = int(head[9:12]) if head[9:12].isdigit() else None
+        yield f"{name}#{k:09d}", key, clean_url(r["url"]), r["date"], r["mime"], r["ip"], status, head, payload, hashlib.sha1(payload).hexdigest(), len(payload)
+
+
+def read_arc(archives: DataFrame, strict: bool = True) -> DataFrame:
+    """One row a record of ARC archives; rec names it: archive and number.
 
+    A malformed archive raises, or, if not strict, gives the records before the fault; arc_errors() tells which those are.
+    """
+
+    @common.in_task
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                rows = []
-                for k, r in enumerate(parse_arc(bytes(content))):
-                    head, payload = split_http(r["block"])
-                    key = next((int(x[10:]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:") and x[10:].strip()), None)
-                    sha1 = hashlib.sha1(payload).hexdigest()
-                    status = int(head[9:12]) if head[9:12].isdigit() else None
-                    rows.append((f"{name}#{k:09d}", key, r["url"], r["date"], r["mime"], r["ip"], status, head, payload, sha1, len(payload)))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
+                out = pd.DataFrame(list(_records(name, bytes(content), strict)), columns=[x.split()[0] for x in RECORDS.split(", ")])
                 out["key"], out["status"] = out["key"].astype("Int64"), out["status"].astype("Int64")
                 yield out
 
     return archives.select("name", "content").mapInPandas(run, RECORDS)
 
 
+def arc_errors(archives: DataFrame) -> DataFrame:
+    """name, records, error of the archives that cannot be read to their end."""
+
+    @common.in_task
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            rows = []
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                n = 0
+                try:
+                    for _ in parse_arc(bytes(content)):
+                        n += 1
+                except (ValueError, OSError, EOFError) as e:
+                    rows.append((name, n, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["name", "records", "error"]).astype({"records": "int64"})
+
+    return archives.select("name", "content").mapInPandas(run, "name string, records long, error string")
+
+
 def with_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Adds original: null, or for a revisit the record, key and URL it repeats. records is a stored table."""
     large = records.where(F.col("payload_bytes") >= min_bytes)
@@ -234,6 +280,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
     """One row a response or revisit record, with digests checked against the bytes read."""
     schema = "page_id long, record_id string, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
+    @common.in_task
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             for content in batch["content"]:
@@ -257,8 +304,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
     return archives.select("name", "content").mapInPandas(run, schema)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.arc") -> DataFrame:
-    """name, content of archive files of a folder."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*.{arc,arc.gz,warc}") -> DataFrame:
+    """name, content of archive files of a folder; compressed ARC files are read as they are."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
@@ -266,6 +313,7 @@ def export_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Each archive as a file in a folder that every executor mounts; name and size of what was written."""
     import os
 
+    @common.in_task
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
         for batch in it:

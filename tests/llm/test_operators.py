@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.llm import entry, packing, warc
+from beatloom.llm import entry, packing
 from tests.conftest import SF
 from tests.oracle import compare
 
@@ -51,13 +51,3 @@ def test_local_search_empties_bins():
     bins = packing.local_search(lengths, [[0], [1], [2], [3], [4, 5], [6]])
     assert sorted(i for b in bins for i in b) == list(range(7)) and len(bins) < 6
     assert all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-
-
-def test_arc_round_trip(spark):
-    html = "<p>" + "é" * 900
-    df = spark.createDataFrame([(1, "http://a b/", html), (2, None, html), (3, "http://c/", None), (4, "http://d/", "x"), (5, "http://d/", "x")], "page_id long, url string, html string")
-    out = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(warc.convert(warc.write_arc(df))).collect()}
-    n = len(html.encode())
-    assert out == {1: (n, "revisit", 2), 2: (n, "response", None), 3: (0, "response", None), 4: (1, "response", None), 5: (1, "response", None)}
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(warc.arc_head("x", 1) + b"http://a 0.0.0.0 20000101000000 text/html 99\nshort"))
