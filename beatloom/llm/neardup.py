@@ -285,17 +285,13 @@ def family_edges(reps: DataFrame, bands: int = BANDS) -> DataFrame:
     return common.stored(dealt.mapInPandas(joined, "a long, b long, kind int").distinct(), "family-edges")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def leader_links(docs: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: those pairs of a document and its leader that are links.
+def leader_links(texts: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: those pairs of a document and its leader that are links. texts: doc_id, text.
 
     The rows of a leader come one after another, its own text first; a task holds the leader's set and one more.
     """
-    own = _texts(docs).join(leaders.select(F.col("a").alias("doc_id"), "b"), "doc_id").withColumn("first", F.lit(0))
-    first = _texts(docs).join(leaders.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text", F.col("doc_id").alias("b"), F.lit(1).alias("first"))
+    own = texts.join(leaders.select(F.col("a").alias("doc_id"), "b"), "doc_id").withColumn("first", F.lit(0))
+    first = texts.join(leaders.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text", F.col("doc_id").alias("b"), F.lit(1).alias("first"))
     rows = own.unionByName(first).repartition("b").sortWithinPartitions("b", F.desc("first"))
 
     @common.in_task
@@ -353,7 +349,7 @@ def verified(sets: list[np.ndarray], sides: np.ndarray, parts: np.ndarray, perce
     return pairs[_forest(len(sets), pairs)]
 
 
-def links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(texts: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: a spanning forest, in each block, of the links that join parts of a family.
 
     members: doc_id, family, part, other (it is not of the largest part), left_blocks and right_blocks (of the other and of all).
@@ -369,7 +365,7 @@ def links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFr
                 yield part[part["shingles"].map(len) > 0]
 
     columns = "doc_id long, family long, part long, other boolean, left_blocks int, right_blocks int, shingles binary"
-    rows = _texts(docs).join(members, "doc_id").select("doc_id", "family", "part", "other", "left_blocks", "right_blocks", "text").mapInPandas(with_sets, columns)
+    rows = texts.join(members, "doc_id").select("doc_id", "family", "part", "other", "left_blocks", "right_blocks", "text").mapInPandas(with_sets, columns)
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # an other document meets each block of all, any document each block of others
@@ -414,13 +410,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = with_set.select("doc_id", "sig", "n_shingles", "registers").join(reps.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["doc_id", "sig"])
     edges = family_edges(own, bands_for(percent))
     family = components(edges.where(F.col("kind") == EDGE).select("a", "b"))
-    known = common.stored(leader_links(docs, edges.where(F.col("kind") == LEADER), percent), "leader-links")
+    # only documents of families are looked at again: their texts are picked out once
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = common.stored(texts, "family-texts")
+    known = common.stored(leader_links(texts, edges.where(F.col("kind") == LEADER), percent), "leader-links")
     parts = components(known)
     members = common.stored(open_members(family, parts, own.select("doc_id", "n_shingles")), "open-members")
-    found = common.stored(known.unionAll(links(docs, members, percent)), "links")
+    found = common.stored(known.unionAll(links(texts, members, percent)), "links")
     comps = components(found)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "components")
-    for done in (reps, edges, family, known, parts, members, found, comps):
+    for done in (reps, edges, family, texts, known, parts, members, found, comps):
         common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     out = keyed.join(by_set, "sig", "left")
