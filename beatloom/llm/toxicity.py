@@ -45,7 +45,7 @@ LONGEST, STRONG, TOP = 40, 3.0, 3
 #: Rows of n-grams and contexts, 16 bytes each, that may be sent to the tasks.
 SENT_ROWS = 6_000_000
 #: Characters that are looked at together.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 600_000
 FEATURES = ("mean", "first", "second", "third", "strong", "share")
 _START, _END = ord("^"), ord("$")
 _SPANS = common.SpanHashes()
