@@ -29,7 +29,7 @@ from . import common
 
 CAPACITY, END_ID, GROUP = 2048, 0, 8192
 #: Words in a generation of a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 # White space always parts words for this kind of tokenizer, so runs between blanks are encoded one by one and remembered.
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
@@ -66,8 +66,12 @@ class Encoder:
         own, old = self.words, self.words.old
         plain, parts = [], set()
         for w in {w for w in words if w not in own}.difference(old):
-            m = _PLAIN.fullmatch(w)
-            if m:
+            if w.isalpha() and w.isascii():
+                letters = w.lower()
+                parts.add(letters)
+                if w != letters:
+                    plain.append((w, letters, ""))
+            elif m := _PLAIN.fullmatch(w):
                 letters, marks = m.groups()
                 letters = letters.lower()
                 parts.add(letters)
