@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import arrays, kernels
-from ..params import Params
+from ..operators import qc
+from ..params import BANDS, Params
+from ..sources import recordings
 from . import pulse
 
 REP = "subject string, kind string, epoch_idx int, condition string, label_int int, fs double, n_beats int, hest array<double>, rr array<double>, error string"
@@ -111,27 +113,67 @@ def representations(epochs: DataFrame, epoch_eeg: DataFrame, channel_map: DataFr
     return rows.groupBy("subject", "kind", "epoch_idx").applyInPandas(one, REP)
 
 
-def normalized(rep: DataFrame, p: Params) -> DataFrame:
-    """Task epochs against their subject's own rest; norm_status tells where there was none (Q14).
+def _without_failures(rep: DataFrame) -> DataFrame:
+    """A subject with a failed epoch is left out, as a whole (Q10)."""
+    return rep.join(rep.where("error IS NOT NULL").select("subject").distinct(), "subject", "left_anti")
 
-    A subject with a failed epoch is left out, as a whole (Q10).
-    """
-    failed = rep.where("error IS NOT NULL").select("subject").distinct()
-    good = rep.join(failed, "subject", "left_anti")
-    rest = arrays.array_stats(good.where((F.col("kind") == "rest") & (F.col("n_beats") >= p.rest_min_beats)), ["subject"], "hest")
-    task = good.where((F.col("kind") == "task") & F.col("hest").isNotNull())
-    out = task.join(rest, "subject", "left")
+
+def rest_stats(rep: DataFrame, p: Params) -> DataFrame:
+    """Subject, mean, std over the rest epochs that have enough beats."""
+    rest = _without_failures(rep).where((F.col("kind") == "rest") & F.col("hest").isNotNull() & (F.col("n_beats") >= p.rest_min_beats))
+    return arrays.array_stats(rest, ["subject"], "hest")
+
+
+def normalized(rep: DataFrame, p: Params) -> DataFrame:
+    """Task epochs against their subject's own rest; norm_status tells where there was none (Q14)."""
+    task = _without_failures(rep).where((F.col("kind") == "task") & F.col("hest").isNotNull())
+    out = task.join(rest_stats(rep, p), "subject", "left")
     return out.select(
         "subject", "epoch_idx", "condition", "label_int", "n_beats", arrays.zscore(F.col("hest"), F.col("mean"), F.col("std")).cast("array<float>").alias("hest_norm"),
         arrays.pad(F.col("rr"), p.rr_length).cast("array<float>").alias("rr_sequence"), F.when(F.col("mean").isNull(), "unnormalized").otherwise("rest").alias("norm_status"))
 
 
-def hest_qc(norm: DataFrame) -> DataFrame:
-    """Per subject: epochs, beats, conditions (A3-A5)."""
-    from ..operators.qc import condition_maps
-
-    n = norm.groupBy("subject").agg(F.count("*").alias("n_task"), F.sum("n_beats").alias("n_beats_total"))
-    return n.join(condition_maps(norm, ["subject"]), "subject")
+def hest_qc(rep: DataFrame, norm: DataFrame, channel_map: DataFrame, p: Params) -> DataFrame:
+    """Per subject status, skip_reason, n_task, n_rest (valid ones), n_beats_total, conditions, channel_map, n_placeholder_ch."""
+    failed = rep.groupBy("subject").agg(F.max("error").alias("error"), F.count_if((F.col("kind") == "rest") & (F.col("n_beats") >= p.rest_min_beats)).alias("n_rest"))
+    n = norm.groupBy("subject").agg(F.count("*").alias("n_task"), F.sum("n_beats").cast("long").alias("n_beats_total"))
+    entry = F.struct("target", F.struct("target", "mapped_to", "method").alias("value"))
+    maps = channel_map.groupBy("subject").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("channel_map"), F.count_if(F.col("method") == "placeholder").alias("n_placeholder_ch"))  # a row a target
+    out = failed.join(n, "subject", "left").join(qc.condition_maps(norm, ["subject"]), "subject", "left").join(maps, "subject", "left").fillna(0, ["n_task", "n_beats_total"])
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("n_task") == 0, "no valid epochs")
+    return out.select("subject", F.when(reason.isNull(), "success").otherwise("skip").alias("status"), reason.alias("skip_reason"), "n_task", "n_rest", "n_beats_total", "conditions", "channel_map", "n_placeholder_ch")
+
+
+def panels(table: DataFrame) -> DataFrame:
+    """K9: panel, item, value of status, condition totals, beats a subject and rest availability, from subject, status, n_rest, n_beats_total, conditions."""
+    ok = table.where("status = 'success'")
+    rest = ok.agg(F.count_if(F.col("n_rest") > 0).alias("with_rest"), F.count_if(F.col("n_rest") == 0).alias("without_rest")).unpivot([], ["with_rest", "without_rest"], "item", "value")
+    parts = (
+        ("status", table.groupBy(F.col("status").alias("item")).agg(F.count("*").alias("value"))),
+        ("conditions", ok.select(F.explode("conditions").alias("item", "n")).groupBy("item").agg(F.sum("n").alias("value"))),
+        ("beats", ok.select(F.col("subject").alias("item"), F.col("n_beats_total").alias("value"))),
+        ("rest", rest),
+    )
+    out = [x.select(F.lit(name).alias("panel"), F.col("item").cast("string").alias("item"), F.col("value").cast("long").alias("value")) for name, x in parts]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+def band_traces(epoch: DataFrame, n_times: int, n_bands: int = len(BANDS)) -> DataFrame:
+    """K9: band, time, value of the first channel of one epoch's tensor, each band two above the one before."""
+    x = epoch.select(F.posexplode(F.slice("hest_norm", 1, n_bands * n_times)).alias("pos", "v"))
+    band = F.floor(F.col("pos") / n_times).cast("int")
+    return x.select(band.alias("band"), (F.col("pos") % n_times).alias("time"), (F.col("v").cast("double") + 2 * band).alias("value"))
+
+
+def write_results(norm: DataFrame, rest: DataFrame, channel_map: DataFrame, p: Params, path: str) -> DataFrame:
+    """K5, K6: task tensors by subject, rest statistics, the channel map and the parameters, read back and checked; gives the task table."""
+    recordings.write_stage(norm, f"{path}/task")
+    rest.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/rest_stats")
+    channel_map.write.mode("overwrite").parquet(f"{path}/channel_map")
+    recordings.update_params(norm.sparkSession, f"{path}/attributes", norm, {"fs": p.fs, "decimation": p.decimation, "bands": list(BANDS), "targets": list(p.targets), "n_times": p.n_times, "rr_length": p.rr_length})
+    back = norm.sparkSession.read.parquet(f"{path}/task")
+    qc.check_written(back, norm.count(), len(p.targets) * len(BANDS) * p.n_times)
+    return back
 
 
 def cleaned_recordings(signals: DataFrame, fs: Column | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from .functions.labels import channel_type, classify, discover, map_labels, norm
 from .operators import channels, epochs, qc, registry, windows
 from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
 from .plans import hest, metadata, preprocess, pulse
+from .sources import recordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -567,3 +568,32 @@ def beat_tensors(spark: SparkSession, d: str) -> DataFrame:
     eeg = e.select(*one, F.lit("Cz").alias("channel"), F.transform("x", lambda v, k: F.sin(k / 10.0) + v / 1000.0).cast("array<float>").alias("samples"))
     cmap = channels.channel_map(e.select("subject", F.lit("Cz").alias("channel"), F.lit(0).alias("ch_pos")).distinct(), channels.priorities(spark), ["subject"])
     return hest.normalized(hest.representations(e.withColumn("ecg", ecg.cast("array<float>")).drop("x"), eeg, cmap, p), p)
+
+
+@query("""WITH q AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS r FROM events GROUP BY 1), ok AS (SELECT * FROM q WHERE n >= 64)
+SELECT 'status' AS panel, CASE WHEN n >= 64 THEN 'success' ELSE 'skip' END AS item, count(*) AS value FROM q GROUP BY 2
+UNION ALL SELECT 'conditions', event_type, count(*) FROM events JOIN ok USING (user_id) GROUP BY 2
+UNION ALL SELECT 'beats', CAST(user_id AS VARCHAR), n FROM ok
+UNION ALL SELECT 'rest', 'with_rest', count(*) FILTER (WHERE r > 10) FROM ok UNION ALL SELECT 'rest', 'without_rest', count(*) FILTER (WHERE r <= 10) FROM ok""")
+def representation_panels(spark: SparkSession, d: str) -> DataFrame:
+    """K9, 2.6, A4, A21: users as subjects, their events as beats."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("condition"))
+    n = e.groupBy("subject").agg(F.count("*").alias("n_beats_total"), F.greatest(F.count_if(F.col("condition") == "view") - 10, F.lit(0)).alias("n_rest"))
+    n = n.withColumn("status", F.when(F.col("n_beats_total") >= 64, "success").otherwise("skip"))
+    return hest.panels(n.join(qc.condition_maps(e, ["subject"]), "subject"))
+
+
+@query(f"WITH {_EMB}, f AS (SELECT min(vec_id) AS vec_id FROM embeddings WHERE label = 1) SELECT CAST(pos // 16 AS INT) AS band, CAST(pos % 16 AS INT) AS time, round(v + 2 * (pos // 16), 6) AS value FROM e JOIN f USING (vec_id)")
+def band_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The first vector of a label as one channel of four bands."""
+    e = t(spark, d, "embeddings").where("label = 1").select(F.lit("s").alias("subject"), F.col("vec_id").alias("epoch_idx"), F.col("embedding").alias("hest_norm"))
+    first = recordings.first_epoch(e, spark.createDataFrame([("s", "success")], "subject string, status string"))
+    return hest.band_traces(first, 16).withColumn("value", r6(F.col("value")))
+
+
+@query(f"WITH {_EMB}, k AS (SELECT vec_id FROM embeddings WHERE label = 0 AND vec_id % 5 >= 3) SELECT CAST(pos AS INT) AS pos, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-8, 6) AS std FROM e JOIN k USING (vec_id) GROUP BY 1")
+def rest_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Label 0 is rest, the id gives the beats."""
+    e = t(spark, d, "embeddings").select(F.lit("s").alias("subject"), F.when(F.col("label") == 0, "rest").otherwise("task").alias("kind"), (F.col("vec_id") % 5).alias("n_beats"), F.col("embedding").cast("array<double>").alias("hest"), F.lit(None).cast("string").alias("error"))
+    s = hest.rest_stats(e, Params()).select(F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "z"))
+    return s.select("pos", r6(F.col("z.mean")).alias("mean"), r6(F.col("z.std")).alias("std"))

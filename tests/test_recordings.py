@@ -215,6 +215,62 @@ def test_r_peaks_and_beat_tensor():
     assert np.allclose(a, b, atol=1e-9)
 
 
+def test_representations_end_to_end(spark, tmp_path):
+    """Tensors of epochs, their own rest, quality and files, against the same computed here."""
+    p = Params(fs=250.0, targets=("Fz", "Cz"))
+    rng = np.random.default_rng(3)
+    t = np.arange(1500)
+    ecg = np.exp(-(((t % 200) - 100) ** 2) / 16.0)
+    keys = [("a", "rest", 0), ("a", "rest", 1), ("a", "task", 0), ("a", "task", 1), ("b", "task", 0), ("c", "task", 0), ("c", "task", 1)]
+    ecgs = {k: (ecg + 0.01 * rng.standard_normal(1500)).astype(np.float32) for k in keys} | {("c", "task", 1): ecg[:9].astype(np.float32)}
+    eegs = {k: rng.standard_normal(len(ecgs[k])).astype(np.float32) for k in keys}
+    floats = lambda x: [float(v) for v in x]
+    epochs_ = spark.createDataFrame([(*k, "fast", 2, p.fs, floats(ecgs[k])) for k in keys], "subject string, kind string, epoch_idx int, condition string, label_int int, fs double, ecg array<float>")
+    eeg = spark.createDataFrame([(*k, "cz", floats(eegs[k])) for k in keys], "subject string, kind string, epoch_idx int, channel string, samples array<float>")
+    cmap = spark.createDataFrame([(s, *x) for s in "abc" for x in (("Fz", 0, "ZERO_PLACEHOLDER", "placeholder", -1), ("Cz", 1, "cz", "case_insensitive", 0))], "subject string, target string, target_pos int, mapped_to string, method string, ch_pos int")
+    rep = hest.representations(epochs_, eeg, cmap, p)
+    tensor = {k: kernels.beat_tensor([None, eegs[k].astype(float)], ecgs[k].astype(float), p.fs) for k in keys if len(ecgs[k]) > 100}
+    got = {(r.subject, r.kind, r.epoch_idx): r for r in rep.collect()}
+    assert got["c", "task", 1].error and all(np.allclose(got[k].hest, tensor[k][0].reshape(-1)) and got[k].n_beats == tensor[k][1] for k in tensor)
+    norm = hest.normalized(rep, p)
+    rest = np.stack([tensor["a", "rest", k][0].reshape(-1) for k in (0, 1)])
+    rows = {(r.subject, r.epoch_idx): r for r in norm.collect()}
+    assert rows.keys() == {("a", 0), ("a", 1), ("b", 0)}  # c has an epoch that fails
+    for k in (0, 1):
+        want = (tensor["a", "task", k][0].reshape(-1) - rest.mean(axis=0)) / (rest.std(axis=0) + 1e-8)
+        assert np.allclose(rows["a", k].hest_norm, want, rtol=1e-4, atol=1e-4) and rows["a", k].norm_status == "rest"
+        assert len(rows["a", k].rr_sequence) == 10 and np.allclose(rows["a", k].rr_sequence[:5], tensor["a", "task", k][2][:5])
+    assert np.allclose(rows["b", 0].hest_norm, tensor["b", "task", 0][0].reshape(-1), rtol=1e-5) and rows["b", 0].norm_status == "unnormalized"
+    q = {r.subject: r for r in hest.hest_qc(rep, norm, cmap, p).collect()}
+    assert (q["a"].status, q["a"].n_task, q["a"].n_rest, q["a"].conditions, q["a"].n_placeholder_ch) == ("success", 2, 2, {"fast": 2}, 1) and q["a"].channel_map["Cz"].mapped_to == "cz"
+    assert (q["c"].status, q["c"].n_task) == ("skip", 0) and q["c"].skip_reason
+    back = hest.write_results(norm, hest.rest_stats(rep, p), cmap, p, f"{tmp_path}/hest")
+    assert back.count() == 3 and json.loads(spark.read.text(f"{tmp_path}/hest/attributes").first()[0])["n_times"] == 40
+    assert spark.read.parquet(f"{tmp_path}/hest/rest_stats").first().subject == "a"
+    with pytest.raises(RuntimeError):
+        hest.write_results(norm, hest.rest_stats(rep, p), cmap, Params(fs=256.0, targets=("Fz", "Cz")), f"{tmp_path}/other")
+    traces = hest.band_traces(recordings.first_epoch(back, hest.hest_qc(rep, norm, cmap, p)), p.n_times).collect()
+    assert len(traces) == 160 and all(np.isclose(r.value, rows["a", 0].hest_norm[r.band * 40 + r.time] + 2 * r.band) for r in traces)
+
+
+def test_cleaned_recordings(spark):
+    """Mains and drift go, the reference is the mean, a heart component goes from posterior channels only when it is clear."""
+    rng = np.random.default_rng(5)
+    fs, n = 100.0, 2600
+    t = np.arange(n) / fs
+    x = {"Fz": np.sin(2 * np.pi * 10 * t), "Pz": np.sin(2 * np.pi * 6 * t), "Cz": np.sin(2 * np.pi * 15 * t)}
+    rows = [("s", c, i, "eeg", fs, [float(v) for v in y + 5 + 0.01 * rng.standard_normal(n)]) for i, (c, y) in enumerate(x.items())]
+    short = [("q", c, i, "eeg", fs, [float(v) for v in y[:900]]) for i, (c, y) in enumerate(x.items())]
+    df = spark.createDataFrame(rows + short, "subject string, channel string, ch_pos int, ch_type string, fs double, samples array<double>")
+    got = {(r.subject, r.channel): r for r in hest.cleaned_recordings(df).collect()}
+    assert len(got) == 6 and {r.ica_skip_reason for r in got.values()} == {"no_ecg"}
+    stack = np.stack([got["s", c].samples for c in x])
+    assert np.allclose(stack.sum(axis=0), 0, atol=1e-6) and np.abs(stack.mean(axis=1)).max() < 0.05
+    want = np.stack(list(x.values()))
+    want = want - want.mean(axis=0)
+    assert np.corrcoef(stack[:, 300:-300].ravel(), want[:, 300:-300].ravel())[0, 1] > 0.98
+
+
 def test_subject_sets_and_modes(spark):
     rows = [("a", "x", 1), ("a", "y", 2), ("a", "y", 3), ("a", "x", 4), ("b", None, 1)]
     df = spark.createDataFrame(rows, "k string, v string, pos int")
