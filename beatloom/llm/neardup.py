@@ -41,6 +41,8 @@ WORDS, REGISTERS, MANTISSA, BANDS, ROWS = 5, 256, 10, 96, 10
 PERCENT, LOW_BANDS = 85, 112
 #: A family's blocks: at most BLOCK_DOCS documents for small families, and about BLOCK_SHINGLES shingles.
 BLOCK_DOCS, MOST_SMALL_BLOCKS, BLOCK_SHINGLES = 128, 16, 400_000
+#: Documents that are held against a copy of their leader in one go.
+LEADER_ROWS = 256
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _mix = common.mixed
@@ -288,11 +290,15 @@ def family_edges(reps: DataFrame, bands: int = BANDS) -> DataFrame:
 def leader_links(texts: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: those pairs of a document and its leader that are links. texts: doc_id, text.
 
-    The rows of a leader come one after another, its own text first; a task holds the leader's set and one more.
+    The rows of a leader come one after another, its own text first; a task holds the leader's set and one more. A leader of
+    very many is dealt out in parts, each with a copy of its text.
     """
-    own = texts.join(leaders.select(F.col("a").alias("doc_id"), "b"), "doc_id").withColumn("first", F.lit(0))
-    first = texts.join(leaders.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text", F.col("doc_id").alias("b"), F.lit(1).alias("first"))
-    rows = own.unionByName(first).repartition("b").sortWithinPartitions("b", F.desc("first"))
+    parts = leaders.groupBy("b").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("parts"))
+    own = leaders.join(parts, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    own = texts.join(own, "doc_id").withColumn("first", F.lit(0))
+    first = parts.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = texts.join(first, "doc_id").withColumn("first", F.lit(1))
+    rows = own.unionByName(first).repartition("b", "part").sortWithinPartitions("b", "part", F.desc("first"))
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

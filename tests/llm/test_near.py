@@ -90,6 +90,7 @@ def varied(n, families, rng):
 def test_chains_of_links(spark, monkeypatch, docs, small):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", docs)
     monkeypatch.setattr(neardup, "MOST_SMALL_BLOCKS", small)
+    monkeypatch.setattr(neardup, "LEADER_ROWS", docs)
     rows = varied(40, 6, np.random.default_rng(docs))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
