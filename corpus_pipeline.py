@@ -63,8 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages in order over documents, each written as Parquet and read again; a stage's rows go once the next has read them."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.drop_stored(before)
+        before = docs
     return docs
