@@ -15,7 +15,9 @@ the same ids by parts as in one.
 
 from __future__ import annotations
 
+import gc
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +37,7 @@ CACHE_WORDS = 500_000
 # Texts with separators that Python cuts at and the tokenizer does not, or that may hold a special token, are encoded whole.
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Letters whose lower case depends on nothing around them, and the ASCII marks after them: the tokenizer parts the two.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BETWEEN = "|"
 # What a tokenizer must give the same ids by parts as in one.
 _TEST = "The QUICK brown Fox, jumps!  Über naïve (test) don't; ΑΣ ΟΔΟΣ 日本語。x,y a-b\tc\nd 12.5 e"
@@ -65,24 +67,20 @@ class Encoder:
         """Puts new words into the cache. A plain word is its letters in lower case and the marks after them."""
         own, old = self.words, self.words.old
         plain, parts = [], set()
-        for w in {w for w in words if w not in own}.difference(old):
-            if w.isalpha() and w.isascii():
-                letters = w.lower()
-                parts.add(letters)
-                if w != letters:
-                    plain.append((w, letters, ""))
-            elif m := _PLAIN.fullmatch(w):
-                letters, marks = m.groups()
+        for w in [w for w in words if w not in own and w not in old]:
+            letters = w.rstrip(string.punctuation)
+            if letters.isalpha() and (letters.isascii() or _PLAIN.fullmatch(letters)):
+                marks = w[len(letters) :]
                 letters = letters.lower()
                 parts.add(letters)
                 if marks:
                     parts.add(marks)
                     plain.append((w, letters, marks))
                 elif w != letters:
-                    plain.append((w, letters, marks))
+                    plain.append((w, letters, ""))
             else:
                 parts.add(w)
-        self._encode_parts([w for w in parts.difference(old) if w not in own])
+        self._encode_parts([w for w in parts if w not in own and w not in old])
         for w, letters, marks in plain:
             own[w] = own[letters] + own[marks] if marks else own[letters]
 
@@ -117,7 +115,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _chunks(values: list, size: int = 256) -> Iterator[list]:
+def _chunks(values: list, size: int = 1024) -> Iterator[list]:
     for i in range(0, len(values), size):
         yield values[i : i + size]
 
@@ -127,16 +125,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path)
+        gc.disable()  # nothing here makes cycles, and the collector would walk the whole cache again and again
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], dtype="<u4")
         for batch in batches:
             rows = []
             for part in _chunks(list(zip(batch["doc_id"], batch["text"], batch["place"], strict=True))):
                 texts = ["" if t is None else t for _, t, _ in part]
                 for (doc_id, _, place), ids in zip(part, encoder.encode(texts), strict=True):
-                    ids = np.append(ids, np.array([end_id], dtype="<u4"))
+                    ids = np.append(ids, end)
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
-                        rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), place))
+                        rows.append((doc_id, k, start, len(own), zlib.crc32(own), place))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
