@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import infill, langid, lzprint, media, mixing, neardup, packing, preferences, sharding, toxicity, turnrepair, warc
+from . import groupjoin, infill, langid, lzprint, media, mixing, neardup, packing, preferences, sharding, toxicity, turnrepair, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         sharding.op1_virtual_slots, packing.op2_best_fit_packing, preferences.op3_preference_pairs, warc.op4_arc_to_warc, lzprint.op5_lz_fingerprint,
         neardup.op6_hyperminhash, media.op7_webp_media, toxicity.op8_kneser_ney_toxicity, langid.op9_mixture_langid, mixing.op10_hash_threshold_mix,
-        turnrepair.op11_turn_repair, infill.op12_fill_in_middle,
+        turnrepair.op11_turn_repair, infill.op12_fill_in_middle, groupjoin.op13_group_join,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 

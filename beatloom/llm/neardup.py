@@ -57,8 +57,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
-    def __init__(self) -> None:
-        self.spans = common.SpanHashes()
+    def __init__(self, words: int = WORDS) -> None:
+        self.spans, self.n_words = common.SpanHashes(), words
 
     def words(self, text: str) -> np.ndarray:
         """Hashes of the words, from the bytes of the UTF-8 text."""
@@ -72,14 +72,14 @@ class Shingler:
         h = self.words(text) if text else np.zeros(0, dtype=np.uint64)
         if not len(h):
             return h
-        if len(h) < WORDS:
+        if len(h) < self.n_words:
             out = np.full(1, len(h), dtype=np.uint64)
             for x in h:
                 out = _mix(out * _PRIME + x)
             return out
-        n = len(h) - WORDS + 1
-        out = np.full(n, WORDS, dtype=np.uint64)
-        for k in range(WORDS):
+        n = len(h) - self.n_words + 1
+        out = np.full(n, self.n_words, dtype=np.uint64)
+        for k in range(self.n_words):
             out = _mix(out * _PRIME + h[k : k + n])
         return np.unique(out)
 
@@ -287,7 +287,7 @@ def family_edges(reps: DataFrame, bands: int = BANDS) -> DataFrame:
     return common.stored(dealt.mapInPandas(joined, "a long, b long, kind int").distinct(), "family-edges")
 
 
-def leader_links(texts: DataFrame, leaders: DataFrame, percent: int = PERCENT) -> DataFrame:
+def leader_links(texts: DataFrame, leaders: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """a, b: those pairs of a document and its leader that are links. texts: doc_id, text.
 
     The rows of a leader come one after another, its own text first; a task holds the leader's set and one more. A leader of
@@ -302,7 +302,7 @@ def leader_links(texts: DataFrame, leaders: DataFrame, percent: int = PERCENT) -
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, leader, held = Shingler(), None, np.zeros(0, dtype=np.uint64)
+        shingles, leader, held = Shingler(words), None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             out = []
             for doc_id, text, b, is_leader in zip(batch["doc_id"].tolist(), batch["text"], batch["b"].tolist(), batch["first"].tolist(), strict=True):
