@@ -5,19 +5,21 @@ A document is the set of its four-word shingles, hashed to 64 bits; two link whe
 1. A histogram of all shingles over 2 ** HISTOGRAM_BITS hash buckets orders them: those of emptier buckets first, then by hash. It only
    orders, so buckets that several shingles share cost time, never a link. It is the one thing that tasks get whole, and its size is fixed.
 2. Equal sets are one representative, the least id (aggregated before the shuffle).
-3. Similar documents fall into groups: representatives with the same first shingle are held against the least of them, its leader;
-   those that link to it are its part, and already one class. A part is cut into groups of at most GROUP_DOCS documents and about
-   GROUP_SHINGLES shingles; what does not link shares groups with others of its first shingle.
-4. The matrix holds, for each shingle, the parts with a document among whose least shingles it is. Of a larger document y = |y|
-   and a smaller x that link, one of the y - ceil(0.85 y) + 1 first shingles of y is one of the x - ceil(2 * 0.85 / 1.85 x) + 1 first
-   of x, so each larger document finds all the parts it can have a link in, other than its own.
-5. Each group found has the union of its documents' shingles stored. A query can overlap no member by more than it
-   overlaps this union: groups where that bound is below 85 percent of the query stay closed. Those above it are opened, and
-   members counted exactly.
-6. The components of the links to leaders and of those found are the classes.
-
-No estimate decides anything, so no link is lost. Documents are compared only with groups of other classes, and a group gives a query
-at most one link a class. Groups with very many queries are dealt out in parts of QUERY_ROWS, each with a copy of the group.
+3. Similar documents fall into parts: representatives that share a minimum hash, of KEYS of them, are held against one of theirs, its
+   leader, and what links is one class already. Each class of several is a part; what is left shares parts with others of its first
+   minimum hash. A part is cut into groups of about GROUP_DOCS documents and at most about GROUP_SHINGLES shingles.
+4. Of two sets of sizes x <= y that link, one of the y - ceil(0.85 y) + 1 first shingles of y is one of the x - ceil(2 * 0.85 / 1.85 x) + 1
+   first of x, so a query finds all parts it can have a link in by its first shingles. Documents query parts of larger classes, and,
+   where both are alone, of smaller sets; so of a family of thousands only the stragglers ask, and never their own class.
+5. The token-group matrix: each group's union of shingles is stored, and groups of a part lie together in slabs of at most about
+   SLAB_SHINGLES. A query meets a slab once, and can overlap no document by more than it overlaps its group's union: groups where that
+   bound is below 85 percent of the query stay closed.
+6. Groups above the bound are opened and members counted exactly: first the best group of each class for each query; then, once classes that
+   linked are one, all the others that are still of another class.
+7. The components of all links are the classes.
+
+No estimate decides anything, so no link is lost. A group gives a query at most one link a class. Groups and slabs with very many queries
+are dealt out in parts of QUERY_ROWS, each with a copy of them.
 
 Cases: null and wordless texts have an empty set and no link; texts of fewer than four words are one shingle; rows that repeat an id
 have one class, linked by any of their texts; rows with a null id are linked to nothing and have a null component; an
@@ -40,7 +42,9 @@ from .neardup import Shingler, leader_links
 
 WORDS, PERCENT = 4, 85
 HISTOGRAM_BITS, CHUNK = 22, 1 << 12
-GROUP_DOCS, GROUP_SHINGLES, QUERY_ROWS = 64, 400_000, 256
+GROUP_DOCS, GROUP_SHINGLES, SLAB_SHINGLES, QUERY_ROWS = 64, 400_000, 4_000_000, 256
+KEYS = 4
+_TURNS = np.random.default_rng(13).integers(0, 1 << 63, size=KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -110,8 +114,12 @@ def first_shingles(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return hashes[order[: probe_length(len(hashes))]].view(np.int64)
 
 
+def minimum_hashes(hashes: np.ndarray) -> np.ndarray:
+    return np.array([(hashes * turn).min() for turn in _TURNS], dtype=np.uint64).view(np.int64)
+
+
 def sets_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Stored: doc_id, n_shingles, sig (digest of the set) and tokens (its first shingles) of every document; the last two null for empty sets."""
+    """Stored: doc_id, n_shingles, sig (digest of the set), keys (minimum hashes) and tokens (first shingles) of every document; the last three null for empty sets."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     @common.in_task
@@ -123,55 +131,70 @@ def sets_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text)
-                rows.append((doc_id, len(h), xxhash.xxh3_128_digest(h.tobytes()), first_shingles(h, sent.value)) if len(h) else (doc_id, 0, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sig", "tokens"])
+                rows.append((doc_id, len(h), xxhash.xxh3_128_digest(h.tobytes()), minimum_hashes(h), first_shingles(h, sent.value)) if len(h) else (doc_id, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sig", "keys", "tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, sig binary, tokens array<long>")
+    out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, sig binary, keys array<long>, tokens array<long>")
     return common.stored(out.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-sets")
 
 
 def led(reps: DataFrame) -> DataFrame:
-    """a, b: representatives and their leaders, the least of those with the same first shingle, if their sizes allow a link."""
-    r = reps.select("rep", "n", F.col("tokens")[0].alias("first"))
-    least = r.groupBy("first").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("docs")).where("docs > 1")
-    pairs = r.join(least, "first").where(F.col("rep") != F.col("least.rep"))
-    near = 100 * F.least("n", "least.n") >= PERCENT * F.greatest("n", "least.n")
-    return pairs.where(near).select(F.col("rep").alias("a"), F.col("least.rep").alias("b")).distinct()
-
-
-def grouped(reps: DataFrame, known: DataFrame) -> DataFrame:
-    """Stored: rep, n, tokens, class_id (its leader, or itself), part and group of every representative.
+    """a, b: representatives and the leaders of those with the same minimum hash, if their sizes allow a link.
 
-    A part is a leader's class, or what is left of those with one first shingle; groups cut it by hash of the id.
+    For half of the hashes a leader is whoever shares most of its own with others, as the middle of a family does; for the others, anyone.
     """
-    leaders = known.select(F.col("b").alias("rep")).distinct().withColumn("leads", F.lit(True))
-    r = reps.join(known.select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left").join(leaders, "rep", "left")
-    own = F.coalesce("leader", F.when(F.col("leads"), F.col("rep")))
-    r = r.withColumns({"class_id": F.coalesce(own, "rep"), "part": F.when(own.isNotNull(), F.xxhash64(F.lit(0), own)).otherwise(F.xxhash64(F.lit(1), F.col("tokens")[0]))})
-    sizes = r.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("groups"))
-    group = F.when(F.col("groups") == 1, F.col("part")).otherwise(F.xxhash64("part", F.pmod(F.xxhash64("rep"), F.col("groups"))))
-    return common.stored(r.join(sizes, "part").select("rep", "n", "tokens", "class_id", "part", group.alias("grp")), "token-groups")
+    r = reps.select("rep", "n", F.posexplode("keys").alias("turn", "key"))
+    shared = r.groupBy("turn", "key").agg(F.count("*").alias("docs")).where("docs > 1")
+    r = common.stored(r.join(shared, ["turn", "key"]), "shared-keys")
+    r = r.join(r.groupBy("rep").agg(F.sum("docs").alias("score")), "rep")
+    rank = F.struct(F.when(F.col("turn") < KEYS // 2, F.col("score")).otherwise(F.xxhash64("rep", "turn")), "rep")
+    leader = r.groupBy("turn", "key").agg(F.max_by(F.struct("rep", "n"), rank).alias("leader"))
+    pairs = r.join(leader, ["turn", "key"]).where(F.col("rep") != F.col("leader.rep"))
+    near = 100 * F.least("n", "leader.n") >= PERCENT * F.greatest("n", "leader.n")
+    return pairs.where(near).select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
+
+
+def grouped(reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored: rep, n, tokens, class_id, class_docs, part, slab and grp of every representative. classes: id, component of those that linked."""
+    r = reps.join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
+    r = r.withColumn("part", F.when(F.col("class_id").isNull(), F.xxhash64(F.lit(1), F.col("keys")[0])).otherwise(F.xxhash64(F.lit(0), "class_id")))
+    groups = F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
+    sizes = r.groupBy("part").agg(groups.alias("groups"), F.ceil(F.sum("n") / SLAB_SHINGLES).cast("int").alias("slabs"), F.count("*").alias("docs"))
+    place = F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int")
+    r = r.join(sizes, "part").withColumns({
+        "class_docs": F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.col("docs")), "class_id": F.coalesce("class_id", "rep"),
+        "grp": F.xxhash64("part", place), "slab": F.xxhash64("part", F.pmod(place, F.col("slabs")), F.lit("slab")),
+    })
+    return common.stored(r.select("rep", "n", "tokens", "class_id", "class_docs", "part", "slab", "grp"), "token-groups")
 
 
 def candidates(groups: DataFrame) -> DataFrame:
-    """Stored: q, n, class_id and grp: representatives and groups of other classes, or of several, with a first shingle in common and sizes that allow a link."""
-    parts = groups.groupBy("part").agg(F.when(F.min("class_id") == F.max("class_id"), F.min("class_id")).alias("of"))
-    matrix = groups.select("part", "n", F.explode(F.slice("tokens", 1, index_length(F.col("n")))).alias("token"))
-    matrix = matrix.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(parts, "part")
-    probes = groups.select(F.col("rep").alias("q"), "n", "class_id", F.explode("tokens").alias("token"))
-    fits = (F.col("low") <= F.col("n")) & (100 * F.col("high") >= PERCENT * F.col("n"))
-    found = probes.join(matrix, (probes["token"] == matrix["token"]) & fits & (F.col("of").isNull() | (F.col("of") != F.col("class_id"))))
-    found = found.select("q", "n", "class_id", "part").distinct()
-    cells = groups.groupBy("part", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    return common.stored(found.join(cells, "part").where(fits).select("q", "n", "class_id", "grp"), "group-candidates")
-
-
-def _dealt(queries: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Members of each group, first, and its queries, in parts of about QUERY_ROWS: grp, deal, first, and what both have."""
-    deals = queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("deals"))
-    own = queries.join(deals, "grp").withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")).drop("deals").withColumn("first", F.lit(1))
-    held = members.join(deals, "grp").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").withColumn("first", F.lit(0))
-    return held.unionByName(own, allowMissingColumns=True).repartition("grp", "deal").sortWithinPartitions("grp", "deal", "first")
+    """Stored: grp, slab, doc_id, class_id: representatives and slabs of other classes with a first shingle in common and sizes that allow a link.
+
+    The matrix of first shingles holds a row a shingle and part for classes of several, and a row a document for others.
+    """
+    alone = F.col("class_docs") == 1
+    many = groups.where(~alone).select("part", "class_id", "class_docs", "n", F.explode("tokens").alias("token"))
+    many = many.groupBy("token", "part", "class_id", "class_docs").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one = groups.where(alone).select("part", "class_id", "n", F.explode(F.slice("tokens", 1, index_length(F.col("n")))).alias("token"))
+    one = one.select("token", "part", "class_id", F.lit(None).cast("long").alias("class_docs"), F.col("n").alias("low"), F.col("n").alias("high"))
+    matrix = many.unionByName(one).withColumnsRenamed({"class_id": "of", "class_docs": "of_docs", "token": "t"})
+    probes = groups.select(F.col("rep").alias("q"), "n", F.when(~alone, F.col("class_id")).alias("q_class"), F.when(~alone, F.col("class_docs")).alias("q_docs"), F.explode("tokens").alias("token"))
+    smaller = F.col("q_docs").isNull() | (F.col("q_docs") < F.col("of_docs")) | ((F.col("q_docs") == F.col("of_docs")) & (F.col("q_class") < F.col("of")))
+    asks = F.when(F.col("of_docs").isNull(), F.col("q_docs").isNull() & (F.col("low") <= F.col("n")) & (F.col("of") != F.col("q"))).otherwise(smaller & (PERCENT * F.col("low") <= 100 * F.col("n")))
+    found = probes.join(matrix, (probes["token"] == matrix["t"]) & (100 * F.col("high") >= PERCENT * F.col("n")) & asks)
+    found = found.select("q", "n", F.coalesce("q_class", "q").alias("class_id"), "part").distinct()
+    slabs = groups.groupBy("part", "slab").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (PERCENT * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= PERCENT * F.col("n"))
+    return common.stored(found.join(slabs, "part").where(fits).select("slab", F.col("q").alias("doc_id"), "class_id"), "slab-queries")
+
+
+def _dealt(queries: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """What is held of each key, first, and its queries, in parts of about QUERY_ROWS: the columns of both, deal and first."""
+    deals = queries.groupBy(key).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("deals"))
+    own = queries.join(deals, key).withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")).drop("deals").withColumn("first", F.lit(1))
+    held = held.join(deals, key).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").withColumn("first", F.lit(0))
+    return held.unionByName(own, allowMissingColumns=True).repartition(key, "deal").sortWithinPartitions(key, "deal", "first")
 
 
 def unions(members: DataFrame) -> DataFrame:
@@ -196,49 +219,50 @@ def unions(members: DataFrame) -> DataFrame:
     return common.stored(rows.mapInPandas(run, "grp long, tokens binary"), "token-unions")
 
 
-def opened(queries: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Stored: doc_id, grp of the queries that a group's union bounds by no less than a link needs. queries: grp, doc_id, class_id, text."""
+def bounded(queries: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Stored: doc_id, class_id, grp, hits: groups whose union shares hits shingles with a query, no fewer than a link needs.
+
+    queries: slab, doc_id, class_id, text; matrix: slab, grp, tokens.
+    """
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, held = Shingler(WORDS), np.zeros(0, dtype=np.uint64)
+        shingles, own, grps, sets, slab = Shingler(WORDS), None, [], [], None
         for batch in batches:
             out = []
-            for grp, first, tokens, doc_id, class_id, text in zip(*[batch[c] for c in ("grp", "first", "tokens", "doc_id", "class_id", "text")], strict=True):
+            for key, deal, first, grp, tokens, doc_id, class_id, text in zip(*[batch[c] for c in ("slab", "deal", "first", "grp", "tokens", "doc_id", "class_id", "text")], strict=True):
+                if (key, deal) != own:
+                    own, grps, sets, slab = (key, deal), [], [], None
                 if first == 0:
-                    held = np.frombuffer(tokens, dtype=np.uint64)
+                    grps.append(int(grp))
+                    sets.append(np.frombuffer(tokens, dtype=np.uint64))
                     continue
                 h = shingles(text)
-                if len(h) and len(held) and _hits(held, h) >= least_overlap(len(h)):
-                    out.append((int(doc_id), int(class_id), grp))
-            yield pd.DataFrame(out, columns=["doc_id", "class_id", "grp"], dtype="int64")
-
-    rows = _dealt(queries, matrix, matrix).select("grp", "deal", "first", "tokens", F.col("doc_id").cast("string"), F.col("class_id").cast("string"), "text")
-    return common.stored(rows.mapInPandas(run, "doc_id long, class_id long, grp long").distinct(), "opened-groups")
+                if len(h) and grps:
+                    slab = slab or Sets(grps, sets)
+                    hits = slab.overlaps(h)
+                    out += [(int(doc_id), int(class_id), int(slab.ids[k]), int(hits[k])) for k in np.flatnonzero(hits >= least_overlap(len(h)))]
+            yield pd.DataFrame(out, columns=["doc_id", "class_id", "grp", "hits"], dtype="int64")
 
+    rows = _dealt(queries, matrix, "slab").select("slab", "deal", "first", F.col("grp").cast("string"), "tokens", F.col("doc_id").cast("string"), F.col("class_id").cast("string"), "text")
+    return common.stored(rows.mapInPandas(run, "doc_id long, class_id long, grp long, hits long"), "group-bounds")
 
-def _hits(held: np.ndarray, h: np.ndarray) -> int:
-    """How many of the sorted distinct h are in the sorted distinct held."""
-    return int((held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h).sum())
 
+class Sets:
+    """Sorted sets with their ids, together."""
 
-class Opened:
-    """The sets of a group's members, together."""
-
-    def __init__(self, ids: list[int], classes: list[int], sets: list[np.ndarray]):
-        self.ids, self.classes, self.sizes = np.array(ids, dtype=np.int64), np.array(classes, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int64)
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = np.array(ids, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int64)
         tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *sets])
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-    def links(self, h: np.ndarray, class_id: int) -> list[int]:
-        """A member of each other class that a set links to."""
-        low, high = np.searchsorted(self.tokens, h, "left"), np.searchsorted(self.tokens, h, "right")
-        n = high - low
+    def overlaps(self, h: np.ndarray) -> np.ndarray:
+        """How many elements of the set h each set has."""
+        low, n = np.searchsorted(self.tokens, h, "left"), np.searchsorted(self.tokens, h, "right")
+        n -= low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(self.owner[at], minlength=len(self.ids))
-        hit = np.flatnonzero((100 * both >= PERCENT * (len(h) + self.sizes - both)) & (self.classes != class_id) & (both > 0))
-        return self.ids[hit[np.unique(self.classes[hit], return_index=True)[1]]].tolist()
+        return np.bincount(self.owner[at], minlength=len(self.ids))
 
 
 def links(queries: DataFrame, members: DataFrame) -> DataFrame:
@@ -246,7 +270,7 @@ def links(queries: DataFrame, members: DataFrame) -> DataFrame:
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, own, ids, classes, sets, group = Shingler(WORDS), None, [], [], [], None
+        shingles, own, ids, classes, sets, group = Shingler(WORDS), None, [], [], [], None  # of one group and deal at a time
         for batch in batches:
             out = []
             for grp, deal, first, doc_id, class_id, text in zip(*[batch[c] for c in ("grp", "deal", "first", "doc_id", "class_id", "text")], strict=True):
@@ -258,37 +282,52 @@ def links(queries: DataFrame, members: DataFrame) -> DataFrame:
                     classes.append(class_id)
                     sets.append(h)
                 elif len(h):
-                    group = group or Opened(ids, classes, sets)
-                    out += [(doc_id, b) for b in group.links(h, class_id)]
+                    group = group or Sets(ids, sets)
+                    both, of = group.overlaps(h), np.array(classes, dtype=np.int64)
+                    hit = np.flatnonzero((100 * both >= PERCENT * (len(h) + group.sizes - both)) & (of != class_id) & (both > 0))
+                    out += [(doc_id, b) for b in group.ids[hit[np.unique(of[hit], return_index=True)[1]]].tolist()]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return _dealt(queries, members, members).select("grp", "deal", "first", "doc_id", "class_id", "text").mapInPandas(run, "a long, b long")
+    return _dealt(queries, members, "grp").select("grp", "deal", "first", "doc_id", "class_id", "text").mapInPandas(run, "a long, b long")
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, col: str) -> DataFrame:
+    """rows with the present class of the class in a column. classes: id, component."""
+    now = classes.select(F.col("id").alias(col), F.col("component").alias("__now"))
+    return rows.join(now, col, "left").withColumn(col, F.coalesce("__now", col)).drop("__now")
 
 
 def linked_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     s = sets_of(docs, shingle_classes(docs))
     with_set = s.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    reps = common.stored(with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "set-reps")
-    leaders = common.stored(led(reps), "leaders")
+    reps = with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
+    reps = common.stored(reps, "set-reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ends = lambda df, *cols: df.select(F.explode(F.array(*cols)).alias("doc_id")).distinct()
-    near = common.stored(texts.join(ends(leaders, "a", "b"), "doc_id", "left_semi"), "led-texts")
+    leaders = common.stored(led(reps), "leaders")
+    near = common.stored(texts.join(leaders.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "led-texts")
     known = common.stored(leader_links(near, leaders, PERCENT, WORDS).distinct(), "leader-links")
-    groups = grouped(reps.select("rep", "n", "tokens"), known)
-    found = candidates(groups)
-    cells = groups.join(found.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("rep").alias("doc_id"), "class_id").distinct()
-    asked = found.select("grp", F.col("q").alias("doc_id"), "class_id").distinct()
-    ids = cells.select("doc_id").unionAll(asked.select("doc_id")).distinct()
-    met = common.stored(texts.join(ids, "doc_id", "left_semi"), "met-texts")
-    members = cells.join(met, "doc_id")
-    matrix = unions(members)
-    bound = opened(asked.join(met, "doc_id"), matrix)
-    inside = members.join(bound.select("grp").distinct(), "grp", "left_semi")
-    got = common.stored(known.unionAll(links(bound.join(met, "doc_id"), inside)), "set-links")
+    classes = components(known)
+    groups = grouped(reps.select("rep", "n", "keys", "tokens"), classes)
+    asked = candidates(groups)
+    cells = groups.join(asked.select("slab").distinct(), "slab", "left_semi").select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"))
+    cells = common.stored(cells, "token-cells")
+    met = common.stored(texts.join(cells.select("doc_id").unionAll(asked.select("doc_id")).distinct(), "doc_id", "left_semi"), "met-texts")
+    matrix = unions(cells.join(met, "doc_id"))
+    bounds = bounded(asked.join(met, "doc_id"), cells.select("slab", "grp").distinct().join(matrix, "grp"))
+    bounds = common.stored(bounds.join(cells.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
+    # groups of documents that are alone, and the best group of each class
+    best = bounds.groupBy("doc_id", "class_id", "of", F.when(F.col("of").isNull(), F.col("grp")).alias("alone")).agg(F.max(F.struct("hits", "grp")).alias("best"))
+    best = common.stored(best.select("doc_id", "class_id", F.col("best.grp").alias("grp")), "best-groups")
+    members = cells.select("grp", "doc_id", "class_id").join(met, "doc_id")
+    first = common.stored(known.unionAll(links(best.join(met, "doc_id"), members)), "first-links")
+    between = components(first)
+    rest = with_classes(with_classes(bounds.join(best, ["doc_id", "grp"], "left_anti"), between, "class_id"), between, "of").where("class_id <> of")
+    rest = common.stored(rest.select("doc_id", "class_id", "grp"), "other-groups")
+    got = common.stored(first.unionAll(links(rest.join(met, "doc_id"), with_classes(cells.select("grp", "doc_id", "class_id"), between, "class_id").join(met, "doc_id"))), "set-links")
     comps = components(got)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "set-classes")
-    for done in (reps, leaders, near, known, groups, found, met, matrix, bound, got, comps):
+    for done in (reps, leaders, near, known, classes, groups, asked, cells, met, matrix, bounds, best, first, between, rest, got, comps):
         common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -70,6 +70,7 @@ def test_null_and_repeated_ids(spark):
 def test_chains_of_links(spark, monkeypatch, docs, shingles, queries):
     monkeypatch.setattr(gj, "GROUP_DOCS", docs)
     monkeypatch.setattr(gj, "GROUP_SHINGLES", shingles)
+    monkeypatch.setattr(gj, "SLAB_SHINGLES", 2 * shingles)
     monkeypatch.setattr(gj, "QUERY_ROWS", queries)
     rows = varied(40, 5, np.random.default_rng(docs + 7))
     want = brute(rows)
