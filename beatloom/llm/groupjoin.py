@@ -43,6 +43,7 @@ from .neardup import Shingler, leader_links
 WORDS, PERCENT = 4, 85
 HISTOGRAM_BITS, CHUNK = 22, 1 << 12
 GROUP_DOCS, GROUP_SHINGLES, SLAB_SHINGLES, QUERY_ROWS = 64, 400_000, 4_000_000, 256
+PICK_BITS = 25
 KEYS = 4
 _TURNS = np.random.default_rng(13).integers(0, 1 << 63, size=KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -155,8 +156,11 @@ def led(reps: DataFrame) -> DataFrame:
 
 
 def grouped(reps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored: rep, n, tokens, class_id, class_docs, part, slab and grp of every representative. classes: id, component of those that linked."""
-    r = reps.join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
+    """Stored: rep, n, tokens, class_id, class_docs, part, slab and grp of every representative, and whether it is alone in its part.
+
+    classes: id, component of those that linked.
+    """
+    r = reps.select("sig", "rep", "n", "keys").join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
     r = r.withColumn("part", F.when(F.col("class_id").isNull(), F.xxhash64(F.lit(1), F.col("keys")[0])).otherwise(F.xxhash64(F.lit(0), "class_id")))
     groups = F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
     sizes = r.groupBy("part").agg(groups.alias("groups"), F.ceil(F.sum("n") / SLAB_SHINGLES).cast("int").alias("slabs"), F.count("*").alias("docs"))
@@ -165,7 +169,8 @@ def grouped(reps: DataFrame, classes: DataFrame) -> DataFrame:
         "class_docs": F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.col("docs")), "class_id": F.coalesce("class_id", "rep"),
         "grp": F.xxhash64("part", place), "slab": F.xxhash64("part", F.pmod(place, F.col("slabs")), F.lit("slab")),
     })
-    return common.stored(r.select("rep", "n", "tokens", "class_id", "class_docs", "part", "slab", "grp"), "token-groups")
+    r = r.select("sig", "rep", "n", "class_id", "class_docs", "part", "slab", "grp", (F.col("docs") == 1).alias("lone"))
+    return common.stored(r.join(reps.select("sig", "tokens"), "sig").drop("sig"), "token-groups")
 
 
 def candidates(groups: DataFrame) -> DataFrame:
@@ -189,16 +194,30 @@ def candidates(groups: DataFrame) -> DataFrame:
     return common.stored(found.join(slabs, "part").where(fits).select("slab", F.col("q").alias("doc_id"), "class_id"), "slab-queries")
 
 
+def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is among ids, which are distinct.
+
+    A bitmap of 2 ** PICK_BITS hashes of ids, of that size whatever the input, keeps most other texts out of the shuffle; the join decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << PICK_BITS))
+    bits = ids.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    rows = texts.withColumn("bit", bit("doc_id")).join(F.broadcast(bits), F.bitmap_bucket_number("bit") == F.col("bucket"))
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return rows.select("doc_id", "text").join(ids, "doc_id")  # a semi-join would be pushed below the bitmap
+
+
 def _dealt(queries: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """What is held of each key, first, and its queries, in parts of about QUERY_ROWS: the columns of both, deal and first."""
+    """What is held of each key (first = 0) and its queries (first = 1), in parts (deal) of about QUERY_ROWS; both without texts yet."""
     deals = queries.groupBy(key).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("deals"))
     own = queries.join(deals, key).withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")).drop("deals").withColumn("first", F.lit(1))
     held = held.join(deals, key).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").withColumn("first", F.lit(0))
-    return held.unionByName(own, allowMissingColumns=True).repartition(key, "deal").sortWithinPartitions(key, "deal", "first")
+    return held.unionByName(own, allowMissingColumns=True)
 
 
 def unions(members: DataFrame) -> DataFrame:
-    """Stored: grp, tokens: the union of its members' shingles, sorted. members: grp, doc_id, text."""
+    """Stored: grp, tokens: the union of its members' shingles, sorted. members: grp, text."""
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,10 +238,10 @@ def unions(members: DataFrame) -> DataFrame:
     return common.stored(rows.mapInPandas(run, "grp long, tokens binary"), "token-unions")
 
 
-def bounded(queries: DataFrame, matrix: DataFrame) -> DataFrame:
+def bounded(queries: DataFrame, cells: DataFrame, matrix: DataFrame, texts: DataFrame) -> DataFrame:
     """Stored: doc_id, class_id, grp, hits: groups whose union shares hits shingles with a query, no fewer than a link needs.
 
-    queries: slab, doc_id, class_id, text; matrix: slab, grp, tokens.
+    queries: slab, doc_id, class_id; cells: slab, grp; matrix: grp, tokens; texts: doc_id, text.
     """
 
     @common.in_task
@@ -244,7 +263,10 @@ def bounded(queries: DataFrame, matrix: DataFrame) -> DataFrame:
                     out += [(int(doc_id), int(class_id), int(slab.ids[k]), int(hits[k])) for k in np.flatnonzero(hits >= least_overlap(len(h)))]
             yield pd.DataFrame(out, columns=["doc_id", "class_id", "grp", "hits"], dtype="int64")
 
-    rows = _dealt(queries, matrix, "slab").select("slab", "deal", "first", F.col("grp").cast("string"), "tokens", F.col("doc_id").cast("string"), F.col("class_id").cast("string"), "text")
+    rows = common.stored(_dealt(queries, cells, "slab"), "slab-deals")
+    held, own = rows.where("first = 0").drop("doc_id", "class_id").join(matrix, "grp"), rows.where("first = 1").drop("grp").join(texts, "doc_id")
+    rows = held.unionByName(own, allowMissingColumns=True).repartition("slab", "deal").sortWithinPartitions("slab", "deal", "first")
+    rows = rows.select("slab", "deal", "first", F.col("grp").cast("string"), "tokens", F.col("doc_id").cast("string"), F.col("class_id").cast("string"), "text")
     return common.stored(rows.mapInPandas(run, "doc_id long, class_id long, grp long, hits long"), "group-bounds")
 
 
@@ -265,8 +287,8 @@ class Sets:
         return np.bincount(self.owner[at], minlength=len(self.ids))
 
 
-def links(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b: links of queries to members of the groups opened for them, one a class. Both: grp, doc_id, class_id, text."""
+def links(queries: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links of queries to members of the groups opened for them, one a class. Both: grp, doc_id, class_id; texts: doc_id, text."""
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +310,8 @@ def links(queries: DataFrame, members: DataFrame) -> DataFrame:
                     out += [(doc_id, b) for b in group.ids[hit[np.unique(of[hit], return_index=True)[1]]].tolist()]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return _dealt(queries, members, "grp").select("grp", "deal", "first", "doc_id", "class_id", "text").mapInPandas(run, "a long, b long")
+    rows = _dealt(queries, members, "grp").join(texts, "doc_id").repartition("grp", "deal").sortWithinPartitions("grp", "deal", "first")
+    return rows.select("grp", "deal", "first", "doc_id", "class_id", "text").mapInPandas(run, "a long, b long")
 
 
 def with_classes(rows: DataFrame, classes: DataFrame, col: str) -> DataFrame:
@@ -305,29 +328,34 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     reps = common.stored(reps, "set-reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     leaders = common.stored(led(reps), "leaders")
-    near = common.stored(texts.join(leaders.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "led-texts")
+    near = common.stored(picked(texts, leaders.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "led-texts")
     known = common.stored(leader_links(near, leaders, PERCENT, WORDS).distinct(), "leader-links")
     classes = components(known)
-    groups = grouped(reps.select("rep", "n", "keys", "tokens"), classes)
+    groups = grouped(reps, classes)
     asked = candidates(groups)
-    cells = groups.join(asked.select("slab").distinct(), "slab", "left_semi").select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"))
-    cells = common.stored(cells, "token-cells")
-    met = common.stored(texts.join(cells.select("doc_id").unionAll(asked.select("doc_id")).distinct(), "doc_id", "left_semi"), "met-texts")
-    matrix = unions(cells.join(met, "doc_id"))
-    bounds = bounded(asked.join(met, "doc_id"), cells.select("slab", "grp").distinct().join(matrix, "grp"))
-    bounds = common.stored(bounds.join(cells.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
-    # groups of documents that are alone, and the best group of each class
-    best = bounds.groupBy("doc_id", "class_id", "of", F.when(F.col("of").isNull(), F.col("grp")).alias("alone")).agg(F.max(F.struct("hits", "grp")).alias("best"))
-    best = common.stored(best.select("doc_id", "class_id", F.col("best.grp").alias("grp")), "best-groups")
-    members = cells.select("grp", "doc_id", "class_id").join(met, "doc_id")
-    first = common.stored(known.unionAll(links(best.join(met, "doc_id"), members)), "first-links")
+    for done in (leaders, near, classes):
+        common.drop_stored(done)
+    cells = groups.select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"), "lone")
+    cells = common.stored(cells.join(asked.select("slab").distinct(), "slab", "left_semi"), "token-cells")
+    met = common.stored(picked(texts, cells.select("doc_id").unionAll(asked.select("doc_id")).distinct()), "met-texts")
+    # a document alone is its group's union: there is nothing to bound by, the group is opened at once
+    lone = asked.join(cells.where("lone").select("slab", "grp").distinct(), "slab").select("doc_id", "class_id", "grp")
+    crowd = cells.where("NOT lone")
+    matrix = unions(crowd.select("grp", "doc_id").join(met, "doc_id"))
+    bounds = bounded(asked.join(crowd.select("slab").distinct(), "slab", "left_semi"), crowd.select("slab", "grp").distinct(), matrix, met)
+    bounds = common.stored(bounds.join(crowd.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
+    # every group of documents that are in no class, and the best group of each class
+    best = bounds.groupBy("doc_id", "class_id", "of", F.when(F.col("of").isNull(), F.col("grp")).alias("single")).agg(F.max(F.struct("hits", "grp")).alias("best"))
+    best = common.stored(best.select("doc_id", "class_id", F.col("best.grp").alias("grp")).unionAll(lone), "best-groups")
+    members = cells.select("grp", "doc_id", "class_id")
+    first = common.stored(known.unionAll(links(best, members, met)), "first-links")
     between = components(first)
     rest = with_classes(with_classes(bounds.join(best, ["doc_id", "grp"], "left_anti"), between, "class_id"), between, "of").where("class_id <> of")
     rest = common.stored(rest.select("doc_id", "class_id", "grp"), "other-groups")
-    got = common.stored(first.unionAll(links(rest.join(met, "doc_id"), with_classes(cells.select("grp", "doc_id", "class_id"), between, "class_id").join(met, "doc_id"))), "set-links")
+    got = common.stored(first.unionAll(links(rest, with_classes(members, between, "class_id"), met)), "set-links")
     comps = components(got)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "set-classes")
-    for done in (reps, leaders, near, known, classes, groups, asked, cells, met, matrix, bounds, best, first, between, rest, got, comps):
+    for done in (reps, known, groups, asked, cells, met, matrix, bounds, best, first, between, rest, got, comps):
         common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
