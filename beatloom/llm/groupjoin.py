@@ -139,26 +139,31 @@ def sets_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return common.stored(out.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-sets")
 
 
-def led(reps: DataFrame) -> DataFrame:
-    """a, b: representatives and the leaders of those with the same minimum hash, if their sizes allow a link.
-
-    For half of the hashes a leader is whoever shares most of its own with others, as the middle of a family does; for the others, anyone.
-    """
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """Stored: rep, n, turn, key: minimum hashes that several representatives have."""
     r = reps.select("rep", "n", F.posexplode("keys").alias("turn", "key"))
-    shared = r.groupBy("turn", "key").agg(F.count("*").alias("docs")).where("docs > 1")
-    r = common.stored(r.join(shared, ["turn", "key"]), "shared-keys")
-    r = r.join(r.groupBy("rep").agg(F.sum("docs").alias("score")), "rep")
-    rank = F.struct(F.when(F.col("turn") < KEYS // 2, F.col("score")).otherwise(F.xxhash64("rep", "turn")), "rep")
-    leader = r.groupBy("turn", "key").agg(F.max_by(F.struct("rep", "n"), rank).alias("leader"))
-    pairs = r.join(leader, ["turn", "key"]).where(F.col("rep") != F.col("leader.rep"))
+    several = r.groupBy("turn", "key").agg(F.count("*").alias("docs")).where("docs > 1").drop("docs")
+    return common.stored(r.join(several, ["turn", "key"]), "shared-keys")
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, col: str) -> DataFrame:
+    """rows with the present class of the class in a column. classes: id, component."""
+    now = classes.select(F.col("id").alias(col), F.col("component").alias("__now"))
+    return rows.join(now, col, "left").withColumn(col, F.coalesce("__now", col)).drop("__now")
+
+
+def led(shared: DataFrame) -> DataFrame:
+    """Stored: a, b: representatives and the leaders, any one a key, of those with the same minimum hash, if their sizes allow a link."""
+    leader = shared.groupBy("turn", "key").agg(F.max_by(F.struct("rep", "n"), F.xxhash64("rep", "turn")).alias("leader"))
     near = 100 * F.least("n", "leader.n") >= PERCENT * F.greatest("n", "leader.n")
-    return pairs.where(near).select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
+    pairs = shared.join(leader, ["turn", "key"]).where(near & (F.col("rep") != F.col("leader.rep")))
+    return common.stored(pairs.select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct(), "leaders")
 
 
-def grouped(reps: DataFrame, classes: DataFrame) -> DataFrame:
+def grouped(reps: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Stored: rep, n, tokens, class_id, class_docs, part, slab and grp of every representative, and whether it is alone in its part.
 
-    classes: id, component of those that linked.
+    sets: sig, doc_id, tokens; classes: id, component of those that linked.
     """
     r = reps.select("sig", "rep", "n", "keys").join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
     r = r.withColumn("part", F.when(F.col("class_id").isNull(), F.xxhash64(F.lit(1), F.col("keys")[0])).otherwise(F.xxhash64(F.lit(0), "class_id")))
@@ -170,23 +175,24 @@ def grouped(reps: DataFrame, classes: DataFrame) -> DataFrame:
         "grp": F.xxhash64("part", place), "slab": F.xxhash64("part", F.pmod(place, F.col("slabs")), F.lit("slab")),
     })
     r = r.select("sig", "rep", "n", "class_id", "class_docs", "part", "slab", "grp", (F.col("docs") == 1).alias("lone"))
-    return common.stored(r.join(reps.select("sig", "tokens"), "sig").drop("sig"), "token-groups")
+    tokens = sets.select("sig", F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["sig", "rep"])
+    return common.stored(r.join(tokens, ["sig", "rep"]).drop("sig"), "token-groups")
 
 
 def candidates(groups: DataFrame) -> DataFrame:
     """Stored: grp, slab, doc_id, class_id: representatives and slabs of other classes with a first shingle in common and sizes that allow a link.
 
-    The matrix of first shingles holds a row a shingle and part for classes of several, and a row a document for others.
+    The matrix of first shingles holds a row a shingle and part; `of` is the part's class, or its one document, or null where several share it that are alone.
     """
     alone = F.col("class_docs") == 1
-    many = groups.where(~alone).select("part", "class_id", "class_docs", "n", F.explode("tokens").alias("token"))
-    many = many.groupBy("token", "part", "class_id", "class_docs").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one = groups.where(alone).select("part", "class_id", "n", F.explode(F.slice("tokens", 1, index_length(F.col("n")))).alias("token"))
-    one = one.select("token", "part", "class_id", F.lit(None).cast("long").alias("class_docs"), F.col("n").alias("low"), F.col("n").alias("high"))
-    matrix = many.unionByName(one).withColumnsRenamed({"class_id": "of", "class_docs": "of_docs", "token": "t"})
+    kind = [F.when(~alone, F.col(c)).alias(o) for c, o in (("class_id", "of"), ("class_docs", "of_docs"))]
+    many = groups.where("NOT lone").select("part", *kind, "n", F.explode(F.when(alone, F.slice("tokens", 1, index_length(F.col("n")))).otherwise(F.col("tokens"))).alias("t"))
+    many = many.groupBy("t", "part", "of", "of_docs").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one = groups.where("lone").select(F.explode(F.slice("tokens", 1, index_length(F.col("n")))).alias("t"), "part", F.col("rep").alias("of"), F.lit(None).cast("long").alias("of_docs"), F.col("n").alias("low"), F.col("n").alias("high"))
+    matrix = many.unionByName(one)
     probes = groups.select(F.col("rep").alias("q"), "n", F.when(~alone, F.col("class_id")).alias("q_class"), F.when(~alone, F.col("class_docs")).alias("q_docs"), F.explode("tokens").alias("token"))
     smaller = F.col("q_docs").isNull() | (F.col("q_docs") < F.col("of_docs")) | ((F.col("q_docs") == F.col("of_docs")) & (F.col("q_class") < F.col("of")))
-    asks = F.when(F.col("of_docs").isNull(), F.col("q_docs").isNull() & (F.col("low") <= F.col("n")) & (F.col("of") != F.col("q"))).otherwise(smaller & (PERCENT * F.col("low") <= 100 * F.col("n")))
+    asks = F.when(F.col("of_docs").isNull(), F.col("q_docs").isNull() & (F.col("low") <= F.col("n")) & ~F.col("of").eqNullSafe(F.col("q"))).otherwise(smaller & (PERCENT * F.col("low") <= 100 * F.col("n")))
     found = probes.join(matrix, (probes["token"] == matrix["t"]) & (100 * F.col("high") >= PERCENT * F.col("n")) & asks)
     found = found.select("q", "n", F.coalesce("q_class", "q").alias("class_id"), "part").distinct()
     slabs = groups.groupBy("part", "slab").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -195,17 +201,16 @@ def candidates(groups: DataFrame) -> DataFrame:
 
 
 def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is among ids, which are distinct.
+    """The rows of texts whose doc_id is among ids, and few others, without a shuffle of texts.
 
-    A bitmap of 2 ** PICK_BITS hashes of ids, of that size whatever the input, keeps most other texts out of the shuffle; the join decides.
+    They are told by a bitmap of 2 ** PICK_BITS hashes of ids, which has that size whatever the input. A join with ids may follow.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << PICK_BITS))
     bits = ids.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     rows = texts.withColumn("bit", bit("doc_id")).join(F.broadcast(bits), F.bitmap_bucket_number("bit") == F.col("bucket"))
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.where(F.getbit(byte, (at % 8).cast("int")) == 1)
-    return rows.select("doc_id", "text").join(ids, "doc_id")  # a semi-join would be pushed below the bitmap
+    return rows.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text")
 
 
 def _dealt(queries: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -310,30 +315,26 @@ def links(queries: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
                     out += [(doc_id, b) for b in group.ids[hit[np.unique(of[hit], return_index=True)[1]]].tolist()]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = _dealt(queries, members, "grp").join(texts, "doc_id").repartition("grp", "deal").sortWithinPartitions("grp", "deal", "first")
+    rows = common.stored(_dealt(queries, members, "grp"), "group-deals")
+    rows = rows.join(picked(texts, rows.select("doc_id").distinct()), "doc_id").repartition("grp", "deal").sortWithinPartitions("grp", "deal", "first")
     return rows.select("grp", "deal", "first", "doc_id", "class_id", "text").mapInPandas(run, "a long, b long")
 
 
-def with_classes(rows: DataFrame, classes: DataFrame, col: str) -> DataFrame:
-    """rows with the present class of the class in a column. classes: id, component."""
-    now = classes.select(F.col("id").alias(col), F.col("component").alias("__now"))
-    return rows.join(now, col, "left").withColumn(col, F.coalesce("__now", col)).drop("__now")
-
-
 def linked_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     s = sets_of(docs, shingle_classes(docs))
     with_set = s.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    reps = with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
+    reps = with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     reps = common.stored(reps, "set-reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    leaders = common.stored(led(reps), "leaders")
+    shared = shared_keys(reps)
+    leaders = led(shared)
     near = common.stored(picked(texts, leaders.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "led-texts")
     known = common.stored(leader_links(near, leaders, PERCENT, WORDS).distinct(), "leader-links")
     classes = components(known)
-    groups = grouped(reps, classes)
+    groups = grouped(reps, with_set, classes)
     asked = candidates(groups)
-    for done in (leaders, near, classes):
+    for done in (shared, leaders, near, classes):
         common.drop_stored(done)
     cells = groups.select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"), "lone")
     cells = common.stored(cells.join(asked.select("slab").distinct(), "slab", "left_semi"), "token-cells")
@@ -341,7 +342,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     # a document alone is its group's union: there is nothing to bound by, the group is opened at once
     lone = asked.join(cells.where("lone").select("slab", "grp").distinct(), "slab").select("doc_id", "class_id", "grp")
     crowd = cells.where("NOT lone")
-    matrix = unions(crowd.select("grp", "doc_id").join(met, "doc_id"))
+    matrix = unions(crowd.select("grp", "doc_id").join(picked(met, crowd), "doc_id"))
     bounds = bounded(asked.join(crowd.select("slab").distinct(), "slab", "left_semi"), crowd.select("slab", "grp").distinct(), matrix, met)
     bounds = common.stored(bounds.join(crowd.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
     # every group of documents that are in no class, and the best group of each class
