@@ -1,24 +1,25 @@
 """Sharding by fixed virtual slots.
 
-Each record is hashed to one of a few thousand slots; bytes and rows are summed per slot; a versioned
+Each record is hashed to one of N_SLOTS slots, a number that never changes; bytes and rows are summed per slot; a versioned
 table maps slots to shards. The first version deals the slots out in turn, before any size is known. Rebalancing edits that
-table by what the slots hold: a new shard count or new data moves a few slots, and no record is hashed anew.
+table by what the slots hold: a new shard count or new data moves a few slots, and no record is hashed anew. A call on a path that holds
+a map edits that map; a version is added where something changes.
 
-Skew: records are hashed by their own id, so copies of one text or a hot source spread over the slots. The
+Skew: records are hashed by their own id, so copies of one text or a hot source spread over the slots. A slot of many rows with more
+than a SPLIT-th of a shard's bytes, as an id that very many rows have makes it, is marked in the map as spread: its rows, then and ever
+after, are hashed by id, text checksum and place to all slots. The
 only things collected are the slot histogram and the map, whose rows are bounded by the slot count. Places in a shard are numbered
 inside parts of a slot of about PART_ROWS rows, dealt by each row's place in the input, so no task sorts a slot, however full.
 
-Cases: records with a null id are hashed by their place in the input, so they spread; a null text has size 1;
-repeated rows (same id) share a slot and get different places, but a slot of many rows with more than a SPLIT-th of a shard's
-bytes, as an id that very many rows have makes it, is split into several by the rows' places in the input; an empty table gives an empty result; extra
-columns are ignored.
+Cases: records with a null id are hashed by their text's checksum; a null text has size 1; repeated rows (same id) share a slot, unless it
+is spread, and get different places; an empty table gives an empty result; extra columns are ignored; a stored map that lacks a slot raises.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,15 +36,16 @@ SPLIT = 16
 
 @dataclass(frozen=True)
 class SlotMap:
-    """Slot to shard, with a version that each edit raises."""
+    """Slot to shard, with a version that each edit raises, and the slots whose rows are spread over all."""
 
     version: int
     n_shards: int
     shard_of: tuple[int, ...]
     moved: tuple[int, ...] = field(default=())
+    spread: frozenset[int] = field(default=frozenset())
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(s, k, self.version) for s, k in enumerate(self.shard_of)]
+    def rows(self) -> list[tuple[int, int, bool, int]]:
+        return [(s, k, s in self.spread, self.version) for s, k in enumerate(self.shard_of)]
 
 
 def dealt(n_slots: int, n_shards: int) -> SlotMap:
@@ -90,7 +92,7 @@ def rebalanced(old: SlotMap, sizes: list[int], n_shards: int | None = None, tole
                 load[here] -= size
                 put(slot, there)
                 moved[slot] = None
-    return SlotMap(old.version + 1, n, tuple(shard_of), tuple(s for s in moved if shard_of[s] != old.shard_of[s]))
+    return SlotMap(old.version + 1, n, tuple(shard_of), tuple(s for s in moved if shard_of[s] != old.shard_of[s]), old.spread)
 
 
 def _steps(high: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
@@ -108,14 +110,13 @@ def _steps(high: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) ->
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size (UTF-8 bytes plus 1), text_crc32, virtual_slot and place (in the input; to be stored before it is used) of every record."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    place = F.monotonically_increasing_id()
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), place.cast("string")))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.crc32(data).cast("string")))
     return docs.select(
         F.col(id_col),
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("virtual_slot"),
-        place.alias("place"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
@@ -127,35 +128,37 @@ def slot_histogram(slotted: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int
     return sizes, counts
 
 
-def splits(sizes: list[int], counts: list[int], n_shards: int) -> dict[int, tuple[int, int]]:
-    """The slots that are too full: the first of the slots that each becomes, after all others, and their number."""
-    out, first, most = {}, len(sizes), sum(sizes) / (SPLIT * n_shards)
-    for slot, (size, n) in enumerate(zip(sizes, counts, strict=True)):
-        if n > 1 and size > most:
-            k = min(n, -int(-size // most))
-            out[slot] = (first, k)
-            first += k
-    return out
+def too_full(sizes: list[int], counts: list[int], n_shards: int, spread: frozenset[int] = frozenset()) -> frozenset[int]:
+    """The slots of several rows that hold more than a SPLIT-th of a shard and are not spread yet."""
+    most = sum(sizes) / (SPLIT * n_shards)
+    return frozenset(s for s, (size, n) in enumerate(zip(sizes, counts, strict=True)) if n > 1 and size > most and s not in spread)
 
 
-def with_splits(slotted: DataFrame, found: dict[int, tuple[int, int]]) -> DataFrame:
-    """Rows of the slots that are too full in the slots that these become; at most SPLIT a shard are."""
-    if not found:
+def with_spread(slotted: DataFrame, spread: frozenset[int], n_slots: int = N_SLOTS, id_col: str = "doc_id") -> DataFrame:
+    """Rows of spread slots, of which there are SPLIT a shard at most when they are found, in slots by id, checksum and place."""
+    if not spread:
         return slotted
-    maps = [F.create_map(*[F.lit(x) for slot, pair in found.items() for x in (slot, pair[k])]) for k in (0, 1)]
-    first, k = (m[F.col("virtual_slot")] for m in maps)
-    return slotted.withColumn("virtual_slot", F.coalesce(first + F.pmod(F.xxhash64("place"), k), F.col("virtual_slot")).cast("int"))
+    other = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "text_crc32", "place"), F.lit(n_slots)).cast("int")
+    return slotted.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(*sorted(spread)), other).otherwise(F.col("virtual_slot")))
+
+
+MAP = "virtual_slot int, shard int, spread boolean, version int"
+
+
+def has_map(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     """Append a version to the map's table, partitioned by version."""
-    rows = spark.createDataFrame(slot_map.rows(), "virtual_slot int, shard int, version int")
+    rows = spark.createDataFrame(slot_map.rows(), MAP)
     rows.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, the latest if none is named."""
-    rows = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    rows = spark.read.schema(MAP).parquet(path)
     if version is None:
         version = rows.agg(F.max("version")).first()[0]
     return rows.where(F.col("version") == version)
@@ -164,7 +167,9 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """A stored version, to be edited; a row a slot reaches the driver."""
     rows = sorted(load_map(spark, path, version).collect(), key=lambda r: r["virtual_slot"])
-    return SlotMap(rows[0]["version"], max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows))
+    if [r["virtual_slot"] for r in rows] != list(range(N_SLOTS)):
+        raise ValueError(f"the map at {path} has not one row for each of {N_SLOTS} slots")
+    return SlotMap(rows[0]["version"], max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows), spread=frozenset(r["virtual_slot"] for r in rows if r["spread"]))
 
 
 def assign(slotted: DataFrame, slot_map: DataFrame, rows: int, part_rows: int = PART_ROWS, id_col: str = "doc_id") -> DataFrame:
@@ -183,16 +188,22 @@ def assign(slotted: DataFrame, slot_map: DataFrame, rows: int, part_rows: int =
 
 
 def shard_documents(docs: DataFrame, n_shards: int, path: str) -> DataFrame:
-    """Every record's shard by the latest version of the map at path, after one that fits the sizes is added to it."""
+    """Every record's shard by the map at path, edited to fit n_shards and the sizes; a path without one gets its first version first."""
     spark = docs.sparkSession
-    slotted = common.stored(with_slots(docs), "slotted")
+    if not has_map(spark, path):
+        store_map(spark, dealt(N_SLOTS, n_shards), path)
+    old = read_map(spark, path)
+    hashed = common.stored(with_slots(docs), "slotted")
+    slotted = with_spread(hashed, old.spread)
     sizes, counts = slot_histogram(slotted)
-    if found := splits(sizes, counts, n_shards):
-        slotted = with_splits(slotted, found)
-        sizes, counts = slot_histogram(slotted, N_SLOTS + sum(k for _, k in found.values()))
-    store_map(spark, dealt(len(sizes), n_shards), path)
-    store_map(spark, rebalanced(read_map(spark, path), sizes), path)
-    return assign(slotted, load_map(spark, path), sum(counts))
+    if found := too_full(sizes, counts, n_shards, old.spread):
+        old = replace(old, spread=old.spread | found)
+        slotted = with_spread(hashed, old.spread)
+        sizes, counts = slot_histogram(slotted)
+    new = rebalanced(old, sizes, n_shards)
+    if new.moved or found or old.n_shards != n_shards:
+        store_map(spark, new, path)
+    return assign(slotted, load_map(spark, path).drop("spread"), sum(counts))
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,22 +41,48 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("place", "part", "shard", "slot", "n", "version")}).repartition(5)
     slotted = common.stored(sharding.with_slots(df), "slotted")
     sizes, counts = sharding.slot_histogram(slotted)
-    nulls = slotted.where("doc_id IS NULL").groupBy("virtual_slot").count().agg(F.max("count")).first()[0]
-    assert nulls < 20  # spread over the slots
     path = common.new_path(spark, "map")
     check(sharding.shard_documents(df, 8, path).collect(), rows, 1.01)
     for part_rows in (1, 10_000):
-        out = sharding.assign(slotted, sharding.load_map(spark, path), sum(counts) * 4096 * 3, part_rows).collect()
+        out = sharding.assign(slotted, sharding.load_map(spark, path).drop("spread"), sum(counts) * 4096 * 3, part_rows).collect()
+        assert len(out) == len(rows)
         assert Counter((r.shard, r.slot) for r in out).most_common(1)[0][1] == 1
     assert sharding.shard_documents(df.limit(0), 8, common.new_path(spark, "map")).count() == 0
 
 
-def test_hot_id_is_split(spark):
-    rows = [(7, f"copy {i} of a hot id") for i in range(3000)] + [(i, f"document {i} " * 3) for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    check(sharding.shard_documents(df, 8, common.new_path(spark, "map")).collect(), rows, 1.01)
-    assert sharding.splits([5, 5, 900, 5], [1, 1, 1, 1], 1) == {} and sharding.splits([10] * 20, [10] * 20, 1) == {}
-    assert sharding.splits([0, 640, 0], [0, 100, 0], 2) == {1: (3, 32)}
+def test_calls_on_a_kept_map(spark):
+    """New data and shard counts edit the map; no row is lost, slots keep their number, and only moved slots move."""
+    docs = [(i, f"document {i} " * (i % 7 + 1)) for i in range(4000)]
+    hot = [(7, f"copy {i} of a hot id") for i in range(1500)] + [(7, "the same again")] * 1500
+    path = common.new_path(spark, "map")
+    frame = lambda rows, parts: spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    slots, maps = {}, []
+    for rows, n, versions, parts in ((docs[:1000], 8, 2, 3), (docs[:1000], 8, 2, 5), (docs, 8, 3, 2), (docs, 9, 4, 7), (docs + hot, 9, 5, 4), (docs, 5, 6, 3)):
+        out = sharding.shard_documents(frame(rows, parts), n, path).collect()
+        assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+        stored = spark.read.parquet(path).groupBy("version").agg(F.count("*").alias("n"), F.countDistinct("virtual_slot").alias("d")).collect()
+        assert {r.version: (r.n, r.d) for r in stored} == {v: (sharding.N_SLOTS, sharding.N_SLOTS) for v in range(1, versions + 1)}
+        now = sharding.read_map(spark, path)
+        maps.append(now)
+        load = Counter()
+        for r in out:
+            load[r.shard] += r["size"]
+            assert now.shard_of[r.virtual_slot] == r.shard
+            if r.doc_id != 7 and not now.spread:
+                assert slots.setdefault(r.doc_id, r.virtual_slot) == r.virtual_slot
+        if len(rows) > 1000:
+            assert set(load) == set(range(n)) and max(load.values()) <= 1.001 * sum(load.values()) / n
+    assert not maps[3].spread and len(maps[4].spread) == 1 and maps[5].spread == maps[4].spread
+    assert sum(a != b for a, b in zip(maps[2].shard_of, maps[3].shard_of, strict=True)) < 1200
+
+
+def test_spread_and_broken_maps(spark):
+    assert sharding.too_full([5, 5, 900, 5], [1, 1, 1, 1], 1) == frozenset() and sharding.too_full([10] * 20, [10] * 20, 1) == frozenset()
+    assert sharding.too_full([0, 640, 0], [0, 100, 0], 2) == {1} and sharding.too_full([0, 640, 0], [0, 100, 0], 2, frozenset([1])) == frozenset()
+    path = common.new_path(spark, "map")
+    sharding.store_map(spark, sharding.dealt(12, 3), path)
+    with pytest.raises(ValueError, match="one row"):
+        sharding.shard_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 3, path)
 
 
 def test_versions(spark):
