@@ -70,15 +70,24 @@ def interval_join(anchors: DataFrame, points: DataFrame, keys: list[str], at: st
     return a.join(p, [*keys, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__b")
 
 
-def event_files(listing: DataFrame) -> DataFrame:
-    """Per subject, the events file of the task and of rest, from columns subject, path; each falls back to the other."""
+def event_files(listing: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Per subject, the events file of the task and of rest, from columns subject, path; null where none is found.
+
+    The last file in order that names the kind; else the subject's only file; else, where the other kind was found, the first file that is not
+    that one; else, for the task only, events_path of the registry (subject, events_path). A folder's few files are one array.
+    """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     f = listing.where(F.endswith(name, F.lit("_events.tsv")))
     task = F.contains(name, F.lit("verbalwm"))
-    g = f.groupBy("subject").agg(
-        F.max(F.when(task, F.col("path"))).alias("t"), F.max(F.when(~task & F.contains(name, F.lit("rest")), F.col("path"))).alias("r"), F.min("path").alias("any"), F.count("*").alias("n"))
-    one = F.when(F.col("n") == 1, F.col("any"))
-    return g.select("subject", F.coalesce("t", one, "any").alias("task_file"), F.coalesce("r", one, "any").alias("rest_file"))
+    g = f.groupBy("subject").agg(F.max(F.when(task, F.col("path"))).alias("t"), F.max(F.when(~task & F.contains(name, F.lit("rest")), F.col("path"))).alias("r"), F.array_sort(F.collect_list("path")).alias("all"))
+    one = F.when(F.size("all") == 1, F.col("all")[0])
+    first_but = lambda c: F.get(F.filter("all", lambda p: p != F.col(c)), F.lit(0))
+    g = g.withColumns({"t": F.coalesce("t", one), "r": F.coalesce("r", one)})
+    g = g.withColumn("t", F.coalesce("t", F.when(F.col("r").isNotNull(), first_but("r"))))
+    g = g.withColumn("r", F.coalesce("r", F.when(F.col("t").isNotNull(), first_but("t"))))
+    if registry is not None:
+        g = g.join(registry.select("subject", "events_path"), "subject", "left").withColumn("t", F.coalesce("t", "events_path"))
+    return g.select("subject", F.col("t").alias("task_file"), F.col("r").alias("rest_file"))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from .functions.labels import channel_type, classify, discover, map_labels, norm
 from .operators import channels, epochs, qc, registry, windows
 from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
 from .plans import hest, metadata, preprocess, pulse
-from .sources import recordings
+from .sources import brainvision, recordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -479,10 +479,28 @@ _KINDS = ("_task-rest_events.tsv", "_task-verbalwm_events.tsv", ".vhdr", ".eeg",
 _FILES = f"""fl AS (SELECT {_SUBJECT.format("page_id // 5")} AS subject, '/data/' || {_SUBJECT.format("page_id // 5")} || '/eeg/x' || page_id || [{", ".join(f"'{x}'" for x in _KINDS)}][(page_id * 7 + page_id // 5) % {len(_KINDS)} + 1] AS path, CAST(octet_length(encode(coalesce(html, ''))) * (page_id % 4) * 300 AS BIGINT) AS length FROM pages)"""
 
 
-@query(f"WITH {_FILES}, e AS (SELECT *, lower(split_part(path, '/', 5)) AS name FROM fl WHERE path LIKE '%\\_events.tsv' ESCAPE '\\'), g AS (SELECT subject, max(path) FILTER (WHERE contains(name, 'verbalwm')) AS t, max(path) FILTER (WHERE contains(name, 'rest') AND NOT contains(name, 'verbalwm')) AS r, min(path) AS a FROM e GROUP BY 1) SELECT subject, coalesce(t, a) AS task_file, coalesce(r, a) AS rest_file FROM g")
+@query(f"""WITH {_FILES}, e AS (SELECT *, lower(split_part(path, '/', 5)) AS name FROM fl WHERE path LIKE '%\\_events.tsv' ESCAPE '\\'),
+f AS (SELECT subject, list_sort(list(path)) AS ps, max(path) FILTER (WHERE contains(name, 'verbalwm')) AS t, max(path) FILTER (WHERE contains(name, 'rest') AND NOT contains(name, 'verbalwm')) AS r FROM e GROUP BY 1),
+g AS (SELECT subject, ps, CASE WHEN t IS NULL AND len(ps) = 1 THEN ps[1] ELSE t END AS t, CASE WHEN r IS NULL AND len(ps) = 1 THEN ps[1] ELSE r END AS r FROM f),
+h AS (SELECT subject, ps, CASE WHEN t IS NULL AND r IS NOT NULL THEN list_filter(ps, lambda p: p <> r)[1] ELSE t END AS t, r FROM g)
+SELECT subject, coalesce(t, ps[1]) AS task_file, CASE WHEN r IS NULL AND t IS NOT NULL THEN list_filter(ps, lambda p: p <> t)[1] ELSE r END AS rest_file FROM h""")
 def event_file_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """J3, G18."""
-    return epochs.event_files(files(spark, d))
+    """J3, G18; the registry names a subject's first events file."""
+    f = files(spark, d)
+    first = f.where(F.endswith("path", F.lit("_events.tsv"))).groupBy("subject").agg(F.min("path").alias("events_path"))
+    return epochs.event_files(f, first)
+
+
+@query(f"WITH {_S} SELECT 'sub-' || user_id AS subject, CAST(pos // 32 AS BIGINT) AS chunk_idx, count(*) AS n, sum(floor(coalesce(value, 0) * 1000 + 0.5)) / 1000 AS total, CAST(max(n_all) AS BIGINT) AS n_samples FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_all FROM s) GROUP BY 1, 2")
+def recordings_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's values written as a recording, and read back by ranges."""
+    root = brainvision.scratch_root(spark)
+    s = samples(spark, d).withColumn("chunk_idx", F.floor(F.col("pos") / 256))
+    rows = s.groupBy("user_id", "chunk_idx").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("value", F.lit(0.0)).alias("v")))).alias("a"))
+    rows = rows.select(F.concat(F.lit("sub-"), F.col("user_id").cast("string")).alias("subject"), F.lit("x").alias("channel"), F.lit(0).alias("ch_pos"), "chunk_idx", F.transform("a", lambda v: v["v"]).alias("samples"))
+    brainvision.write_recordings(rows, root, 1000.0).write.format("noop").mode("overwrite").save()
+    back = brainvision.recording_chunks(spark, root, 32, 1 << 10)
+    return back.select("subject", "chunk_idx", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("total"), "n_samples")
 
 
 @query(f"WITH {_FILES} SELECT path, length FROM fl WHERE length > 0 AND (length // 300) % 3 <> 0")
