@@ -24,12 +24,13 @@ def totals(qc: DataFrame) -> DataFrame:
 
 
 def validate_files(listing: DataFrame, extensions: tuple[str, ...] = (".vhdr", ".eeg", ".vmrk"), least: int = MIN_FILE_BYTES) -> DataFrame:
-    """Per subject missing types, small signals and a verdict, from subject, path, length."""
+    """Per subject missing types, small signals and a verdict, from subject, path, length. The verdict goes by the first signal file in order."""
     g = listing.groupBy("subject").agg(
         *[F.count_if(F.endswith("path", F.lit(e))).alias(f"n{i}") for i, e in enumerate(extensions)],
-        F.count_if(F.endswith("path", F.lit(".eeg")) & (F.col("length") < least)).alias("n_small"))
+        F.count_if(F.endswith("path", F.lit(".eeg")) & (F.col("length") < least)).alias("n_small"),
+        F.min_by("length", F.when(F.endswith("path", F.lit(".eeg")), F.col("path"))).alias("first_length"))
     missing = F.array_compact(F.array(*[F.when(F.col(f"n{i}") == 0, e) for i, e in enumerate(extensions)]))
-    return g.select("subject", missing.alias("missing"), "n_small", F.when(F.size(missing) > 0, "missing").when(F.col("n_small") > 0, "small").otherwise("valid").alias("verdict"))
+    return g.select("subject", missing.alias("missing"), "n_small", F.when(F.size(missing) > 0, "missing").when(F.col("first_length") < least, "small").otherwise("valid").alias("verdict"))
 
 
 def to_fetch(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ def registry(headers: DataFrame) -> DataFrame:
     out = headers.withColumns({f"{k}_channels": v for k, v in kinds.items()})
     no_ecg, no_ppg = F.coalesce(F.size("ecg_channels"), F.lit(0)) < 1, F.coalesce(F.size("ppg_channels"), F.lit(0)) < 1
     skip = F.when(~F.col("has_eeg_dir"), "no_eeg_dir").when(F.col("header_path").isNull(), "no_header").when(F.col("read_error").isNotNull(), F.concat(F.lit("read_error: "), F.substring("read_error", 1, 200)))
-    flags = F.when(skip.isNotNull(), F.array(skip)).otherwise(
-        F.array_compact(F.array(F.when(F.col("events_path").isNull(), "no_events_tsv"), F.when(no_ecg, "no_ecg"), F.when(~no_ecg & no_ppg, "no_ppg"))))
+    unread = F.col("read_error").isNotNull()
+    found = F.array_compact(F.array(
+        F.when(F.col("events_path").isNull(), "no_events_tsv"), F.when(unread, skip), F.when(~unread & no_ecg, "no_ecg"), F.when(~unread & ~no_ecg & no_ppg, "no_ppg")))
+    flags = F.when(F.col("has_eeg_dir") & F.col("header_path").isNotNull(), found).otherwise(F.array(skip))
     status = F.when(skip.isNotNull(), "skip").when(no_ecg | no_ppg, "warn").otherwise("ok")
     return out.withColumns({"status": status, "flags": flags, "n_channels": F.size("channels")}).drop("read_error", "has_eeg_dir")
 

@@ -96,7 +96,7 @@ ch AS (SELECT subject, i, [{', '.join(f"'{c}'" for c in CHANNELS)}][(k * m + a)
 kd AS (SELECT *, {_KIND} AS kind FROM ch),
 kn AS (SELECT subject, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}, string_agg(channel, ',' ORDER BY i) FILTER (WHERE kind = '{x}') AS {x}" for x in ("eeg", "ecg", "ppg"))} FROM kd GROUP BY 1),
 reg AS (SELECT rec.*, n_eeg, n_ecg, n_ppg, eeg, ecg, ppg, CASE WHEN bad IS NOT NULL THEN 'skip' WHEN n_ecg < 1 OR n_ppg < 1 THEN 'warn' ELSE 'ok' END AS status,
-  coalesce(bad, concat_ws(',', CASE WHEN n = 0 THEN 'no_events_tsv' END, CASE WHEN n_ecg < 1 THEN 'no_ecg' WHEN n_ppg < 1 THEN 'no_ppg' END)) AS flags FROM rec LEFT JOIN kn USING (subject))"""
+  CASE WHEN bad IN ('no_eeg_dir', 'no_header') THEN bad ELSE concat_ws(',', CASE WHEN n = 0 THEN 'no_events_tsv' END, bad, CASE WHEN bad IS NOT NULL THEN NULL WHEN n_ecg < 1 THEN 'no_ecg' WHEN n_ppg < 1 THEN 'no_ppg' END) END AS flags FROM rec LEFT JOIN kn USING (subject))"""
 
 
 def r6(c):
@@ -519,8 +519,8 @@ def fetch_counts(spark: SparkSession, d: str) -> DataFrame:
     return qc.fetch_counts(f, f.where(F.floor(F.col("length") / 300) % 3 == 0), f.where(F.contains("path", F.lit(".eeg"))))
 
 
-_VALID = """v AS (SELECT subject, concat_ws(',', CASE WHEN count(*) FILTER (WHERE suffix(path, '.vhdr')) = 0 THEN '.vhdr' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.eeg')) = 0 THEN '.eeg' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.vmrk')) = 0 THEN '.vmrk' END) AS missing, CAST(count(*) FILTER (WHERE suffix(path, '.eeg') AND length < 1048576) AS INT) AS n_small FROM fl GROUP BY 1),
-w AS (SELECT *, CASE WHEN missing <> '' THEN 'missing' WHEN n_small > 0 THEN 'small' ELSE 'valid' END AS verdict FROM v)"""
+_VALID = """v AS (SELECT subject, concat_ws(',', CASE WHEN count(*) FILTER (WHERE suffix(path, '.vhdr')) = 0 THEN '.vhdr' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.eeg')) = 0 THEN '.eeg' END, CASE WHEN count(*) FILTER (WHERE suffix(path, '.vmrk')) = 0 THEN '.vmrk' END) AS missing, CAST(count(*) FILTER (WHERE suffix(path, '.eeg') AND length < 1048576) AS INT) AS n_small, arg_min(length, path) FILTER (WHERE suffix(path, '.eeg')) AS first_length FROM fl GROUP BY 1),
+w AS (SELECT subject, missing, n_small, CASE WHEN missing <> '' THEN 'missing' WHEN first_length < 1048576 THEN 'small' ELSE 'valid' END AS verdict FROM v)"""
 
 
 @query(f"WITH {_FILES}, {_VALID} SELECT * FROM w")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.operators import epochs
+from beatloom.operators import epochs, qc
 from beatloom.sources import brainvision as bv
 from tests.conftest import SF
 from tests.oracle import compare
@@ -91,3 +91,10 @@ def test_event_file_fallbacks(spark):
     registry = spark.createDataFrame([("unnamed", "/reg/first_events.tsv"), ("both", "/reg/x")], "subject string, events_path string").withColumn("path", F.lit(1))
     got = {r.subject: (r.task_file, r.rest_file) for r in epochs.event_files(df, registry).collect()}
     assert got == want | {"unnamed": ("/reg/first_events.tsv", None)}
+
+
+def test_validity_goes_by_the_first_signal(spark):
+    files = [("a", "1.eeg", 2 << 20), ("a", "2.eeg", 5), ("b", "1.eeg", 5), ("b", "2.eeg", 2 << 20), ("c", "1.eeg", 2 << 20)]
+    files += [(s, f"x{e}", 9) for s in "ab" for e in (".vhdr", ".vmrk")]
+    got = qc.validate_files(spark.createDataFrame(files, "subject string, path string, length long")).collect()
+    assert {r.subject: (r.verdict, r.n_small) for r in got} == {"a": ("valid", 1), "b": ("small", 1), "c": ("missing", 0)}

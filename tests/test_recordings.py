@@ -52,8 +52,8 @@ def root(tmp_path_factory):
 def test_inspect(spark, root):
     reg = {r.subject: r for r in metadata.inspect(spark, root).collect()}
     assert {s: r.status for s, r in reg.items()} == {"sub-01": "ok", "sub-02": "warn", "sub-03": "warn", "sub-04": "skip", "sub-05": "skip", "sub-06": "skip"}
-    assert [reg[f"sub-0{k}"].flags for k in range(1, 7)] == [[], ["no_ppg"], ["no_ecg"], ["no_header"], [reg["sub-05"].flags[0]], ["no_eeg_dir"]]
-    assert reg["sub-05"].flags[0].startswith("read_error: KeyError")
+    assert [reg[f"sub-0{k}"].flags for k in range(1, 7)] == [[], ["no_ppg"], ["no_ecg"], ["no_header"], ["no_events_tsv", reg["sub-05"].flags[1]], ["no_eeg_dir"]]
+    assert reg["sub-05"].flags[1].startswith("read_error: KeyError")
     one = reg["sub-01"]
     assert (one.channels, one.sfreq, one.duration_s, one.n_annotations) == (["Fz", "ECG", "Pulse"], FS, N / FS, 2)
     assert one.events_path.endswith("_events.tsv") and reg["sub-06"].beh_path.endswith("_beh.tsv")
