@@ -35,15 +35,81 @@ def notch_filter(freq: float, fs: float, q: float = 30.0) -> tuple[np.ndarray, n
     return b, np.array([1, -2 * gain * np.cos(w0), 2 * gain - 1])
 
 
-def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Transposed direct form over the last axis; rows of x are filtered together."""
-    out, z = np.empty_like(x), state
-    for t in range(x.shape[-1]):
-        v = x[..., t]
-        y = b[0] * v + z[..., 0]
-        z = np.concatenate([z[..., 1:], np.zeros((*z.shape[:-1], 1))], axis=-1) + b[1:] * v[..., None] - a[1:] * y[..., None]
-        out[..., t] = y
-    return out
+#: Samples that run_filter takes in one product.
+BLOCK = 48
+
+
+@lru_cache(maxsize=64)
+def _modes(coefficients: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A filter as a sum of its poles' responses, in real numbers: step matrix, input and output vectors, steady state.
+
+    A pole w' = p w + x of its own never grows, so long products stay exact where powers of the direct form's matrix do not (narrow
+    bands at high rates). Poles must differ, as those of G1 to G3 do; a pair of conjugates is one pole of double weight.
+    """
+    b, a = np.frombuffer(coefficients).reshape(2, -1).astype(np.longdouble)
+    slope, poles = np.polyder(a), np.roots(a.astype(float)).astype(np.clongdouble)
+    for _ in range(3):
+        poles = poles - np.polyval(a, poles) / np.polyval(slope, poles)
+    poles = poles[poles.imag >= -1e-12]
+    weight = np.polyval(b, poles) / np.polyval(slope, poles)
+    pair = np.abs(poles.imag) > 1e-12
+    dim = len(a) - 1
+    step, ahead, out, steady, k = np.zeros((dim, dim)), np.zeros(dim), np.zeros(dim), np.zeros(dim), 0
+    for p, r, two in zip(poles, weight, pair, strict=True):
+        s = 1 / (1 - p)
+        if two:
+            step[k : k + 2, k : k + 2] = [[p.real, -p.imag], [p.imag, p.real]]
+            out[k : k + 2], steady[k : k + 2] = (2 * r.real, -2 * r.imag), (s.real, s.imag)
+        else:
+            step[k, k], out[k], steady[k] = p.real, r.real, s.real
+        ahead[k] = 1
+        k += 2 if two else 1
+    return step, ahead, out, steady
+
+
+def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state of a filter that has had 1 as input for ever."""
+    return _modes(np.stack([b, a]).tobytes())[3]
+
+
+@lru_cache(maxsize=1024)
+def _block(coefficients: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix from (n inputs, state) to n outputs, and one to the state after them."""
+    step, ahead, weight, _ = _modes(coefficients)
+    dim, direct = len(step), np.frombuffer(coefficients)[0]
+    out, state = np.zeros((n, n + dim)), np.hstack([np.zeros((dim, n)), np.eye(dim)])
+    for t in range(n):
+        out[t] = weight @ state
+        out[t, t] += direct
+        state = step @ state
+        state[:, t] += ahead
+    return out.T.copy(), state.T.copy()
+
+
+def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x filtered together from states z (a row each), BLOCK samples at a time: outputs and the states after them."""
+    key, out = np.stack([b, a]).tobytes(), np.empty(x.shape)
+    for t in range(0, x.shape[-1], BLOCK):
+        v = x[:, t : t + BLOCK]
+        to_out, to_state = _block(key, v.shape[1])
+        v = np.hstack([v, z])
+        out[:, t : t + BLOCK], z = v @ to_out, v @ to_state
+    return out, z
+
+
+@lru_cache(maxsize=8192)
+def state_power(coefficients: bytes, n: int) -> np.ndarray:
+    """What a filter's state becomes in n steps without input; coefficients are the bytes of b, then a."""
+    return np.linalg.matrix_power(_modes(coefficients)[0], n)
+
+
+@lru_cache(maxsize=256)
+def passed_back(coefficients: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a state at a chunk's start adds to the state of a backward pass over the chunk's n outputs, and to the last output."""
+    b, a = np.frombuffer(coefficients).reshape(2, -1)
+    dim = len(a) - 1
+    y, _ = run_filter(b, a, np.zeros((dim, n)), np.eye(dim))
+    return run_filter(b, a, y[:, ::-1], np.zeros((dim, dim)))[1].T, y[:, -1]
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
@@ -52,15 +118,12 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int | None = None
     pad = 3 * max(len(a), len(b)) if pad is None else pad
     if x.shape[-1] <= pad:
         raise ValueError(f"a signal of {x.shape[-1]} samples is not longer than the padding of {pad}")
-    companion = np.zeros((len(a) - 1, len(a) - 1))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] = np.eye(len(a) - 2)
-    zi = np.linalg.solve(np.eye(len(a) - 1) - companion, b[1:] - a[1:] * b[0])
+    zi = steady_state(b, a)
     left = 2 * x[:, :1] - x[:, pad:0:-1]
     right = 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]
     ext = np.concatenate([left, x, right], axis=-1) if pad else x
-    y = _run(b, a, ext, zi * ext[:, :1])
-    y = _run(b, a, y[:, ::-1], zi * y[:, -1:])[:, ::-1]
+    y, _ = run_filter(b, a, ext, zi * ext[:, :1])
+    y = run_filter(b, a, y[:, ::-1], zi * y[:, -1:])[0][:, ::-1]
     return y[:, pad : y.shape[-1] - pad]
 
 

@@ -33,19 +33,24 @@ def _panel(name: str, rows: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def panels(reg: DataFrame) -> DataFrame:
-    """K9: panel, item, value of status, modality, sampling rate, channel counts, durations in minutes and annotations."""
+    """Panel, item, value of status, modality, sampling rate, each subject's channels by kind, durations in minutes and annotations.
+
+    Modality: valid subjects without ECG and PPG, those with ECG and no PPG, with PPG and no ECG, and the sizes of the sets.
+    """
     sets = R.subject_sets(reg)
-    only = reg.select(*[(F.size(f"{a}_channels") > 0).alias(a) for a in ("eeg", "ecg", "ppg")])
-    alone = {f"{a}_only": F.col(a) & ~F.col(b) & ~F.col(c) for a, b, c in (("eeg", "ecg", "ppg"), ("ecg", "eeg", "ppg"), ("ppg", "eeg", "ecg"))}
-    modality = only.agg(*[F.count_if(F.coalesce(x, F.lit(False))).alias(n) for n, x in alone.items()]).crossJoin(sets.agg(*[F.count_if(F.coalesce(n, F.lit(False))).alias(n) for n in ("has_ecg", "has_ppg", "full")]))
+    counted = {
+        "eeg_only": F.col("valid") & ~F.col("has_ecg") & ~F.col("has_ppg"), "ecg_only": F.col("has_ecg") & ~F.col("has_ppg"), "ppg_only": F.col("has_ppg") & ~F.col("has_ecg"),
+        "has_ecg": F.col("has_ecg"), "has_ppg": F.col("has_ppg"), "full": F.col("full"),
+    }
+    modality = sets.fillna(False, ["has_ecg", "has_ppg", "full"]).agg(*[F.count_if(x).alias(n) for n, x in counted.items()])
     modality = modality.unpivot([], modality.columns, "item", "n")
     long = reg.where("duration_s IS NOT NULL")
-    kinds = reg.select("subject", *[F.size(f"{a}_channels").alias(a) for a in ("eeg", "ecg", "ppg")]).unpivot(["subject"], ["eeg", "ecg", "ppg"], "kind", "n").where("n IS NOT NULL")
+    kinds = reg.where("n_channels IS NOT NULL").select("subject", *[F.size(f"{a}_channels").alias(a) for a in ("eeg", "ecg", "ppg")]).unpivot(["subject"], ["eeg", "ecg", "ppg"], "kind", "n")
     out = _panel("status", reg.groupBy("status").count(), "status", F.col("count"))
     for more in (
         _panel("modality", modality, "item", F.col("n")),
         _panel("sfreq", R.frequency(reg, "sfreq"), "value", F.col("n")),
-        _panel("channels", kinds.groupBy("kind").agg(F.sum("n").alias("n")), "kind", F.col("n")),
+        _panel("channels", kinds.select(F.concat_ws(":", "subject", "kind").alias("item"), "n"), "item", F.col("n")),
         _panel("duration", long, "subject", F.col("duration_s") / 60),
         _panel("mean_duration", long.agg(F.lit("all").alias("k"), F.avg(F.col("duration_s") / 60).alias("m")), "k", F.col("m")),
         _panel("annotations", reg.where("n_annotations IS NOT NULL"), "subject", F.col("n_annotations")),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import arrays
+from .functions import arrays, kernels
 from .functions.labels import channel_type, classify, discover, map_labels, normal
-from .operators import channels, epochs, qc, registry, windows
+from .operators import channels, epochs, filters, qc, registry, windows
 from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
 from .plans import hest, metadata, preprocess, pulse
 from .sources import brainvision, recordings
@@ -176,12 +177,15 @@ def cohort_rate(spark: SparkSession, d: str) -> DataFrame:
     return registry.mode_first_seen(registry_of(spark, d).withColumn("all", F.lit(1)), ["all"], "sfreq", "subject").select("mode", "n")
 
 
-@query(f"""WITH {_REG}, v AS (SELECT count(*) FILTER (WHERE n_eeg > 0 AND n_ecg = 0 AND n_ppg = 0) AS eeg_only, count(*) FILTER (WHERE n_ecg > 0 AND n_eeg = 0 AND n_ppg = 0) AS ecg_only,
-  count(*) FILTER (WHERE n_ppg > 0 AND n_eeg = 0 AND n_ecg = 0) AS ppg_only, count(*) FILTER (WHERE n_ecg > 0) AS has_ecg, count(*) FILTER (WHERE n_ppg > 0) AS has_ppg, count(*) FILTER (WHERE n_ecg > 0 AND n_ppg > 0) AS full_ FROM reg)
+@query(f"""WITH {_REG}, ok AS (SELECT subject FROM reg WHERE status IN ('ok', 'warn')), he AS (SELECT DISTINCT subject FROM kd WHERE kind = 'ecg'), hp AS (SELECT DISTINCT subject FROM kd WHERE kind = 'ppg')
 SELECT 'status' AS panel, status AS item, CAST(count(*) AS DOUBLE) AS value FROM reg GROUP BY status
-UNION ALL SELECT 'modality', k, CAST(CASE k WHEN 'eeg_only' THEN eeg_only WHEN 'ecg_only' THEN ecg_only WHEN 'ppg_only' THEN ppg_only WHEN 'has_ecg' THEN has_ecg WHEN 'has_ppg' THEN has_ppg ELSE full_ END AS DOUBLE) FROM v, (VALUES ('eeg_only'), ('ecg_only'), ('ppg_only'), ('has_ecg'), ('has_ppg'), ('full')) x(k)
+UNION ALL SELECT 'modality', 'eeg_only', count(*) FROM ok WHERE subject NOT IN (SELECT subject FROM he) AND subject NOT IN (SELECT subject FROM hp)
+UNION ALL SELECT 'modality', 'ecg_only', count(*) FROM he WHERE subject NOT IN (SELECT subject FROM hp)
+UNION ALL SELECT 'modality', 'ppg_only', count(*) FROM hp WHERE subject NOT IN (SELECT subject FROM he)
+UNION ALL SELECT 'modality', 'has_ecg', count(*) FROM he UNION ALL SELECT 'modality', 'has_ppg', count(*) FROM hp
+UNION ALL SELECT 'modality', 'full', count(*) FROM ok WHERE subject IN (SELECT subject FROM he) AND subject IN (SELECT subject FROM hp)
 UNION ALL SELECT 'sfreq', CAST(sfreq AS VARCHAR), count(*) FROM reg WHERE bad IS NULL GROUP BY sfreq
-UNION ALL SELECT 'channels', kind, count(*) FROM kd GROUP BY kind
+UNION ALL SELECT 'channels', subject || ':' || c, (SELECT count(*) FROM kd WHERE kd.subject = r.subject AND kind = c) FROM reg r, (VALUES ('eeg'), ('ecg'), ('ppg')) x(c) WHERE bad IS NULL
 UNION ALL SELECT 'duration', subject, round(duration_s / 60, 6) FROM reg WHERE bad IS NULL
 UNION ALL SELECT 'mean_duration', 'all', round(avg(duration_s / 60), 6) FROM reg WHERE bad IS NULL
 UNION ALL SELECT 'annotations', subject, n FROM reg WHERE bad IS NULL""")
@@ -251,9 +255,9 @@ def epoch_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recording_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Two channels of each recording in chunks: its values, and their negatives."""
+    """Channels of each recording in chunks: its values, their negatives and their doubles."""
     s = samples(spark, d).select(subject("user_id").alias("subject"), "pos", "value")
-    both = s.select("subject", "pos", F.explode(F.create_map(F.lit("ECG"), F.col("value"), F.lit("Fz"), -F.col("value"))).alias("channel", "value"))
+    both = s.select("subject", "pos", F.explode(F.create_map(F.lit("ECG"), F.col("value"), F.lit("Fz"), -F.col("value"), F.lit("Pulse"), 2 * F.col("value"))).alias("channel", "value"))
     return preprocess.chunks_of(both, CHUNK)
 
 
@@ -263,7 +267,7 @@ def epoch_rows(spark: SparkSession, d: str) -> DataFrame:
     return epoch_table(spark, d).fillna(-1, ["label_int"])
 
 
-@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, c.channel, count(*) AS n, round(sum(b.value * sign), 3) AS total, round(min(b.value * sign), 3) AS low FROM ep JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop, (VALUES ('ECG', 1), ('Fz', -1)) c(channel, sign) GROUP BY 1, 2, 3, 4")
+@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, c.channel, count(*) AS n, round(sum(b.value * sign), 3) AS total, round(min(b.value * sign), 3) AS low FROM ep JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop, (VALUES ('ECG', 1), ('Fz', -1), ('Pulse', 2)) c(channel, sign) GROUP BY 1, 2, 3, 4")
 def epoch_slices(spark: SparkSession, d: str) -> DataFrame:
     """J4 over chunks, F12, F19, Q26: each epoch's samples of each channel."""
     x = preprocess.epoch_signals(epoch_table(spark, d), recording_chunks(spark, d), CHUNK)
@@ -271,7 +275,7 @@ def epoch_slices(spark: SparkSession, d: str) -> DataFrame:
     return x.select("subject", "kind", "epoch_idx", "channel", F.size("samples").cast("long").alias("n"), F.round(total, 3).alias("total"), F.round(F.array_min("samples").cast("double"), 3).alias("low"))
 
 
-@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, round(CASE WHEN coalesce(split_part(reg.ecg, ',', 1), 'ECG') = 'ECG' THEN sum(b.value) ELSE 0 END, 3) AS ecg_total, 0.0::DOUBLE AS ppg_total, count(*) AS n FROM ep JOIN reg ON ep.subject = reg.subject JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop GROUP BY 1, 2, 3, reg.ecg")
+@query(f"WITH {_EPOCHS} SELECT ep.subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(epoch_idx AS INT) AS epoch_idx, round(CASE WHEN coalesce(split_part(reg.ecg, ',', 1), 'ECG') = 'ECG' THEN sum(b.value) ELSE 0 END, 3) AS ecg_total, round(CASE WHEN split_part(reg.ppg, ',', 1) = 'Pulse' THEN sum(2 * b.value) ELSE 0 END, 3) AS ppg_total, count(*) AS n FROM ep JOIN reg ON ep.subject = reg.subject JOIN s b ON b.user_id = ep.user_id AND b.pos >= ep.start AND b.pos < ep.stop GROUP BY 1, 2, 3, reg.ecg, reg.ppg")
 def epoch_aux_signals(spark: SparkSession, d: str) -> DataFrame:
     """ECG and PPG of each epoch, zeros where the recording lacks the channel that the registry names."""
     rows = epoch_table(spark, d)
@@ -467,16 +471,16 @@ def topk_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """subject, path, length of files as a scan lists them, one a page: its id gives the folder and the kind, its html the length."""
+    """subject, path, length of files as a scan lists them, one a page: its id gives the folder and the kind, its html the length. Folders hold five files of one to five kinds."""
     k = F.col("page_id")
     kinds = F.array(*map(F.lit, _KINDS))
-    name = F.concat(F.lit("/data/"), "subject", F.lit("/eeg/x"), k.cast("string"), F.get(kinds, ((k * 7 + F.floor(k / 5)) % len(_KINDS)).cast("int")))
+    name = F.concat(F.lit("/data/"), "subject", F.lit("/eeg/x"), k.cast("string"), F.get(kinds, ((k % 5 * (F.floor(k / 5) % 4) + F.floor(k / 5)) % len(_KINDS)).cast("int")))
     p = t(spark, d, "pages").withColumn("__s", F.floor(k / 5)).withColumn("subject", subject("__s"))
     return p.select("subject", name.alias("path"), (F.octet_length(F.coalesce("html", F.lit(""))) * (k % 4) * 300).cast("long").alias("length"))
 
 
 _KINDS = ("_task-rest_events.tsv", "_task-verbalwm_events.tsv", ".vhdr", ".eeg", ".vmrk", "_beh.tsv", "_events.tsv")
-_FILES = f"""fl AS (SELECT {_SUBJECT.format("page_id // 5")} AS subject, '/data/' || {_SUBJECT.format("page_id // 5")} || '/eeg/x' || page_id || [{", ".join(f"'{x}'" for x in _KINDS)}][(page_id * 7 + page_id // 5) % {len(_KINDS)} + 1] AS path, CAST(octet_length(encode(coalesce(html, ''))) * (page_id % 4) * 300 AS BIGINT) AS length FROM pages)"""
+_FILES = f"""fl AS (SELECT {_SUBJECT.format("page_id // 5")} AS subject, '/data/' || {_SUBJECT.format("page_id // 5")} || '/eeg/x' || page_id || [{", ".join(f"'{x}'" for x in _KINDS)}][(page_id % 5 * (page_id // 5 % 4) + page_id // 5) % {len(_KINDS)} + 1] AS path, CAST(octet_length(encode(coalesce(html, ''))) * (page_id % 4) * 300 AS BIGINT) AS length FROM pages)"""
 
 
 @query(f"""WITH {_FILES}, e AS (SELECT *, lower(split_part(path, '/', 5)) AS name FROM fl WHERE path LIKE '%\\_events.tsv' ESCAPE '\\'),
@@ -536,11 +540,10 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
     return qc.validation_summary(qc.validate_files(files(spark, d)))
 
 
-@query(f"WITH {_REG}, {_FILES}, {_VALID}, g AS (SELECT subject FROM reg WHERE status <> 'skip' AND subject IN (SELECT subject FROM w WHERE verdict = 'valid' OR n_small >= 0) ORDER BY 1 LIMIT 1) SELECT subject, sfreq, string_agg(channel, ',' ORDER BY i) AS channels FROM g JOIN reg USING (subject) JOIN ch USING (subject) GROUP BY 1, 2")
+@query(f"WITH {_REG}, {_FILES}, {_VALID}, g AS (SELECT subject FROM reg WHERE status <> 'skip' AND subject IN (SELECT subject FROM w WHERE verdict = 'valid') ORDER BY 1 LIMIT 1) SELECT subject, sfreq, string_agg(channel, ',' ORDER BY i) AS channels FROM g JOIN reg USING (subject) JOIN ch USING (subject) GROUP BY 1, 2")
 def header_sanity_check(spark: SparkSession, d: str) -> DataFrame:
-    """Files of any verdict are taken for valid here, as pages make few full sets."""
-    v = qc.validate_files(files(spark, d)).withColumn("verdict", F.lit("valid"))
-    return metadata.sanity_check(registry_of(spark, d), v).withColumn("channels", F.array_join("channels", ","))
+    """G22, O2."""
+    return metadata.sanity_check(registry_of(spark, d), qc.validate_files(files(spark, d))).withColumn("channels", F.array_join("channels", ","))
 
 
 @query("WITH a AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase' AND value > 50), b AS (SELECT user_id, event_id FROM events WHERE event_type = 'view') SELECT * FROM a UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM a)")
@@ -562,10 +565,28 @@ def epoch_numbers(spark: SparkSession, d: str) -> DataFrame:
     return registry.numbered(t(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-@query()
+def _recursion_sql(name: str, source: str, b: list[float], a: list[float]) -> str:
+    """A filter by its difference equation, a sample a step, from the state of a steady input; source: user_id, i, v."""
+    level, dim = sum(b) / sum(a), len(a) - 1
+    steady = [sum(b[i] - level * a[i] for i in range(k + 1, dim + 1)) for k in range(dim)]
+    y = f"({b[0]:.17e} * e.v + f.z1)"
+    step = ", ".join(f"{f'f.z{k + 1} + ' if k < dim else ''}{b[k]:.17e} * e.v - {a[k]:.17e} * {y}" for k in range(1, dim + 1))
+    return f"{name} AS (SELECT user_id, -1 AS i, 0e0 AS y, {', '.join(f'{x:.17e} * v AS z{k + 1}' for k, x in enumerate(steady))} FROM {source} WHERE i = 0 UNION ALL SELECT e.user_id, e.i, {y}, {step} FROM {name} f JOIN {source} e ON e.user_id = f.user_id AND e.i = f.i + 1)"
+
+
+_BAND = tuple(c.tolist() for c in kernels.butter(3, 0.5, 8.0, 20.0))
+
+
+@query(f"""WITH RECURSIVE {_S}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 21), x AS (SELECT user_id, n, CAST(pos AS INT) AS pos, coalesce(value, 0) AS v FROM s JOIN n USING (user_id)),
+e1 AS MATERIALIZED (SELECT user_id, pos + 21 AS i, v FROM x UNION ALL SELECT x.user_id, 21 - x.pos, 2 * f.v - x.v FROM x JOIN x f ON f.user_id = x.user_id AND f.pos = 0 WHERE x.pos BETWEEN 1 AND 21
+  UNION ALL SELECT x.user_id, CAST(21 + 2 * (x.n - 1) - x.pos AS INT), 2 * f.v - x.v FROM x JOIN x f ON f.user_id = x.user_id AND f.pos = x.n - 1 WHERE x.pos BETWEEN x.n - 22 AND x.n - 2),
+{_recursion_sql("f1", "e1", *_BAND)}, e2 AS MATERIALIZED (SELECT user_id, CAST(n + 41 - i AS INT) AS i, y AS v FROM f1 JOIN n USING (user_id) WHERE i >= 0), {_recursion_sql("f2", "e2", *_BAND)}
+SELECT user_id, CAST(n + 20 - i AS BIGINT) AS pos, round(y, 6) + 0.0 AS filtered FROM f2 JOIN n USING (user_id) WHERE i BETWEEN 21 AND n + 20""")
 def bandpass_filter(spark: SparkSession, d: str) -> DataFrame:
-    """G1: each epoch of a recording at 20 Hz, 0.5-8 Hz."""
-    return epoch_arrays(spark, d).select("user_id", "epoch_idx", hest.bandpass(0.5, 8.0)(F.col("samples"), F.lit(20.0)).alias("filtered"))
+    """Each recording at 20 Hz, 0.5-8 Hz, in chunks; those of 21 samples or fewer, which cannot be filtered, go."""
+    c = preprocess.chunks_of(samples(spark, d).select("user_id", F.lit("x").alias("channel"), "pos", F.coalesce("value", F.lit(0.0)).alias("value")), CHUNK, ("user_id",))
+    x = filters.zero_phase(c, ["user_id"], CHUNK, *map(np.array, _BAND)).select("user_id", "chunk_idx", F.posexplode("samples").alias("i", "v"))
+    return x.select("user_id", (F.col("chunk_idx") * CHUNK + F.col("i")).alias("pos"), (F.round("v", 6) + F.lit(0.0)).alias("filtered"))
 
 
 @query()
