@@ -16,13 +16,28 @@ def resolve(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
 
 
 def standard_events(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, onset double (null for n/a), label."""
+    """keys, onset double (null for n/a), label; no rows where there is no label or no onset column."""
     label, onset = resolve(df, LABEL_COLUMNS), resolve(df, ONSET_COLUMNS)
     if label is None or onset is None:
-        raise ValueError("events have no label or no onset column")
+        return df.select(*keys, F.lit(None).cast("double").alias("onset"), F.lit(None).cast("string").alias("label")).where(F.lit(False))
     return df.select(*keys, F.expr(f"try_cast(`{onset}` as double)").alias("onset"), F.col(f"`{label}`").cast("string").alias("label"))
 
 
+def file_events(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """F4, F5, F13 a file at a time: keys, onset, label from keys, fields (a map of a row's lower-cased, trimmed column names to texts).
+
+    Each file's own columns decide; a file without an onset or a label column gives no events.
+    """
+
+    def first_of(candidates: tuple[str, ...]) -> tuple[Column, Column]:
+        has = [F.map_contains_key("fields", c) for c in candidates]
+        value = F.coalesce(*[F.when(h, F.struct(F.col("fields")[c].alias("v"))) for h, c in zip(has, candidates, strict=True)])
+        return value["v"], value.isNotNull()
+
+    (label, has_label), (onset, has_onset) = first_of(LABEL_COLUMNS), first_of(ONSET_COLUMNS)
+    return rows.where(has_label & has_onset).select(*keys, onset.try_cast("double").alias("onset"), label.alias("label"))
+
+
 def onset_sample(onset: Column, fs: float | Column, unit: str = "auto") -> Column:
     """seconds to samples, truncated toward zero; auto takes values from 10000 on for samples (Q8). Null or NaN gives null."""
     fs = fs if isinstance(fs, Column) else F.lit(float(fs))
@@ -47,11 +62,6 @@ def windows(events: DataFrame, p: Params, unit: str = "auto", strict: bool = Tru
     return e.where((F.col("start") >= 0) & (F.col("stop") <= F.col("n_samples")) & (F.col("is_rest") | (F.col("code") >= 0)))
 
 
-def cut(epochs: DataFrame, signals: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
-    """Each epoch's samples of each channel, by slice of array rows: an equi-join on the recording, no row a sample."""
-    return epochs.join(signals.select(*keys, "channel", "samples"), list(keys)).withColumn("samples", F.slice("samples", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).cast("array<float>"))
-
-
 def cut_chunked(epochs: DataFrame, chunks: DataFrame, chunk: int, keys: tuple[str, ...] = ("subject",), ids: tuple[str, ...] = ("epoch_idx",)) -> DataFrame:
     """J4 for recordings stored in chunks of a fixed number of samples: equi-join on the chunk numbers that a window touches."""
     e = epochs.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("stop") - 1) / chunk))))

@@ -41,6 +41,27 @@ def epoch_rows(events: DataFrame, recordings: DataFrame, label_map: DataFrame, p
     return w.select("subject", "kind", "epoch_idx", "condition", F.when(~F.col("is_rest"), F.col("code")).alias("label_int"), "onset_samp", "start", "stop")
 
 
+def epochs_of_files(events: DataFrame, recordings: DataFrame, label_map: DataFrame, p: Params, unit: str = "auto") -> DataFrame:
+    """J3, J9, G19 of recordings with two event files: rows as of epoch_rows().
+
+    events: subject, file ('task' or 'rest'), onset, label; a file that serves both is there twice. Task epochs come from the task file;
+    rest epochs from the rest file, and from the task file for subjects whose rest file gives none. A missing onset in a file that is read
+    leaves the whole subject out (Q9); the task file is always read.
+    """
+    missing = E.onset_sample(F.col("onset"), 1.0, unit).isNull()
+    bad = events.join(recordings.select("subject"), "subject", "left_semi").where(missing).select("subject").distinct()
+    e = events.join(bad, "subject", "left_anti")
+    of = {k: epoch_rows(e.where(F.col("file") == k).select("subject", "onset", "label"), recordings, label_map, p, unit) for k in ("task", "rest")}
+    rest = E.with_fallback(of["rest"].where("kind = 'rest'"), of["task"].where("kind = 'rest'"), ["subject"])
+    return of["task"].where("kind = 'task'").unionByName(rest)
+
+
+def events_of_files(tables: DataFrame, chosen: DataFrame) -> DataFrame:
+    """subject, file, onset, label: the rows of the files that event_files() chose (subject, task_file, rest_file), from subject, path, fields."""
+    files = chosen.unpivot(["subject"], ["task_file", "rest_file"], "file", "path").where("path IS NOT NULL").withColumn("file", F.replace("file", F.lit("_file"), F.lit("")))
+    return E.file_events(tables.join(files, ["subject", "path"]), ["subject", "file"])
+
+
 def epoch_signals(rows: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """Subject, kind, epoch_idx, channel and the epoch's samples."""
     cut = E.cut_chunked(rows.select("subject", "kind", "epoch_idx", "start", "stop"), chunks, chunk, ids=("kind", "epoch_idx"))

@@ -247,11 +247,25 @@ def event_rows(spark: SparkSession, d: str) -> DataFrame:
     return epochs.standard_events(raw, ["subject"])
 
 
+def recorded(spark: SparkSession, d: str) -> DataFrame:
+    """subject, fs, n_samples of the users that the registry does not skip; counting them needs no order."""
+    rec = t(spark, d, "events").groupBy(subject("user_id").alias("subject")).agg(F.lit(1.0).alias("fs"), F.count("*").alias("n_samples"))
+    return rec.join(registry_of(spark, d).where("status <> 'skip'").select("subject"), "subject")
+
+
 def epoch_table(spark: SparkSession, d: str) -> DataFrame:
-    rec = samples(spark, d).groupBy(subject("user_id").alias("subject")).agg(F.lit(1.0).alias("fs"), F.count("*").alias("n_samples"))
-    rec = rec.join(registry_of(spark, d).where("status <> 'skip'").select("subject"), "subject")
     label_map = spark.createDataFrame(LABEL_MAP, "label string, condition string")
-    return preprocess.epoch_rows(event_rows(spark, d), rec, label_map, Params(fs=1.0, tmin=-2.0, tmax=6.0))
+    return preprocess.epoch_rows(event_rows(spark, d), recorded(spark, d), label_map, Params(fs=1.0, tmin=-2.0, tmax=6.0))
+
+
+@query(f"""WITH {_EPOCHS}, v AS (SELECT w.*, CASE WHEN pos % 9 = 0 THEN 'rest' ELSE 'task' END AS file FROM w JOIN reg ON w.subject = reg.subject AND status <> 'skip' WHERE start >= 0 AND stop <= n_samples AND (is_rest OR code >= 0)),
+own AS (SELECT * FROM v WHERE is_rest AND file = 'rest'), al AS (SELECT * FROM v WHERE NOT is_rest AND file = 'task' UNION ALL SELECT * FROM own UNION ALL SELECT * FROM v WHERE is_rest AND file = 'task' AND subject NOT IN (SELECT subject FROM own))
+SELECT subject, CASE WHEN is_rest THEN 'rest' ELSE 'task' END AS kind, CAST(row_number() OVER (PARTITION BY subject, is_rest ORDER BY start, name) - 1 AS INT) AS epoch_idx, name AS condition, CAST(CASE WHEN NOT is_rest THEN code ELSE -1 END AS INT) AS label_int, CAST(pos AS BIGINT) AS onset_samp FROM al""")
+def two_file_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Every ninth event of a recording is in its rest file, the others in its task file; rest epochs fall back to the latter."""
+    e = event_rows(spark, d).withColumn("file", F.when(F.col("onset") % 9 == 0, "rest").otherwise("task"))
+    rows = preprocess.epochs_of_files(e, recorded(spark, d), spark.createDataFrame(LABEL_MAP, "label string, condition string"), Params(fs=1.0, tmin=-2.0, tmax=6.0))
+    return rows.select("subject", "kind", "epoch_idx", "condition", F.coalesce("label_int", F.lit(-1)).alias("label_int"), "onset_samp")
 
 
 def recording_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -140,8 +140,42 @@ def test_sinks_come_back(spark, root, tmp_path):
 def test_event_columns(spark):
     df = spark.createDataFrame([("s", "1.5", "a", "b"), ("s", "n/a", None, "c")], "subject string, `Onset (s)` string, value string, ` Condition ` string")
     assert [tuple(r) for r in epochs.standard_events(df, ["subject"]).collect()] == [("s", 1.5, "b"), ("s", None, "c")]
-    with pytest.raises(ValueError):
-        epochs.standard_events(df.select("subject", "value"), ["subject"])
+    assert epochs.standard_events(df.select("subject", "value"), ["subject"]).count() == 0
+
+
+def test_event_columns_of_each_file(spark):
+    rows = [("a", {"onset": "1", "label": "x", "value": "y"}), ("a", {"onset": "n/a", "label": "x", "value": None}), ("b", {"time": "2.5", "label": "z"}), ("c", {"when": "1", "label": "z"}), ("d", {"onset": "1"}), ("e", None)]
+    df = spark.createDataFrame(rows, "subject string, fields map<string,string>").withColumn("onset", F.lit(9))
+    assert [tuple(r) for r in epochs.file_events(df, ["subject"]).orderBy("subject", F.desc("onset")).collect()] == [("a", 1.0, "y"), ("a", None, None), ("b", 2.5, "z")]
+    assert epochs.file_events(df.limit(0), ["subject"]).count() == 0
+
+
+def test_two_event_files(spark, tmp_path):
+    """From folders with task, rest, unnamed and single files, and files of other columns, to epochs; rest epochs fall back to the task file."""
+    head, lines = "onset\ttrial_type", ["10\tslow", "20\trest"]
+    text = lambda *x, h=head: "\n".join([h, *x]) + "\n"
+    folders = {
+        "sub-1": {"verbalwm": text(*lines), "rest": text("30\trest", "40\tslow")},  # each its own; a rest file's task is none
+        "sub-2": {"verbalwm": text(*lines), "rest": text("30\tother")},  # no rest there: from the task file
+        "sub-3": {"one": text(*lines)},  # the only file serves both
+        "sub-4": {"rest": text("30\trest"), "zz": text("50\tfast")},  # the other one is the task's
+        "sub-5": {"aa": text(*lines), "bb": text("60\trest")},  # nothing named: the registry's first, as task only
+        "sub-6": {"verbalwm": text(*lines), "other": text("70\trest", h="Time\t Condition ")},  # the other is rest, by its own columns
+        "sub-7": {"verbalwm": text(*lines, h="when\ttrial_type"), "rest": text("30\trest")},  # no onset column: no task epochs
+        "sub-8": {"verbalwm": text(*lines), "rest": text("n/a\trest")},  # a missing onset
+    }
+    for s, files in folders.items():
+        (tmp_path / s / "eeg").mkdir(parents=True)
+        for name, body in files.items():
+            (tmp_path / s / "eeg" / f"{s}_task-{name}_events.tsv").write_text(body)
+    listing = recordings.listing(spark, str(tmp_path)).select("subject", "path")
+    first = listing.groupBy("subject").agg(F.min("path").alias("events_path"))
+    tables = recordings.event_tables(spark, listing.where(F.endswith("path", F.lit("_events.tsv"))))
+    events = preprocess.events_of_files(tables, epochs.event_files(listing, first))
+    rec = listing.select("subject", F.lit(1.0).alias("fs"), F.lit(100).cast("long").alias("n_samples")).distinct()
+    got = preprocess.epochs_of_files(events, rec, spark.createDataFrame([], "label string, condition string"), Params(fs=1.0, tmin=0.0, tmax=5.0))
+    want = {(f"sub-{s}", k, o) for s, k, o in [(1, "task", 10), (1, "rest", 30), (2, "task", 10), (2, "rest", 20), (3, "task", 10), (3, "rest", 20), (4, "task", 50), (4, "rest", 30), (5, "task", 10), (5, "rest", 20), (6, "task", 10), (6, "rest", 70), (7, "rest", 30)]}
+    assert {(r.subject, r.kind, r.onset_samp) for r in got.collect()} == want and got.count() == len(want)
 
 
 def test_resample():
