@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -134,8 +134,8 @@ def normalized(rep: DataFrame, p: Params) -> DataFrame:
 
 
 def hest_qc(rep: DataFrame, norm: DataFrame, channel_map: DataFrame, p: Params) -> DataFrame:
-    """Per subject status, skip_reason, n_task, n_rest (valid ones), n_beats_total, conditions, channel_map, n_placeholder_ch."""
-    failed = rep.groupBy("subject").agg(F.max("error").alias("error"), F.count_if((F.col("kind") == "rest") & (F.col("n_beats") >= p.rest_min_beats)).alias("n_rest"))
+    """Per subject status, skip_reason, n_task, n_rest (all of them), n_beats_total, conditions, channel_map, n_placeholder_ch."""
+    failed = rep.groupBy("subject").agg(F.max("error").alias("error"), F.count_if(F.col("kind") == "rest").alias("n_rest"))
     n = norm.groupBy("subject").agg(F.count("*").alias("n_task"), F.sum("n_beats").cast("long").alias("n_beats_total"))
     entry = F.struct("target", F.struct("target", "mapped_to", "method").alias("value"))
     maps = channel_map.groupBy("subject").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("channel_map"), F.count_if(F.col("method") == "placeholder").alias("n_placeholder_ch"))  # a row a target
@@ -166,14 +166,22 @@ def band_traces(epoch: DataFrame, n_times: int, n_bands: int = len(BANDS)) -> Da
 
 
 def write_results(norm: DataFrame, rest: DataFrame, channel_map: DataFrame, p: Params, path: str) -> DataFrame:
-    """K5, K6: task tensors by subject, rest statistics, the channel map and the parameters, read back and checked; gives the task table."""
-    recordings.write_stage(norm, f"{path}/task")
-    rest.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/rest_stats")
-    channel_map.write.mode("overwrite").parquet(f"{path}/channel_map")
-    recordings.update_params(norm.sparkSession, f"{path}/attributes", norm, {"fs": p.fs, "decimation": p.decimation, "bands": list(BANDS), "targets": list(p.targets), "n_times": p.n_times, "rr_length": p.rr_length})
-    back = norm.sparkSession.read.parquet(f"{path}/task")
-    qc.check_written(back, norm.count(), len(p.targets) * len(BANDS) * p.n_times)
-    return back
+    """K5, K6, K8: task tensors by subject, rest statistics, the channel map and the parameters, read back, checked, then published; gives the task table.
+
+    The rows are counted while they are written, so the tensors are computed once. recordings.published(spark, path) is the folder to read.
+    """
+    spark = norm.sparkSession
+
+    def write(folder: str) -> None:
+        written = Observation()
+        recordings.write_stage(norm.observe(written, F.count(F.lit(1)).alias("n")), f"{folder}/task")
+        rest.write.option("compression", "gzip").parquet(f"{folder}/rest_stats")
+        channel_map.write.parquet(f"{folder}/channel_map")
+        back = spark.read.schema(norm.schema).parquet(f"{folder}/task")
+        recordings.update_params(spark, f"{folder}/attributes", back, {"fs": p.fs, "decimation": p.decimation, "bands": list(BANDS), "targets": list(p.targets), "n_times": p.n_times, "rr_length": p.rr_length})
+        qc.check_written(back, written.get["n"], len(p.targets) * len(BANDS) * p.n_times)
+
+    return spark.read.schema(norm.schema).parquet(f"{recordings.publish(spark, path, write)}/task")
 
 
 def cleaned_recordings(signals: DataFrame, fs: Column | None = None) -> DataFrame:

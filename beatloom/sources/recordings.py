@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -167,6 +168,35 @@ def write_qc(qc: DataFrame, path: str) -> None:
     qc.write.mode("overwrite").json(path)
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions of a folder's manifest, and whether each was written to its end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return {}
+    return {int(f.getPath().getName()): _exists(spark, f"{path}/manifest/{f.getPath().getName()}/_SUCCESS") for f in fs.listStatus(folder)}
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the latest version that was published; raises where there is none."""
+    whole = [n for n, done in _versions(spark, path).items() if done]
+    if not whole:
+        raise FileNotFoundError(f"nothing is published in {path}")
+    return f"{path}/{spark.read.text(f'{path}/manifest/{max(whole)}').first()[0]}"
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """K5, K6, K8: a stage's tables, written and checked by write(folder) in a folder of their own, then made the latest version by one row.
+
+    If write raises or is killed, or the row is not finished, readers of published() keep the version before. Earlier versions stay.
+    """
+    attempt = f"attempt-{uuid.uuid4().hex}"
+    write(f"{path}/{attempt}")
+    version = max(_versions(spark, path), default=0) + 1
+    spark.createDataFrame([(attempt,)], "value string").coalesce(1).write.mode("error").text(f"{path}/manifest/{version}")
+    return f"{path}/{attempt}"
+
+
 def stage_epochs(spark: SparkSession, path: str) -> DataFrame:
     """A stage's epochs in order of subject and number."""
     return spark.read.parquet(path).orderBy("subject", "epoch_idx")

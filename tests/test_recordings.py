@@ -279,16 +279,61 @@ def test_representations_end_to_end(spark, tmp_path):
     assert (q["a"].status, q["a"].n_task, q["a"].n_rest, q["a"].conditions, q["a"].n_placeholder_ch) == ("success", 2, 2, {"fast": 2}, 1) and q["a"].channel_map["Cz"].mapped_to == "cz"
     assert (q["c"].status, q["c"].n_task) == ("skip", 0) and q["c"].skip_reason
     back = hest.write_results(norm, hest.rest_stats(rep, p), cmap, p, f"{tmp_path}/hest")
-    assert back.count() == 3 and json.loads(spark.read.text(f"{tmp_path}/hest/attributes").first()[0])["n_times"] == 40
-    assert spark.read.parquet(f"{tmp_path}/hest/rest_stats").first().subject == "a"
+    assert back.count() == 3 and json.loads(spark.read.text(f"{recordings.published(spark, f'{tmp_path}/hest')}/attributes").first()[0])["n_times"] == 40
+    assert spark.read.parquet(f"{recordings.published(spark, f'{tmp_path}/hest')}/rest_stats").first().subject == "a"
     with pytest.raises(RuntimeError):
-        hest.write_results(norm, hest.rest_stats(rep, p), cmap, Params(fs=256.0, targets=("Fz", "Cz")), f"{tmp_path}/other")
+        hest.write_results(norm, hest.rest_stats(rep, p), cmap, Params(fs=256.0, targets=("Fz", "Cz")), f"{tmp_path}/hest")
+    kept = recordings.published(spark, f"{tmp_path}/hest")
+    assert spark.read.parquet(f"{kept}/task").count() == 3  # the check failed, and the version before is still the one to read
     traces = hest.band_traces(recordings.first_epoch(back, hest.hest_qc(rep, norm, cmap, p)), p.n_times).collect()
     assert len(traces) == 160 and all(np.isclose(r.value, rows["a", 0].hest_norm[r.band * 40 + r.time] + 2 * r.band) for r in traces)
 
 
+def test_publish(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    with pytest.raises(FileNotFoundError):
+        recordings.published(spark, path)
+    put = lambda n: lambda folder: spark.range(n).write.parquet(f"{folder}/t")
+    read = lambda: spark.read.parquet(f"{recordings.published(spark, path)}/t").count()
+    recordings.publish(spark, path, put(3))
+    assert read() == 3
+
+    def killed(folder):
+        put(9)(folder)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        recordings.publish(spark, path, killed)
+    (tmp_path / "stage" / "manifest" / "2").mkdir()  # a row that was not finished
+    assert read() == 3
+    recordings.publish(spark, path, put(4))
+    assert read() == 4 and (tmp_path / "stage" / "manifest" / "3" / "_SUCCESS").exists()
+
+
+def test_components(spark):
+    """A planted heart component goes; a frontal one stays; short recordings and those without ECG are skipped."""
+    rng = np.random.default_rng(11)
+    fs, n = 100.0, 3000
+    t = np.arange(n) / fs
+    names = ["Pz", "O1", "P3", "Fz", "F4", "Cz"]
+    own = rng.laplace(size=(4, n))
+    own = np.array([np.convolve(s, np.ones(5) / 5, mode="same") for s in own])
+    clean = rng.standard_normal((6, 4)) @ own
+    heart = np.exp(-(((t % 0.83) - 0.4) ** 2) / 0.001)
+    high = np.array([3.0, 2.5, 2.8, 0.3, 0.2, 0.5])
+    out, info = kernels.remove_artifacts(clean + 4 * high[:, None] * heart, names, heart, None, fs)
+    want = clean - clean.mean(axis=1, keepdims=True)
+    assert info["ica_n_excluded"] == 1 and not info["ica_skipped"] and not info["ica_posterior_check_failed"]
+    assert np.corrcoef((out - out.mean(axis=1, keepdims=True)).ravel(), want.ravel())[0, 1] > 0.99
+    low = high[[3, 4, 5, 0, 1, 2]]
+    out, info = kernels.remove_artifacts(clean + 4 * low[:, None] * heart, names, heart, None, fs)
+    assert info["ica_n_excluded"] == 0 and info["ica_posterior_check_failed"] and np.allclose(out, clean + 4 * low[:, None] * heart, atol=1e-6)
+    assert kernels.remove_artifacts(clean[:, :1900], names, heart[:1900], None, fs)[1]["ica_skip_reason"] == "too_short"
+    assert kernels.remove_artifacts(clean, names, None, None, fs)[1]["ica_skip_reason"] == "no_ecg"
+
+
 def test_cleaned_recordings(spark):
-    """Mains and drift go, the reference is the mean, a heart component goes from posterior channels only when it is clear."""
+    """Mains and drift go, the reference is the mean; without an ECG no component is looked for."""
     rng = np.random.default_rng(5)
     fs, n = 100.0, 2600
     t = np.arange(n) / fs
