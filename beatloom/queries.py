@@ -117,6 +117,7 @@ def label_map_join(spark: SparkSession, d: str) -> DataFrame:
     return map_labels(t(spark, d, "events").select("event_id", F.col("event_type").alias("label")), spark.createDataFrame(LABEL_MAP, "label string, condition string")).select("event_id", "mapped")
 
 
+#: Fewer keywords than discover() has: those that tell the labels above apart.
 _GROUPS = (("simultaneous", ("sim", "all_at_once")), ("slow", ("slow",)), ("fast", ("fast",)), ("fast_delay", ("fd", "delay_fast")))
 
 

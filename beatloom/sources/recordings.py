@@ -106,7 +106,7 @@ def signal_chunks(spark: SparkSession, root: str, chunk: int) -> DataFrame:
 def event_tables(spark: SparkSession, files: DataFrame) -> DataFrame:
     """S6 for many files (subject, path): subject, path, row_idx, fields (a map of lower-cased, trimmed names to texts); files differ in columns.
 
-    A file is read whole by one task; event files are small. Unreadable bytes become replacement characters.
+    A file is read whole by one task; event files are small. Of columns of one name the first counts. Unreadable bytes become replacement characters.
     """
     lines = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_events.tsv")
     paths = [r["folder"] for r in files.select(F.regexp_extract("path", "^(.*)/sub-[^/]+/", 1).alias("folder")).distinct().collect()]  # the roots
@@ -116,7 +116,9 @@ def event_tables(spark: SparkSession, files: DataFrame) -> DataFrame:
     names = F.transform(F.split(F.col("lines")[0], "\t"), lambda x: F.lower(F.trim(x)))
     rows = text.select("subject", "path", names.alias("names"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_idx", "line")).where("line <> ''")
     values = F.transform(F.split("line", "\t"), lambda v: F.when(v != "n/a", v))
-    return rows.select("subject", "path", "row_idx", F.map_from_arrays("names", F.slice(F.concat(values, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))).alias("fields"))
+    padded = F.slice(F.concat(values, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))
+    first = F.filter(F.arrays_zip(F.col("names").alias("k"), padded.alias("v")), lambda e, i: F.array_position("names", e["k"]) == i + 1)
+    return rows.select("subject", "path", "row_idx", F.map_from_entries(first).alias("fields"))
 
 
 def label_map(spark: SparkSession, path: str) -> DataFrame:

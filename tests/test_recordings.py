@@ -160,7 +160,7 @@ def test_two_event_files(spark, tmp_path):
         "sub-3": {"one": text(*lines)},  # the only file serves both
         "sub-4": {"rest": text("30\trest"), "zz": text("50\tfast")},  # the other one is the task's
         "sub-5": {"aa": text(*lines), "bb": text("60\trest")},  # nothing named: the registry's first, as task only
-        "sub-6": {"verbalwm": text(*lines), "other": text("70\trest", h="Time\t Condition ")},  # the other is rest, by its own columns
+        "sub-6": {"verbalwm": text(*lines), "other": text("70\trest\tslow", h="Time\t Condition \tcondition")},  # the other is rest, by its own columns
         "sub-7": {"verbalwm": text(*lines, h="when\ttrial_type"), "rest": text("30\trest")},  # no onset column: no task epochs
         "sub-8": {"verbalwm": text(*lines), "rest": text("n/a\trest")},  # a missing onset
     }
