@@ -157,7 +157,7 @@ def r_peaks(ecg: np.ndarray, fs: float) -> np.ndarray:
     energy = np.convolve(np.diff(x) ** 2, np.ones(width) / width, mode="same")
     reach = int(0.05 * fs)
     out = []
-    for p in find_peaks(energy, 0.3 * fs, 0.5 * energy.std()):
+    for p in find_peaks(energy, int(0.3 * fs), 0.5 * energy.std()):
         lo = max(0, p - reach)
         out.append(lo + int(np.argmax(x[lo : min(len(x), p + reach)])))
     return np.array(out, dtype=np.int64)
@@ -221,12 +221,6 @@ def beat_tensor(channels: list[np.ndarray | None], ecg: np.ndarray, fs: float, b
     return (out[..., ::step] if out.shape[-1] > step else out), len(used), rr
 
 
-def pulse_peaks(ppg: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """G15, first part: the filtered signal and its peaks."""
-    x = filtfilt(*butter(3, 0.5, 8.0, fs), ppg)[0]
-    return x, find_peaks(x, 0.4 * fs, 0.3 * x.std())
-
-
 def resample(x: np.ndarray, n: int) -> np.ndarray:
     """Fourier resampling of the last axis to n samples."""
     m = x.shape[-1]

@@ -1,15 +1,16 @@
-"""Ordered operators within a key (a recording): W1-W5, A11-A15."""
+"""Ordered operators within a key (a recording): W1-W5, A11-A15. `order` is a position, a long from 0; a key of any size is cut into ranges of `size` positions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, framed, neighbours
 
-def diff(df: DataFrame, keys: list[str], order: str, value: str, out: str = "rr") -> DataFrame:
+
+def diff(df: DataFrame, keys: list[str], order: str, value: str, out: str = "rr", size: int = RANGE) -> DataFrame:
     """W1."""
-    return df.withColumn(out, F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
+    return neighbours(df, keys, order, {"__a": (value, -1)}, size).withColumn(out, F.col(value) - F.col("__a")).drop("__a")
 
 
 def clean_beats(df: DataFrame, keys: list[str], order: str, value: str, tolerance: float = 0.3) -> DataFrame:
@@ -21,22 +22,20 @@ def clean_beats(df: DataFrame, keys: list[str], order: str, value: str, toleranc
     return diff(d.where(keep).drop("__m", "__n", "rr"), keys, order, value)
 
 
-def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
-    """Zero-padded at the edges, so sums are divided by the full width."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return df.withColumn("smooth", F.sum(value).over(w) / width)
+def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int, size: int = RANGE) -> DataFrame:
+    """Zero-padded at the edges and where a position is missing, so sums are divided by the full width."""
+    return framed(df, keys, order, width // 2, width - width // 2 - 1, "smooth", F.col(value), size).withColumn("smooth", F.col("smooth") / width)
 
 
-def local_maxima(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """G9, first part: samples strictly above both neighbours; ends are none."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = df.withColumns({"__a": F.lag(value).over(w), "__b": F.lead(value).over(w)})
+def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, size: int = RANGE) -> DataFrame:
+    """G9, first part: samples strictly above both neighbours; ends are none. `peaks` has flat tops, distance and prominence."""
+    d = neighbours(df, keys, order, {"__a": (value, -1), "__b": (value, 1)}, size)
     return d.where((F.col(value) > F.col("__a")) & (F.col(value) > F.col("__b"))).drop("__a", "__b")
 
 
-def segments(df: DataFrame, keys: list[str], pos: str, shortest: int = 5) -> DataFrame:
+def segments(df: DataFrame, keys: list[str], pos: str, shortest: int = 5, size: int = RANGE) -> DataFrame:
     """[pos, next pos) of consecutive peaks; segments under `shortest` go."""
-    d = df.withColumn("stop", F.lead(pos).over(W.partitionBy(*keys).orderBy(pos)))
+    d = neighbours(df, keys, pos, {"stop": (pos, 1)}, size)
     return d.where(F.col("stop") - F.col(pos) >= shortest)
 
 

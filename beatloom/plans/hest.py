@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import arrays, kernels
+from ..operators import peaks as find_peaks
 from ..operators import qc
 from ..params import BANDS, Params
 from ..sources import recordings
@@ -48,31 +49,32 @@ def r_peaks(ecg: pd.Series, fs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-PEAKS = T.StructType([T.StructField("filtered", T.ArrayType(T.DoubleType())), T.StructField("peaks", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
+FILTERED = T.StructType([T.StructField("filtered", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
 
-@pandas_udf(PEAKS)
-def pulse_peaks(ppg: pd.Series, fs: pd.Series) -> pd.DataFrame:
-    """Filtered signal and peaks of each PPG epoch; one that is too short to filter has the error instead (Q10)."""
+@pandas_udf(FILTERED)
+def filtered_pulse(ppg: pd.Series, fs: pd.Series) -> pd.DataFrame:
+    """0.5-8 Hz of each PPG epoch; one that is too short to filter has the error instead (Q10)."""
     rows = []
     for v, f in zip(ppg, fs, strict=True):
         try:
-            rows.append((*kernels.pulse_peaks(np.asarray(v, dtype=float), float(f)), None))
+            rows.append((kernels.filtfilt(*kernels.butter(3, 0.5, 8.0, float(f)), np.asarray(v, dtype=float))[0], None))
         except (ValueError, TypeError) as e:
-            rows.append((None, None, str(e)[:200]))
-    return pd.DataFrame(rows, columns=["filtered", "peaks", "error"])
+            rows.append((None, str(e)[:200]))
+    return pd.DataFrame(rows, columns=["filtered", "error"])
 
 
 def ppg_features(epochs: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Keys, PPG_FEATURES and error of PPG epochs (keys, ppg), each an array of bounded length.
 
-    Only the filter and the choice of peaks are a function of the array; the features are windows and groups over its samples. Zeros
-    where there are fewer than 3 peaks; nulls, and the error, where the epoch is too short to filter.
+    Only the filter is a function of the array; peaks (400 ms apart, standing out by 0.3 deviations) and features are plans over its samples. Zeros
+    where there are fewer than 3 peaks; nulls, and the error, where the epoch is too short to filter. Times are milliseconds, areas by the second.
     """
-    found = epochs.select(*keys, pulse_peaks(F.col("ppg"), F.lit(float(fs))).alias("p")).select(*keys, "p.*")
-    samples = found.select(*keys, F.posexplode("filtered").alias("pos", "value"))
-    peaks = found.select(*keys, F.explode("peaks").alias("pos"))
-    return found.select(*keys, "error").join(pulse.features(samples, peaks, keys, fs), keys, "left")
+    found = epochs.select(*keys, filtered_pulse(F.col("ppg"), F.lit(float(fs))).alias("p")).select(*keys, "p.*")
+    samples = found.select(*keys, F.posexplode("filtered").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    deviation = samples.groupBy(*keys).agg((0.3 * F.stddev_pop("value")).alias("__least"))
+    found_peaks = find_peaks.find(samples, keys, int(0.4 * fs)).join(deviation, keys).where(F.col("prominence") >= F.col("__least")).select(*keys, "pos")
+    return found.select(*keys, "error").join(pulse.features(samples, found_peaks, keys, fs), keys, "left")
 
 
 def resampled(signals: DataFrame, fs: float) -> DataFrame:

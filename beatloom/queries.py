@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays, kernels
 from .functions.labels import channel_type, classify, discover, map_labels, normal
-from .operators import channels, epochs, filters, qc, registry, windows
+from .operators import channels, epochs, filters, peaks, qc, registry, windows
 from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
 from .plans import hest, metadata, preprocess, pulse
 from .sources import brainvision, recordings
@@ -344,7 +344,21 @@ def local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return windows.local_maxima(samples(spark, d), ["user_id"], "pos", "value").select("user_id", "pos")
 
 
-@query(f"WITH {_S}, {_MAXIMA}, g AS (SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS stop FROM p), k AS (SELECT * FROM g WHERE stop - pos >= 3), v AS (SELECT k.user_id, k.pos, k.stop, s.pos AS i, s.value, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS pair FROM k JOIN s ON s.user_id = k.user_id AND s.pos >= k.pos AND s.pos < k.stop), z AS (SELECT *, min(value) OVER q AS lo, max(value) OVER q AS hi FROM v WINDOW q AS (PARTITION BY user_id, pos)) SELECT user_id, pos, stop, round(max(hi) - max(lo), 4) AS amp, round((arg_min(i, (-value, i)) - pos) / 20.0, 4) AS rise, round((max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0, 4) AS width, round(sum(pair) / 40.0, 6) AS area FROM z GROUP BY user_id, pos, stop")
+@query(f"""WITH RECURSIVE {_S}, r AS (SELECT user_id, pos, value, lag(value) OVER (PARTITION BY user_id ORDER BY pos) AS pv FROM s WHERE value IS NOT NULL), st AS (SELECT * FROM r WHERE pv IS NULL OR pv <> value),
+u AS (SELECT user_id, (pos + e - 1) // 2 AS pos, value FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, lead(pos) OVER w AS e FROM st WINDOW w AS (PARTITION BY user_id ORDER BY pos)) WHERE value > a AND value > b),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, pos DESC) AS rk FROM u),
+g AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept FROM k UNION ALL SELECT g.user_id, k.rk, CASE WHEN len([x FOR x IN kept IF abs(x - k.pos) < 4]) = 0 THEN list_append(kept, k.pos) ELSE kept END FROM g JOIN k ON k.user_id = g.user_id AND k.rk = g.rk + 1),
+m AS (SELECT user_id, pos, value FROM (SELECT user_id, unnest(kept) AS pos FROM (SELECT user_id, arg_max(kept, rk) AS kept FROM g GROUP BY 1)) JOIN k USING (user_id, pos)),
+h AS (SELECT m.user_id, m.pos, m.value, coalesce(max(s.pos) FILTER (WHERE s.value > m.value AND s.pos < m.pos), -1) AS lo, coalesce(min(s.pos) FILTER (WHERE s.value > m.value AND s.pos > m.pos), 9e18) AS hi FROM m JOIN s USING (user_id) GROUP BY 1, 2, 3),
+f AS (SELECT h.user_id, h.pos, h.value - greatest(min(s.value) FILTER (WHERE s.pos > lo AND s.pos <= h.pos), min(s.value) FILTER (WHERE s.pos >= h.pos AND s.pos < hi)) AS p FROM h JOIN s ON s.user_id = h.user_id GROUP BY h.user_id, h.pos, h.value)
+SELECT user_id, CAST(pos AS BIGINT) AS pos, round(p, 6) AS prominence FROM f WHERE p >= 20""")
+def prominent_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each recording, the peaks four samples apart that stand out by 20."""
+    x = peaks.find(samples(spark, d), ["user_id"], 4)
+    return x.where("prominence >= 20").select("user_id", "pos", r6(F.col("prominence")).alias("prominence"))
+
+
+@query(f"WITH {_S}, {_MAXIMA}, g AS (SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS stop FROM p), k AS (SELECT * FROM g WHERE stop - pos >= 3), v AS (SELECT k.user_id, k.pos, k.stop, s.pos AS i, s.value, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS pair FROM k JOIN s ON s.user_id = k.user_id AND s.pos >= k.pos AND s.pos < k.stop), z AS (SELECT *, min(value) OVER q AS lo, max(value) OVER q AS hi FROM v WINDOW q AS (PARTITION BY user_id, pos)) SELECT user_id, pos, stop, round(max(hi) - max(lo), 4) AS amp, round((arg_min(i, (-value, i)) - pos) / 20.0 * 1000, 4) AS rise, round((max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0 * 1000, 4) AS width, round(sum(pair) / 40.0, 6) AS area FROM z GROUP BY user_id, pos, stop")
 def pulse_segments(spark: SparkSession, d: str) -> DataFrame:
     """The shape of each pulse between peaks, at 20 Hz."""
     s = samples(spark, d)
@@ -352,12 +366,12 @@ def pulse_segments(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "pos", "stop", *[F.round(c, 6 if c == "area" else 4).alias(c) for c in ("amp", "rise", "width", "area")])
 
 
-@query(f"""WITH {_S}, {_MAXIMA}, i0 AS (SELECT user_id, pos, row_number() OVER w - 2 AS t, (pos - lag(pos) OVER w) / 20.0 AS ibi, lead(pos) OVER w AS stop FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+@query(f"""WITH {_S}, {_MAXIMA}, i0 AS (SELECT user_id, pos, row_number() OVER w - 2 AS t, (pos - lag(pos) OVER w) / 20.0 * 1000 AS ibi, lead(pos) OVER w AS stop FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
 i1 AS (SELECT *, ibi - lag(ibi) OVER (PARTITION BY user_id ORDER BY pos) AS d1 FROM i0),
 i2 AS (SELECT user_id, avg(ibi) AS m, max(ibi) - min(ibi) AS r, regr_slope(ibi, t) AS sl, regr_syy(ibi, t) AS yy, regr_sxy(ibi, t) AS xy, stddev_pop(ibi) AS sd, avg(d1) AS d1, count(*) AS n FROM i1 GROUP BY 1 HAVING count(*) >= 3),
 v AS (SELECT k.user_id, k.pos, s.pos AS i, s.value, s.value + lead(s.value) OVER (PARTITION BY k.user_id, k.pos ORDER BY s.pos) AS pair FROM i0 k JOIN s ON s.user_id = k.user_id AND s.pos >= k.pos AND s.pos < k.stop WHERE k.stop - k.pos >= 5),
 z AS (SELECT *, min(value) OVER q AS lo, max(value) OVER q AS hi FROM v WINDOW q AS (PARTITION BY user_id, pos)),
-u AS (SELECT user_id, pos, max(hi) - max(lo) AS amp, (arg_min(i, (-value, i)) - pos) / 20.0 AS rise, (max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0 AS width, sum(pair) / 40.0 AS area FROM z GROUP BY 1, 2),
+u AS (SELECT user_id, pos, max(hi) - max(lo) AS amp, (arg_min(i, (-value, i)) - pos) / 20.0 * 1000 AS rise, (max(i) FILTER (WHERE value >= lo + (hi - lo) / 2) - min(i) FILTER (WHERE value >= lo + (hi - lo) / 2)) / 20.0 * 1000 AS width, sum(pair) / 40.0 AS area FROM z GROUP BY 1, 2),
 g AS (SELECT user_id, avg(amp) AS am, var_pop(amp) AS av, avg(rise) AS rm, avg(width) AS wm, avg(area) AS arm, var_pop(area) AS arv FROM u GROUP BY 1)
 SELECT a.user_id, round(coalesce(m, 0) + 1e-9, 4) AS ibi_mean, round(coalesce(r, 0) + 1e-9, 4) AS ibi_range, round(coalesce(sl, 0) + 1e-9, 4) AS ibi_slope, round(coalesce(1 - greatest(yy - sl * xy, 0) / (yy + 1e-8), 0) + 1e-9, 4) AS ibi_r2, round(coalesce(sd / (m + 1e-8), 0) + 1e-9, 4) AS ibi_samp_en, round(coalesce(d1, 0) + 1e-9, 4) AS ibi_d1_mean,
   round(coalesce(am, 0) + 1e-9, 4) AS ppg_amp_mean, round(coalesce(av, 0) + 1e-9, 3) AS ppg_amp_var, round(coalesce(rm, 0) + 1e-9, 4) AS ppg_rise_mean, round(coalesce(wm, 0) + 1e-9, 4) AS ppg_width_mean, round(coalesce(arm, 0) + 1e-9, 4) AS ppg_area_mean, round(coalesce(arv, 0) + 1e-9, 4) AS ppg_area_var
@@ -373,8 +387,8 @@ def pulse_features(spark: SparkSession, d: str) -> DataFrame:
 def refined_peaks(spark: SparkSession, d: str) -> DataFrame:
     """W5, G7 last part: the highest sample near each peak."""
     s = samples(spark, d)
-    peaks = windows.local_maxima(s, ["user_id"], "pos", "value").select("user_id", F.col("pos").alias("peak"))
-    return windows.refine(peaks, s.select("user_id", "pos", "value"), ["user_id"], 4)
+    found = windows.local_maxima(s, ["user_id"], "pos", "value").select("user_id", F.col("pos").alias("peak"))
+    return windows.refine(found, s.select("user_id", "pos", "value"), ["user_id"], 4)
 
 
 @query("WITH c AS (SELECT l_orderkey AS subject, l_linenumber AS channel, l_partkey % 3 AS pos, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT subject, pos, avg(value) AS m FROM c GROUP BY 1, 2) SELECT subject, channel, CAST(pos AS BIGINT) AS pos, round(value - m, 6) AS value FROM c JOIN m USING (subject, pos)")
