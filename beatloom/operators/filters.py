@@ -85,19 +85,12 @@ def scan(maps: DataFrame, keys: list[str], coefficients: bytes, steady: np.ndarr
         return pd.Series([kernels.state_power(coefficients, k) @ np.asarray(b) + np.asarray(a) for k, a, b in zip(n.tolist(), s, z, strict=True)])
 
     runs = maps.select(*keys, F.floor(F.col("at") / RUN).alias("run"), "at", *keep, "first", F.col("n").alias("n_own"), "s")
-    runs = _stored(runs.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "at").mapInPandas(inside, inner))
+    runs = brainvision.stored(runs.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "at").mapInPandas(inside, inner))
     starts = runs.where("at IS NULL").select(*keys, "run", "first", "done", "moved").repartition(*keys).sortWithinPartitions(*keys, "run").mapInPandas(over, f"{head}run long, z array<double>")
     states = runs.where("at IS NOT NULL").select(*keys, "run", "at", *keep, "done", "moved").join(starts, [*keys, "run"])
     return states.select(*keys, "at", *keep, at_start("done", "moved", "z").alias("state"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, and read back: two plans read it, and lost executors lose none of it."""
-    path = brainvision.scratch_root(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def zero_phase(chunks: DataFrame, keys: list[str], chunk: int, b: np.ndarray, a: np.ndarray, pad: int | None = None) -> DataFrame:
     """keys, chunk_idx, samples: each recording filtered forward and backward, with odd extension and steady starts, as of one piece.
 

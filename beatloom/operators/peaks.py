@@ -43,7 +43,7 @@ def spaced(peaks: DataFrame, keys: list[str], gap: int, size: int = ranges.RANGE
             h = h.withColumn("__top", F.col("__open") & (F.max(F.when(F.col("__open"), rank)).over(w)["pos"] == F.col("pos")))
             h = h.withColumn("__near", F.max("__top").over(w))
             h = h.withColumns({"__kept": F.col("__kept") | F.col("__top"), "__open": F.col("__open") & ~F.col("__near")})
-        out = _stored(h.where("__own AND (__open OR __kept)").select(*keys, "pos", "value", "__open"))
+        out = brainvision.stored(h.where("__own AND (__open OR __kept)").select(*keys, "pos", "value", "__open"))
         done = out.where("NOT __open").drop("__open")
         kept = done if kept is None else kept.unionByName(done)
         left = out.where("__open").drop("__open")
@@ -51,12 +51,6 @@ def spaced(peaks: DataFrame, keys: list[str], gap: int, size: int = ranges.RANGE
             return kept
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = brainvision.scratch_root(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _pyramid(samples: DataFrame, keys: list[str], levels: int, block: int) -> list[DataFrame]:
     """Tables of keys, block, entries (i, lo, hi): of samples, then of the blocks below; at most `block` entries each."""
     out, rows = [], samples.where(F.col("value").isNotNull()).select(*keys, F.col("pos").cast("long").alias("i"), F.col("value").cast("double").alias("lo"), F.col("value").cast("double").alias("hi"))

@@ -55,3 +55,39 @@ def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, ou
     """df with `out`: the sum of `value` over the positions from `before` below to `after` above."""
     w = W.partitionBy(*keys, "__range").orderBy(pos).rangeBetween(-before, after)
     return halo(df, keys, pos, before, after, size).withColumn(out, F.sum(value).over(w)).where("__own").select(*df.columns, out)
+
+
+def width(df: DataFrame, keys: list[str], order: str, most: int = RANGE) -> int:
+    """The greatest power of two for which no key has over `most` rows in a range of so many values of `order`, a long; 1 where equal values alone are more.
+
+    Only keys of more rows are looked at, counted by key and range, inside tasks before the shuffle; a number a size comes to the driver.
+    """
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    lo, hi, largest = per_key.agg(F.min("__lo"), F.max("__hi"), F.max("__n")).first()
+    if lo is None:
+        return 1
+    # ranges begin at multiples of their size: above the numbers themselves, one holds all that are not negative
+    top = max(int(abs(lo)).bit_length(), int(abs(hi)).bit_length())
+    if largest <= most:
+        return 1 << top
+    hot = df.join(per_key.where(F.col("__n") > most).select(*keys), keys, "left_semi")
+    while True:
+        bits = max(top - 12, 0)
+        fine = hot.groupBy(*keys, F.floor(F.col(order) / F.lit(1 << bits)).alias("__b")).agg(F.count("*").alias("__n"))
+        by_size = fine.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(top - bits)))).withColumn("__b", F.expr("shiftright(__b, __s)"))
+        counts = by_size.groupBy(*keys, "__s", "__b").agg(F.sum("__n").alias("__n")).groupBy("__s").agg(F.max("__n").alias("__n"))
+        fits = [r["__s"] for r in counts.collect() if r["__n"] <= most]
+        if fits or not bits:
+            return 1 << (bits + max(fits, default=0))
+        top = bits
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str, start: str, size: int) -> DataFrame:
+    """df with `out`, the row's number from 0 within its key by `order` (a long, not null) and `ties`, and `start`, the key's least `order`."""
+    r = _ranged(df, order, size)
+    over = W.partitionBy(*keys).orderBy("__range")
+    edges = r.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), F.min(order).alias("__least"))
+    edges = edges.select(
+        *keys, "__range", F.coalesce(F.sum("__n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.min("__least").over(W.partitionBy(*keys)).alias(start))
+    r = r.withColumn("__k", F.row_number().over(W.partitionBy(*keys, "__range").orderBy(order, *ties)) - 1).join(edges, [*keys, "__range"], "left")
+    return r.select(*df.columns, (F.col("__k") + F.col("__before")).cast("long").alias(out), start)

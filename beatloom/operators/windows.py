@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import brainvision
+from . import medians
 from .ranges import RANGE, framed, neighbours
 
 
@@ -13,13 +15,12 @@ def diff(df: DataFrame, keys: list[str], order: str, value: str, out: str = "rr"
     return neighbours(df, keys, order, {"__a": (value, -1)}, size).withColumn(out, F.col(value) - F.col("__a")).drop("__a")
 
 
-def clean_beats(df: DataFrame, keys: list[str], order: str, value: str, tolerance: float = 0.3) -> DataFrame:
+def clean_beats(df: DataFrame, keys: list[str], order: str, value: str, tolerance: float = 0.3, size: int = RANGE) -> DataFrame:
     """Drops the later beat of an interval that is off the median of all; rr is then taken over what is left."""
-    d = diff(df, keys, order, value)
-    mid = d.groupBy(*keys).agg(F.median("rr").alias("__m"), F.count("*").alias("__n"))
-    d = d.join(mid, keys)
+    d = brainvision.stored(diff(df, keys, order, value, size=size))
+    d = d.join(d.groupBy(*keys).agg(F.count("*").alias("__n")), keys).join(medians.exact(d, keys, "rr", "__m"), keys, "left")
     keep = (F.col("__n") < 3) | F.col("rr").isNull() | (F.abs(F.col("rr") - F.col("__m")) < tolerance * F.col("__m"))
-    return diff(d.where(keep).drop("__m", "__n", "rr"), keys, order, value)
+    return diff(d.where(keep).drop("__m", "__n", "rr"), keys, order, value, size=size)
 
 
 def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int, size: int = RANGE) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays, kernels
 from .functions.labels import channel_type, classify, discover, map_labels, normal
-from .operators import channels, epochs, filters, peaks, qc, registry, windows
+from .operators import channels, epochs, filters, peaks, qc, ranges, registry, windows
 from .params import FRONTAL, NEIGHBOURS, POSTERIOR, PPG_FEATURES, Params
 from .plans import hest, metadata, preprocess, pulse
 from .sources import brainvision, recordings
@@ -49,10 +49,10 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """user_id, pos (from 0), value, secs since the user's first event, label. A user is a recording."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    secs = (F.unix_micros(F.col("ts").cast("timestamp")) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(W.partitionBy("user_id"))) / 1e6
-    return t(spark, d, "events").select("user_id", F.col("event_type").alias("label"), "value", (F.row_number().over(w) - 1).cast("long").alias("pos"), secs.alias("secs"))
+    """user_id, pos (from 0), value, secs since the user's first event, label, numbered over ranges of time and stored once. A user is a recording."""
+    e = t(spark, d, "events").select("user_id", F.col("event_type").alias("label"), "value", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    x = ranges.numbered(e, ["user_id"], "us", ["event_id"], "pos", "start", ranges.width(e, ["user_id"], "us"))
+    return brainvision.stored(x.select("user_id", "label", "value", "pos", ((F.col("us") - F.col("start")) / 1e6).alias("secs")))
 
 
 _S = """s AS (SELECT user_id, event_type AS label, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,

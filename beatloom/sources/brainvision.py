@@ -188,3 +188,10 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/recordings-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share, and read back: plans that read it more than once do so, and lost executors lose none of it."""
+    path = scratch_root(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

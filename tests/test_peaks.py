@@ -51,9 +51,26 @@ def test_ranges_give_the_rows_of_one_window(spark):
     for name, f in {
         "diff": lambda d, n: windows.diff(d, ["k"], "pos", "value", size=n), "mean": lambda d, n: windows.moving_average(d, ["k"], "pos", "value", 7, size=n),
         "maxima": lambda d, n: windows.local_maxima(d, ["k"], "pos", "value", size=n), "segments": lambda d, n: windows.segments(d.where("value > 4"), ["k"], "pos", 2, size=n),
+        "clean": lambda d, n: windows.clean_beats(d.withColumn("t", F.col("pos") * F.col("pos") % 997), ["k"], "pos", "t", size=n),
         "carried": lambda d, n: ranges.carried(d.withColumn("w", F.when(F.col("value") > 7, F.col("pos"))), ["k"], "pos", "w", "v", n),
     }.items():
         one, many = (sorted(map(str, f(df, n).collect())) for n in (10**6, 128))
         assert one == many, name
     sizes = [r["count"] for r in ranges.halo(df, ["k"], "pos", 3, 3, 128).groupBy("k", "__range").count().collect()]
     assert max(sizes) <= 2 * np.median(sizes)
+
+
+def test_numbers_of_a_hot_key(spark):
+    """A third of all rows have one key, some come in bursts: numbers as of one window, and no range over its size."""
+    rng = np.random.default_rng(9)
+    when = np.concatenate([rng.integers(0, 10**9, 2000), 5 * 10**8 + rng.integers(0, 5000, 1000), *[rng.integers(0, 10**9, 100) for _ in range(60)]])
+    key = ["hot"] * 3000 + [f"u{i}" for i in range(60) for _ in range(100)]
+    df = spark.createDataFrame([(k, int(w), i) for i, (k, w) in enumerate(zip(key, when, strict=True))], "k string, us long, id long")
+    size = ranges.width(df, ["k"], "us", 128)
+    got = {r.id: (r.n, r.first) for r in ranges.numbered(df, ["k"], "us", ["id"], "n", "first", size).collect()}
+    for k in ("hot", "u3"):
+        mine = sorted((int(w), i) for i, (o, w) in enumerate(zip(key, when, strict=True)) if o == k)
+        assert [got[i] for _, i in mine] == [(n, mine[0][0]) for n in range(len(mine))]
+    counts = [r["count"] for r in df.groupBy("k", F.floor(F.col("us") / size)).count().collect()]
+    assert max(counts) <= 128 and ranges.width(df, ["k"], "us", 10**6) >= 2**29
+    assert ranges.width(df.withColumn("us", F.lit(7)), ["k"], "us", 5) == 1 and ranges.width(df.where("false"), ["k"], "us") == 1
