@@ -187,6 +187,15 @@ def write_arc(pages: DataFrame) -> DataFrame:
 RECORDS = "rec string, key long, url string, date string, mime string, ip string, status int, head binary, payload binary, payload_sha1 string, payload_bytes long"
 
 
+def page_key(head: bytes) -> int | None:
+    """The number in the first X-Page-Id line that has one, a signed 64-bit integer; null where a foreign header has none or something else."""
+    for line in head.split(b"\r\n"):
+        if line.lower().startswith(b"x-page-id:") and re.fullmatch(rb"-?[0-9]{1,19}", value := line[10:].strip()):
+            if -(2**63) <= (n := int(value)) < 2**63:
+                return n
+    return None
+
+
 def _records(name: str, content: bytes, strict: bool) -> Iterator[tuple]:
     records = enumerate(parse_arc(content))
     while True:
@@ -199,7 +208,7 @@ def _records(name: str, content: bytes, strict: bool) -> Iterator[tuple]:
                 raise
             return
         head, payload = split_http(r["block"])
-        key = next((int(x[10:]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:") and x[10:].strip()), None)
+        key = page_key(head)
         status = int(head[9:12]) if head[9:12].isdigit() else None
         yield f"{name}#{k:09d}", key, clean_url(r["url"]), r["date"], r["mime"], r["ip"], status, head, payload, hashlib.sha1(payload).hexdigest(), len(payload)
 
@@ -294,7 +303,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     sha1 = base64.b32decode(f["warc-payload-digest"][5:]).hex()
                     if f["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != sha1:
                         raise ValueError(f"WARC: payload digest of {f['warc-record-id']} differs")
-                    key = next((int(x[10:]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:") and x[10:].strip()), None)
+                    key = page_key(head)
                     to = f.get("x-refers-to-page")
                     rows.append((key, f["warc-record-id"], f["warc-target-uri"], f["warc-date"], int(f["x-payload-length"]), sha1, f["warc-type"], int(to) if to and to != "None" else None))
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])

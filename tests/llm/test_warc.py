@@ -90,3 +90,14 @@ def test_files(spark, tmp_path):
     for r in out:
         data = (tmp_path / "out" / r["name"]).read_bytes()
         assert len(data) == r.bytes and list(warc.parse_warc(data))[0][0]["warc-type"] == "warcinfo"
+
+
+def test_foreign_page_ids(spark):
+    """A header that is no number, or too large a one, gives null and ends no job."""
+    for value, want in ((b"7", 7), (b" -3 ", -3), (b"abc", None), (b"1_000", None), (b"", None), (b"9" * 19, None), (b"1.5", None)):
+        assert warc.page_key(b"HTTP/1.1 200 OK\r\nX-Page-Id:" + value + b"\r\nA: b") == want
+    block = lambda key, body: b"HTTP/1.1 200 OK\r\nX-Page-Id: " + key + b"\r\n\r\n" + body
+    content = archive(1, ("http://a/", block(b"abc", b"a")), ("http://b/", block(b"5", b"b")))
+    df = spark.createDataFrame([("x.arc", bytearray(content))], "name string, content binary")
+    for strict in (True, False):
+        assert [(r.url, r.key) for r in warc.read_arc(df, strict).orderBy("url").collect()] == [("http://a/", None), ("http://b/", 5)]
