@@ -98,3 +98,22 @@ def test_validity_goes_by_the_first_signal(spark):
     files += [(s, f"x{e}", 9) for s in "ab" for e in (".vhdr", ".vmrk")]
     got = qc.validate_files(spark.createDataFrame(files, "subject string, path string, length long")).collect()
     assert {r.subject: (r.verdict, r.n_small) for r in got} == {"a": ("valid", 1), "b": ("small", 1), "c": ("missing", 0)}
+
+
+def test_many_small_recordings_share_partitions(spark, tmp_path):
+    """A large file among many small ones is still cut; the small ones take few partitions, and each sample comes once."""
+    want = {}
+    for k in range(400):
+        folder = tmp_path / f"sub-{k}" / "eeg"
+        folder.mkdir(parents=True)
+        x = np.arange(400_000 if k == 7 else k % 3 * 5, dtype="<i2")
+        (folder / "a.vhdr").write_text(header("a", ["Fz"], "MULTIPLEXED", "INT_16"))
+        (folder / "a.eeg").write_bytes(x.tobytes())
+        want |= {f"sub-{k}": (int(x.sum()), len(x))} if len(x) else {}
+    (tmp_path / "sub-3" / "eeg" / "bad.vhdr").write_text("[Common Infos]")
+    parts = bv.Reader({"root": str(tmp_path), "chunk": "32", "rangeBytes": "64"}).partitions()
+    assert len(parts) < 200 and sum(isinstance(p, bv.Range) for p in parts) > 8
+    assert max(len(p.paths) for p in parts if isinstance(p, bv.Recordings)) < 20
+    got = bv.recording_chunks(spark, str(tmp_path), 32, 64).groupBy("subject").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)).cast("long").alias("total"), F.sum(F.size("samples")).alias("n"))
+    assert {r.subject: (r.total, r.n) for r in got.collect()} == want
+    assert bv.recording_chunks(spark, str(tmp_path), samples=False).count() == 400
