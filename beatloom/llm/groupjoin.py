@@ -6,16 +6,16 @@ A document is the set of its four-word shingles, hashed to 64 bits; two link whe
    orders, so buckets that several shingles share cost time, never a link. It is the one thing that tasks get whole, and its size is fixed.
 2. Equal sets are one representative, the least id (aggregated before the shuffle).
 3. Similar documents fall into parts: representatives that share a minimum hash, of KEYS of them, are held against one of theirs, its
-   leader, and what links is one class already. Each class of several is a part; what is left shares parts with others of its first
+   leader, unless their bitmaps (5.) exclude it, and what links is one class already. Each class of several is a part; what is left shares parts with others of its first
    minimum hash. A part is cut into groups of about GROUP_DOCS documents and at most about GROUP_SHINGLES shingles.
 4. Of two sets of sizes x <= y that link, one of the y - ceil(0.85 y) + 1 first shingles of y is one of the x - ceil(2 * 0.85 / 1.85 x) + 1
    first of x, so a query finds all parts it can have a link in by its first shingles. Documents query parts of larger classes, and,
    where both are alone, of smaller sets; so of a family of thousands only the stragglers ask, and never their own class.
-5. The token-group matrix: each group's union of shingles is stored, and groups of a part lie together in slabs of at most about
-   SLAB_SHINGLES. A query meets a slab once, and can overlap no document by more than it overlaps its group's union: groups where that
-   bound is below 85 percent of the query stay closed.
-6. Groups above the bound are opened and members counted exactly: first the best group of each class for each query; then, once classes that
-   linked are one, all the others that are still of another class.
+5. A set has a bitmap of BITS to 2 * BITS bits a shingle. What one bitmap has alone, its set has alone, so two bitmaps bound the overlap from
+   above. Groups of a part lie together in slabs; a query meets a slab once, by bitmaps, and groups of which no member can link to it stay closed.
+6. Groups within the bound are opened and their members that any query can link to are counted exactly: first, for each query, the best
+   group of each class and the best of documents in no class; then, once classes that linked are one, all the others that still have
+   members of another class.
 7. The components of all links are the classes.
 
 No estimate decides anything, so no link is lost. A group gives a query at most one link a class. Groups and slabs with very many queries
@@ -42,9 +42,9 @@ from .neardup import Shingler, leader_links
 
 WORDS, PERCENT = 4, 85
 HISTOGRAM_BITS, CHUNK = 22, 1 << 12
-GROUP_DOCS, GROUP_SHINGLES, SLAB_SHINGLES, QUERY_ROWS = 64, 400_000, 4_000_000, 256
+GROUP_DOCS, GROUP_SHINGLES, SLAB_DOCS, SLAB_SHINGLES, QUERY_ROWS = 64, 400_000, 1024, 4_000_000, 256
 PICK_BITS = 25
-KEYS = 4
+KEYS, BITS, TOKEN_BITS = 4, 2, 48
 _TURNS = np.random.default_rng(13).integers(0, 1 << 63, size=KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,17 +110,56 @@ def index_length(n: Column) -> Column:
 
 
 def first_shingles(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order by which a set finds smaller ones."""
+    """The first shingles in the common order by which a set finds smaller ones, TOKEN_BITS of each: those that agree in them cost a look."""
     order = np.argsort(classes[_bucket(hashes)], kind="stable")  # hashes are sorted
-    return hashes[order[: probe_length(len(hashes))]].view(np.int64)
+    return (hashes[order[: probe_length(len(hashes))]] >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
 
 
 def minimum_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array([(hashes * turn).min() for turn in _TURNS], dtype=np.uint64).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each value of a shingle's last bits, in a power of two of bits."""
+    bits = np.zeros(max(64, 1 << (BITS * len(hashes) - 1).bit_length()), dtype=bool)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one a row, as they are in so many 64-bit words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+class Bitmaps:
+    """Bitmaps of sets with the sets' sizes, together."""
+
+    def __init__(self, sizes: list[int], bits: list[bytes]):
+        self.sizes = np.array(sizes, dtype=np.int64)
+        widths = np.array([len(b) // 8 for b in bits])
+        self.by_width = [(at, np.frombuffer(b"".join(bits[k] for k in at), dtype=np.uint64).reshape(len(at), -1)) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
+
+    def most_overlap(self, n: int, bits: bytes) -> np.ndarray:
+        """No fewer shingles than a set of n with these bits shares with each set."""
+        out, own = np.zeros(len(self.sizes), dtype=np.int64), np.frombuffer(bits, dtype=np.uint64).reshape(1, -1)
+        for at, held in self.by_width:
+            words = min(held.shape[1], own.shape[1])
+            a, b = folded(own, words), folded(held, words)
+            both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+            alone = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) - both for x in (a, b)]
+            out[at] = np.minimum(n - alone[0], self.sizes[at] - alone[1])
+        return out
+
+
+def may_link(n: np.ndarray | int, m: np.ndarray | int, both: np.ndarray) -> np.ndarray:
+    return (100 * both >= PERCENT * (n + m - both)) & (both > 0)
+
+
 def sets_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Stored: doc_id, n_shingles, sig (digest of the set), keys (minimum hashes) and tokens (first shingles) of every document; the last three null for empty sets."""
+    """Stored: doc_id, n_shingles, sig (digest of the set), keys (minimum hashes), bits (bitmap) and tokens (first shingles) of every document; the last four null for empty sets."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     @common.in_task
@@ -132,10 +171,10 @@ def sets_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text)
-                rows.append((doc_id, len(h), xxhash.xxh3_128_digest(h.tobytes()), minimum_hashes(h), first_shingles(h, sent.value)) if len(h) else (doc_id, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sig", "keys", "tokens"])
+                rows.append((doc_id, len(h), xxhash.xxh3_128_digest(h.tobytes()), minimum_hashes(h), bitmap(h), first_shingles(h, sent.value)) if len(h) else (doc_id, 0, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sig", "keys", "bits", "tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, sig binary, keys array<long>, tokens array<long>")
+    out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, sig binary, keys array<long>, bits binary, tokens array<long>")
     return common.stored(out.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-sets")
 
 
@@ -152,12 +191,28 @@ def with_classes(rows: DataFrame, classes: DataFrame, col: str) -> DataFrame:
     return rows.join(now, col, "left").withColumn(col, F.coalesce("__now", col)).drop("__now")
 
 
-def led(shared: DataFrame) -> DataFrame:
-    """Stored: a, b: representatives and the leaders, any one a key, of those with the same minimum hash, if their sizes allow a link."""
+def led(shared: DataFrame, bits: DataFrame) -> DataFrame:
+    """Stored: a, b: representatives and the leaders, any one a key, of those with the same minimum hash, if their sizes and bitmaps allow a link.
+
+    bits: doc_id, n, bits.
+    """
+
+    @common.in_task
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            both = [Bitmaps([n], [b]).most_overlap(m, c)[0] for n, b, m, c in zip(x["n"], x["bits"], x["leader_n"], x["leader_bits"], strict=True)]
+            yield x.loc[may_link(x["n"].to_numpy(), x["leader_n"].to_numpy(), np.array(both, dtype=np.int64)), ["a", "b"]]
+
     leader = shared.groupBy("turn", "key").agg(F.max_by(F.struct("rep", "n"), F.xxhash64("rep", "turn")).alias("leader"))
     near = 100 * F.least("n", "leader.n") >= PERCENT * F.greatest("n", "leader.n")
     pairs = shared.join(leader, ["turn", "key"]).where(near & (F.col("rep") != F.col("leader.rep")))
-    return common.stored(pairs.select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct(), "leaders")
+    pairs = common.stored(pairs.select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct(), "leader-pairs")
+    own = common.stored(picked(bits, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "leader-bits")
+    rows = pairs.join(own.withColumnRenamed("doc_id", "a"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("leader_n"), F.col("bits").alias("leader_bits")), "b")
+    out = common.stored(rows.mapInPandas(run, "a long, b long").distinct(), "leaders")
+    for done in (pairs, own):
+        common.drop_stored(done)
+    return out
 
 
 def grouped(reps: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -168,7 +223,7 @@ def grouped(reps: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     r = reps.select("sig", "rep", "n", "keys").join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
     r = r.withColumn("part", F.when(F.col("class_id").isNull(), F.xxhash64(F.lit(1), F.col("keys")[0])).otherwise(F.xxhash64(F.lit(0), "class_id")))
     groups = F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
-    sizes = r.groupBy("part").agg(groups.alias("groups"), F.ceil(F.sum("n") / SLAB_SHINGLES).cast("int").alias("slabs"), F.count("*").alias("docs"))
+    sizes = r.groupBy("part").agg(groups.alias("groups"), F.greatest(F.ceil(F.count("*") / SLAB_DOCS), F.ceil(F.sum("n") / SLAB_SHINGLES)).cast("int").alias("slabs"), F.count("*").alias("docs"))
     place = F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int")
     r = r.join(sizes, "part").withColumns({
         "class_docs": F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.col("docs")), "class_id": F.coalesce("class_id", "rep"),
@@ -200,17 +255,17 @@ def candidates(groups: DataFrame) -> DataFrame:
     return common.stored(found.join(slabs, "part").where(fits).select("slab", F.col("q").alias("doc_id"), "class_id"), "slab-queries")
 
 
-def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is among ids, and few others, without a shuffle of texts.
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows whose doc_id is among ids, and few others, without a shuffle of rows.
 
     They are told by a bitmap of 2 ** PICK_BITS hashes of ids, which has that size whatever the input. A join with ids may follow.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << PICK_BITS))
     bits = ids.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    rows = texts.withColumn("bit", bit("doc_id")).join(F.broadcast(bits), F.bitmap_bucket_number("bit") == F.col("bucket"))
+    found = rows.withColumn("bit", bit("doc_id")).join(F.broadcast(bits.withColumnRenamed("bits", "ids")), F.bitmap_bucket_number("bit") == F.col("bucket"))
     at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text")
+    byte = F.conv(F.hex(F.substring("ids", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def _dealt(queries: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -221,58 +276,50 @@ def _dealt(queries: DataFrame, held: DataFrame, key: str) -> DataFrame:
     return held.unionByName(own, allowMissingColumns=True)
 
 
-def unions(members: DataFrame) -> DataFrame:
-    """Stored: grp, tokens: the union of its members' shingles, sorted. members: grp, text."""
-
-    @common.in_task
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, own, sets = Shingler(WORDS), None, []
-        for batch in batches:
-            out = []
-            for grp, text in zip(batch["grp"].tolist(), batch["text"], strict=True):
-                if grp != own:
-                    if sets:
-                        out.append((own, np.unique(np.concatenate(sets)).tobytes()))
-                    own, sets = grp, []
-                sets.append(shingles(text))
-            yield pd.DataFrame(out, columns=["grp", "tokens"])
-        if sets:
-            yield pd.DataFrame([(own, np.unique(np.concatenate(sets)).tobytes())], columns=["grp", "tokens"])
-
-    rows = members.select("grp", "text").repartition("grp").sortWithinPartitions("grp")
-    return common.stored(rows.mapInPandas(run, "grp long, tokens binary"), "token-unions")
-
-
-def bounded(queries: DataFrame, cells: DataFrame, matrix: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stored: doc_id, class_id, grp, hits: groups whose union shares hits shingles with a query, no fewer than a link needs.
+def bounded(queries: DataFrame, cells: DataFrame, bits: DataFrame) -> DataFrame:
+    """Stored: doc_id, class_id, grp, most: groups with members of other classes that queries may link to, and their likeness at most, in millionths.
 
-    queries: slab, doc_id, class_id; cells: slab, grp; matrix: grp, tokens; texts: doc_id, text.
+    Those members too, with most null. queries: slab, doc_id, class_id; cells: slab, grp, doc_id, class_id; bits: doc_id, n, bits.
     """
+    columns = ["doc_id", "class_id", "grp", "most"]
 
     @common.in_task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, own, grps, sets, slab = Shingler(WORDS), None, [], [], None
+        own, held, slab = None, [], None
+
+        def met() -> list[tuple]:
+            return [(*held[k][:3], None) for k in np.flatnonzero(slab[3])] if slab else []
+
         for batch in batches:
             out = []
-            for key, deal, first, grp, tokens, doc_id, class_id, text in zip(*[batch[c] for c in ("slab", "deal", "first", "grp", "tokens", "doc_id", "class_id", "text")], strict=True):
+            for key, deal, first, *row in zip(*[batch[c].tolist() for c in ("slab", "deal", "first", "doc_id", "class_id", "grp", "n", "bits")], strict=True):
                 if (key, deal) != own:
-                    own, grps, sets, slab = (key, deal), [], [], None
+                    out += met()
+                    own, held, slab = (key, deal), [], None
                 if first == 0:
-                    grps.append(int(grp))
-                    sets.append(np.frombuffer(tokens, dtype=np.uint64))
+                    held.append(row)
                     continue
-                h = shingles(text)
-                if len(h) and grps:
-                    slab = slab or Sets(grps, sets)
-                    hits = slab.overlaps(h)
-                    out += [(int(doc_id), int(class_id), int(slab.ids[k]), int(hits[k])) for k in np.flatnonzero(hits >= least_overlap(len(h)))]
-            yield pd.DataFrame(out, columns=["doc_id", "class_id", "grp", "hits"], dtype="int64")
-
-    rows = common.stored(_dealt(queries, cells, "slab"), "slab-deals")
-    held, own = rows.where("first = 0").drop("doc_id", "class_id").join(matrix, "grp"), rows.where("first = 1").drop("grp").join(texts, "doc_id")
-    rows = held.unionByName(own, allowMissingColumns=True).repartition("slab", "deal").sortWithinPartitions("slab", "deal", "first")
-    rows = rows.select("slab", "deal", "first", F.col("grp").cast("string"), "tokens", F.col("doc_id").cast("string"), F.col("class_id").cast("string"), "text")
-    return common.stored(rows.mapInPandas(run, "doc_id long, class_id long, grp long, hits long"), "group-bounds")
+                if not held:
+                    continue
+                slab = slab or (Bitmaps([r[3] for r in held], [r[4] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held]), np.zeros(len(held), dtype=bool))
+                doc_id, class_id, _, n, own_bits = row
+                maps, classes, grps, seen = slab
+                both = maps.most_overlap(n, own_bits)
+                hit = np.flatnonzero(may_link(n, maps.sizes, both) & (classes != class_id))
+                seen[hit] = True
+                best = {}
+                for grp, likeness in zip(grps[hit].tolist(), (1_000_000 * both[hit] // (n + maps.sizes[hit] - both[hit])).tolist(), strict=True):
+                    best[grp] = max(best.get(grp, 0), likeness)
+                out += [(doc_id, class_id, grp, most) for grp, most in best.items()]
+            yield pd.DataFrame(out, columns=columns).astype("Int64")
+        yield pd.DataFrame(met(), columns=columns).astype("Int64")
+
+    rows = common.stored(_dealt(queries, cells.select("slab", "grp", "doc_id", "class_id"), "slab"), "slab-deals")
+    dealt = rows.join(picked(bits, rows.select("doc_id").distinct()), "doc_id").repartition("slab", "deal").sortWithinPartitions("slab", "deal", "first")
+    dealt = dealt.select("slab", "deal", "first", "doc_id", "class_id", F.coalesce("grp", F.lit(0).cast("long")).alias("grp"), "n", "bits")
+    out = common.stored(dealt.mapInPandas(run, "doc_id long, class_id long, grp long, most long").distinct(), "group-bounds")
+    common.drop_stored(rows)
+    return out
 
 
 class Sets:
@@ -324,11 +371,11 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     s = sets_of(docs, shingle_classes(docs))
     with_set = s.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    reps = with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    reps = with_set.groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(o) for c, o in (("n_shingles", "n"), ("keys", "keys"), ("bits", "bits"))])
     reps = common.stored(reps, "set-reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts, bits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), reps.select(F.col("rep").alias("doc_id"), "n", "bits")
     shared = shared_keys(reps)
-    leaders = led(shared)
+    leaders = led(shared, bits)
     near = common.stored(picked(texts, leaders.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "led-texts")
     known = common.stored(leader_links(near, leaders, PERCENT, WORDS).distinct(), "leader-links")
     classes = components(known)
@@ -336,27 +383,26 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     asked = candidates(groups)
     for done in (shared, leaders, near, classes):
         common.drop_stored(done)
-    cells = groups.select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"), "lone")
+    cells = groups.select("slab", "grp", F.col("rep").alias("doc_id"), "class_id", F.when(F.col("class_docs") > 1, F.col("class_id")).alias("of"))
     cells = common.stored(cells.join(asked.select("slab").distinct(), "slab", "left_semi"), "token-cells")
-    met = common.stored(picked(texts, cells.select("doc_id").unionAll(asked.select("doc_id")).distinct()), "met-texts")
-    # a document alone is its group's union: there is nothing to bound by, the group is opened at once
-    lone = asked.join(cells.where("lone").select("slab", "grp").distinct(), "slab").select("doc_id", "class_id", "grp")
-    crowd = cells.where("NOT lone")
-    matrix = unions(crowd.select("grp", "doc_id").join(picked(met, crowd), "doc_id"))
-    bounds = bounded(asked.join(crowd.select("slab").distinct(), "slab", "left_semi"), crowd.select("slab", "grp").distinct(), matrix, met)
-    bounds = common.stored(bounds.join(crowd.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
-    # every group of documents that are in no class, and the best group of each class
-    best = bounds.groupBy("doc_id", "class_id", "of", F.when(F.col("of").isNull(), F.col("grp")).alias("single")).agg(F.max(F.struct("hits", "grp")).alias("best"))
-    best = common.stored(best.select("doc_id", "class_id", F.col("best.grp").alias("grp")).unionAll(lone), "best-groups")
-    members = cells.select("grp", "doc_id", "class_id")
+    common.drop_stored(groups)
+    found = bounded(asked, cells, bits)
+    met = common.stored(picked(texts, found.select("doc_id").distinct()), "met-texts")
+    members = found.where("most IS NULL").drop("most")
+    bounds = common.stored(found.where("most IS NOT NULL").join(cells.groupBy("grp").agg(F.max("of").alias("of")), "grp"), "group-classes")
+    # the best group of each class, and the best one of documents that are in no class
+    best = bounds.groupBy("doc_id", "class_id", "of").agg(F.max(F.struct("most", "grp")).alias("best"))
+    best = common.stored(best.select("doc_id", "class_id", F.col("best.grp").alias("grp")), "best-groups")
     first = common.stored(known.unionAll(links(best, members, met)), "first-links")
     between = components(first)
-    rest = with_classes(with_classes(bounds.join(best, ["doc_id", "grp"], "left_anti"), between, "class_id"), between, "of").where("class_id <> of")
+    members = common.stored(with_classes(members, between, "class_id"), "member-classes")
+    of = members.groupBy("grp").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    rest = with_classes(bounds.join(best, ["doc_id", "grp"], "left_anti"), between, "class_id").join(of, "grp").where("low <> class_id OR high <> class_id")
     rest = common.stored(rest.select("doc_id", "class_id", "grp"), "other-groups")
-    got = common.stored(first.unionAll(links(rest, with_classes(members, between, "class_id"), met)), "set-links")
+    got = common.stored(first.unionAll(links(rest, members, met)), "set-links")
     comps = components(got)
     by_set = common.stored(reps.join(comps, reps["rep"] == comps["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id")), "set-classes")
-    for done in (reps, known, groups, asked, cells, met, matrix, bounds, best, first, between, rest, got, comps):
+    for done in (reps, known, asked, cells, found, met, bounds, best, first, between, members, rest, got, comps):
         common.drop_stored(done)
     keyed = s.select("doc_id", "n_shingles", F.coalesce(F.col("sig"), F.col("doc_id").cast("string").cast("binary")).alias("sig"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -109,3 +109,33 @@ def test_first_shingles_find_every_link():
 def test_index_length(spark):
     rows = spark.range(1, 5000).select("id", gj.index_length(F.col("id")).alias("k")).collect()
     assert all(r.k == r.id - -(-170 * r.id // 185) + 1 for r in rows)
+
+
+def test_bitmaps_bound_the_overlap():
+    """Never below the overlap, whatever the widths of two bitmaps, and well below a link's for sets that have little in common."""
+    rng = np.random.default_rng(6)
+    excluded = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 64, size=int(rng.integers(1, 600)), dtype=np.uint64))
+        others = [np.unique(np.concatenate([a[rng.random(len(a)) < p], rng.integers(0, 1 << 64, size=int(rng.integers(0, 300)), dtype=np.uint64)])) for p in (0.2, 0.6, 0.95, 1)]
+        others = [b for b in others if len(b)]
+        most = gj.Bitmaps([len(b) for b in others], [gj.bitmap(b) for b in others]).most_overlap(len(a), gj.bitmap(a))
+        both = np.array([len(np.intersect1d(a, b)) for b in others])
+        sizes = np.array([len(b) for b in others])
+        assert (most >= both).all()
+        may, link = gj.may_link(len(a), sizes, most), gj.may_link(len(a), sizes, both)
+        assert not (link & ~may).any()
+        excluded += int((~may[:2]).sum())
+    assert excluded > 700
+
+
+def test_unlike_documents_stay_closed(spark, monkeypatch):
+    """Texts of documents that share rare shingles, but too few for a link, are not moved."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"l{k}x{j}" for j in range(40)) for k in range(30)]
+    rows = [(i, "\n".join([*(lines[k] for k in rng.permutation(30)[:5]), " ".join(f"p{i // 2}x{j}" for j in range(10))])) for i in range(60)]
+    opened, links = [], gj.links
+    monkeypatch.setattr(gj, "links", lambda queries, members, texts: opened.append(queries.count()) or links(queries, members, texts))
+    assert result(frame(spark, rows)) == brute(rows) and sum(opened) == 0
+    near = [(100 + i, t.replace("l3x7 ", "other ")) for i, t in rows]
+    assert result(frame(spark, rows + near)) == brute(rows + near)
