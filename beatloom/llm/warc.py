@@ -7,8 +7,9 @@ the declared lengths and synthesises WARC fields: WARC-Record-ID (a UUID of URL,
 the 14-digit date, WARC-Type, WARC-Block-Digest and WARC-Payload-Digest (SHA-1, base 32).
 
 Archives are rows of a table: name, content (the bytes of a whole archive file of about ARCHIVE_MB). Spark writes them to
-the shared folder as Parquet, so writing is atomic and any executor can read them; export_archives() writes the
-files themselves, and read_files() reads real .arc and .warc files.
+the shared folder as Parquet, so writing is atomic and any executor can read them, each archive a row group, so that a
+task holds one, whatever the input (common.stored with large_rows); export_archives() writes the files themselves, and
+read_files() reads real .arc and .warc files.
 
 Of response records with equal payloads of at least MIN_REVISIT bytes, that with the largest key stays a response and the
 others become revisits, which carry headers only. Payload bytes are shuffled once, joined with a slim table of
@@ -40,6 +41,8 @@ ARCHIVE_MB, MIN_REVISIT = 4, 1000
 #: Fixed values of the ARC format.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 ARC_NAMES = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
+#: All columns of a row group of pages are one range of bytes; a vectored read of it would hold it a second time, outside the heap.
+ONE_RANGE = {"parquet.hadoop.vectored.io.enabled": "false"}
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:beatloom:arc-to-warc")
 WARC_VERSION = b"WARC/1.1"
 
@@ -344,8 +347,12 @@ def convert(arc_archives: DataFrame) -> DataFrame:
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what the WARC archives say, read back."""
-    arcs = common.stored(write_arc(common.table(spark, sf_dir, "pages")), "arc")
-    warcs = common.stored(convert(arcs), "warc")
+    pages = common.table(spark, sf_dir, "pages", **ONE_RANGE)
+    arcs = common.stored(write_arc(pages), "arc", large_rows=True)
+    records = common.stored(read_arc(arcs), "arc-records")
+    common.drop_stored(arcs)
+    warcs = common.stored(write_warc(with_revisits(records)), "warc", large_rows=True)
+    common.drop_stored(records)
     return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,10 +4,11 @@ import gzip
 import hashlib
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from beatloom.llm import warc
+from beatloom.llm import common, warc
 
 
 def archive(version, *records):
@@ -101,3 +102,27 @@ def test_foreign_page_ids(spark):
     df = spark.createDataFrame([("x.arc", bytearray(content))], "name string, content binary")
     for strict in (True, False):
         assert [(r.url, r.key) for r in warc.read_arc(df, strict).orderBy("url").collect()] == [("http://a/", None), ("http://b/", 5)]
+
+
+def test_archives_one_at_a_time(spark, tmp_path, monkeypatch):
+    """Of the archives of a task, whatever their number, a writer or reader holds one; tables that no step reads any more are gone."""
+    rows = [(i, f"http://{i}/", chr(97 + i % 20) * (1 << 20)) for i in range(26)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    groups = {}
+
+    def look(name):
+        for f in tmp_path.glob(f"beatloom/{name}-[0-9a-f]*/*.parquet"):
+            m = pq.ParquetFile(f).metadata
+            groups[name] = groups.get(name, []) + [m.row_group(i).num_rows for i in range(m.num_row_groups)]
+            assert not m.row_group(0).column(0).is_stats_set, groups
+
+    drop = common.drop_stored
+    monkeypatch.setattr(common, "drop_stored", lambda df: (look("arc"), drop(df)))
+    got = {r.page_id: r for r in warc.op4_arc_to_warc(spark, str(tmp_path)).collect()}
+    look("warc")
+    assert set(groups["warc"]) == {1} and len(groups["warc"]) >= 5
+    assert groups["arc"] == [1] * 7
+    assert {d.name.rsplit("-", 1)[0] for d in (tmp_path / "beatloom").iterdir()} == {"warc", "warc-originals"}
+    assert len(got) == 26 and {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {i: i + 20 for i in range(6)}
+    assert all(r.payload_bytes == 1 << 20 and r.payload_digest == hashlib.sha1(rows[i][2].encode()).hexdigest() for i, r in got.items())
