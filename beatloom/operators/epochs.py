@@ -63,13 +63,17 @@ def windows(events: DataFrame, p: Params, unit: str = "auto", strict: bool = Tru
 
 
 def cut_chunked(epochs: DataFrame, chunks: DataFrame, chunk: int, keys: tuple[str, ...] = ("subject",), ids: tuple[str, ...] = ("epoch_idx",)) -> DataFrame:
-    """J4 for recordings stored in chunks of a fixed number of samples: equi-join on the chunk numbers that a window touches."""
+    """J4 for recordings stored in chunks of a fixed number of samples, the last one shorter: equi-join on the chunk numbers that a window touches.
+
+    A chunk's samples outside the window go before the pieces of a window are dealt out; a channel of an epoch is then in one partition.
+    """
     e = epochs.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("stop") - 1) / chunk))))
     j = e.join(chunks.select(*keys, "channel", "chunk_idx", "samples"), [*keys, "chunk_idx"])
-    parts = j.groupBy(*keys, *ids, "start", "stop", "channel").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "samples"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda x: x["samples"]))
-    first = F.col("start") - F.col("p")[0]["chunk_idx"] * chunk
-    return parts.withColumn("samples", F.slice(flat, (first + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))).drop("p")
+    at = F.greatest(F.col("start") - F.col("chunk_idx") * chunk, F.lit(0))
+    inside = F.slice("samples", (at + 1).cast("int"), (F.col("stop") - F.col("chunk_idx") * chunk - at).cast("int"))
+    pieces = j.withColumn("samples", inside).repartition(*keys, *ids, "channel")
+    parts = pieces.groupBy(*keys, *ids, "start", "stop", "channel").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "samples"))).alias("p"))
+    return parts.withColumn("samples", F.flatten(F.transform("p", lambda x: x["samples"]))).drop("p")
 
 
 def interval_join(anchors: DataFrame, points: DataFrame, keys: list[str], at: str, start: str, stop: str, width: float) -> DataFrame:
