@@ -69,3 +69,19 @@ def test_samples_and_pieces_are_dealt_out_once(spark):
     lines = dealt(plan(spark, out))
     assert sum("REPARTITION_BY_COL" in line for line in lines) == 2 and len(lines) == 7, lines
     assert out.count() == 1
+
+
+def test_reference_deals_samples_out_once(spark):
+    """Null keys and places go, null values stay null and count for nothing, repeated channels count each, a place of one channel is 0."""
+    rows = [("s", "Fz", 0, 1.0, 7), ("s", "Cz", 0, 3.0, 7), ("s", "Pz", 0, None, 7), ("s", "Fz", 1, 5.0, 7), ("s", "Fz", 1, 5.0, 7), ("s", "Cz", 1, 2.0, 7), ("t", "Fz", 0, 4.0, 8), ("t", None, 1, None, 8)]
+    nan = [("u", "Fz", 0, float("nan"), 9), ("u", "Cz", 0, 1.0, 9)]
+    gone = [(None, "Fz", 0, 1.0, 7), ("s", "Fz", None, 9.0, 7), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows + nan + gone, "subject string, channel string, pos long, value double, run int")
+    out = preprocess.average_reference(df)
+    assert out.columns == ["subject", "pos", "channel", "value", "run"]
+    want = [("s", 0, "Fz", -1.0, 7), ("s", 0, "Cz", 1.0, 7), ("s", 0, "Pz", None, 7), ("s", 1, "Fz", 1.0, 7), ("s", 1, "Fz", 1.0, 7), ("s", 1, "Cz", -2.0, 7), ("t", 0, "Fz", 0.0, 8), ("t", 1, None, None, 8)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*want, ("u", 0, "Fz", float("nan"), 9), ("u", 0, "Cz", float("nan"), 9)]))
+    two = preprocess.average_reference(df, ("subject", "run"))
+    assert two.columns == ["subject", "run", "pos", "channel", "value"] and two.count() == 10
+    assert preprocess.average_reference(df.limit(0)).count() == 0
+    assert len(dealt(plan(spark, preprocess.average_reference(df)))) == 1
